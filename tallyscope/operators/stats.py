@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -355,10 +357,6 @@ def ks_normal(df: DataFrame, value: str) -> DataFrame:
 
 def _normal_cdf(z: Column) -> Column:
     """Standard normal distribution; ``erf`` is not a Spark built-in, so an Arrow function."""
-    import math
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def cdf(s: pd.Series) -> pd.Series:
         return s.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)), na_action="ignore")

@@ -64,7 +64,7 @@ def a6(spark, d):
                UNION ALL SELECT 4, l_discount FROM t),
          q AS (SELECT c, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM l GROUP BY 1),
          o AS (SELECT c, round(count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) / CAST(count(*) AS DOUBLE) * 100, 2) AS pct FROM l JOIN q USING (c) GROUP BY 1),
-         d AS (SELECT CAST(sum(k - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS k FROM t GROUP BY ALL)),
+         d AS (SELECT CAST(sum(k - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS k FROM t GROUP BY l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag, contract_id)),
          p AS (SELECT n AS total_rows, CAST(6 AS BIGINT) AS total_columns, round(miss / CAST(n AS DOUBLE) * 100, 2) / 6 AS avg_missing_pct, CAST(0 AS BIGINT) AS zero_variance_columns,
                       (SELECT avg(pct) FROM o) AS avg_outlier_pct, duplicates FROM c, d)
     SELECT total_rows, total_columns, round(avg_missing_pct, 6) AS avg_missing_pct, zero_variance_columns, round(avg_outlier_pct, 6) AS avg_outlier_pct, duplicates,
