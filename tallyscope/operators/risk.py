@@ -20,7 +20,7 @@ from tallyscope.constants import (
     SEVERITY_RANK,
 )
 from tallyscope.functions.scores import clamp, mapped, risk_level, title_case
-from tallyscope.operators.ordered import top_n
+from tallyscope.operators.ordered import scan, top_n
 
 SEVERE = ("high", "critical")
 
@@ -268,10 +268,7 @@ def next_steps(session_risk: DataFrame, scores: DataFrame, key: str) -> DataFram
 
 def prioritized(recommendations: DataFrame, keys: Sequence[str], priority: str = "priority", tie: str = "title") -> DataFrame:
     """Recommendations with their rank: CRITICAL, HIGH, MEDIUM, LOW, then title."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(mapped(F.col(priority), PRIORITY_RANK, 4), F.col(tie))
-    return recommendations.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return scan(recommendations, keys, [mapped(F.col(priority), PRIORITY_RANK, 4), F.col(tie)], number="rank")
 
 
 def high_severity_recommendations(findings: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:

@@ -1 +1,252 @@
+"""Windowed alerts: batch twins checked by SQL, and streams run to the end of their input."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyscope.constants import RETENTION_DAYS
+from tallyscope.operators import forest as fo
+from tallyscope.operators import safety as sf
+from tallyscope.operators import sessions as se
+from tallyscope.operators.compliance import input_violations
+from tallyscope.plans import views as v
+from tallyscope.plans.catalog.documents import SCAN_SQL
+from tallyscope.plans.catalog.ledgers import r
+from tallyscope.plans.catalog.measures import rounded
+from tallyscope.plans.catalog.risks import STEP_SQL, steps
+from tallyscope.plans.registry import query
+from tallyscope.session import scratch_path
+from tallyscope.streaming import alerts as al
+from tallyscope.streaming import runner as ru
+
+
+def secs(col="window_start"):
+    return F.unix_seconds(F.col(col).cast("timestamp")).alias(col)
+
+
+def event_stream(spark, d):
+    """The events table as a file stream, in the shape of ``activity``."""
+    schema = v.table(spark, d, "events").schema
+    e = ru.read_stream(spark, d, schema, glob="events.parquet")
+    return e.select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("account_id"), F.col("event_type").alias("category"),
+        F.col("value").alias("amount"), F.get_json_object("props", "$.k").cast("int").alias("k"),
+    )
+
+
+@query(
+    "st1_update_stream",
+    "SELECT category AS event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS progress FROM activity GROUP BY category",
+    ["activity"],
+)
+def st1(spark, d):
+    path = scratch_path(spark, "updates")
+    rows = v.activity(spark, d).select(
+        F.col("account_id").cast("string").alias("audit_id"), F.col("ts").alias("timestamp"), F.col("category").alias("event_type"),
+        F.to_json(F.struct(F.col("k").cast("string").alias("progress"))).alias("payload"),
+    )
+    rows.write.json(path)
+    out = ru.run_available(ru.update_stream(spark, path), "st1")
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("payload")["progress"].cast("int")).alias("progress"))
+
+
+@query(
+    "st2_failure_bursts",
+    """
+    SELECT epoch(to_timestamp(w))::BIGINT AS window_start, category, count(*) AS attempts FROM (
+        SELECT category, (floor(epoch_us(ts) / 60000000)::BIGINT - unnest(range(0, 5))) * 60 AS w FROM activity) GROUP BY ALL HAVING count(*) >= 2
+    """,
+    ["activity"],
+)
+def st2(spark, d):
+    out = al.failure_bursts(v.activity(spark, d), "ts", "category", least=2)
+    return out.select(secs(), "category", "attempts")
+
+
+@query(
+    "st2_trailing_stream",
+    """
+    WITH t AS (SELECT id, account_id, epoch_us(ts) AS us, count(*) OVER (PARTITION BY account_id ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS recent FROM activity)
+    SELECT account_id AS "user", us, recent FROM t WHERE recent >= 3
+    """,
+    ["activity"],
+)
+def st2_stream(spark, d):
+    return ru.run_available(ru.trailing_bursts(event_stream(spark, d), "account_id", "ts", least=3, seconds=6 * 3600), "st2")
+
+
+@query(
+    "st3_denials_held",
+    """
+    WITH w AS (SELECT category, floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 AS s, count(*) AS n FROM activity GROUP BY 1, 2 HAVING count(*) > 3),
+    i AS (SELECT *, s - row_number() OVER (PARTITION BY category ORDER BY s) * 3600 AS g FROM w)
+    SELECT category, min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY category, g HAVING max(s) - min(s) >= 3600
+    """,
+    ["activity"],
+)
+def st3(spark, d):
+    windows = al.count_above(v.activity(spark, d), "ts", "1 hour", 3, ["category"])
+    return al.held(windows, F.col("n") > 3, ["category"], 3600, 3600)
+
+
+@query(
+    "st4_error_rate",
+    """
+    SELECT w AS window_start, count(*) AS n, round(count(*) / 3600.0::DOUBLE, 6) AS rate FROM (
+        SELECT (floor(epoch_us(ts) / 600000000)::BIGINT - unnest(range(0, 6))) * 600 AS w FROM activity WHERE category = 'error') GROUP BY 1 HAVING count(*) / 3600.0::DOUBLE > 0.0015
+    """,
+    ["activity"],
+)
+def st4(spark, d):
+    errors = v.activity(spark, d).where(F.col("category") == "error")
+    out = al.error_rate(errors, "ts", 0.0015, size_seconds=3600, slide="10 minutes")
+    return rounded(out.select(secs(), "n", "rate"))
+
+
+@query("st5_slow_windows")
+def st5(spark, d):
+    return al.slow_windows(v.activity(spark, d), "ts", "amount", 30.0, ["category"], "6 hours").select(secs(), "category", "p95", "n")
+
+
+@query(
+    "st6_violation_windows",
+    "SELECT floor(epoch_us(ts) / 60000000)::BIGINT * 60 AS window_start, count(*) AS n FROM activity WHERE k < 4 GROUP BY 1 HAVING count(*) > 0",
+    ["activity"],
+)
+def st6(spark, d):
+    return al.count_above(v.activity(spark, d).where(F.col("k") < 4), "ts", "1 minute", 0).select(secs(), "n")
+
+
+@query(
+    "st7_stalled_work",
+    """
+    WITH g AS (SELECT category, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY category ORDER BY ts) < 600000000 THEN 0 ELSE 1 END AS b FROM activity),
+    s AS (SELECT *, sum(b) OVER (PARTITION BY category ORDER BY us) AS i FROM g)
+    SELECT category, min(us) AS active_from, max(us) + 600000000 AS stalled_at, count(*) AS started FROM s GROUP BY category, i
+    """,
+    ["activity"],
+)
+def st7(spark, d):
+    out = al.activity_sessions(v.activity(spark, d), "ts", ["category"])
+    return out.select("category", F.unix_micros("active_from").alias("active_from"), F.unix_micros("stalled_at").alias("stalled_at"), "started")
+
+
+@query(
+    "st8_low_accuracy",
+    """
+    SELECT floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 AS window_start, round(avg(CASE WHEN (k > 50) = (amount > 10) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, count(*) AS n FROM activity GROUP BY 1
+    HAVING avg(CASE WHEN (k > 50) = (amount > 10) THEN 1.0::DOUBLE ELSE 0 END) < 0.5
+    """,
+    ["activity"],
+)
+def st8(spark, d):
+    rows = v.activity(spark, d).select("ts", (F.col("k") > 50).alias("p"), (F.col("amount") > 10).alias("y"))
+    return rounded(al.low_accuracy(rows, "ts", "p", "y", 0.5).select(secs(), "accuracy", "n"))
+
+
+@query(
+    "st9_metric_alerts",
+    """
+    WITH m AS (SELECT ts, CASE category WHEN 'view' THEN 'cpu_percent' WHEN 'error' THEN 'http_5xx' WHEN 'click' THEN 'model_accuracy' WHEN 'signup' THEN 'compliance_violations' ELSE 'up' END AS metric,
+                      CASE category WHEN 'view' THEN CAST(k AS DOUBLE) WHEN 'click' THEN k / 100.0::DOUBLE ELSE CAST(k AS DOUBLE) END AS value FROM activity),
+    q("rule", metric, size_s, st, op, b, h, severity) AS (VALUES ('HighCPUUsage', 'cpu_percent', 300, 'avg', '>', 85.0, 300, 'warning'), ('MLModelAccuracyDrop', 'model_accuracy', 60, 'avg', '<', 0.85, 60, 'critical'),
+        ('ComplianceViolationDetected', 'compliance_violations', 60, 'count', '>', 0.0, 0, 'critical'), ('ServiceDown', 'up', 60, 'min', '<=', 0.0, 60, 'critical'), ('HighErrorRate', 'http_5xx', 300, 'rate', '>', 0.1, 120, 'warning')),
+    w AS (SELECT "rule", severity, st, op, b, size_s, h, floor(floor(epoch_us(ts) / 1000000) / size_s)::BIGINT * size_s AS s, count(*) AS n, avg(value) AS a, min(value) AS mn FROM m JOIN q USING (metric) GROUP BY ALL),
+    x AS (SELECT *, CASE st WHEN 'avg' THEN a WHEN 'min' THEN mn WHEN 'rate' THEN n / CAST(size_s AS DOUBLE) ELSE n END AS val FROM w),
+    k AS (SELECT * FROM x WHERE CASE op WHEN '>' THEN val > b WHEN '<' THEN val < b ELSE val <= b END),
+    i AS (SELECT *, s - row_number() OVER (PARTITION BY "rule" ORDER BY s) * size_s AS g FROM k)
+    SELECT "rule", severity, min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY "rule", severity, h, size_s, g HAVING max(s) + size_s - min(s) >= h
+    """,
+    ["activity"],
+)
+def st9(spark, d):
+    c, k = F.col("category"), F.col("k").cast("double")
+    metric = F.when(c == "view", "cpu_percent").when(c == "error", "http_5xx").when(c == "click", "model_accuracy").when(c == "signup", "compliance_violations").otherwise("up")
+    rows = v.activity(spark, d).select("ts", metric.alias("metric"), F.when(c == "click", k / 100).otherwise(k).alias("value"))
+    return al.metric_alerts(rows, al.alert_rules(spark))
+
+
+@query(
+    "st10_progress",
+    f"WITH {STEP_SQL} SELECT session_id, arg_max(step, ts) AS current_step, CAST(count(DISTINCT step) AS INTEGER) AS steps_completed, round(count(DISTINCT step) / 9.0::DOUBLE * 100, 6) AS progress_percentage FROM stp GROUP BY session_id",
+    ["activity"],
+)
+def st10(spark, d):
+    return rounded(se.progress(steps(spark, d), ["session_id"], "step", "ts"))
+
+
+@query(
+    "st11_audit_trail",
+    f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(CAST(ts AS DATE) + {RETENTION_DAYS} AS VARCHAR) AS expires, count(*) AS n FROM activity GROUP BY ALL",
+    ["activity"],
+)
+def st11(spark, d):
+    base = scratch_path(spark, "trail")
+    ru.audit_trail(event_stream(spark, d), "ts", f"{base}/rows", f"{base}/checkpoint").awaitTermination()
+    back = spark.read.parquet(f"{base}/rows")
+    return back.groupBy(F.col("day").cast("string").alias("day"), F.col("expires").cast("string").alias("expires")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "st12_retention",
+    "SELECT category, count(*) AS kept FROM activity WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') <= 10 OR category = 'error' GROUP BY category",
+    ["activity"],
+)
+def st12(spark, d):
+    kept = al.retained(v.activity(spark, d).withColumn("day", F.to_date("ts")), F.lit("2024-02-01").cast("date"), "day", F.col("category") == "error", 10)
+    return kept.groupBy("category").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("st13_stream_scoring")
+def st13(spark, d):
+    names = ["amount", "hour", "k"]
+
+    def shaped(df):
+        return df.select("id", "amount", F.hour("ts").cast("double").alias("hour"), F.col("k").cast("double").alias("k"))
+
+    path = scratch_path(spark, "nodes")
+    fo.fit(shaped(v.activity(spark, d)), "id", names).write.parquet(path)
+    return ru.run_available(fo.score(shaped(event_stream(spark, d)), spark.read.parquet(path), names), "st13")
+
+
+@query("st14_stream_scan", f"WITH {SCAN_SQL} SELECT doc_id, data_type, severity, CAST(start AS BIGINT) AS start, CAST(start + width AS BIGINT) AS stop FROM sc")
+def st14(spark, d):
+    schema = v.table(spark, d, "documents").schema
+    docs = ru.read_stream(spark, d, schema, glob="documents.parquet").select("doc_id", "text")
+    out = ru.run_available(sf.scan_text(docs, ["doc_id"], "text"), "st14")
+    return out.select("doc_id", "data_type", "severity", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
+
+
+@query(
+    "st14_stream_inputs",
+    "SELECT id, 'missing_required_field:amount' AS violation FROM activity WHERE k % 10 = 0 UNION ALL SELECT id, 'invalid_amount' FROM activity WHERE k % 10 <> 0 AND amount - 2 < 0",
+    ["activity"],
+)
+def st14_inputs(spark, d):
+    e = event_stream(spark, d).select("id", F.when(F.col("k") % 10 != 0, F.col("amount") - 2).alias("amount"), "ts", "account_id")
+    return ru.run_available(e.select("id", F.explode(input_violations("amount", "ts", "account_id")).alias("violation")), "st14i")
+
+
+@query(
+    "st15_feedback_join",
+    """
+    WITH p AS (SELECT id, ts AS predicted_at, k > 50 AS is_anomaly, k / 100.0::DOUBLE AS confidence FROM activity), f AS (SELECT id, ts + to_seconds(CAST(k AS BIGINT) * 60) AS feedback_at, category AS human_feedback FROM activity WHERE k % 2 = 0)
+    SELECT p.id, epoch_us(predicted_at) AS predicted_us, is_anomaly, confidence, epoch_us(feedback_at) AS feedback_us, human_feedback FROM p JOIN f ON p.id = f.id AND feedback_at BETWEEN predicted_at AND predicted_at + INTERVAL 1 HOUR
+    """,
+    ["activity"],
+)
+def st15(spark, d):
+    k = F.col("k")
+    preds = event_stream(spark, d).select("id", F.col("ts").alias("predicted_at"), (k > 50).alias("is_anomaly"), (k / F.lit(100.0)).alias("confidence"))
+    feed = event_stream(spark, d).where(k % 2 == 0).select("id", F.timestamp_micros(F.unix_micros("ts") + k.cast("bigint") * 60_000_000).alias("feedback_at"), F.col("category").alias("human_feedback"))
+    out = ru.run_available(ru.feedback_join(preds, feed, "id"), "st15")
+    return out.select("id", F.unix_micros("predicted_at").alias("predicted_us"), "is_anomaly", "confidence", F.unix_micros("feedback_at").alias("feedback_us"), "human_feedback")
+
+
+@query(
+    "st16_recent_findings",
+    "SELECT category, id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY ts DESC, id DESC) AS r FROM activity) WHERE r <= 10",
+    ["activity"],
+)
+def st16(spark, d):
+    return ru.newest(event_stream(spark, d), ["category"], "ts", "id", 10, scratch_path(spark, "newest")).select("category", "id")

@@ -1 +1,383 @@
+"""Features, detectors, models, file round trips and registries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyscope.constants import CONTAMINATION
+from tallyscope.operators import ensemble as en
+from tallyscope.operators import features as fe
+from tallyscope.operators import forest as fo
+from tallyscope.operators import neighbours as ne
+from tallyscope.operators.quantiles import exact_percentiles
+from tallyscope.plans import views as v
+from tallyscope.plans.catalog.ledgers import r
+from tallyscope.plans.catalog.measures import rounded
+from tallyscope.plans.catalog.risks import SCORES_SQL, method_scores
+from tallyscope.plans.registry import query
+from tallyscope.session import reliable, scratch_path
+from tallyscope.sources import files, models, tables
+
+SIMPLE = ["amount", "hour", "k"]
+
+
+def simple_features(spark, d):
+    a = v.activity(spark, d)
+    return a.select("id", "amount", F.hour("ts").cast("double").alias("hour"), F.col("k").cast("double").alias("k"))
+
+
+@query(
+    "p9_ordered_split",
+    """
+    WITH t AS (SELECT doc_id, toxic, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n FROM documents JOIN labels USING (doc_id))
+    SELECT doc_id, toxic, CASE WHEN i <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM t
+    """,
+)
+def p9(spark, d):
+    rows = v.table(spark, d, "documents").select("doc_id").join(v.table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return fe.ordered_split(rows, "toxic", [F.col("doc_id")])
+
+
+FEATURE_SQL = """
+    s AS (SELECT avg(amount) AS m, stddev_samp(amount) AS sd, count(*) AS n, quantile_cont(amount, 0.25) AS c25, quantile_cont(amount, 0.5) AS c50, quantile_cont(amount, 0.75) AS c75,
+                 quantile_cont(amount, 0.9) AS c90, quantile_cont(amount, 0.95) AS c95, max(amount) AS c100 FROM activity),
+    a AS (SELECT CAST(amount AS DECIMAL(20,2)) AS x, count(*) AS c FROM activity GROUP BY 1),
+    nb AS (SELECT p.x, sum(q.c) AS near FROM a p JOIN a q ON q.x BETWEEN p.x - p.x * 0.01::DECIMAL(6,4) AND p.x + p.x * 0.01::DECIMAL(6,4) GROUP BY 1),
+    dv AS (SELECT account_id, sum(c) / CAST(count(*) AS DOUBLE) AS velocity FROM (SELECT account_id, CAST(ts AS DATE) AS day, count(*) AS c FROM activity GROUP BY ALL) GROUP BY 1),
+    f AS (SELECT id, amount, ln(1 + abs(amount)) AS log_amount, (amount - m) / sd AS amount_zscore, CAST(isodow(ts) - 1 AS DOUBLE) AS day_of_week, CAST(hour(ts) AS DOUBLE) AS "hour", CAST(month(ts) AS DOUBLE) AS "month",
+                 count(*) OVER (PARTITION BY account_id) / CAST(n AS DOUBLE) AS vendor_frequency, near / CAST(n AS DOUBLE) AS amount_frequency,
+                 CAST(sum(CAST(amount AS DECIMAL(20,2))) OVER (ORDER BY id) AS DOUBLE) AS running_balance, abs(amount - m) / m AS deviation, velocity,
+                 CAST(CASE WHEN amount <= c25 THEN 0 WHEN amount <= c50 THEN 1 WHEN amount <= c75 THEN 2 WHEN amount <= c90 THEN 3 WHEN amount <= c95 THEN 4 ELSE 5 END AS DOUBLE) AS band
+          FROM activity JOIN nb ON nb.x = CAST(amount AS DECIMAL(20,2)) JOIN dv USING (account_id), s)
+"""
+FEATURE_COLUMNS = ", ".join(f'round("{c}", 6) AS "{c}"' for c in fe.TRANSACTION_FEATURES)
+
+
+def _features(spark, d):
+    return fe.transaction_features(v.activity(spark, d), "id", "account_id", "amount", "ts")
+
+
+@query("o8_transaction_features", f"WITH {FEATURE_SQL} SELECT id, {FEATURE_COLUMNS} FROM f", ["activity"])
+def o8(spark, d):
+    return rounded(_features(spark, d))
+
+
+@query(
+    "o9_model_features",
+    """
+    WITH c AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS code FROM (SELECT DISTINCT category FROM activity))
+    SELECT id, amount, round(ln(1 + amount), 6) AS log_amount, round(amount * amount, 4) AS amount_squared, CAST(hour(ts) AS DOUBLE) AS "hour", CAST(isodow(ts) - 1 AS DOUBLE) AS day_of_week, CAST(month(ts) AS DOUBLE) AS "month",
+           CASE WHEN isodow(ts) >= 6 THEN 1.0::DOUBLE ELSE 0 END AS is_weekend, CASE WHEN hour(ts) BETWEEN 9 AND 17 THEN 1.0::DOUBLE ELSE 0 END AS is_business_hours,
+           CAST(count(*) OVER (PARTITION BY account_id) AS DOUBLE) AS account_transaction_count, round(avg(amount) OVER (PARTITION BY account_id), 6) AS account_avg_amount,
+           round(coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, id)) / 1e6, 0), 6) AS time_since_last, CAST(code AS DOUBLE) AS category_code FROM activity JOIN c USING (category)
+    """,
+    ["activity"],
+)
+def o9(spark, d):
+    out = fe.model_features(v.activity(spark, d), "id", "account_id", "amount", "ts", ["category"])
+    return rounded(out, amount_squared=4)
+
+
+@query(
+    "o10_fraud_features",
+    """
+    WITH s AS (SELECT avg(amount) AS m, stddev_samp(amount) AS sd FROM activity), c AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS code FROM (SELECT DISTINCT category FROM activity))
+    SELECT id, amount, round(ln(1 + amount), 6) AS log_amount, round((amount - m) / sd, 6) AS amount_zscore, CAST(hour(ts) AS DOUBLE) AS "hour", CAST(isodow(ts) - 1 AS DOUBLE) AS day_of_week,
+           CASE WHEN isodow(ts) >= 6 THEN 1.0::DOUBLE ELSE 0 END AS is_weekend, CAST(code AS DOUBLE) AS category_code FROM activity JOIN c USING (category), s
+    """,
+    ["activity"],
+)
+def o10(spark, d):
+    return rounded(fe.fraud_features(v.activity(spark, d), "id", "amount", "ts", ["category"]))
+
+
+@query("o11_isolation_forest")
+def o11(spark, d):
+    rows = reliable(_features(spark, d))
+    scored = reliable(fo.score(rows, fo.fit(rows, "id", fe.TRANSACTION_FEATURES), fe.TRANSACTION_FEATURES))
+    return fo.flag(scored, 0.1).select("id", "score", "is_anomaly", "decision", "risk_score")
+
+
+@query("o12_knn_distance")
+def o12(spark, d):
+    return ne.knn_score(simple_features(spark, d), "id", SIMPLE)
+
+
+@query("o13_local_outlier_factor")
+def o13(spark, d):
+    return ne.lof_score(simple_features(spark, d), "id", SIMPLE)
+
+
+@query("o14_one_class_boundary")
+def o14(spark, d):
+    from tallyscope.operators.stats import scaled
+
+    return ne.one_class_score(scaled(simple_features(spark, d), SIMPLE), SIMPLE)
+
+
+@query("o15_detector_ensemble")
+def o15(spark, d):
+    return en.detect(simple_features(spark, d), "id", SIMPLE)
+
+
+UNIT_SQL = """
+    b AS (SELECT min(amount) AS a0, max(amount) AS a1, min(hour(ts)) AS h0, max(hour(ts)) AS h1, min(k) AS k0, max(k) AS k1 FROM activity),
+    n AS (SELECT id, (amount - a0) / (a1 - a0) AS a, (hour(ts) - h0) / CAST(h1 - h0 AS DOUBLE) AS h, (k - k0) / CAST(k1 - k0 AS DOUBLE) AS k FROM activity, b)
+"""
+
+
+@query(
+    "o16_ensemble_rules",
+    f"""WITH {UNIT_SQL} SELECT id, round((a + h + k) / 3, 6) AS average, round(greatest(a, h, k), 6) AS maximum, round(((a > 0.7)::INT + (h > 0.7)::INT + (k > 0.7)::INT) / 3.0::DOUBLE, 6) AS voting FROM n""",
+    ["activity"],
+)
+def o16(spark, d):
+    rows = simple_features(spark, d)
+    for method, name in (("average", "average"), ("max", "maximum"), ("voting", "voting")):
+        rows = en.combine(rows, SIMPLE, method, out=name)
+    return rounded(rows.select("id", "average", "maximum", "voting"))
+
+
+@query("o17_principal_components")
+def o17(spark, d):
+    e = v.table(spark, d, "embeddings")
+    width = len(e.select("embedding").first()[0])
+    rows = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
+    return en.principal_components(rows, "vec_id", [f"e{i}" for i in range(width)])
+
+
+@query(
+    "o18_dbscan_noise",
+    """
+    WITH p AS (SELECT id, amount / 10 AS x, hour(ts) / 2.0::DOUBLE + k / 25.0::DOUBLE AS y FROM activity),
+    e AS (SELECT p.id AS i, q.id AS j FROM p JOIN p q ON q.x BETWEEN p.x - 0.6 AND p.x + 0.6 AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 0.25),
+    c AS (SELECT i FROM e GROUP BY i HAVING count(*) >= 5)
+    SELECT id, CASE WHEN id IN (SELECT e.i FROM e JOIN c ON c.i = e.j) THEN 0 ELSE 1 END AS is_noise FROM p
+    """,
+    ["activity"],
+)
+def o18(spark, d):
+    rows = simple_features(spark, d).select("id", (F.col("amount") / 10).alias("x"), (F.col("hour") / 2.0 + F.col("k") / 25.0).alias("y"))
+    return ne.dbscan_noise(rows, "id", ["x", "y"])
+
+
+@query(
+    "o19_confidence_severity",
+    """
+    WITH x AS (SELECT id, 1 - greatest(0, least(1, 0.5 + (k - 50) / 100.0::DOUBLE)) AS c FROM activity)
+    SELECT id, round(c, 6) AS confidence, CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.6 THEN 'medium' WHEN c >= 0.4 THEN 'low' ELSE 'very_low' END AS severity FROM x
+    """,
+    ["activity"],
+)
+def o19(spark, d):
+    value, label = fo.confidence((F.col("k") - 50) / F.lit(100.0))
+    return v.activity(spark, d).select("id", r(value).alias("confidence"), label.alias("severity"))
+
+
+@query(
+    "o20_explanations",
+    """
+    WITH x AS (SELECT id, amount, CAST(hour(ts) AS DOUBLE) AS h, CAST(k AS DOUBLE) AS kk, category FROM activity),
+    s AS (SELECT avg(amount) AS am, stddev_pop(amount) AS asd, avg(h) AS hm, stddev_pop(h) AS hsd, avg(kk) AS km, stddev_pop(kk) AS ksd FROM x WHERE category <> 'error')
+    SELECT id, 'amount' AS feature, amount AS "value", round(am, 6) AS mean, round(abs(amount - am) / asd, 6) AS z_score FROM x, s WHERE abs(amount - am) / asd > 2
+    UNION ALL SELECT id, 'hour', h, round(hm, 6), round(abs(h - hm) / hsd, 6) FROM x, s WHERE abs(h - hm) / hsd > 2
+    UNION ALL SELECT id, 'k', kk, round(km, 6), round(abs(kk - km) / ksd, 6) FROM x, s WHERE abs(kk - km) / ksd > 2
+    """,
+    ["activity"],
+)
+def o20(spark, d):
+    rows = v.activity(spark, d).select("id", "category", "amount", F.hour("ts").cast("double").alias("hour"), F.col("k").cast("double").alias("k"))
+    return rounded(fe.explain(rows.drop("category"), rows.where(F.col("category") != "error"), "id", SIMPLE))
+
+
+IMPORTANCE_SQL = """
+    x AS (SELECT amount, CAST(hour(ts) AS DOUBLE) AS h, CAST(k AS DOUBLE) AS kk, amount > 50 AS f FROM activity),
+    w AS (SELECT abs(avg(amount) FILTER (f) - avg(amount) FILTER (NOT f)) / stddev_pop(amount) AS a, abs(avg(h) FILTER (f) - avg(h) FILTER (NOT f)) / stddev_pop(h) AS b,
+                 abs(avg(kk) FILTER (f) - avg(kk) FILTER (NOT f)) / stddev_pop(kk) AS c FROM x),
+    i AS (SELECT 'amount' AS feature, a / (a + b + c) AS importance FROM w UNION ALL SELECT 'hour', b / (a + b + c) FROM w UNION ALL SELECT 'k', c / (a + b + c) FROM w)
+"""
+
+
+def _importance(spark, d):
+    return fe.importance(simple_features(spark, d).withColumn("f", (F.col("amount") > 50).cast("int")), "f", SIMPLE)
+
+
+@query("o21_feature_importance", f"WITH {IMPORTANCE_SQL} SELECT feature, round(importance, 6) AS importance FROM i", ["activity"])
+def o21(spark, d):
+    return rounded(_importance(spark, d))
+
+
+@query(
+    "t8_risk_drivers",
+    f"WITH {IMPORTANCE_SQL} SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM i WHERE importance >= 0.1",
+    ["activity"],
+)
+def t8(spark, d):
+    return rounded(fe.risk_drivers(_importance(spark, d)))
+
+
+@query(
+    "o22_contamination_rates",
+    "WITH c(mode, sensitivity, rate) AS (VALUES "
+    + ", ".join(f"('{m}', '{s}', {x}::DOUBLE)" for m, t in CONTAMINATION.items() for s, x in zip(("conservative", "standard", "aggressive"), t))
+    + """), rt AS (SELECT DISTINCT rate FROM c), cut AS (SELECT rate, (SELECT list_sort(list(amount)) FROM activity) AS l FROM rt),
+    th AS (SELECT rate, l[floor((1 - rate) * (len(l) - 1))::INT + 1] + (l[ceil((1 - rate) * (len(l) - 1))::INT + 1] - l[floor((1 - rate) * (len(l) - 1))::INT + 1]) * ((1 - rate) * (len(l) - 1) - floor((1 - rate) * (len(l) - 1))) AS threshold FROM cut),
+    n AS (SELECT rate, count(*) AS flagged FROM th JOIN activity ON amount > threshold GROUP BY 1)
+    SELECT mode, sensitivity, c.rate, round(threshold, 6) AS threshold, flagged FROM c JOIN th ON th.rate = c.rate JOIN n ON n.rate = c.rate""",
+    ["activity"],
+)
+def o22(spark, d):
+    rows = [(m, s, x) for m, t in CONTAMINATION.items() for s, x in zip(("conservative", "standard", "aggressive"), t)]
+    config = spark.createDataFrame(rows, "mode string, sensitivity string, rate double")
+    rates = sorted({x for _, _, x in rows})
+    a = v.activity(spark, d).select("amount")
+    cuts = exact_percentiles(a, [], "amount", {f"t{i}": 1 - x for i, x in enumerate(rates)}).drop("n")
+    counted = a.crossJoin(F.broadcast(cuts)).agg(*[F.max(f"t{i}").alias(f"t{i}") for i in range(len(rates))], *[F.count_if(F.col("amount") > F.col(f"t{i}")).alias(f"n{i}") for i in range(len(rates))])
+    by_rate = counted.select(F.inline(F.array(*[F.struct(F.lit(x).alias("rate"), F.col(f"t{i}").alias("threshold"), F.col(f"n{i}").alias("flagged")) for i, x in enumerate(rates)])))
+    return rounded(by_rate.join(F.broadcast(config), "rate").select("mode", "sensitivity", "rate", "threshold", "flagged"))
+
+
+@query("s13_model_round_trip")
+def s13(spark, d):
+    rows = simple_features(spark, d)
+    path = scratch_path(spark, "model")
+    scaler = models.scaler_table(rows, SIMPLE)
+    models.save_model(path, fo.fit(models.apply_scaler(rows, scaler, SIMPLE), "id", SIMPLE), scaler, SIMPLE, method="isolation_forest", contamination="0.1")
+    nodes, scaler, meta = models.load_model(spark, path)
+    names = meta["features"].split(",")
+    scored = fo.score(models.apply_scaler(rows, scaler, names), nodes, names)
+    return fo.flag(scored, float(meta["contamination"])).select("id", "score", "is_anomaly")
+
+
+@query("j10_predictions_by_key")
+def j10(spark, d):
+    rows = simple_features(spark, d)
+    scored = fo.flag(reliable(fo.score(rows, fo.fit(rows, "id", SIMPLE), SIMPLE)))
+    conf, severity = fo.confidence(F.col("decision"))
+    found = scored.where(F.col("is_anomaly") == 1).select("id", conf.alias("confidence"), severity.alias("severity"))
+    return v.activity(spark, d).select("id", "account_id", "amount").join(found, "id")
+
+
+@query(
+    "a27_method_success",
+    f"WITH {SCORES_SQL} SELECT session_id, count(*) AS completed, CAST(6 AS INTEGER) AS attempted, round(count(*) / 6.0::DOUBLE, 6) AS success_rate FROM msc GROUP BY session_id",
+    ["activity"],
+)
+def a27(spark, d):
+    return method_scores(spark, d).groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("completed"), F.lit(6).alias("attempted"), r(F.count(F.lit(1)) / F.lit(6.0)).alias("success_rate")
+    )
+
+
+@query(
+    "s6_statistical_results",
+    """
+    SELECT category AS audit_session_id, 'benford' AS analysis_type, CAST(8 AS INTEGER) AS degrees_of_freedom, false AS has_json, CAST(count(*) AS INTEGER) AS sample_size
+    FROM activity WHERE amount <> 0 GROUP BY category
+    """,
+    ["activity"],
+)
+def s6(spark, d):
+    from tallyscope.operators.digit_law import significant_test
+
+    res = significant_test(v.activity(spark, d), ["category"], "amount").select(
+        F.col("category").alias("audit_session_id"), F.lit("benford").alias("analysis_type"), F.col("total_values").cast("int").alias("sample_size"),
+        F.col("chi_square").alias("chi_square_statistic"), "p_value", F.lit(8).alias("degrees_of_freedom"), F.col("significant").alias("anomaly_detected"),
+        F.struct("conformity", "anomalous_digits").alias("analysis_results"),
+    )
+    path = scratch_path(spark, "statistics")
+    tables.append(res, "statistics", path)
+    return tables.read(spark, "statistics", path).select("audit_session_id", "analysis_type", "degrees_of_freedom", (F.col("analysis_results") == "{}").alias("has_json"), "sample_size")
+
+
+@query("s7_csv_scan", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def s7(spark, d):
+    path = scratch_path(spark, "csv")
+    v.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").write.option("header", "true").csv(path)
+    back = files.read_csv(spark, path, v.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").schema)
+    return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("s9_text_scan", "SELECT md5(text) AS digest, count(*) AS n FROM conversations GROUP BY 1")
+def s9(spark, d):
+    path = scratch_path(spark, "texts")
+    # one file per task; the record separator cannot occur in a text
+    rows = v.table(spark, d, "conversations").select(F.concat("text", F.lit("\u001e")).alias("value"))
+    rows.write.option("lineSep", "\u001f").text(path)
+    texts = files.read_text(spark, path, "*.txt")
+    parts = texts.select(F.explode(F.split("text", "\u001e\u001f?")).alias("t")).where(F.col("t") != "")
+    return parts.groupBy(F.md5("t").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s10_json_scan", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def s10(spark, d):
+    path = scratch_path(spark, "json")
+    days = v.table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(
+        F.count_if(F.col("event_type") == "view").alias("view"), F.count_if(F.col("event_type") == "click").alias("click"), F.count_if(F.col("event_type") == "error").alias("error"),
+        F.count_if(F.col("event_type") == "signup").alias("signup"), F.count_if(F.col("event_type") == "purchase").alias("purchase"),
+    )
+    doc = F.to_json(F.struct(F.struct(*[c for c in days.columns if c != "day"]).alias("counts")))
+    days.select("day", doc.alias("value")).repartition("day").write.partitionBy("day").option("lineSep", "\n").text(path)
+    texts = files.read_json_text(spark, f"{path}/*", "*.txt")
+    counts = texts.select(F.explode(F.from_json(F.get_json_object("text", "$.counts"), "map<string,bigint>")).alias("event_type", "n"))
+    return counts.groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query("s11_file_discovery")
+def s11(spark, d):
+    found = files.discover(spark, d)
+    # parquet is outside the whitelist, so every given table file lands in quarantine with its reason
+    return files.quarantined(found).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length", "reason")
+
+
+@query("s12_training_csv", "SELECT toxic AS is_fraud, count(*) AS n FROM labels GROUP BY toxic")
+def s12(spark, d):
+    path = scratch_path(spark, "training")
+    rows = v.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("is_fraud"))
+    rows.write.option("header", "true").csv(path)
+    return files.read_csv(spark, path, rows.schema).groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s14_feedback_log", "SELECT category AS human_feedback, count(*) AS n FROM activity WHERE k > 90 GROUP BY 1", ["activity"])
+def s14(spark, d):
+    path = scratch_path(spark, "feedback")
+    rows = v.activity(spark, d).where(F.col("k") > 90).select(F.col("id").alias("transaction_id"), (F.col("k") > 95).alias("predicted_anomaly"), (F.col("k") / F.lit(100.0)).alias("confidence"), F.col("category").alias("human_feedback"))
+    files.append_feedback(rows, path)
+    back = spark.read.schema("transaction_id long, predicted_anomaly boolean, confidence double, human_feedback string, timestamp timestamp").json(path)
+    return back.groupBy("human_feedback").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s15_json_export", "SELECT severity, count(*) AS n FROM findings GROUP BY severity", ["findings"])
+def s15(spark, d):
+    path = scratch_path(spark, "export")
+    rows = v.findings(spark, d).select("finding_id", "severity", "title")
+    files.export_json(rows, path)
+    return spark.read.schema(rows.schema).json(path).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d2_detector_registry")
+def d2(spark, d):
+    return en.detect(simple_features(spark, d), "id", SIMPLE, ["iforest", "ocsvm"])
+
+
+@query("d4_analysis_bundle")
+def d4(spark, d):
+    return en.analyze(v.activity(spark, d), ["category"], "amount")
+
+
+@query(
+    "d1_configured_thresholds",
+    """
+    WITH m AS (SELECT account_id, avg(k / 100.0::DOUBLE) AS s FROM activity GROUP BY 1), p(mode, md, hi, cr) AS (VALUES ('standard', 0.6, 0.8, 0.9), ('conservative', 0.5, 0.75, 0.85), ('aggressive', 0.65, 0.85, 0.95), ('custom', 0.6, 0.8, 0.9))
+    SELECT mode, CASE WHEN s >= cr THEN 'critical' WHEN s >= hi THEN 'high' WHEN s >= md THEN 'medium' ELSE 'low' END AS risk_level, count(*) AS n FROM m, p GROUP BY ALL
+    """,
+    ["activity"],
+)
+def d1(spark, d):
+    from tallyscope import config
+
+    scores = v.activity(spark, d).groupBy("account_id").agg(F.avg(F.col("k") / F.lit(100.0)).alias("s"))
+    rows = scores.crossJoin(F.broadcast(config.mode_dimension(spark)))
+    s = F.col("s")
+    level = F.when(s >= F.col("critical"), "critical").when(s >= F.col("high"), "high").when(s >= F.col("medium"), "medium").otherwise("low")
+    return rows.groupBy("mode", level.alias("risk_level")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,6 @@ from tallyscope.operators import compliance as co
 from tallyscope.operators import policies as po
 from tallyscope.operators import safety as sf
 from tallyscope.plans import views as v
-from tallyscope.plans.catalog.ledgers import r
 from tallyscope.plans.catalog.measures import rounded
 from tallyscope.plans.registry import query
 
@@ -151,27 +150,25 @@ def c10(spark, d):
     return out.select("company", F.array_join("violations", "|").alias("violations"), "compliance_score")
 
 
-DISCLOSURE_LANGS = [("accounting_policies", 0), ("significant_estimates", 1), ("contingencies", 2), ("subsequent_events", 3),
+DISCLOSURE_NOTES = [("accounting_policies", 0), ("significant_estimates", 1), ("contingencies", 2), ("subsequent_events", 3),
                     ("related_party_transactions", 4), ("segment_information", 5), ("fair_value_measurements", 6)]
 
 
 def disclosed(spark, d):
-    """Disclosure items per source: the longest text among the documents assigned to the item by key."""
+    """Disclosure items per source, each noted from the documents assigned to the item by key."""
     docs = v.table(spark, d, "documents")
-    return docs.groupBy("source").agg(
-        *[F.max_by("text", F.struct("n_chars", "doc_id")).alias("_any")],
-        *[F.max(F.when((F.col("doc_id") % 11 == i), F.concat(F.lit("note "), F.col("n_chars").cast("string")))).alias(c) for c, i in DISCLOSURE_LANGS],
-    ).drop("_any")
+    note = F.concat(F.lit("note "), F.col("n_chars").cast("string"))
+    return docs.groupBy("source").agg(*[F.max(F.when(F.col("doc_id") % 11 == i, note)).alias(c) for c, i in DISCLOSURE_NOTES])
 
 
 @query(
     "c11_disclosures",
     "WITH s AS (SELECT source, "
-    + ", ".join(f"max(CASE WHEN doc_id % 11 = {i} THEN 'note ' || n_chars END) AS {c}" for c, i in DISCLOSURE_LANGS)
+    + ", ".join(f"max(CASE WHEN doc_id % 11 = {i} THEN 'note ' || n_chars END) AS {c}" for c, i in DISCLOSURE_NOTES)
     + " FROM documents GROUP BY 1) SELECT source, concat_ws('|', "
-    + ", ".join(f"CASE WHEN {c} IS NULL THEN 'Missing disclosure: {c.replace('_', ' ').title()}' END" for c, _ in DISCLOSURE_LANGS)
+    + ", ".join(f"CASE WHEN {c} IS NULL THEN 'Missing disclosure: {c.replace('_', ' ').title()}' END" for c, _ in DISCLOSURE_NOTES)
     + ") AS missing_disclosures, coalesce(length(accounting_policies) < 100, false) AS insufficient_policies, greatest(100 - 10 * ("
-    + " + ".join(f"({c} IS NULL)::INT" for c, _ in DISCLOSURE_LANGS)
+    + " + ".join(f"({c} IS NULL)::INT" for c, _ in DISCLOSURE_NOTES)
     + "), 0) AS completeness_score FROM s",
 )
 def c11(spark, d):
