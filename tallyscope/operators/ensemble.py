@@ -27,12 +27,21 @@ DETECTORS: dict[str, tuple[Detector, str]] = {
 
 
 def detect(df: DataFrame, id: str, features: Sequence[str], methods: Sequence[str] = ("iforest", "lof", "ocsvm", "knn")) -> DataFrame:
-    """Scores of the named detectors on standardised features, then the ensemble."""
+    """Scores of the named detectors on standardised features, then the ensemble.
+
+    The two neighbour detectors share one graph when both are asked for.
+    """
     rows = reliable(stats.scaled(df.select(id, *features), features, "standard"))
+    graph = neighbours.knn_graph(rows, id, features, 20) if {"lof", "knn"} <= set(methods) else None
     columns = []
     for name in methods:
         run, column = DETECTORS[name]
-        rows = run(rows, id, features)
+        if graph and name == "lof":
+            rows = neighbours.lof_of(rows, features, graph, column)
+        elif graph and name == "knn":
+            rows = neighbours.knn_of(rows, features, graph, 5, column)
+        else:
+            rows = run(rows, id, features)
         columns.append(column)
     return ensemble(reliable(rows), columns)
 

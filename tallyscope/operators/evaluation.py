@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.constants import REWARD
 from tallyscope.operators.ordered import scan
+from tallyscope.session import reliable
 
 
 def _zero(x: Column) -> Column:
@@ -54,7 +55,7 @@ def auc(df: DataFrame, keys: Sequence[str], score: str, label: str, high_is_posi
     """
     keys = list(keys)
     y = F.col(label) == 1
-    counts = df.groupBy(*keys, score).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n"))
+    counts = reliable(df.groupBy(*keys, score).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n")))
     order = F.col(score) if high_is_positive else F.col(score).desc()
     rows = scan(counts, keys, [order], sums={"_below": "_n"})
     won = F.col("_p") * (F.col("_below") - F.col("_n") + 0.5 * F.col("_n"))

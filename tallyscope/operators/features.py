@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.scores import date_parts
 from tallyscope.operators.ordered import scan
-from tallyscope.operators.quantiles import join_stats
-from tallyscope.operators.stats import deviation_band, z_scores
+from tallyscope.operators.quantiles import exact_percentiles, join_stats
+from tallyscope.operators.stats import BAND_CUTS, percentile_band, z_scores
+from tallyscope.session import reliable
 
 TRANSACTION_FEATURES = [
     "amount", "log_amount", "amount_zscore", "day_of_week", "hour", "month", "vendor_frequency",
@@ -54,7 +55,7 @@ def similar_amounts(df: DataFrame, keys: Sequence[str], amount: str, share: floa
     )
     points = counts.select(*keys, "_a", F.explode(marks).alias("m")).select(*keys, "_a", "m.*")
     order = [F.col("x"), F.col("kind"), F.col("_a")]
-    run = scan(points, keys, order, sums={"_upto": "add"})
+    run = scan(reliable(points), keys, order, sums={"_upto": "add"})
     both = run.groupBy(*keys, "_a").agg(
         F.max(F.when(F.col("kind") == 0, F.col("_upto"))).alias("_lo"), F.max(F.when(F.col("kind") == 2, F.col("_upto"))).alias("_hi")
     )
@@ -84,71 +85,101 @@ def gap_seconds(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Col
     return done.withColumn(out, (F.col("_us") - F.col("_before")) / F.lit(1e6)).drop("_us", "_before")
 
 
-def category_codes(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Code of each value in sorted order from 0; null gets -1.
+def codes(df: DataFrame, column: str) -> DataFrame:
+    """(column, code): the values in sorted order from 0.
 
     Distinct values are ranked by the range-cut scan, so a column may have any cardinality.
     """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = scan(values, [], [F.col(column)], number="_i").select(column, (F.col("_i") - 1).cast("int").alias("_code"))
+    return scan(values, [], [F.col(column)], number="_i").select(column, (F.col("_i") - 1).cast("int").alias("_code"))
+
+
+def with_codes(df: DataFrame, code_table: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """Code column from a code table; null and unseen values get -1."""
     out = out or f"{column}_code"
-    return df.join(codes, column, "left").withColumn(out, F.coalesce("_code", F.lit(-1))).drop("_code")
+    return df.join(code_table, column, "left").withColumn(out, F.coalesce("_code", F.lit(-1))).drop("_code")
+
+
+def category_codes(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """Code of each value in sorted order; null gets -1."""
+    return with_codes(df, codes(df, column), column, out)
 
 
-def velocity(df: DataFrame, account: str, ts: str, reference: bool = False) -> DataFrame:
-    """Transactions per active day of the account; the published feature is the constant 1."""
-    if reference:
-        return df.withColumn("velocity", F.lit(1.0))
-    days = df.groupBy(account, F.to_date(ts).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
-    rate = days.groupBy(account).agg((F.sum("_n") / F.count(F.lit(1))).alias("velocity"))
-    return df.join(rate, account)
+def vendor_rates(df: DataFrame, vendor: str, ts: str) -> DataFrame:
+    """(vendor, rows, rows per active day) from one combined pass over (vendor, day)."""
+    days = df.groupBy(vendor, F.to_date(ts).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    return days.groupBy(vendor).agg(
+        F.sum("_n").alias("vendor_count"), (F.sum("_n") / F.count(F.lit(1))).alias("velocity")
+    )
 
 
 def transaction_features(df: DataFrame, id: str, vendor: str, amount: str, ts: str, reference: bool = False) -> DataFrame:
-    """The twelve transaction features, not yet scaled, keyed by ``id``."""
+    """The twelve transaction features, not yet scaled, keyed by ``id``.
+
+    Every statistic is taken from the four input columns and joined once. ``reference``
+    gives the published constant 1 as velocity.
+    """
     x = F.col(amount).cast("double")
-    rows = df.select(F.col(id).alias("id"), F.col(vendor).alias("vendor"), x.alias("amount"), F.col(ts).alias("ts"))
-    rows = z_scores(rows, [], "amount", sample=True, out="amount_zscore")
-    rows = rows.withColumn("log_amount", F.log1p(F.abs("amount")))
+    base = df.select(F.col(id).alias("id"), F.col(vendor).alias("vendor"), x.alias("amount"), F.col(ts).alias("ts"))
+    money = F.col("amount").cast("decimal(20,2)")
+    near = similar_amounts(base, [], "amount").withColumnRenamed("amount", "_a")
+    scalars = base.agg(
+        F.avg("amount").alias("_mean"), F.stddev_samp("amount").alias("_std"), F.count(F.lit(1)).alias("_n")
+    ).crossJoin(F.broadcast(exact_percentiles(base, [], "amount", BAND_CUTS).drop("n")))
+    # the running balance is the costly order; its output carries the rows on
+    rows = running_balance(base, [], [F.col("id")], "amount")
+    rows = rows.join(vendor_rates(base, "vendor", "ts"), "vendor").withColumn("_a", money).join(near, "_a")
+    rows = rows.crossJoin(F.broadcast(scalars))
     parts = date_parts(F.col("ts"))
-    for name in ("day_of_week", "hour", "month"):
-        rows = rows.withColumn(name, parts[name])
-    rows = frequency(rows, "vendor")
-    rows = velocity(rows, "vendor", "ts", reference)
-    rows = amount_frequency(rows, [], "amount")
-    rows = deviation_band(rows, [], "amount")
-    rows = running_balance(rows, [], [F.col("id")], "amount")
-    return rows.select("id", *[F.col(c).cast("double").alias(c) for c in TRANSACTION_FEATURES])
+    value = {
+        "amount": F.col("amount"),
+        "log_amount": F.log1p(F.abs("amount")),
+        "amount_zscore": F.when(F.col("_std") > 0, (F.col("amount") - F.col("_mean")) / F.col("_std")).otherwise(0.0),
+        "day_of_week": parts["day_of_week"],
+        "hour": parts["hour"],
+        "month": parts["month"],
+        "vendor_frequency": F.col("vendor_count") / F.col("_n"),
+        "amount_frequency": F.col("similar") / F.col("_n"),
+        "running_balance": F.col("running_balance"),
+        "deviation": F.coalesce(F.try_divide(F.abs(F.col("amount") - F.col("_mean")), F.col("_mean")), F.lit(0.0)),
+        "velocity": F.lit(1.0) if reference else F.col("velocity"),
+        "band": percentile_band(F.col("amount")),
+    }
+    return rows.select("id", *[value[c].cast("double").alias(c) for c in TRANSACTION_FEATURES])
 
 
 def model_features(df: DataFrame, id: str, account: str, amount: str, ts: str, categories: Sequence[str]) -> DataFrame:
     """Log, square, date parts, account count and mean, global gap, category codes; nulls become 0."""
-    x = F.col(amount).cast("double")
-    rows = df.withColumn("amount", x).withColumn("log_amount", F.log1p(x)).withColumn("amount_squared", x * x)
-    for name, part in date_parts(F.col(ts)).items():
+    base = df.select(
+        F.col(id).alias("id"), F.col(account).alias("account"), F.col(amount).cast("double").alias("amount"), F.col(ts).alias("ts"), *categories
+    )
+    stats = base.groupBy("account").agg(
+        F.count(F.lit(1)).alias("account_transaction_count"), F.avg("amount").alias("account_avg_amount")
+    )
+    rows = gap_seconds(base, [], "ts", [F.col("ts"), F.col("id")]).join(stats, "account")
+    rows = rows.withColumn("log_amount", F.log1p("amount")).withColumn("amount_squared", F.col("amount") * F.col("amount"))
+    for name, part in date_parts(F.col("ts")).items():
         rows = rows.withColumn(name, part)
-    rows = account_map(rows, account, "amount")
-    rows = gap_seconds(rows, [], ts, [F.col(ts), F.col(id)])
     names = ["amount", "log_amount", "amount_squared", "hour", "day_of_week", "month", "is_weekend", "is_business_hours",
              "account_transaction_count", "account_avg_amount", "time_since_last"]
     for c in categories:
-        rows = category_codes(rows, c)
+        rows = with_codes(rows, codes(base, c), c)
         names.append(f"{c}_code")
-    return rows.select(F.col(id).alias("id"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    return rows.select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
 
 
 def fraud_features(df: DataFrame, id: str, amount: str, ts: str, categories: Sequence[str]) -> DataFrame:
     """Log, z-score, hour, weekday, weekend flag, category codes."""
-    x = F.col(amount).cast("double")
-    rows = z_scores(df.withColumn("amount", x), [], "amount", out="amount_zscore").withColumn("log_amount", F.log1p(x))
-    parts = date_parts(F.col(ts))
+    base = df.select(F.col(id).alias("id"), F.col(amount).cast("double").alias("amount"), F.col(ts).alias("ts"), *categories)
+    rows = z_scores(base, [], "amount", out="amount_zscore").withColumn("log_amount", F.log1p("amount"))
+    parts = date_parts(F.col("ts"))
     names = ["amount", "log_amount", "amount_zscore", "hour", "day_of_week", "is_weekend"]
     for name in names[3:]:
         rows = rows.withColumn(name, parts[name])
     for c in categories:
-        rows = category_codes(rows, c)
+        rows = with_codes(rows, codes(base, c), c)
         names.append(f"{c}_code")
-    return rows.select(F.col(id).alias("id"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    return rows.select("id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
 
 
 def ordered_split(df: DataFrame, label: str, order: Sequence[Column], train: float = 0.8) -> DataFrame:
@@ -159,11 +190,11 @@ def ordered_split(df: DataFrame, label: str, order: Sequence[Column], train: flo
 
 
 def hashed_sample(df: DataFrame, key: str, k: int = 1000, fifth: bool = True, seed: int = 42) -> DataFrame:
-    """min(k, n / 5) rows by smallest key hash: the same rows on every run.
+    """min(k, n / 5) rows by smallest seeded key digest: the same rows on every run.
 
     The k smallest are taken first; the n / 5 bound then trims that short list.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))))
     few = hashed.orderBy("_h", key).limit(k)
     if not fifth:
         return few.drop("_h")

@@ -1,8 +1,9 @@
 """Distance detectors: kNN distance, local outlier factor, one-class boundary, grid DBSCAN noise.
 
-kNN and LOF score every row against a fitted reference set, as the forest scores every row
-against fitted trees. The reference set is the rows of smallest key hash, at most
-``reference`` of them: with no more rows than that the result is the exact detector.
+Neighbours are exact. Equal vectors are counted into one point, so a crowd of copies costs
+one point. A kd-tree over a bounded hash sample of the points cuts space into cells of a
+bounded number of rows. Each point finds its k nearest in its own cell; their distance
+bounds how far the rest can be, and the point visits just the other cells its ball meets.
 """
 
 from __future__ import annotations
@@ -13,86 +14,218 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyscope.operators.ordered import top_n
+from tallyscope.session import reliable
 
-def _vector(features: Sequence[str]):
-    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-
-
-def reference_set(df: DataFrame, id: str, features: Sequence[str], reference: int = 2048, seed: int = 42) -> DataFrame:
-    """(id, v) of the ``reference`` rows of smallest hash; Spark takes them per task first."""
-    rows = df.select(F.col(id).alias("id"), _vector(features).alias("v"), F.xxhash64(F.lit(seed), F.col(id)).alias("_h"))
-    return rows.orderBy("_h", "id").limit(reference).drop("_h")
-
-
-def _distances(x: np.ndarray, ref: np.ndarray) -> np.ndarray:
-    d2 = (x * x).sum(1)[:, None] + (ref * ref).sum(1)[None, :] - 2.0 * x @ ref.T
-    return np.sqrt(np.maximum(d2, 0.0))
-
+CELL_ROWS = 2048
+SAMPLE_ROWS = 1 << 18
+_LISTS = "vid long, nn array<long>, dist array<double>"
 
-def _score(df: DataFrame, id: str, features: Sequence[str], model: dict, measure, out: str) -> DataFrame:
-    """Add ``measure(ids, x, model)`` computed in Arrow batches against the broadcast model."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def evaluate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ids, vectors in batches:
-            if len(ids) == 0:
-                yield pd.Series([], dtype=float)
-                continue
-            x, parts = np.vstack(vectors.to_numpy()), []
-            for start in range(0, len(x), 1024):  # bounds the distance block
-                parts.append(measure(ids.to_numpy()[start : start + 1024], x[start : start + 1024], shared.value))
-            yield pd.Series(np.concatenate(parts))
-
-    return df.withColumn(out, evaluate(F.col(id), _vector(features)))
-
-
-def _load(reference: DataFrame) -> dict:
-    pdf = reference.orderBy("id").toPandas()  # at most the fixed reference size
-    return {"ids": pdf["id"].to_numpy(), "x": np.vstack(pdf["v"].to_numpy())}
-
-
-def _others(ids, x, model):
-    """Distances with a row's own reference entry put out of reach."""
-    d = _distances(x, model["x"])
-    d[ids[:, None] == model["ids"][None, :]] = np.inf
-    return d
+def _vector(features: Sequence[str]):
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
 
 
-def knn_score(df: DataFrame, id: str, features: Sequence[str], k: int = 5, reference: int = 2048, out: str = "knn_score") -> DataFrame:
-    """Distance to the k-th nearest other row of the reference set."""
-    model = _load(reference_set(df, id, features, reference))
-    k = min(k, max(len(model["x"]) - 1, 1))
+def _cells(sample: np.ndarray, cell_rows: float) -> dict[str, np.ndarray]:
+    """kd-tree node arrays: split the widest dimension at its median until cells are small."""
+    nodes, cells, stack = [], 0, [(np.arange(len(sample)), None, 0)]
+    while stack:
+        idx, parent, side = stack.pop()
+        me = len(nodes)
+        nodes.append([-1, 0.0, -1, -1, -1])
+        if parent is not None:
+            nodes[parent][2 + side] = me
+        part = sample[idx]
+        spread = part.max(axis=0) - part.min(axis=0) if len(part) else np.zeros(1)
+        if len(part) <= cell_rows or spread.max() <= 0:
+            nodes[me][4], cells = cells, cells + 1
+            continue
+        dim = int(spread.argmax())
+        cut = float(np.median(part[:, dim]))
+        left = part[:, dim] < cut
+        if not left.any():
+            cut = float(part[part[:, dim] > cut, dim].min())
+            left = part[:, dim] < cut
+        nodes[me][0], nodes[me][1] = dim, cut
+        stack += [(idx[left], me, 0), (idx[~left], me, 1)]
+    cols = np.array(nodes, dtype=float)
+    return {n: cols[:, i] if n == "cut" else cols[:, i].astype(np.int64) for i, n in enumerate(("dim", "cut", "left", "right", "cell"))}
+
+
+def _cell_of(x: np.ndarray, t: dict) -> np.ndarray:
+    at, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    while True:
+        dim = t["dim"][at]
+        inner = dim >= 0
+        if not inner.any():
+            return t["cell"][at]
+        below = x[rows, np.where(inner, dim, 0)] < t["cut"][at]
+        at = np.where(inner, np.where(below, t["left"][at], t["right"][at]), at)
+
+
+def _cells_met(x: np.ndarray, r: np.ndarray, t: dict) -> list[list[int]]:
+    """Cells that the box around each ball meets, for all points at once."""
+    met: list[list[int]] = [[] for _ in range(len(x))]
+    q, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+    while len(q):
+        leaf = t["dim"][node] < 0
+        for i, c in zip(q[leaf], t["cell"][node[leaf]]):
+            met[i].append(int(c))
+        q, node = q[~leaf], node[~leaf]
+        at, cut = x[q, t["dim"][node]], t["cut"][node]
+        left, right = at - r[q] <= cut, at + r[q] >= cut
+        q, node = np.concatenate([q[left], q[right]]), np.concatenate([t["left"][node[left]], t["right"][node[right]]])
+    return met
+
+
+def _nearest(vids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest of ``y`` for every row of ``x`` by (distance, vid), the row itself left out."""
+    nn: list = [[] for _ in vids]
+    dist: list = [[] for _ in vids]
+    step = max(1, 4_000_000 // max(len(y), 1))  # bounds the distance block
+    for start in range(0, len(x), step):
+        part, own = x[start : start + step], vids[start : start + step]
+        d = np.zeros((len(part), len(y)))
+        for j in range(x.shape[1]):
+            gap = part[:, j, None] - y[None, :, j]
+            d += gap * gap
+        d[own[:, None] == others[None, :]] = np.inf
+        kth = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+        row, col = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+        order = np.lexsort((others[col], d[row, col], row))
+        row, col = row[order], col[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[rank < k], col[rank < k]
+        found = np.sqrt(d[row, col])
+        for i, a, b in zip(row, others[col], found):
+            nn[start + i].append(int(a))
+            dist[start + i].append(float(b))
+    return pd.DataFrame({"vid": vids, "nn": nn, "dist": dist})
+
+
+def _matrix(s: pd.Series) -> np.ndarray:
+    return np.vstack(s.to_numpy())
+
+
+def points(df: DataFrame, id: str, features: Sequence[str]) -> DataFrame:
+    """(v, vid, copies): one row per distinct vector, named by its smallest id."""
+    return df.groupBy(_vector(features).alias("v")).agg(F.min(F.col(id).cast("long")).alias("vid"), F.count(F.lit(1)).alias("copies"))
+
+
+def knn_graph(df: DataFrame, id: str, features: Sequence[str], k: int, cell_rows: int = CELL_ROWS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(points, edges): exact neighbours (vid, nn, dist, before, take) of every distinct vector.
+
+    ``take`` says how many of the k neighbours the point ``nn`` stands for, ``before`` how
+    many are nearer: copies of the vector itself come first at distance 0, the last point
+    may count in part.
+    """
+    spark = df.sparkSession
+    pts = reliable(points(df, id, features))
+    n = pts.count()
+    sample = pts.orderBy(F.xxhash64(F.lit(seed), F.col("vid")), "vid").select("v").limit(SAMPLE_ROWS).toPandas()  # fixed bound
+    grid = _matrix(sample["v"]) if len(sample) else np.zeros((0, len(features)))
+    tree = spark.sparkContext.broadcast(_cells(grid, max(8.0, cell_rows * len(grid) / max(n, 1))))
+
+    @F.pandas_udf("long")
+    def cell_of(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_cell_of(_matrix(vectors), tree.value)) if len(vectors) else pd.Series([], dtype="int64")
+
+    @F.pandas_udf("array<long>")
+    def cells_met(vectors: pd.Series, radius: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        return pd.Series(_cells_met(_matrix(vectors), radius.to_numpy() * (1 + 1e-9), tree.value))
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, vids = _matrix(pdf["v"]), pdf["vid"].to_numpy()
+        out = _nearest(vids, x, vids, x, k)
+        out["radius"] = [d[-1] if len(d) == k else np.inf for d in out["dist"]]
+        out["v"], out["cell"] = pdf["v"].to_numpy(), pdf["cell"].to_numpy()
+        return out[["vid", "nn", "dist", "radius", "v", "cell"]]
+
+    placed = pts.withColumn("cell", cell_of("v"))
+    own = reliable(
+        placed.groupBy("cell").applyInPandas(within, _LISTS + ", radius double, v array<double>, cell long")
+    )
+    probes = reliable(
+        own.select("vid", "v", "cell", F.explode(cells_met("v", "radius")).alias("target")).where(F.col("target") != F.col("cell")).select("vid", "v", "target")
+    )
+    # a cell that many balls meet serves them in shares, each with its own copy of the cell
+    shares = probes.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / (2 * cell_rows)).cast("int").alias("shares"))
+    asked = probes.join(shares, "target").withColumn("share", F.pmod(F.xxhash64("vid"), F.col("shares")).cast("int"))
+    served = placed.join(shares.withColumnRenamed("target", "cell"), "cell").select(
+        "vid", "v", F.col("cell").alias("target"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    )
 
-    def measure(ids, x, m):
-        return np.partition(_others(ids, x, m), k - 1, axis=1)[:, k - 1]
+    def across(asking: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+        if not len(asking) or not len(cell):
+            return pd.DataFrame({"vid": [], "nn": [], "dist": []})
+        return _nearest(asking["vid"].to_numpy(), _matrix(asking["v"]), cell["vid"].to_numpy(), _matrix(cell["v"]), k)
+
+    more = asked.groupBy("target", "share").cogroup(served.groupBy("target", "share")).applyInPandas(across, _LISTS)
+    lists = own.select("vid", "nn", "dist").unionByName(more)
+    flat = lists.select("vid", F.inline(F.arrays_zip("nn", "dist")))
+    best = top_n(flat, ["vid"], [F.col("dist"), F.col("nn")], k).drop("rank")
+    copies = pts.select(F.col("vid").alias("nn"), F.col("copies").alias("weight"))
+    twins = pts.where(F.col("copies") > 1).select("vid", F.col("vid").alias("nn"), F.lit(0.0).alias("dist"), (F.col("copies") - 1).alias("weight"))
+    edges = best.join(copies, "nn").select("vid", "nn", "dist", "weight").unionByName(twins)
+    w = Window.partitionBy("vid").orderBy(F.col("nn") != F.col("vid"), "dist", "nn").rowsBetween(Window.unboundedPreceding, -1)  # k + 1 rows
+    edges = edges.withColumn("before", F.coalesce(F.sum("weight").over(w), F.lit(0))).where(F.col("before") < k)
+    return pts, reliable(edges.select("vid", "nn", "dist", "before", F.least(F.col("weight"), k - F.col("before")).alias("take")))
+
+
+def _attach(df: DataFrame, features: Sequence[str], pts: DataFrame, scores: DataFrame, out: str) -> DataFrame:
+    by_vector = pts.select("v", "vid").join(scores, "vid").select(F.col("v").alias("_v"), out)
+    rows = df.withColumn("_v", _vector(features))
+    return rows.join(by_vector, "_v", "left").drop("_v").withColumn(out, F.coalesce(out, F.lit(0.0)))
+
+
+def knn_of(df: DataFrame, features: Sequence[str], graph: tuple[DataFrame, DataFrame], k: int, out: str) -> DataFrame:
+    """k-th neighbour distance from a graph of at least ``k`` neighbours."""
+    pts, edges = graph
+    kth = F.coalesce(F.min(F.when(F.col("before") + F.col("take") >= k, F.col("dist"))), F.max("dist"))
+    return _attach(df, features, pts, edges.groupBy("vid").agg(kth.alias(out)), out)
+
+
+def lof_of(df: DataFrame, features: Sequence[str], graph: tuple[DataFrame, DataFrame], out: str) -> DataFrame:
+    """Local outlier factor over all neighbours of the graph."""
+    pts, edges = graph
+    far = edges.groupBy(F.col("vid").alias("nn")).agg(F.max("dist").alias("_far"))
+    density = (
+        edges.join(far, "nn")
+        .groupBy("vid")
+        .agg((F.sum(F.col("take") * F.greatest("dist", "_far")) / F.sum("take")).alias("_mean"))
+        .select("vid", (1 / (F.col("_mean") + 1e-10)).alias("_lrd"))
+    )
+    theirs = density.select(F.col("vid").alias("nn"), F.col("_lrd").alias("_theirs"))
+    factor = (
+        edges.join(theirs, "nn")
+        .groupBy("vid")
+        .agg((F.sum(F.col("take") * F.col("_theirs")) / F.sum("take")).alias("_around"))
+        .join(density, "vid")
+        .select("vid", (F.col("_around") / F.col("_lrd")).alias(out))
+    )
+    return _attach(df, features, pts, factor, out)
 
-    return _score(df, id, features, model, measure, out)
 
+def knn_score(df: DataFrame, id: str, features: Sequence[str], k: int = 5, out: str = "knn_score", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Distance of every row to its k-th nearest other row."""
+    return knn_of(df, features, knn_graph(df, id, features, k, cell_rows), k, out)
 
-def lof_score(df: DataFrame, id: str, features: Sequence[str], k: int = 20, reference: int = 2048, out: str = "lof_score") -> DataFrame:
-    """Local outlier factor: mean reachability density of the neighbours over the row's own.
 
-    Densities of the reference rows are part of the model: one matrix of fixed size.
-    """
-    model = _load(reference_set(df, id, features, reference))
-    k = min(k, max(len(model["x"]) - 1, 1))
-    d = _others(model["ids"], model["x"], model)
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    model["kdist"] = np.take_along_axis(d, near, 1)[:, -1]
-    reach = np.maximum(np.take_along_axis(d, near, 1), model["kdist"][near])
-    model["lrd"] = 1.0 / (reach.mean(axis=1) + 1e-10)
+def lof_score(df: DataFrame, id: str, features: Sequence[str], k: int = 20, out: str = "lof_score", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Local outlier factor of every row: the neighbours' mean reachability density over its own."""
+    return lof_of(df, features, knn_graph(df, id, features, k, cell_rows), out)
 
-    def measure(ids, x, m):
-        dx = _others(ids, x, m)
-        nx = np.argsort(dx, axis=1, kind="stable")[:, :k]
-        r = np.maximum(np.take_along_axis(dx, nx, 1), m["kdist"][nx])
-        return m["lrd"][nx].mean(axis=1) * (r.mean(axis=1) + 1e-10)
 
-    return _score(df, id, features, model, measure, out)
+def fourier_features(d: int, gamma: float | None = None, components: int = 64, seed: int = 42):
+    """(weights, phases, scale) of random Fourier features for an RBF kernel, fixed by the seed."""
+    rng = np.random.default_rng(seed)
+    weights = rng.normal(0.0, sqrt(2.0 * (gamma or 1.0 / d)), size=(components, d))
+    return weights, rng.uniform(0.0, 2.0 * np.pi, size=components), sqrt(2.0 / components)
 
 
 def one_class_score(
@@ -100,17 +233,15 @@ def one_class_score(
 ) -> DataFrame:
     """1 - <phi(x), mean phi>: the one-class RBF boundary in its all-support limit.
 
-    phi are random Fourier features with a fixed seed. They are native cosines and the mean
-    embedding is one aggregate row, so every row of the table takes part in the fit.
+    phi are native cosines and the mean embedding is one aggregate row, so every row of the
+    table takes part in the fit.
     """
-    d = len(features)
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(0.0, sqrt(2.0 * (gamma or 1.0 / d)), size=(components, d))
-    phases = rng.uniform(0.0, 2.0 * np.pi, size=components)
-    scale = sqrt(2.0 / components)
+    weights, phases, scale = fourier_features(len(features), gamma, components, seed)
 
     def phi(j):
-        dot = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * float(w) for c, w in zip(features, weights[j])), F.lit(float(phases[j])))
+        dot = F.lit(float(phases[j]))
+        for c, w in zip(features, weights[j]):
+            dot = dot + F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * float(w)
         return F.cos(dot) * scale
 
     embedded = df.withColumn("_phi", F.array(*[phi(j) for j in range(components)]))

@@ -303,6 +303,14 @@ def percentile_interval(df: DataFrame, keys: Sequence[str], value: str, level: f
 BAND_CUTS = {"c25": 0.25, "c50": 0.5, "c75": 0.75, "c90": 0.9, "c95": 0.95, "c100": 1.0}
 
 
+def percentile_band(x: Column) -> Column:
+    """Band 0..5 of a value against the ``BAND_CUTS`` columns."""
+    band = F.lit(6)
+    for i, name in reversed(list(enumerate(BAND_CUTS))):
+        band = F.when(x <= F.col(name), i).otherwise(band)
+    return band
+
+
 def deviation_band(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """|x - mean| / mean and the percentile band 0..5 of each row."""
     keys = list(keys)
@@ -310,13 +318,10 @@ def deviation_band(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     means = df.groupBy(*keys).agg(F.avg(_number(value)).alias("_mean"))
     stats = cuts.join(means, keys) if keys else cuts.crossJoin(means)
     x = _number(value)
-    band = F.lit(6)
-    for i, name in reversed(list(enumerate(BAND_CUTS))):
-        band = F.when(x <= F.col(name), i).otherwise(band)
     out = join_stats(df, stats, keys)
     return (
         out.withColumn("deviation", F.coalesce(ratio(F.abs(x - F.col("_mean")), F.col("_mean")), F.lit(0.0)))
-        .withColumn("band", band)
+        .withColumn("band", percentile_band(x))
         .drop("_mean", *BAND_CUTS)
     )
 

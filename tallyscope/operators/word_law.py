@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.text import words
 from tallyscope.operators.ordered import scan
+from tallyscope.session import reliable
 
 
 def word_counts(df: DataFrame, keys: Sequence[str], text: str, min_length: int = 3, drop_stopwords: bool = False) -> DataFrame:
@@ -20,6 +21,7 @@ def word_counts(df: DataFrame, keys: Sequence[str], text: str, min_length: int =
 def ranked(counts: DataFrame, keys: Sequence[str], item: str, weight: str) -> DataFrame:
     """Rank by weight; equal weights in name order. Adds rank, items and frequency."""
     keys = list(keys)
+    counts = reliable(counts)  # far smaller than the texts, and read by three steps
     out = scan(counts, keys, [F.col(weight).desc(), F.col(item)], number="rank", total="items")
     totals = counts.groupBy(*keys).agg(F.sum(weight).alias("_all"))
     out = out.join(totals, keys) if keys else out.crossJoin(F.broadcast(totals))

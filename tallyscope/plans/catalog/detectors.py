@@ -68,14 +68,14 @@ def o8(spark, d):
     WITH c AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS code FROM (SELECT DISTINCT category FROM activity))
     SELECT id, amount, round(ln(1 + amount), 6) AS log_amount, round(amount * amount, 4) AS amount_squared, CAST(hour(ts) AS DOUBLE) AS "hour", CAST(isodow(ts) - 1 AS DOUBLE) AS day_of_week, CAST(month(ts) AS DOUBLE) AS "month",
            CASE WHEN isodow(ts) >= 6 THEN 1.0::DOUBLE ELSE 0 END AS is_weekend, CASE WHEN hour(ts) BETWEEN 9 AND 17 THEN 1.0::DOUBLE ELSE 0 END AS is_business_hours,
-           CAST(count(*) OVER (PARTITION BY account_id) AS DOUBLE) AS account_transaction_count, round(avg(amount) OVER (PARTITION BY account_id), 6) AS account_avg_amount,
+           CAST(count(*) OVER (PARTITION BY account_id) AS DOUBLE) AS account_transaction_count, round(avg(amount) OVER (PARTITION BY account_id), 9) AS account_avg_amount,
            round(coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, id)) / 1e6, 0), 6) AS time_since_last, CAST(code AS DOUBLE) AS category_code FROM activity JOIN c USING (category)
     """,
     ["activity"],
 )
 def o9(spark, d):
     out = fe.model_features(v.activity(spark, d), "id", "account_id", "amount", "ts", ["category"])
-    return rounded(out, amount_squared=4)
+    return rounded(out, amount_squared=4, account_avg_amount=9)
 
 
 @query(
@@ -98,21 +98,47 @@ def o11(spark, d):
     return fo.flag(scored, 0.1).select("id", "score", "is_anomaly", "decision", "risk_score")
 
 
-@query("o12_knn_distance")
+# distinct vectors named by their smallest id; every row's k nearest other rows by (distance, vector)
+def _near_sql(k):
+    return f"""
+    p AS (SELECT id, amount AS x, CAST(hour(ts) AS DOUBLE) AS y, CAST(k AS DOUBLE) AS z, min(id) OVER (PARTITION BY amount, hour(ts), k) AS vid FROM activity),
+    nn AS (SELECT a.id, a.vid, min({{'own': (a.vid <> b.vid)::INT, 'd': sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 'v': b.vid}}, {k}) AS l
+           FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id, a.vid)
+    """
+
+
+@query("o12_knn_distance", f"WITH {_near_sql(5)} SELECT id, round(l[5].d, 6) AS knn_score FROM nn", ["activity"])
 def o12(spark, d):
-    return ne.knn_score(simple_features(spark, d), "id", SIMPLE)
+    return rounded(ne.knn_score(simple_features(spark, d), "id", SIMPLE).select("id", "knn_score"))
 
 
-@query("o13_local_outlier_factor")
+@query(
+    "o13_local_outlier_factor",
+    f"""WITH {_near_sql(20)}, far AS (SELECT vid, any_value(l[20].d) AS f FROM nn GROUP BY 1), e AS (SELECT id, vid, unnest(l) AS o FROM nn),
+    dens AS (SELECT id, e.vid, 1 / (avg(greatest(o.d, f)) + 1e-10) AS lrd FROM e JOIN far ON far.vid = o.v GROUP BY 1, 2), dv AS (SELECT vid, any_value(lrd) AS lrd FROM dens GROUP BY 1)
+    SELECT e.id, round(avg(dv.lrd) / any_value(dens.lrd), 5) AS lof_score FROM e JOIN dv ON dv.vid = e.o.v JOIN dens ON dens.id = e.id GROUP BY e.id""",
+    ["activity"],
+)
 def o13(spark, d):
-    return ne.lof_score(simple_features(spark, d), "id", SIMPLE)
+    return rounded(ne.lof_score(simple_features(spark, d), "id", SIMPLE).select("id", "lof_score"), 5)
+
+
+def _one_class_sql():
+    weights, phases, scale = ne.fourier_features(3)
+    phi = [f"cos({p!r} + x * {w[0]!r} + y * {w[1]!r} + z * {w[2]!r}) * {scale!r}" for w, p in zip(weights.tolist(), phases.tolist())]
+    cols = ", ".join(f"{e} AS f{i}" for i, e in enumerate(phi))
+    means = ", ".join(f"avg(f{i}) AS m{i}" for i in range(len(phi)))
+    dot = " + ".join(f"f{i} * m{i}" for i in range(len(phi)))
+    return f"""WITH s AS (SELECT avg(amount) AS am, stddev_pop(amount) AS asd, avg(hour(ts)) AS hm, stddev_pop(hour(ts)) AS hsd, avg(k) AS km, stddev_pop(k) AS ksd FROM activity),
+    p AS (SELECT id, (amount - am) / asd AS x, (hour(ts) - hm) / hsd AS y, (k - km) / ksd AS z FROM activity, s), f AS (SELECT id, {cols} FROM p), m AS (SELECT {means} FROM f)
+    SELECT id, round(1 - ({dot}), 6) AS svm_score FROM f, m"""
 
 
-@query("o14_one_class_boundary")
+@query("o14_one_class_boundary", _one_class_sql(), ["activity"])
 def o14(spark, d):
     from tallyscope.operators.stats import scaled
 
-    return ne.one_class_score(scaled(simple_features(spark, d), SIMPLE), SIMPLE)
+    return rounded(ne.one_class_score(scaled(simple_features(spark, d), SIMPLE), SIMPLE).select("id", "svm_score"))
 
 
 @query("o15_detector_ensemble")
@@ -245,7 +271,7 @@ def s13(spark, d):
     models.save_model(path, fo.fit(models.apply_scaler(rows, scaler, SIMPLE), "id", SIMPLE), scaler, SIMPLE, method="isolation_forest", contamination="0.1")
     nodes, scaler, meta = models.load_model(spark, path)
     names = meta["features"].split(",")
-    scored = fo.score(models.apply_scaler(rows, scaler, names), nodes, names)
+    scored = reliable(fo.score(models.apply_scaler(rows, scaler, names), nodes, names))
     return fo.flag(scored, float(meta["contamination"])).select("id", "score", "is_anomaly")
 
 

@@ -218,7 +218,11 @@ def p6(spark, d):
 
 @query(
     "p10_hashed_sample",
-    None,
+    """
+    WITH h AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || id), id) AS i, count(*) OVER () AS n FROM activity)
+    SELECT id, account_id, amount FROM h WHERE i <= least(1000, n // 5)
+    """,
+    ["activity"],
 )
 def p10(spark, d):
     return hashed_sample(v.activity(spark, d), "id").select("id", "account_id", "amount")
@@ -481,13 +485,13 @@ def t10(spark, d):
     "j2_account_map",
     """
     SELECT id, count(*) OVER (PARTITION BY account_id) AS account_transaction_count,
-           round(avg(amount) OVER (PARTITION BY account_id), 6) AS account_avg_amount FROM activity
+           round(avg(amount) OVER (PARTITION BY account_id), 9) AS account_avg_amount FROM activity
     """,
     ["activity"],
 )
 def j2(spark, d):
     out = account_map(v.activity(spark, d), "account_id", "amount")
-    return out.select("id", "account_transaction_count", r("account_avg_amount").alias("account_avg_amount"))
+    return out.select("id", "account_transaction_count", r("account_avg_amount", 9).alias("account_avg_amount"))
 
 
 @query(

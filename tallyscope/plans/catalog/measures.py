@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyscope.functions import scores as sc
 from tallyscope.operators import evaluation, features, outliers, sessions, stats
 from tallyscope.operators.ordered import trailing_count
-from tallyscope.operators.quantiles import with_median_gap
+from tallyscope.operators.quantiles import exact_percentiles, join_stats, with_median_gap
 from tallyscope.plans import views as v
 from tallyscope.plans.catalog.ledgers import r
 from tallyscope.plans.registry import query
@@ -274,12 +274,11 @@ def a28(spark, d):
 
 @query(
     "a28_duration_percentiles",
-    None,
+    "SELECT category, count(*) AS n, round(quantile_cont(amount, 0.5), 6) AS p50, round(quantile_cont(amount, 0.95), 6) AS p95, round(quantile_cont(amount, 0.99), 6) AS p99 FROM activity GROUP BY category",
+    ["activity"],
 )
 def a28_durations(spark, d):
-    return v.activity(spark, d).groupBy("category").agg(
-        F.percentile_approx("amount", [0.5, 0.95, 0.99], 10_000).alias("p50_p95_p99")
-    )
+    return rounded(exact_percentiles(v.activity(spark, d), ["category"], "amount", {"p50": 0.5, "p95": 0.95, "p99": 0.99}))
 
 
 @query(
@@ -592,8 +591,6 @@ def f24(spark, d):
     ["activity"],
 )
 def j9(spark, d):
-    from tallyscope.operators.quantiles import exact_percentiles, join_stats
-
     rows = v.activity(spark, d)
     stat = rows.agg(F.avg("amount").alias("m")).crossJoin(F.broadcast(exact_percentiles(rows, [], "amount", {"p90": 0.9}).drop("n")))
     return join_stats(rows, stat, []).select("id", r(F.col("amount") - F.col("m")).alias("centred"), (F.col("amount") > F.col("p90")).alias("above_p90"))
