@@ -34,6 +34,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Correlation over complete pairs; null for a constant side (``corr`` raises there in ANSI mode)."""
+    both = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), both)
+
+
 def flags(*pairs: tuple[Column, str]) -> Column:
     """Array of the texts whose condition is true, in the given order."""
     return F.filter(F.array(*[F.when(cond, F.lit(text)) for cond, text in pairs]), lambda x: x.isNotNull())

@@ -24,63 +24,48 @@ def _absent(c: str) -> Column:
     return F.col(c).isNull() | (F.col(c).cast("string") == "")
 
 
-def _check(rule, regulation, applies, outcome, severity, text):
-    """One check: ``outcome`` is 'violation', 'warning', 'warning_pass' or 'pass'."""
-    body = F.struct(
-        F.lit(rule).alias("rule"),
-        F.lit(regulation).alias("regulation"),
-        outcome.alias("outcome"),
-        F.lit(severity).alias("severity"),
-        text.alias("description"),
-    )
-    return F.when(F.coalesce(applies, F.lit(False)), body)
-
+def rules(amount: str = "amount", date: str = "transaction_date", materiality: float = 1_000_000, expense_limit: float = 10_000):
+    """The checks as (rule, regulation, applies, outcome, severity, description).
 
-def checks(amount: str = "amount", date: str = "transaction_date", materiality: float = 1_000_000, expense_limit: float = 10_000):
-    """Array column of the checks that apply to a transaction."""
+    ``outcome`` is 'violation', 'warning', 'warning_pass' or 'pass'.
+    """
     x = F.col(amount)
     revenue, expense = F.col("kind") == "revenue", F.col("kind") == "expense"
     early = F.col(date) < F.col("service_date")
     dated = F.col(date).isNotNull() & F.col("service_date").isNotNull()
     unmatched = _absent("related_revenue_id") & (x > expense_limit)
-    return F.filter(
-        F.array(
-            _check(
-                "SOX Section 302", "SOX", F.lit(True),
-                F.when((x > materiality) & ~F.coalesce("management_approved", F.lit(False)), "violation").otherwise("pass"),
-                "high", F.lit("High-value transaction without management certification"),
-            ),
-            _check(
-                "SOX Section 404", "SOX", F.lit(True),
-                F.when(_absent("authorized_by"), "violation").otherwise("pass"),
-                "medium", F.lit("Transaction lacks proper authorization documentation"),
-            ),
-            _check(
-                "GAAP Revenue Recognition", "GAAP", revenue,
-                F.when(~dated, "warning").when(early, "violation").otherwise("pass"),
-                "medium",
-                F.when(dated, "Revenue recognized before service performance").otherwise(
-                    "Missing date information for revenue recognition validation"
-                ),
-            ),
-            _check(
-                "GAAP Matching Principle", "GAAP", expense,
-                F.when(unmatched, "warning_pass").otherwise("pass"),
-                None, F.lit("Large expense without clear revenue matching"),
-            ),
-            _check(
-                "IFRS 15", "IFRS", revenue,
-                F.when(_absent("contract_id"), "violation").otherwise("pass"),
-                "medium", F.lit("Revenue transaction without contract identification"),
-            ),
-            _check(
-                "IFRS 9", "IFRS", F.col("category").isin("financial_asset", "financial_liability"),
-                F.when(_absent("classification"), "violation").otherwise("pass"),
-                "medium", F.lit("Financial instrument without proper classification"),
-            ),
-        ),
-        lambda c: c.isNotNull(),
-    )
+
+    def fails(condition):
+        return F.when(condition, "violation").otherwise("pass")
+
+    return [
+        ("SOX Section 302", "SOX", F.lit(True), fails((x > materiality) & ~F.coalesce("management_approved", F.lit(False))),
+         "high", F.lit("High-value transaction without management certification")),
+        ("SOX Section 404", "SOX", F.lit(True), fails(_absent("authorized_by")),
+         "medium", F.lit("Transaction lacks proper authorization documentation")),
+        ("GAAP Revenue Recognition", "GAAP", revenue, F.when(~dated, "warning").when(early, "violation").otherwise("pass"),
+         "medium", F.when(dated, "Revenue recognized before service performance").otherwise(
+             "Missing date information for revenue recognition validation")),
+        ("GAAP Matching Principle", "GAAP", expense, F.when(unmatched, "warning_pass").otherwise("pass"),
+         None, F.lit("Large expense without clear revenue matching")),
+        ("IFRS 15", "IFRS", revenue, fails(_absent("contract_id")),
+         "medium", F.lit("Revenue transaction without contract identification")),
+        ("IFRS 9", "IFRS", F.col("category").isin("financial_asset", "financial_liability"), fails(_absent("classification")),
+         "medium", F.lit("Financial instrument without proper classification")),
+    ]
+
+
+def checks(only_issues: bool = False, **options):
+    """Array column of the checks that apply to a transaction, or only those with an issue."""
+
+    def entry(rule, regulation, applies, outcome, severity, text):
+        body = F.struct(
+            F.lit(rule).alias("rule"), F.lit(regulation).alias("regulation"), outcome.alias("outcome"),
+            F.lit(severity).alias("severity"), text.alias("description"),
+        )
+        return F.when(F.coalesce(applies, F.lit(False)) & ((outcome != "pass") if only_issues else F.lit(True)), body)
+
+    return F.filter(F.array(*[entry(*r) for r in rules(**options)]), lambda c: c.isNotNull())
 
 
 def results(df: DataFrame, keys: list[str], **options) -> DataFrame:
@@ -90,25 +75,28 @@ def results(df: DataFrame, keys: list[str], **options) -> DataFrame:
 
 def issues(df: DataFrame, keys: list[str], **options) -> DataFrame:
     """Violations and warnings only, with ``kind``; passing checks never leave the row."""
-    wanted = F.filter(checks(**options), lambda c: c["outcome"] != "pass")
-    out = df.select(*keys, F.explode(wanted).alias("c")).select(*keys, "c.*")
+    out = df.select(*keys, F.explode(checks(only_issues=True, **options)).alias("c")).select(*keys, "c.*")
     kind = F.when(F.col("outcome") == "violation", "violation").otherwise("warning")
     return out.withColumn("kind", kind).withColumn("severity", F.when(kind == "violation", F.col("severity"))).drop("outcome")
 
 
 def framework_rates(df: DataFrame, keys: list[str], **options) -> DataFrame:
-    """Checks, passes, violations, warnings and rate per group and framework (1.0 without checks)."""
-    done = results(df, keys, **options)
-    counted = done.groupBy(*keys, "regulation").agg(
-        F.count(F.lit(1)).alias("checks_performed"),
-        F.count_if(F.col("outcome").isin("pass", "warning_pass")).alias("passed_checks"),
-        F.count_if(F.col("outcome") == "violation").alias("violations"),
-        F.count_if(F.col("outcome").isin("warning", "warning_pass")).alias("warnings"),
-    )
-    names = df.sparkSession.createDataFrame([(f,) for f in FRAMEWORKS], "regulation string")
-    groups = counted.select(*keys).distinct() if keys else None
-    frame = groups.crossJoin(F.broadcast(names)) if keys else names
-    out = frame.join(counted, [*keys, "regulation"], "left").na.fill(0)
+    """Checks, passes, violations, warnings and rate per group and framework (1.0 without checks).
+
+    Counted by conditions in one combined pass; no check becomes a row.
+    """
+    outcomes = {
+        "checks_performed": None, "passed_checks": ("pass", "warning_pass"), "violations": ("violation",),
+        "warnings": ("warning", "warning_pass"),
+    }
+    sums, frames = [], []
+    for f in FRAMEWORKS:
+        mine = [(F.coalesce(applies, F.lit(False)), outcome) for _, reg, applies, outcome, _, _ in rules(**options) if reg == f]
+        for name, wanted in outcomes.items():
+            hits = [F.count_if(a if wanted is None else a & o.isin(*wanted)) for a, o in mine]
+            sums.append(sum(hits[1:], hits[0]).alias(f"{f}_{name}"))
+        frames.append(F.struct(F.lit(f).alias("regulation"), *[F.col(f"{f}_{n}").alias(n) for n in outcomes]))
+    out = df.groupBy(*keys).agg(*sums).select(*keys, F.inline(F.array(*frames)))
     rate = F.coalesce(F.try_divide(F.col("passed_checks").cast("double"), F.col("checks_performed")), F.lit(1.0))
     return out.withColumn("compliance_rate", rate)
 

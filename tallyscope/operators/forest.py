@@ -33,19 +33,16 @@ def tree_samples(df: DataFrame, id: str, features: Sequence[str], trees: int, si
     steps = 1 << 30
     n = df.agg(F.count(F.lit(1)).cast("double").alias("_n"))
     vector = F.array(*[F.col(c).cast("double") for c in features])
-    rows = df.select(F.col(id).alias("_id"), vector.alias("v")).crossJoin(F.broadcast(n))
     keep = F.least(F.lit(1.0), pool / F.col("_n"))
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(steps)) < keep * steps)
     offer = F.least(F.lit(1.0), 2.0 * size / F.least(F.col("_n"), F.lit(pool)))
-    drawn = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed + 1), t, F.col("_id")).alias("h")),
-        ),
-        lambda s: F.pmod(s["h"], F.lit(steps)) < offer * steps,
-    )
-    candidates = rows.select("_id", "v", F.explode(drawn).alias("d")).select("_id", "v", "d.*")
-    w = Window.partitionBy("tree").orderBy(F.pmod("h", F.lit(steps)), "_id")
+    shares = n.select((keep * steps).alias("_keep"), (offer * steps).alias("_offer"))
+    rows = df.select(F.col(id).alias("_id"), vector.alias("v")).crossJoin(F.broadcast(shares))
+    rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(steps)) < F.col("_keep"))
+    # plain rows rather than a lambda over an array: generated code, and the pool is bounded
+    tries = rows.select("_id", "v", "_offer", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    tries = tries.withColumn("h", F.pmod(F.xxhash64(F.lit(seed + 1), "tree", "_id"), F.lit(steps)))
+    candidates = tries.where(F.col("h") < F.col("_offer"))
+    w = Window.partitionBy("tree").orderBy("h", "_id")
     return candidates.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).select("tree", "v")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.functions.scores import ratio
+from tallyscope.functions.scores import correlation, ratio
 from tallyscope.operators.ordered import scan
 from tallyscope.operators.quantiles import exact_percentiles, join_stats, with_median_gap
 
@@ -121,7 +121,7 @@ def _numeric(df: DataFrame) -> list[str]:
 def correlated_pairs(df: DataFrame, columns: Sequence[str] | None = None, bound: float = 0.9) -> DataFrame:
     """Column pairs with |correlation| above ``bound``: every pair in one aggregate pass."""
     pairs = list(combinations(columns or _numeric(df), 2))
-    row = df.agg(*[F.corr(_number(a), _number(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[correlation(_number(a), _number(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     items = F.array(
         *[
             F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.abs(f"p{i}").alias("correlation"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyscope.functions.scores import correlation
 from tallyscope.functions.text import words
 from tallyscope.operators.ordered import scan
 from tallyscope.session import reliable
@@ -38,7 +39,7 @@ def with_expected(ranks: DataFrame, keys: Sequence[str], alpha: float = 1.0) ->
 
 
 def _log_corr(head: Column, freq: str) -> Column:
-    return F.corr(F.when(head, F.ln(freq)), F.when(head, F.ln(1 / F.col("rank"))))
+    return correlation(F.when(head, F.ln(freq)), F.when(head, F.ln(1 / F.col("rank"))))
 
 
 def zipf_test(table: DataFrame, keys: Sequence[str], weight: str = "count", top: int = 100, checked: int = 50) -> DataFrame:
@@ -79,7 +80,7 @@ def vendor_zipf(ledger: DataFrame, keys: Sequence[str], least: int = 20) -> Data
     table = with_expected(ranked(totals, keys, "vendor_name", "paid"), keys)
     out = zipf_test(table, keys, "paid")
     top = table.groupBy(*keys).agg(
-        F.max("frequency").alias("top_share"), F.corr(F.ln("frequency"), F.ln(1 / F.col("rank"))).alias("all_correlation")
+        F.max("frequency").alias("top_share"), correlation(F.ln("frequency"), F.ln(1 / F.col("rank"))).alias("all_correlation")
     )
     out = out.join(top, keys) if keys else out.crossJoin(top)
     return out.where(F.col("items") >= least)

@@ -335,7 +335,7 @@ STOP = (
     f"WITH w AS ({TOKENS}) SELECT doc_id, count(*) AS n, count(DISTINCT word) AS distinct_words, count(*) FILTER (word NOT IN {STOP}) AS without_stopwords FROM w GROUP BY doc_id",
 )
 def f6(spark, d):
-    t = v.table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("w"), words(F.col("text"), 3, True).alias("k"))
+    t = v.spread_table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("w"), words(F.col("text"), 3, True).alias("k"))
     out = t.select("doc_id", F.size("w").cast("bigint").alias("n"), F.size(F.array_distinct("w")).cast("bigint").alias("distinct_words"), F.size("k").cast("bigint").alias("without_stopwords"))
     return out.where(F.col("n") > 0)
 
@@ -349,7 +349,7 @@ RANK_SQL = f"""
 
 
 def _ranks(spark, d):
-    counts = wl.word_counts(v.table(spark, d, "documents"), ["lang"], "text")
+    counts = wl.word_counts(v.spread_table(spark, d, "documents"), ["lang"], "text")
     return wl.ranked(counts, ["lang"], "word", "count")
 
 

@@ -16,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Tables whose rows carry real work, with the key that spreads them.
+_SPREAD = {"lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "conversations": "conv_id"}
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, spread by key where the files give fewer splits than the cluster has cores.
+
+    A large table has more splits than cores and is read as it is, without this shuffle.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, _SPREAD[name]) if df.rdd.getNumPartitions() < cores else df
+
+
 def _key():
     return F.concat_ws(
         "-",
@@ -81,7 +95,7 @@ def ledger(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     columns = columns or ("txn_id", "session_id", "amount", "transaction_date", "vendor_name", "account_code",
                           "transaction_type", "description")
     needed = {_LEDGER[c][1] for c in columns} - {None}
-    df = table(spark, sf_dir, "lineitem")
+    df = spread_table(spark, sf_dir, "lineitem")
     if "orders" in needed:
         df = df.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "supplier" in needed:
@@ -93,7 +107,7 @@ def ledger(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timed account activity: one row per event."""
-    return table(spark, sf_dir, "events").select(
+    return spread_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").alias("account_id"),
@@ -174,7 +188,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Processed document records, with the labelled quality as confidence."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     kinds = F.array(*[F.lit(x) for x in ("invoice_", "bill_", "balance_sheet_", "statement_", "receipt_")])
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("document_id"),

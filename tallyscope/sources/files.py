@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,11 +55,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return reader.csv(path)
 
 
+@F.pandas_udf("string")
+def _indented(texts: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return json.dumps(json.loads(text), indent=2)
+        except ValueError:
+            return None
+
+    return texts.map(one, na_action="ignore")
+
+
 def read_json_text(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """(path, text): each JSON document re-serialised with indents, keys and values kept as they are."""
-    files = read_text(spark, path, glob)
-    value = F.parse_json("text")
-    return files.select("path", F.to_json(value, {"pretty": "true"}).alias("text"))
+    """(path, text): each JSON document with two-space indents, key order kept; null if not JSON.
+
+    Spark's own JSON values reorder keys, so this goes through an Arrow function.
+    """
+    return read_text(spark, path, glob).select("path", _indented("text").alias("text"))
 
 
 def profile(df: DataFrame, order: list[str], sample: int = 10) -> tuple[DataFrame, DataFrame]:
