@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.constants import POLICIES
-from tallyscope.functions.scores import flags
 
 
 def policy_dimension(spark: SparkSession) -> DataFrame:
@@ -30,22 +29,24 @@ def lookup(policies: DataFrame, policy_type=None, framework=None, policy_id=None
 
 
 def check(contexts: DataFrame, policies: DataFrame, keys: list[str]) -> DataFrame:
-    """Violations of every policy by every context (eleven policies at most per row).
+    """Violations of the policies by the contexts.
 
     Contexts carry data_classified, user_authenticated, mfa_verified, data_encrypted and
-    audit_logged; a missing flag counts as false. Compliance policies have no check.
+    audit_logged; a missing flag counts as false. Compliance policies have no check. A
+    context yields its failed checks first, and those meet the policies of their type.
     """
 
-    def missing(c):
-        return ~F.coalesce(F.col(c), F.lit(False))
+    def failed(flag, policy_type, text, only=None):
+        hit = F.struct(F.lit(policy_type).alias("policy_type"), F.lit(only).cast("string").alias("only"), F.lit(text).alias("violation"))
+        return F.when(~F.coalesce(F.col(flag), F.lit(False)), hit)
 
-    kind = F.col("policy_type")
-    found = flags(
-        ((kind == "data_classification") & missing("data_classified"), "Data must be classified according to policy"),
-        ((kind == "access_control") & missing("user_authenticated"), "User must be authenticated"),
-        ((F.col("policy_id") == "AC-002") & missing("mfa_verified"), "Multi-factor authentication required"),
-        ((kind == "encryption") & missing("data_encrypted"), "Data must be encrypted according to policy"),
-        ((kind == "audit_logging") & missing("audit_logged"), "Action must be audit logged"),
+    found = F.array(
+        failed("data_classified", "data_classification", "Data must be classified according to policy"),
+        failed("user_authenticated", "access_control", "User must be authenticated"),
+        failed("mfa_verified", "access_control", "Multi-factor authentication required", "AC-002"),
+        failed("data_encrypted", "encryption", "Data must be encrypted according to policy"),
+        failed("audit_logged", "audit_logging", "Action must be audit logged"),
     )
-    rows = contexts.crossJoin(F.broadcast(policies.select("policy_id", "policy_type")))
-    return rows.select(*keys, "policy_id", F.explode(found).alias("violation"))
+    rows = contexts.select(*keys, F.explode(F.filter(found, lambda h: h.isNotNull())).alias("h")).select(*keys, "h.*")
+    met = rows.join(policies.select("policy_id", "policy_type"), "policy_type")
+    return met.where(F.col("only").isNull() | (F.col("only") == F.col("policy_id"))).select(*keys, "policy_id", "violation")

@@ -46,7 +46,7 @@ def long_ratios(statements: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def benchmark_flags(ratios: DataFrame, benchmarks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per flag: below minimum, above maximum, more than 50 % from the median."""
-    rows = ratios.join(F.broadcast(benchmarks), "ratio")
+    rows = ratios.join(benchmarks, "ratio")
     hit = flags(
         (F.col("value") < F.col("min"), "below_minimum"),
         (F.col("value") > F.col("max"), "above_maximum"),

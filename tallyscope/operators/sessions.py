@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.constants import WORKFLOW_STEPS
@@ -114,13 +114,25 @@ def portfolio_counts(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("success_rate", rate)
 
 
+SHALLOW_ROWS = 100_000
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, per_page: int) -> DataFrame:
-    """One numbered page with the paging columns. Rows are ranked by the range-cut scan."""
-    ranked = scan(df, [], order, number="row", total="total")
+    """One numbered page with the paging columns.
+
+    A shallow page needs only the first rows, which each task cuts down before they meet.
+    A deep page ranks all rows by the range-cut scan.
+    """
+    first, last = (number - 1) * per_page, number * per_page
+    if last <= SHALLOW_ROWS:
+        w = Window.partitionBy(F.lit(0)).orderBy(*order)  # at most SHALLOW_ROWS rows
+        head = df.orderBy(*order).limit(last).withColumn("row", F.row_number().over(w).cast("bigint"))
+        ranked = head.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))
+    else:
+        ranked = scan(df, [], order, number="row", total="total")
     pages = F.ceil(F.col("total") / per_page).cast("bigint")
-    first = (number - 1) * per_page
     return (
-        ranked.where((F.col("row") > first) & (F.col("row") <= first + per_page))
+        ranked.where((F.col("row") > first) & (F.col("row") <= last))
         .withColumn("page", F.lit(number))
         .withColumn("pages", pages)
         .withColumn("has_next", F.col("page") < F.col("pages"))

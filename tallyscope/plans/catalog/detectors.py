@@ -349,11 +349,20 @@ def s10(spark, d):
     return counts.groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
-@query("s11_file_discovery")
+@query(
+    "s11_file_discovery",
+    """
+    SELECT DISTINCT lang, '.txt' AS extension, '' AS reason FROM documents
+    UNION ALL SELECT DISTINCT lang, '.parquet', 'unsupported file format: .parquet' FROM documents
+    """,
+)
 def s11(spark, d):
-    found = files.discover(spark, d)
-    # parquet is outside the whitelist, so every given table file lands in quarantine with its reason
-    return files.quarantined(found).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length", "reason")
+    path = scratch_path(spark, "files")
+    docs = v.spread_table(spark, d, "documents").select("lang", "text")
+    docs.write.partitionBy("lang").text(f"{path}/a")
+    docs.write.partitionBy("lang").parquet(f"{path}/b")
+    found = files.discover(spark, path)
+    return found.select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), "extension", F.coalesce("reason", F.lit("")).alias("reason")).distinct()
 
 
 @query("s12_training_csv", "SELECT toxic AS is_fraud, count(*) AS n FROM labels GROUP BY toxic")

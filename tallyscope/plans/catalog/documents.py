@@ -26,49 +26,46 @@ def _texts(spark, d):
 # ---- flattening -------------------------------------------------------------------------------
 
 NESTED_SQL = """
-    n AS (SELECT o_orderkey AS document_id, list({'amount': CAST(l_extendedprice AS DECIMAL(20,2)), 'vendor': 'S' || l_suppkey}) FILTER (l_returnflag = 'A') AS transactions,
-                 list({'amount': CAST(l_extendedprice AS DECIMAL(20,2)), 'vendor': 'S' || l_suppkey}) FILTER (l_returnflag <> 'A') AS invoices
-          FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+    n AS (SELECT txn_id AS document_id, transaction_type, management_approved, amount, vendor_name AS vendor, CAST(amount * CAST(tax AS DECIMAL(4,2)) AS DECIMAL(20,2)) AS tax_amount FROM ledger)
 """
 
 
 def nested(spark, d):
-    """Order documents with nested transactions and invoices, and a balance map per line status."""
-    rows = v.table(spark, d, "orders").join(v.spread_table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    item = F.struct(F.col("l_extendedprice").cast(v.MONEY).alias("amount"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("vendor"))
-    first = F.col("l_returnflag") == "A"
-    out = rows.groupBy(F.col("o_orderkey").alias("document_id")).agg(  # the lines of one order
-        F.collect_list(F.when(first, item)).alias("transactions"),
-        F.collect_list(F.when(~first, item)).alias("invoices"),
-        F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_extendedprice").cast(v.MONEY))).alias("open_total"),
-        F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice").cast(v.MONEY))).alias("final_total"),
+    """Nested documents, one per ledger row: a list of transactions or of invoices, and a balance map."""
+    rows = v.ledger(spark, d, "txn_id", "transaction_type", "management_approved", "amount", "vendor_name", "tax")
+    tax = (F.col("amount") * F.col("tax").cast("decimal(4,2)")).cast(v.MONEY)
+    items = F.array(*[F.struct(a.alias("amount"), F.col("vendor_name").alias("vendor")) for a in (F.col("amount"), tax)])
+    returned = F.col("transaction_type") == "A"
+    approved = F.col("management_approved")
+    return rows.select(
+        F.col("txn_id").alias("document_id"),
+        F.when(returned, items).alias("transactions"),
+        F.when(~returned, items).alias("invoices"),
+        F.create_map(F.lit("open"), F.when(~approved, F.col("amount")), F.lit("final"), F.when(approved, F.col("amount"))).alias("current_assets"),
     )
-    return out.withColumn("current_assets", F.create_map(F.lit("open"), F.col("open_total"), F.lit("final"), F.col("final_total")))
 
 
 @query(
     "p2_flatten_amounts",
-    """
-    WITH m AS (SELECT o_orderkey AS document_id, sum(CAST(l_extendedprice AS DECIMAL(20,2))) FILTER (l_linestatus = 'O') AS o, sum(CAST(l_extendedprice AS DECIMAL(20,2))) FILTER (l_linestatus = 'F') AS f
-               FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
-    SELECT o_orderkey AS document_id, 'invoice' AS kind, 'S' || l_suppkey AS account, CAST(CAST(l_extendedprice AS DECIMAL(20,2)) AS DOUBLE) AS amount FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag <> 'A' AND l_extendedprice > 0
-    UNION ALL SELECT document_id, 'current_asset', 'open', CAST(o AS DOUBLE) FROM m WHERE o > 0 UNION ALL SELECT document_id, 'current_asset', 'final', CAST(f AS DOUBLE) FROM m WHERE f > 0
-    """,
+    f"""WITH {NESTED_SQL} SELECT document_id, 'invoice' AS kind, vendor AS account, CAST(amount AS DOUBLE) AS amount FROM n WHERE transaction_type <> 'A' AND amount > 0
+    UNION ALL SELECT document_id, 'invoice', vendor, CAST(tax_amount AS DOUBLE) FROM n WHERE transaction_type <> 'A' AND tax_amount > 0
+    UNION ALL SELECT document_id, 'current_asset', CASE WHEN management_approved THEN 'final' ELSE 'open' END, CAST(amount AS DOUBLE) FROM n WHERE amount > 0""",
+    ["ledger"],
 )
 def p2(spark, d):
     docs = nested(spark, d)
     inv = docs.select("document_id", F.inline("invoices")).select("document_id", F.lit("invoice").alias("kind"), F.col("vendor").alias("account"), "amount")
-    bal = docs.select("document_id", F.explode("current_assets").alias("account", "amount")).select("document_id", F.lit("current_asset").alias("kind"), "account", F.col("amount").cast(v.MONEY).alias("amount"))
+    bal = docs.select("document_id", F.explode("current_assets").alias("account", "amount")).select("document_id", F.lit("current_asset").alias("kind"), "account", "amount")
     return inv.unionByName(bal).where(F.col("amount") > 0).withColumn("amount", F.col("amount").cast("double"))
 
 
 @query(
     "p3_flatten_transactions",
-    f"WITH {NESTED_SQL}, u AS (SELECT document_id, unnest(coalesce(transactions, invoices)) AS i FROM n) SELECT document_id, i.vendor AS vendor, CAST(i.amount AS DOUBLE) AS amount FROM u",
+    f"WITH {NESTED_SQL} SELECT document_id, vendor, CAST(amount AS DOUBLE) AS amount FROM n UNION ALL SELECT document_id, vendor, CAST(tax_amount AS DOUBLE) FROM n",
+    ["ledger"],
 )
 def p3(spark, d):
-    items = F.when(F.size("transactions") > 0, F.col("transactions")).otherwise(F.col("invoices"))
-    out = nested(spark, d).select("document_id", F.inline(items))
+    out = nested(spark, d).select("document_id", F.inline(F.coalesce("transactions", "invoices")))
     return out.select("document_id", "vendor", F.col("amount").cast("double").alias("amount"))
 
 
@@ -184,22 +181,18 @@ def f17(spark, d):
 @query(
     "f18_line_items",
     """
-    WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(20,2)) AS amount FROM lineitem)
-    SELECT l_orderkey AS document_id, CAST(1 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, amount) AS INTEGER) AS line_number,
-           'Item ' || l_partkey AS description, CAST(amount AS DOUBLE) AS amount FROM t
+    SELECT o_orderkey AS document_id, 2 AS line_number, 'Goods ' || o_orderstatus AS description, CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS DOUBLE) AS amount FROM orders
+    UNION ALL SELECT o_orderkey, 4, 'Freight', CAST(o_custkey + 0.5 AS DOUBLE) FROM orders
     """,
 )
 def f18(spark, d):
-    # invoice tables written out from the lines of each order, then read back as text
-    rows = v.spread_table(spark, d, "lineitem").select(
-        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast(v.MONEY).alias("amount")).alias("s")
-    )
-    lines = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("s")).alias("s"))  # the lines of one order
+    # an invoice table written out from each order, then read back as text
+    o = v.table(spark, d, "orders")
     text = F.concat(
-        F.lit("Description\tTotal\n"),
-        F.array_join(F.transform("s", lambda x: F.concat(F.lit("Item "), x["l_partkey"].cast("string"), F.lit("\t$"), x["amount"].cast("string"))), "\n"),
+        F.lit("Description\tTotal\nGoods "), F.col("o_orderstatus"), F.lit("\t$"), F.col("o_totalprice").cast(v.MONEY).cast("string"),
+        F.lit("\nno money here\nFreight\t1\t"), (F.col("o_custkey") + F.lit(0.5).cast("decimal(3,2)")).cast(v.MONEY).cast("string"), F.lit("\n"),
     )
-    return lines.select(F.col("l_orderkey").alias("document_id"), text.alias("text")).select("document_id", F.inline(tx.line_items(F.col("text"))))
+    return o.select(F.col("o_orderkey").alias("document_id"), text.alias("text")).select("document_id", F.inline(tx.line_items(F.col("text"))))
 
 
 @query(

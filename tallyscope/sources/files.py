@@ -55,7 +55,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return reader.csv(path)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _indented(texts: pd.Series) -> pd.Series:
     def one(text):
         try:

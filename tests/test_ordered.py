@@ -91,3 +91,29 @@ def test_similar_amounts_brute_force(spark):
     for x in set(cents):
         want = sum(1 for y in cents if abs(y - x) * 100 <= x) if x >= 0 else 0
         assert got[x / 100] == want
+
+
+def test_pages_shallow_and_deep_agree(skewed, monkeypatch):
+    from tallyscope.operators import sessions
+
+    order = [F.col("t").desc(), F.col("id")]
+    shallow = sessions.page(skewed.select("id", "t"), order, 3, 50).orderBy("row").collect()
+    monkeypatch.setattr(sessions, "SHALLOW_ROWS", 0)
+    deep = sessions.page(skewed.select("id", "t"), order, 3, 50).orderBy("row").collect()
+    assert shallow == deep and [r["row"] for r in deep] == list(range(101, 151)) and deep[0]["pages"] == 60
+
+
+def test_top_n_is_cut_before_the_shuffle(skewed):
+    from tallyscope.operators.ordered import top_n
+
+    plan = top_n(skewed, ["g"], [F.col("x").desc(), F.col("id")], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_scans_read_only_what_they_need(spark, sf_dir):
+    from tallyscope.operators.sessions import transaction_stats
+    from tallyscope.plans import views
+
+    df = transaction_stats(views.ledger(spark, sf_dir, "session_id", "amount"), ["session_id"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double>" in plan and "supplier" not in plan
