@@ -191,9 +191,36 @@ METHOD_STEPS = [
     (["isolation_forest", "pyod_ensemble"], "anomaly_investigation"),
     (["reinforcement_learning"], "adaptive_model_review"),
 ]
-# Prioritised recommendations: (priority, category, title, timeline).
 PRIORITY_RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 
+# Recommendations by what triggers them: (trigger, priority, category, title, timeline).
+RECOMMENDATIONS = [
+    ("severe_level", "CRITICAL", "Immediate Action", "Emergency Review Required", "24 hours"),
+    ("benford_1", "HIGH", "Digit Analysis", "Benford's Law Deviation Investigation", "3-5 days"),
+    ("benford_2", "HIGH", "Digit Analysis", "Benford's Law Deviation Investigation", "3-5 days"),
+    ("isolation_forest", "HIGH", "Anomaly Detection", "Statistical Outlier Investigation", "2-4 days"),
+    ("pyod_ensemble", "HIGH", "Anomaly Detection", "Statistical Outlier Investigation", "2-4 days"),
+    ("reinforcement_learning", "MEDIUM", "Adaptive Analysis", "AI-Detected Behavioral Anomalies", "1 week"),
+    ("low_success", "MEDIUM", "Data Quality", "Improve Data Quality for Analysis", "2 weeks"),
+    ("always", "LOW", "Continuous Monitoring", "Establish Ongoing Statistical Monitoring", "1 month"),
+]
+
+LEVEL_ACTIONS = {
+    "critical": ["IMMEDIATE ACTION REQUIRED", "Halt processing and conduct emergency review",
+                 "Escalate to senior management and compliance team", "Consider external forensic audit"],
+    "high": ["Urgent review required within 24 hours", "Increase sampling and testing procedures", "Implement additional controls"],
+    "medium": ["Schedule detailed review within one week", "Monitor closely for trend development", "Consider additional testing"],
+    "low": ["Continue standard monitoring procedures", "Document findings for trend analysis"],
+}
+
+DIGIT_ADVICE = {
+    "first": "First digit distribution shows significant deviation from Benford's Law",
+    "second": "Second digit distribution suggests potential data manipulation",
+    "clear": "Data appears to conform well to Benford's Law",
+    "follow_up": ["Consider investigating transactions contributing to digit anomalies",
+                  "Review data collection and entry processes for potential issues"],
+}
+
 # Alert rules: name, metric, window seconds, statistic, comparison, bound, hold seconds, severity.
 ALERT_RULES = [
     ("ServiceDown", "up", 60, "min", "<=", 0.0, 60, "critical"),

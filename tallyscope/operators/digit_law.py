@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyscope.constants import CHI2_CRITICAL, ENGINE_CRITICAL
+from tallyscope.constants import CHI2_CRITICAL, DIGIT_ADVICE, ENGINE_CRITICAL
 from tallyscope.functions.chi2 import p_value, step_p_value
 from tallyscope.functions.digits import digit_pair, integer_digit, leading_two, significant_digit
 
@@ -255,6 +255,31 @@ def comprehensive(df: DataFrame, keys: Sequence[str], value: str, form: str = "e
     return both.withColumn("assessment", label)
 
 
+def digit_advice(df: DataFrame, keys: Sequence[str], value: str, form: str = "exact") -> DataFrame:
+    """Advice texts per group from the first- and second-digit results."""
+    keys = list(keys)
+    first = significant_test(df, keys, value).select(*keys, "significant")
+    worst = anomalous_digits(significant_table(df, keys, value), keys).where(F.col("rank") == 1)
+    worst = worst.select(*keys, F.col("digit").alias("_digit"), "deviation_percentage")
+    second = second_digit_overall(second_digit_test(df, keys, value, form=form), keys).select(*keys, "overall_conformity")
+    rows = first.join(worst, keys, "left").join(second, keys, "left")
+    top = F.concat(
+        F.lit("Digit "), F.col("_digit").cast("string"), F.lit(" shows highest deviation ("), F.format_string("%.1f", "deviation_percentage"), F.lit("%)")
+    )
+    one = F.when(F.col("significant") & F.col("_digit").isNotNull(), top)
+    texts = F.filter(
+        F.array(
+            F.when(F.col("significant"), DIGIT_ADVICE["first"]),
+            one,
+            F.when(F.coalesce("overall_conformity", F.lit("poor")).isin("questionable", "poor"), DIGIT_ADVICE["second"]),
+        ),
+        lambda t: t.isNotNull(),
+    )
+    more = F.array(*[F.lit(t) for t in DIGIT_ADVICE["follow_up"]])
+    done = F.when(F.size(texts) > 0, F.concat(texts, more)).otherwise(F.array(F.lit(DIGIT_ADVICE["clear"])))
+    return rows.select(*keys, done.alias("recommendations"))
+
+
 def two_digit_test(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Test over the 90 classes 10..99 of the leading two digits."""
     keys = list(keys)

@@ -11,12 +11,14 @@ from tallyscope.constants import (
     ADVICE_RULES,
     ANOMALY_SEVERITY_SCORE,
     FINDING_SEVERITY_SCORE,
+    LEVEL_ACTIONS,
     METHOD_CONFIDENCE,
     METHOD_STEPS,
     METHOD_WEIGHTS,
     NEXT_STEPS,
     OVERALL_RISK_WEIGHTS,
     PRIORITY_RANK,
+    RECOMMENDATIONS,
     SEVERITY_RANK,
 )
 from tallyscope.functions.scores import clamp, mapped, risk_level, title_case
@@ -266,6 +268,49 @@ def next_steps(session_risk: DataFrame, scores: DataFrame, key: str) -> DataFram
     return rows.select(key, F.explode(F.array_sort(F.array_distinct(F.concat(level, extra)))).alias("step"))
 
 
+def comprehensive_advice(session_risk: DataFrame, scores: DataFrame, key: str) -> DataFrame:
+    """Level and score lines, the methods above 0.7 in name order, and the actions of the level."""
+    high = scores.where(F.col("score") > 0.7).groupBy(key).agg(F.array_sort(F.collect_set("method")).alias("_m"))  # six methods at most
+    actions = None
+    for name, texts in LEVEL_ACTIONS.items():
+        arr = F.array(*[F.lit(t) for t in texts])
+        cond = F.col("risk_level") == name
+        actions = F.when(cond, arr) if actions is None else actions.when(cond, arr)
+    head = F.array(
+        F.concat(F.lit("Overall risk level: "), F.upper("risk_level")),
+        F.concat(F.lit("Comprehensive risk score: "), F.format_string("%.2f", "overall_risk_score")),
+    )
+    by = F.when(F.col("_m").isNotNull(), F.array(F.concat(F.lit("High risk detected by: "), F.array_join("_m", ", ")))).otherwise(
+        F.array().cast("array<string>")
+    )
+    return session_risk.join(high, key, "left").select(key, F.concat(head, by, actions).alias("recommendations"))
+
+
+def recommendations(session_risk: DataFrame, scores: DataFrame, success: DataFrame, key: str) -> DataFrame:
+    """Recommendations per session by trigger: severe level, method above 0.7, low success, always.
+
+    Triggers are turned into rows first and meet the small recommendation table by name.
+    """
+    dim = session_risk.sparkSession.createDataFrame(
+        RECOMMENDATIONS, "trigger string, priority string, category string, title string, timeline string"
+    )
+    fired = (
+        session_risk.where(F.col("risk_level").isin("critical", "high")).select(key, F.lit("severe_level").alias("trigger"))
+        .unionByName(scores.where(F.col("score") > 0.7).select(key, F.col("method").alias("trigger")))
+        .unionByName(success.where(F.col("success_rate") < 0.8).select(key, F.lit("low_success").alias("trigger")))
+        .unionByName(session_risk.select(key, F.lit("always").alias("trigger")))
+    )
+    return prioritized(fired.join(F.broadcast(dim), "trigger"), [key], tie="trigger")
+
+
+def scorecards(parts: Sequence[DataFrame], key: str) -> DataFrame:
+    """One row per key with the scores of every part that has it."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, key, "left")
+    return out
+
+
 def prioritized(recommendations: DataFrame, keys: Sequence[str], priority: str = "priority", tie: str = "title") -> DataFrame:
     """Recommendations with their rank: CRITICAL, HIGH, MEDIUM, LOW, then title."""
     return scan(recommendations, keys, [mapped(F.col(priority), PRIORITY_RANK, 4), F.col(tie)], number="rank")

@@ -280,6 +280,25 @@ def b9(spark, d):
     return rounded(out.select("category", "deviation_score", "mean_p", "overall_compliance_score", "overall_conformity", "assessment"))
 
 
+@query(
+    "r11_digit_advice",
+    f"""WITH {_digit_table_sql(NONZERO, 'category', SIG, FIRST)}, {_second_sql('category')},
+    x AS (SELECT category, sum(pow(n - greatest(expected * total, 0.5), 2) / greatest(expected * total, 0.5)) AS chi FROM t WHERE total >= 10 GROUP BY 1),
+    f AS (SELECT category, CASE WHEN chi > 1400 THEN 0 ELSE {EVEN_P} END < 0.05 AS sig FROM x),
+    w AS (SELECT category, digit, abs(deviation) / expected * 100 AS pct, row_number() OVER (PARTITION BY category ORDER BY round(abs(deviation), 9) DESC, digit) AS r FROM t WHERE abs(deviation) > 0.02),
+    s AS (SELECT category, avg(CASE conformity WHEN 'good' THEN 3 WHEN 'acceptable' THEN 2 WHEN 'questionable' THEN 1 ELSE 0 END) AS ms FROM pg GROUP BY 1),
+    o AS (SELECT f.category, concat_ws('|', CASE WHEN sig THEN 'First digit distribution shows significant deviation from Benford''s Law' END,
+                 CASE WHEN sig AND digit IS NOT NULL THEN 'Digit ' || digit || ' shows highest deviation (' || format('{{:.1f}}', pct) || '%)' END,
+                 CASE WHEN coalesce(ms, 0) < 1.5 THEN 'Second digit distribution suggests potential data manipulation' END) AS a
+          FROM f LEFT JOIN w ON w.category = f.category AND r = 1 LEFT JOIN s ON s.category = f.category)
+    SELECT category, CASE WHEN a = '' THEN 'Data appears to conform well to Benford''s Law' ELSE a || '|Consider investigating transactions contributing to digit anomalies|Review data collection and entry processes for potential issues' END AS advice FROM o""",
+    ["activity"],
+)
+def r11_digits(spark, d):
+    out = dl.digit_advice(v.activity(spark, d), ["category"], "amount")
+    return out.select("category", F.array_join("recommendations", "|").alias("advice"))
+
+
 @query(
     "b10_newcomb",
     f"""WITH {_digit_table_sql(NONZERO, 'account_id', D1, FIRST)},

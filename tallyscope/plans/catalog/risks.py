@@ -11,7 +11,8 @@ from tallyscope.operators import risk as rk
 from tallyscope.plans import views as v
 from tallyscope.plans.catalog.ledgers import r
 from tallyscope.plans.catalog.measures import rounded
-from tallyscope.plans.catalog.rules import CONTROLS_SQL, controls
+from tallyscope.plans.catalog.rules import COLUMNS as RULE_COLUMNS
+from tallyscope.plans.catalog.rules import CONTROLS_SQL, RATES_SQL, controls
 from tallyscope.plans.registry import query
 
 FR = """least(greatest((CASE severity WHEN 'critical' THEN 0.9 WHEN 'high' THEN 0.7 WHEN 'medium' THEN 0.5 ELSE 0.3 END
@@ -329,6 +330,40 @@ def u3(spark, d):
     return rk.next_steps(rk.method_risk(scores, ["session_id"]), scores, "session_id")
 
 
+LEVEL_SQL = """CASE risk_level WHEN 'critical' THEN 'IMMEDIATE ACTION REQUIRED|Halt processing and conduct emergency review|Escalate to senior management and compliance team|Consider external forensic audit'
+    WHEN 'high' THEN 'Urgent review required within 24 hours|Increase sampling and testing procedures|Implement additional controls'
+    WHEN 'medium' THEN 'Schedule detailed review within one week|Monitor closely for trend development|Consider additional testing' ELSE 'Continue standard monitoring procedures|Document findings for trend analysis' END"""
+
+
+@query(
+    "r11_comprehensive_advice",
+    f"""WITH {MR_SQL}, h AS (SELECT session_id, string_agg(method, ', ' ORDER BY method) AS m FROM msc WHERE score > 0.7 GROUP BY 1)
+    SELECT session_id, concat_ws('|', 'Overall risk level: ' || upper(risk_level), 'Comprehensive risk score: ' || format('{{:.2f}}', overall), 'High risk detected by: ' || m, {LEVEL_SQL}) AS advice FROM ml LEFT JOIN h USING (session_id)""",
+    ["activity"],
+)
+def r11_comprehensive(spark, d):
+    scores = method_scores(spark, d)
+    out = rk.comprehensive_advice(rk.method_risk(scores, ["session_id"]), scores, "session_id")
+    return out.select("session_id", F.array_join("recommendations", "|").alias("advice"))
+
+
+@query(
+    "r11_recommendations",
+    f"""WITH {MR_SQL}, q(trigger_name, priority, title) AS (VALUES ('severe_level', 'CRITICAL', 'Emergency Review Required'), ('benford_1', 'HIGH', 'Benford''s Law Deviation Investigation'), ('benford_2', 'HIGH', 'Benford''s Law Deviation Investigation'),
+        ('isolation_forest', 'HIGH', 'Statistical Outlier Investigation'), ('pyod_ensemble', 'HIGH', 'Statistical Outlier Investigation'), ('reinforcement_learning', 'MEDIUM', 'AI-Detected Behavioral Anomalies'),
+        ('low_success', 'MEDIUM', 'Improve Data Quality for Analysis'), ('always', 'LOW', 'Establish Ongoing Statistical Monitoring')),
+    f AS (SELECT session_id, 'severe_level' AS trigger_name FROM ml WHERE risk_level IN ('critical', 'high') UNION ALL SELECT session_id, method FROM msc WHERE score > 0.7
+          UNION ALL SELECT session_id, 'low_success' FROM ml WHERE methods_used / 6.0::DOUBLE < 0.8 UNION ALL SELECT session_id, 'always' FROM ml)
+    SELECT session_id, priority, title, row_number() OVER (PARTITION BY session_id ORDER BY CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, trigger_name) AS rank FROM f JOIN q USING (trigger_name)""",
+    ["activity"],
+)
+def r11_recommendations(spark, d):
+    scores = method_scores(spark, d)
+    success = scores.groupBy("session_id").agg((F.count(F.lit(1)) / F.lit(6.0)).alias("success_rate"))
+    out = rk.recommendations(rk.method_risk(scores, ["session_id"]), scores, success, "session_id")
+    return out.select("session_id", "priority", "title", "rank")
+
+
 @query(
     "t7_prioritized",
     """
@@ -450,14 +485,47 @@ def w11(spark, d):
     return rounded(ra.latest_per(v.statements(spark, d), ["supplier_id"], "fiscal_year", "revenue", "total_assets"), revenue=4, total_assets=2)
 
 
+BY_SUPPLIER = RATES_SQL.replace("session_id", "supplier_id")
+
+
 @query(
     "r18_scorecards",
+    f"""WITH {COMPANY_SQL}, {BY_SUPPLIER},
+    lt AS (SELECT supplier_id, arg_max(least(credit, 1), fiscal_year) AS credit_risk, arg_max(least(operational, 1), fiscal_year) AS operational_risk, arg_max(least(market, 1), fiscal_year) AS market_risk FROM sc GROUP BY 1),
+    fr AS (SELECT supplier_id, max(compliance_rate) FILTER (regulation = 'SOX') AS sox, max(compliance_rate) FILTER (regulation = 'GAAP') AS gaap, max(compliance_rate) FILTER (regulation = 'IFRS') AS ifrs, avg(compliance_rate) AS mean_rate FROM rates GROUP BY 1),
+    rd AS (SELECT supplier_id, count(*) FILTER (amount % 100 = 0) / CAST(count(*) AS DOUBLE) AS fraud_risk FROM ledger GROUP BY 1)
+    SELECT supplier_id, credit_risk, operational_risk, market_risk, round(1 - mean_rate, 6) AS compliance_risk, round(fraud_risk, 6) AS fraud_risk, round(sox * 100, 6) AS sox_score, round(gaap * 100, 6) AS gaap_compliance, round(ifrs * 100, 6) AS ifrs_compliance,
+           round((credit_risk + operational_risk + market_risk + (1 - mean_rate) + fraud_risk) / 5, 6) AS overall_risk_score FROM lt JOIN fr USING (supplier_id) JOIN rd USING (supplier_id)""",
+    ["statements", "ledger"],
+)
+def r18(spark, d):
+    scored = ra.market_risk(ra.operational_risk(ra.credit_risk(company(spark, d))))
+    latest = ra.latest_per(scored, ["supplier_id"], "fiscal_year", "credit_risk_score", "operational_risk_score", "market_risk_score")
+    latest = latest.select("supplier_id", *[F.col(f"{c}_risk_score").alias(f"{c}_risk") for c in ("credit", "operational", "market")])
+    rows = v.ledger(spark, d, *[c for c in RULE_COLUMNS if c != "session_id"], "supplier_id", "amount")
+    rates = co.framework_rates(rows, ["supplier_id"], amount="gross")
+    names = (("sox_score", "SOX"), ("gaap_compliance", "GAAP"), ("ifrs_compliance", "IFRS"))
+    by_framework = rates.groupBy("supplier_id").agg(
+        (1 - F.avg("compliance_rate")).alias("compliance_risk"),
+        *[F.max(F.when(F.col("regulation") == f, F.col("compliance_rate") * 100)).alias(n) for n, f in names],
+    )
+    fraud = rows.groupBy("supplier_id").agg((F.count_if(F.col("amount") % 100 == 0) / F.count(F.lit(1))).alias("fraud_risk"))
+    out = rk.scorecards([latest, by_framework, fraud], "supplier_id")
+    parts = ("credit_risk", "operational_risk", "market_risk", "compliance_risk", "fraud_risk")
+    total = F.lit(0.0)
+    for p in parts:
+        total = total + F.col(p)
+    return rounded(out.withColumn("overall_risk_score", total / 5))
+
+
+@query(
+    "r18_session_scores",
     f"""WITH {PORT_SQL}, {CONTROLS_SQL}, cs2 AS (SELECT company AS session_id, greatest(100 - 20 * ((NOT ceo_certification)::INT + (NOT cfo_certification)::INT + (NOT icfr_assessment)::INT + (disclosure_days > 4)::INT), 0) AS sox_score FROM ctl),
     vr AS (SELECT account_id AS session_id, round(count(*) FILTER (k < 10) / CAST(count(*) AS DOUBLE), 6) AS fraud_risk FROM activity GROUP BY 1)
     SELECT session_id, round(portfolio_risk_score, 6) AS overall_risk_score, CAST(sox_score AS INTEGER) AS sox_score, fraud_risk FROM pf JOIN cs2 USING (session_id) JOIN vr USING (session_id)""",
     ["findings", "anomalies", "activity"],
 )
-def r18(spark, d):
+def r18_sessions(spark, d):
     p = rk.portfolio(*_fa(spark, d), ["session_id"]).select("session_id", r("portfolio_risk_score").alias("overall_risk_score"))
     c = co.company_controls(controls(spark, d)).select(F.col("company").alias("session_id"), F.col("compliance_score").alias("sox_score"))
     a = v.activity(spark, d).groupBy(F.col("account_id").alias("session_id")).agg(r(F.count_if(F.col("k") < 10) / F.count(F.lit(1))).alias("fraud_risk"))
