@@ -296,19 +296,19 @@ WEIGHT_SQL = "CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN '
 @query(
     "x6_verdicts",
     f"""WITH {_hits_sql()}, a AS (SELECT doc_id, count(*) AS n, least(avg({WEIGHT_SQL} * confidence), 1) AS risk, bool_or(severity = 'critical') AS crit FROM h GROUP BY 1)
-    SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS violations, round(coalesce(risk, 0), 6) AS risk_score, coalesce(risk, 0) < 0.3 AND NOT coalesce(crit, false) AS is_safe FROM documents LEFT JOIN a USING (doc_id)""",
+    SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS violations, round(coalesce(risk, 0), 9) AS risk_score, coalesce(risk, 0) < 0.3 AND NOT coalesce(crit, false) AS is_safe FROM documents LEFT JOIN a USING (doc_id)""",
 )
 def x6(spark, d):
-    return rounded(sf.verdicts(_texts(spark, d), ["doc_id"], "text"))
+    return rounded(sf.verdicts(_texts(spark, d), ["doc_id"], "text"), 9)
 
 
 @query(
     "r17_security_risk",
-    f"""WITH {_hits_sql()}, a AS (SELECT lang, h.* FROM h JOIN documents USING (doc_id)) SELECT lang, count(*) AS violations, round(least(avg({WEIGHT_SQL} * confidence), 1), 6) AS risk_score,
+    f"""WITH {_hits_sql()}, a AS (SELECT lang, h.* FROM h JOIN documents USING (doc_id)) SELECT lang, count(*) AS violations, round(least(avg({WEIGHT_SQL} * confidence), 1), 9) AS risk_score,
         bool_or(severity = 'critical') AS has_critical, least(avg({WEIGHT_SQL} * confidence), 1) < 0.3 AND NOT bool_or(severity = 'critical') AS is_safe FROM a GROUP BY lang""",
 )
 def r17(spark, d):
-    return rounded(sf.risk_rollup(sf.hits(v.spread_table(spark, d, "documents"), ["lang"], "text"), ["lang"]))
+    return rounded(sf.risk_rollup(sf.hits(v.spread_table(spark, d, "documents"), ["lang"], "text"), ["lang"]), 9)
 
 
 @query(

@@ -647,11 +647,11 @@ def a18(spark, d):
 @query(
     "a19_score_statistics",
     f"""WITH {SCORED_SQL} SELECT lang, round(avg(CAST(predicted AS DOUBLE)), 6) AS anomaly_rate, max(score) AS max_score, min(score) AS min_score, round(stddev_pop(score), 6) AS score_std,
-        round(coalesce(avg(score) FILTER (predicted = 1), 0), 6) AS mean_anomaly_score, round(coalesce(avg(score) FILTER (predicted = 0), 0), 6) AS mean_normal_score,
-        round(coalesce(avg(score) FILTER (predicted = 1) - avg(score) FILTER (predicted = 0), 0), 6) AS score_separation FROM t GROUP BY lang""",
+        round(coalesce(avg(score) FILTER (predicted = 1), 0), 9) AS mean_anomaly_score, round(coalesce(avg(score) FILTER (predicted = 0), 0), 9) AS mean_normal_score,
+        round(coalesce(avg(score) FILTER (predicted = 1) - avg(score) FILTER (predicted = 0), 0), 9) AS score_separation FROM t GROUP BY lang""",
 )
 def a19(spark, d):
-    return rounded(evaluation.score_statistics(scored(spark, d), ["lang"], "predicted", "score"))
+    return rounded(evaluation.score_statistics(scored(spark, d), ["lang"], "predicted", "score"), mean_anomaly_score=9, mean_normal_score=9, score_separation=9)
 
 
 @query(
@@ -668,10 +668,10 @@ def s16(spark, d):
 @query(
     "o23_decision_summary",
     f"""WITH {SCORED_SQL}, x AS (SELECT *, CASE WHEN predicted = 1 AND quality = 1 THEN 10 WHEN predicted = 0 AND quality = 0 THEN 1 WHEN predicted = 1 THEN -5 ELSE -20 END / 20.0::DOUBLE AS reward FROM t)
-    SELECT lang, count(*) AS total, count(*) FILTER (predicted = 1) AS total_flags, round(avg(CAST(predicted AS DOUBLE)), 6) AS flag_rate, round(avg(reward), 6) AS average_reward,
-           round(least(abs(avg(reward)), 1), 6) AS convergence, round(0.5 + 0.3 * least(abs(avg(reward)), 1), 6) AS adaptive_threshold FROM x GROUP BY lang""",
+    SELECT lang, count(*) AS total, count(*) FILTER (predicted = 1) AS total_flags, round(avg(CAST(predicted AS DOUBLE)), 6) AS flag_rate, round(avg(reward), 9) AS average_reward,
+           round(least(abs(avg(reward)), 1), 9) AS convergence, round(0.5 + 0.3 * least(abs(avg(reward)), 1), 9) AS adaptive_threshold FROM x GROUP BY lang""",
 )
 def o23(spark, d):
     p, y = F.col("predicted") == 1, F.col("quality") == 1
     reward = F.when(p & y, 10).when(~p & ~y, 1).when(p, -5).otherwise(-20) / F.lit(20.0)
-    return rounded(evaluation.decision_summary(scored(spark, d).withColumn("reward", reward), ["lang"], "predicted", "reward"))
+    return rounded(evaluation.decision_summary(scored(spark, d).withColumn("reward", reward), ["lang"], "predicted", "reward"), average_reward=9, convergence=9, adaptive_threshold=9)

@@ -66,12 +66,12 @@ def a15(spark, d):
 
 @query(
     "r6_portfolio_risk",
-    f"""WITH {PORT_SQL} SELECT session_id, finding_count, anomaly_count, round(max_finding_risk, 6) AS max_finding_risk, round(avg_finding_risk, 6) AS avg_finding_risk, round(max_anomaly_risk, 6) AS max_anomaly_risk,
-        round(avg_anomaly_risk, 6) AS avg_anomaly_risk, round(concentration_risk, 6) AS concentration_risk, round(portfolio_risk_score, 6) AS portfolio_risk_score, {CALC.format(x='portfolio_risk_score')} AS risk_level FROM pf""",
+    f"""WITH {PORT_SQL} SELECT session_id, finding_count, anomaly_count, round(max_finding_risk, 6) AS max_finding_risk, round(avg_finding_risk, 9) AS avg_finding_risk, round(max_anomaly_risk, 6) AS max_anomaly_risk,
+        round(avg_anomaly_risk, 9) AS avg_anomaly_risk, round(concentration_risk, 6) AS concentration_risk, round(portfolio_risk_score, 9) AS portfolio_risk_score, {CALC.format(x='portfolio_risk_score')} AS risk_level FROM pf""",
     FA,
 )
 def r6(spark, d):
-    return rounded(rk.portfolio(*_fa(spark, d), ["session_id"]))
+    return rounded(rk.portfolio(*_fa(spark, d), ["session_id"]), avg_finding_risk=9, avg_anomaly_risk=9, portfolio_risk_score=9)
 
 
 @query(
@@ -105,12 +105,12 @@ def t2(spark, d):
     "a11_anomaly_summary",
     """
     SELECT session_id, count(*) AS total_anomalies, count(*) FILTER (confidence > 0.8) AS high_confidence_count, count(*) FILTER (type = 'statistical_deviation') AS statistical_anomalies,
-           count(*) FILTER (type = 'rl_anomaly') AS rl_detected_anomalies, round(avg(confidence), 6) AS avg_confidence FROM anomalies GROUP BY session_id
+           count(*) FILTER (type = 'rl_anomaly') AS rl_detected_anomalies, round(avg(confidence), 9) AS avg_confidence FROM anomalies GROUP BY session_id
     """,
     ["anomalies"],
 )
 def a11(spark, d):
-    return rounded(rk.anomaly_totals(v.anomalies(spark, d), ["session_id"]))
+    return rounded(rk.anomaly_totals(v.anomalies(spark, d), ["session_id"]), 9)
 
 
 @query(
@@ -184,7 +184,7 @@ def steps(spark, d):
 @query(
     "r16_session_rollup",
     f"""WITH {SIGNAL_SQL}, {STATUS_SQL}, {STEP_SQL}, pr AS (SELECT session_id, count(DISTINCT step) AS steps_completed FROM stp GROUP BY 1)
-    SELECT pf.session_id, finding_count AS findings, f AS severe_findings, round(portfolio_risk_score, 6) AS risk_score, compliance_status, CAST(coalesce(steps_completed, 0) AS INTEGER) AS steps_completed,
+    SELECT pf.session_id, finding_count AS findings, f AS severe_findings, round(portfolio_risk_score, 9) AS risk_score, compliance_status, CAST(coalesce(steps_completed, 0) AS INTEGER) AS steps_completed,
            round(coalesce(steps_completed, 0) / 9.0::DOUBLE * 100, 6) AS progress_percentage FROM pf JOIN sg USING (session_id) LEFT JOIN st USING (session_id) LEFT JOIN pr USING (session_id)""",
     ["findings", "anomalies", "activity"],
 )
@@ -193,7 +193,7 @@ def r16(spark, d):
 
     pr = progress(steps(spark, d), ["session_id"], "step", "ts").drop("current_step")
     out = _signals(spark, d).join(rk.compliance_status(v.findings(spark, d), ["session_id"]), "session_id", "left").join(pr, "session_id", "left")
-    return out.select("session_id", F.col("finding_count").alias("findings"), "severe_findings", r("portfolio_risk_score").alias("risk_score"), "compliance_status",
+    return out.select("session_id", F.col("finding_count").alias("findings"), "severe_findings", r("portfolio_risk_score", 9).alias("risk_score"), "compliance_status",
                       F.coalesce("steps_completed", F.lit(0)).alias("steps_completed"), r(F.coalesce("progress_percentage", F.lit(0.0))).alias("progress_percentage"))
 
 
@@ -215,19 +215,19 @@ def method_scores(spark, d):
     )
 
 
-@query("r1_method_risk", f"WITH {MR_SQL} SELECT session_id, round(overall, 6) AS overall_risk_score, round(conf, 6) AS confidence_score, methods_used, risk_level FROM ml", ["activity"])
+@query("r1_method_risk", f"WITH {MR_SQL} SELECT session_id, round(overall, 9) AS overall_risk_score, round(conf, 9) AS confidence_score, methods_used, risk_level FROM ml", ["activity"])
 def r1(spark, d):
-    return rounded(rk.method_risk(method_scores(spark, d), ["session_id"]))
+    return rounded(rk.method_risk(method_scores(spark, d), ["session_id"]), 9)
 
 
 @query(
     "r2_composite_score",
-    f"WITH {SCORES_SQL}, {WEIGHTS_SQL} SELECT session_id, round(least(greatest(CASE WHEN abs(sum(w) - 1) > 0.01 THEN sum(score * w) / sum(w) ELSE sum(score * w) END, 0), 1), 6) AS composite_score FROM msc JOIN wt USING (method) GROUP BY 1",
+    f"WITH {SCORES_SQL}, {WEIGHTS_SQL} SELECT session_id, round(least(greatest(CASE WHEN abs(sum(w) - 1) > 0.01 THEN sum(score * w) / sum(w) ELSE sum(score * w) END, 0), 1), 9) AS composite_score FROM msc JOIN wt USING (method) GROUP BY 1",
     ["activity"],
 )
 def r2(spark, d):
     rows = method_scores(spark, d).join(F.broadcast(rk.method_dimension(spark)), "method")
-    return rounded(rk.composite(rows, ["session_id"], "score", "weight"))
+    return rounded(rk.composite(rows, ["session_id"], "score", "weight"), 9)
 
 
 @query(
@@ -265,14 +265,14 @@ def r4(spark, d):
 
 @query(
     "r10_generated_findings",
-    f"""WITH {MR_SQL} SELECT session_id AS audit_session_id, 'Statistical Analysis' AS category, risk_level AS severity, 'Comprehensive Statistical Anomaly Analysis' AS title, 'SOX Section 404, PCAOB AS 2201' AS regulatory_reference, round(conf, 6) AS confidence_score FROM ml
-    UNION ALL SELECT session_id, 'Statistical Analysis - ' || nm, CASE WHEN score > 0.8 THEN 'high' ELSE 'medium' END, 'High Risk Detected by ' || nm, 'PCAOB AS 2301 - Audit Evidence', round(score, 6)
+    f"""WITH {MR_SQL} SELECT session_id AS audit_session_id, 'Statistical Analysis' AS category, risk_level AS severity, 'Comprehensive Statistical Anomaly Analysis' AS title, 'SOX Section 404, PCAOB AS 2201' AS regulatory_reference, round(conf, 9) AS confidence_score FROM ml
+    UNION ALL SELECT session_id, 'Statistical Analysis - ' || nm, CASE WHEN score > 0.8 THEN 'high' ELSE 'medium' END, 'High Risk Detected by ' || nm, 'PCAOB AS 2301 - Audit Evidence', round(score, 9)
     FROM msc JOIN (VALUES ('benford_1', 'Benford 1'), ('benford_2', 'Benford 2'), ('zipf', 'Zipf'), ('isolation_forest', 'Isolation Forest'), ('pyod_ensemble', 'Pyod Ensemble'), ('reinforcement_learning', 'Reinforcement Learning')) t(method, nm) USING (method) WHERE score > 0.7""",
     ["activity"],
 )
 def r10(spark, d):
     scores = method_scores(spark, d)
-    return rounded(rk.generated_findings(rk.method_risk(scores, ["session_id"]), scores, "session_id"))
+    return rounded(rk.generated_findings(rk.method_risk(scores, ["session_id"]), scores, "session_id"), 9)
 
 
 @query(
@@ -522,11 +522,11 @@ def r18(spark, d):
     "r18_session_scores",
     f"""WITH {PORT_SQL}, {CONTROLS_SQL}, cs2 AS (SELECT company AS session_id, greatest(100 - 20 * ((NOT ceo_certification)::INT + (NOT cfo_certification)::INT + (NOT icfr_assessment)::INT + (disclosure_days > 4)::INT), 0) AS sox_score FROM ctl),
     vr AS (SELECT account_id AS session_id, round(count(*) FILTER (k < 10) / CAST(count(*) AS DOUBLE), 6) AS fraud_risk FROM activity GROUP BY 1)
-    SELECT session_id, round(portfolio_risk_score, 6) AS overall_risk_score, CAST(sox_score AS INTEGER) AS sox_score, fraud_risk FROM pf JOIN cs2 USING (session_id) JOIN vr USING (session_id)""",
+    SELECT session_id, round(portfolio_risk_score, 9) AS overall_risk_score, CAST(sox_score AS INTEGER) AS sox_score, fraud_risk FROM pf JOIN cs2 USING (session_id) JOIN vr USING (session_id)""",
     ["findings", "anomalies", "activity"],
 )
 def r18_sessions(spark, d):
-    p = rk.portfolio(*_fa(spark, d), ["session_id"]).select("session_id", r("portfolio_risk_score").alias("overall_risk_score"))
+    p = rk.portfolio(*_fa(spark, d), ["session_id"]).select("session_id", r("portfolio_risk_score", 9).alias("overall_risk_score"))
     c = co.company_controls(controls(spark, d)).select(F.col("company").alias("session_id"), F.col("compliance_score").alias("sox_score"))
     a = v.activity(spark, d).groupBy(F.col("account_id").alias("session_id")).agg(r(F.count_if(F.col("k") < 10) / F.count(F.lit(1))).alias("fraud_risk"))
     return p.join(c, "session_id").join(a, "session_id")
