@@ -44,7 +44,7 @@ def similar_amounts(df: DataFrame, keys: Sequence[str], amount: str, share: floa
     """
     keys = list(keys)
     money = F.col(amount).cast("decimal(20,2)")
-    counts = df.groupBy(*keys, money.alias("_a")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = reliable(df.groupBy(*keys, money.alias("_a")).agg(F.count(F.lit(1)).alias("_c")))
     tol = (F.col("_a") * F.lit(share).cast("decimal(6,4)")).cast("decimal(26,6)")
     a = F.col("_a").cast("decimal(26,6)")
     # kind orders equal positions: lower probe, the amount itself, upper probe
@@ -55,7 +55,7 @@ def similar_amounts(df: DataFrame, keys: Sequence[str], amount: str, share: floa
     )
     points = counts.select(*keys, "_a", F.explode(marks).alias("m")).select(*keys, "_a", "m.*")
     order = [F.col("x"), F.col("kind"), F.col("_a")]
-    run = scan(reliable(points), keys, order, sums={"_upto": "add"})
+    run = scan(points, keys, order, sums={"_upto": "add"})
     both = run.groupBy(*keys, "_a").agg(
         F.max(F.when(F.col("kind") == 0, F.col("_upto"))).alias("_lo"), F.max(F.when(F.col("kind") == 2, F.col("_upto"))).alias("_hi")
     )

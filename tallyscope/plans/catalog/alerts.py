@@ -103,7 +103,14 @@ def st4(spark, d):
     return rounded(out.select(secs(), "n", "rate"))
 
 
-@query("st5_slow_windows")
+@query(
+    "st5_slow_windows",
+    """
+    SELECT floor(epoch_us(ts) / 21600000000)::BIGINT * 21600 AS window_start, category, quantile_disc(amount, 0.95) AS p95, count(*) AS n
+    FROM activity GROUP BY 1, 2 HAVING quantile_disc(amount, 0.95) > 30
+    """,
+    ["activity"],
+)
 def st5(spark, d):
     return al.slow_windows(v.activity(spark, d), "ts", "amount", 30.0, ["category"], "6 hours").select(secs(), "category", "p95", "n")
 

@@ -43,6 +43,39 @@ def f1(spark, d):
     )
 
 
+PLAIN_TEXT = "CAST(CAST(abs(amount) AS DECIMAL(28,10)) AS VARCHAR)"
+WHOLE_TEXT = "CAST(CAST(trunc(abs(amount)) AS BIGINT) AS VARCHAR)"
+
+
+@query("f2_significant_digit", f"SELECT category, CAST(regexp_extract({PLAIN_TEXT}, '[1-9]') AS INTEGER) AS digit, count(*) AS n FROM activity WHERE amount <> 0 GROUP BY ALL", ["activity"])
+def f2(spark, d):
+    return dl.digit_counts(v.activity(spark, d), ["category"], dg.significant_digit(F.col("amount")))
+
+
+@query(
+    "f3_second_digit",
+    f"SELECT category, CAST(substr({WHOLE_TEXT}, 2, 1) AS INTEGER) AS digit, count(*) AS n FROM activity WHERE amount <> 0 AND length({WHOLE_TEXT}) >= 2 GROUP BY ALL",
+    ["activity"],
+)
+def f3(spark, d):
+    return dl.digit_counts(v.activity(spark, d), ["category"], dg.integer_digit(F.col("amount"), 2))
+
+
+@query(
+    "f4_digit_pairs",
+    f"SELECT category, left(replace({PLAIN_TEXT}, '.', ''), 2) AS pair, count(*) AS n FROM activity WHERE amount <> 0 AND left({PLAIN_TEXT}, 1) <> '0' GROUP BY ALL",
+    ["activity"],
+)
+def f4(spark, d):
+    rows = v.activity(spark, d).select("category", dg.digit_pair(F.col("amount")).alias("p")).where(F.col("p").isNotNull())
+    return rows.groupBy("category", F.concat(F.col("p.d1").cast("string"), F.col("p.d2").cast("string")).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f5_text_digit", "SELECT account_code, CAST(left(CAST(amount AS VARCHAR), 1) AS INTEGER) AS digit, count(*) AS n FROM ledger GROUP BY ALL", ["ledger"])
+def f5(spark, d):
+    return dl.digit_counts(v.ledger(spark, d, "account_code", "amount"), ["account_code"], dg.text_digit(F.col("amount")))
+
+
 def _digit_table_sql(source, key, digit, dims):
     """CTEs c (counts) and t (digit table) for a digit expression and its dimension."""
     return f"""
