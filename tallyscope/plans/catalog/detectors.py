@@ -11,10 +11,11 @@ from tallyscope.operators import forest as fo
 from tallyscope.operators import neighbours as ne
 from tallyscope.operators.quantiles import exact_percentiles
 from tallyscope.plans import views as v
+from tallyscope.plans.catalog.laws import NONZERO, THREE, _significant_sql
 from tallyscope.plans.catalog.ledgers import r
 from tallyscope.plans.catalog.measures import rounded
 from tallyscope.plans.catalog.risks import SCORES_SQL, method_scores
-from tallyscope.plans.registry import query
+from tallyscope.plans.registry import ORACLES, query
 from tallyscope.session import reliable, scratch_path
 from tallyscope.sources import files, models, tables
 
@@ -395,9 +396,25 @@ def d2(spark, d):
     return en.detect(simple_features(spark, d), "id", SIMPLE, ["iforest", "ocsvm"])
 
 
-@query("d4_analysis_bundle")
+def _bundle_sql():
+    """The four analyses of the bundle from their own SQL, as (category, metric, value, analysis) rows."""
+    parts = {
+        "benford": (_significant_sql(NONZERO, "category", THREE), "conformity"),
+        "descriptive": (ORACLES["a5_descriptive"], None),
+        "outliers": (ORACLES["o1_iqr_outliers"], None),
+        "distribution": (ORACLES["o5_jarque_bera"], None),
+    }
+    out = []
+    for name, (sql, text) in parts.items():
+        skip = f"category, {text}" if text else "category"
+        numbers = f"SELECT category, CAST(COLUMNS(* EXCLUDE ({skip})) AS DOUBLE) FROM ({sql})"
+        out.append(f"SELECT category, metric, round(value, 2) AS value, '{name}' AS analysis FROM (UNPIVOT ({numbers}) ON COLUMNS(* EXCLUDE (category)) INTO NAME metric VALUE value)")
+    return " UNION ALL ".join(out)
+
+
+@query("d4_analysis_bundle", _bundle_sql(), ["activity"])
 def d4(spark, d):
-    return en.analyze(v.activity(spark, d), ["category"], "amount")
+    return rounded(en.analyze(v.activity(spark, d), ["category"], "amount"), 2)
 
 
 @query(
