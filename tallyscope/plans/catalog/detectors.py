@@ -408,13 +408,16 @@ def _bundle_sql():
     for name, (sql, text) in parts.items():
         skip = f"category, {text}" if text else "category"
         numbers = f"SELECT category, CAST(COLUMNS(* EXCLUDE ({skip})) AS DOUBLE) FROM ({sql})"
-        out.append(f"SELECT category, metric, round(value, 2) AS value, '{name}' AS analysis FROM (UNPIVOT ({numbers}) ON COLUMNS(* EXCLUDE (category)) INTO NAME metric VALUE value)")
+        out.append(f"SELECT category, metric, value, '{name}' AS analysis FROM (UNPIVOT ({numbers}) ON COLUMNS(* EXCLUDE (category)) INTO NAME metric VALUE value)")
     return " UNION ALL ".join(out)
 
 
 @query("d4_analysis_bundle", _bundle_sql(), ["activity"])
 def d4(spark, d):
-    return rounded(en.analyze(v.activity(spark, d), ["category"], "amount"), 2)
+    # the digits each part's own SQL keeps
+    value, metric = F.col("value"), F.col("metric")
+    kept = F.when(metric.isin("variance", "chi_square"), F.round(value, 4)).when(metric == "jarque_bera", F.round(value, 3)).otherwise(F.round(value, 6))
+    return en.analyze(v.activity(spark, d), ["category"], "amount").withColumn("value", kept)
 
 
 @query(
