@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import mixing, quality_rules, simhash
+import public_tokenizers
+from tallyscope.llm import mixing, ngram_model, packing, quality_rules, simhash
 from tallyscope.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -25,6 +26,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "mix.size", "mix.source_size", "mix.target", (size * copies).alias("taken"))
 
 
+@query("op3_ngram_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_model.held_out(F.col("doc_id"), 10)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram_model.train(docs.where(~out))
+    return ngram_model.score(docs.withColumn("held_out", out), model)
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
