@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyscope.llm import mixing, ngram_model, packing, quality_rules, secret_scan, simhash
+from tallyscope.llm import language_id, mixing, ngram_model, packing, quality_rules, secret_scan, simhash
 from tallyscope.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -59,3 +59,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_model.held_out(F.col("doc_id"), 5)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pieces = language_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = language_id.learn(docs.where(~out), pieces)
+    return language_id.predict(docs.select("doc_id", out.alias("held_out"), "text"), model)
