@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyscope.llm import language_id, mixing, ngram_model, packing, quality_rules, secret_scan, simhash
+from tallyscope.llm import language_id, line_quality, mixing, ngram_model, packing, quality_rules, secret_scan, simhash
 from tallyscope.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -55,6 +55,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
+@query("op8_line_crf_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_model.held_out(F.col("doc_id"), 5)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_quality.learn(docs, table(spark, sf_dir, "labels").where(~out))
+    rows = line_quality.scored(docs.select("doc_id", out.alias("held_out"), "text"), model)
+    return rows.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
