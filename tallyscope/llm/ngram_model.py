@@ -34,7 +34,7 @@ from tallyscope.llm import textscan as ts
 from tallyscope.llm.storage import opened, shared_folder, stored, write_once
 
 END, START = ts.mix(np.array([1, 2], np.uint64))
-BUFFER = 2_000_000  # items that a map task holds before it sends them
+BUFFER = 1_500_000  # items that a map task holds before it sends them
 WORD_FIELDS = ("count", "before", "after1", "after2", "after3")  # before: different words before; afterK: followers seen K (3: or more) times
 _BLOB = "shard int, kind string, blob binary"
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyscope.llm import language_id, line_quality, mixing, ngram_model, packing, quality_rules, secret_scan, simhash
+from tallyscope.llm import language_id, line_quality, mixing, ngram_model, packing, quality_rules, secret_scan, simhash, topk, warc
 from tallyscope.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -40,6 +40,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+@query("op5_warc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"))
+    found = warc.read(files, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,6 +62,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
+@query("op7_exact_top_k")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query("op8_line_crf_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_model.held_out(F.col("doc_id"), 5)

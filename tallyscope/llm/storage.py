@@ -36,7 +36,7 @@ def write_once(folder: str, name: str, suffix: str = "") -> tuple[pafs.NativeFil
     uri = f"{folder}/{name}-{uuid.uuid4().hex}{suffix}"
     system, path = opened(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path), uri
+    return system.open_output_stream(path, compression=None), uri
 
 
 def free_name(columns: list[str], wanted: str) -> str:

@@ -24,7 +24,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about ``size`` bytes of text, one row at least."""
     for batch in batches:
         if batch.num_rows == 0:
