@@ -164,7 +164,7 @@ class _Scorer:
                 for run in LETTERS.findall(text_of(k).lower()):
                     runs.append(MARK + run)
                     owner.append(k)
-            if runs:
+            if runs and self.p.shape[1]:
                 logs = word_logs(runs, self.lattice, self.p)
                 np.add.at(out, np.array(owner), np.column_stack([logs, [len(r) - 1 for r in runs]]))
             if len(self.keys) + len(new) > CACHED_WORDS:
@@ -238,8 +238,8 @@ _SCORERS: dict[int, _Scorer] = {}
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` without its text, with the likeliest language and its posterior probability."""
-    kept = [c for c in docs.columns if c != text]
+    """``docs`` without its text, with the likeliest language and its posterior probability, in place of columns of those names."""
+    kept = [c for c in docs.columns if c not in (text, *into)]
     schema = StructType([*[docs.schema[c] for c in kept], StructField(into[0], StringType()), StructField(into[1], DoubleType())])
     mark = hash((tuple(model.languages), model.logs.tobytes()))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by vocabulary and languages

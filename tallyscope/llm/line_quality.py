@@ -262,8 +262,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def scored(docs: DataFrame, model: Field, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` without its text and with the score of the whole text."""
-    kept = [c for c in docs.columns if c != text]
+    """``docs`` without its text and with the score of the whole text, in place of any column of that name."""
+    kept = [c for c in docs.columns if c not in (text, into)]
     schema = StructType([*[docs.schema[c] for c in kept], StructField(into, DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -362,9 +362,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    kept = [c for c in docs.columns if c != text]
+    """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score and score (log10), in place of columns of those names."""
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kept = [c for c in docs.columns if c not in (text, *added)]
     schema = StructType([*[docs.schema[c] for c in kept],
                          *[StructField(c, DoubleType() if "score" in c else LongType()) for c in added]])
     floor = model.train_tokens + 0.1 * (model.vocabulary + 1)

@@ -85,15 +85,15 @@ def statistics_of(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def with_statistics(docs: DataFrame, text: str = "text", into: str = "stats") -> DataFrame:
-    """All columns of ``docs`` and a struct ``into`` with the statistics of the whole text."""
-    kept = docs.columns
-    schema = StructType([*docs.schema.fields, StructField(into, StructType([StructField(x, LongType()) for x in STATISTICS]))])
+    """All columns of ``docs``, and a struct ``into`` (in place of any column of that name) with the statistics of the whole text."""
+    kept = [c for c in docs.columns if c != into]
+    schema = StructType([*[docs.schema[c] for c in kept], StructField(into, StructType([StructField(x, LongType()) for x in STATISTICS]))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ts.slices(batches, text):
             found = statistics_of(batch.column(text))
             struct = pa.StructArray.from_arrays([pa.array(found[x], pa.int64()) for x in STATISTICS], STATISTICS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*kept, into])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], struct], [*kept, into])
 
     return docs.mapInArrow(run, schema)
 

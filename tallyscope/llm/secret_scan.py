@@ -282,9 +282,9 @@ _SPAN = StructType([StructField("kind", StringType()), StructField("start", Long
 
 
 def with_spans(docs: DataFrame, formats: Formats, text: str = "text", into: str = "secrets") -> DataFrame:
-    """``docs`` without its text and with all spans as an array of structs."""
-    kept = [c for c in docs.columns if c != text]
-    schema = StructType([*[f for f in docs.schema.fields if f.name != text], StructField(into, ArrayType(_SPAN))])
+    """``docs`` without its text and with all spans as an array of structs, in place of any column of that name."""
+    kept = [c for c in docs.columns if c not in (text, into)]
+    schema = StructType([*[docs.schema[c] for c in kept], StructField(into, ArrayType(_SPAN))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ts.slices(batches, text):

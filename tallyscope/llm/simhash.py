@@ -72,9 +72,9 @@ def fingerprints_of(texts: pa.Array, words: int = 3, seed: int = 42) -> np.ndarr
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint", words: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` without its text and with its fingerprint as a signed long."""
-    kept = [c for c in docs.columns if c != text]
-    schema = StructType([*[f for f in docs.schema.fields if f.name != text], StructField(into, LongType())])
+    """``docs`` without its text and with its fingerprint as a signed long, in place of any column of that name."""
+    kept = [c for c in docs.columns if c not in (text, into)]
+    schema = StructType([*[docs.schema[c] for c in kept], StructField(into, LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ts.slices(batches, text, 2 << 20):
