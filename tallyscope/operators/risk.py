@@ -25,9 +25,11 @@ from tallyscope.functions.scores import clamp, mapped, risk_level, title_case
 from tallyscope.operators.ordered import scan, top_n
 
 SEVERE = ("high", "critical")
+SCORE, WEIGHT = "decimal(18,9)", "decimal(9,4)"
 
 
 def method_dimension(spark: SparkSession) -> DataFrame:
+    """Weight and confidence by method; the weights differ from ``config.BASE["weights"]``, which tunes the combined score."""
     rows = [(m, w, METHOD_CONFIDENCE[m]) for m, w in METHOD_WEIGHTS.items()]
     return spark.createDataFrame(rows, "method string, weight double, method_confidence double")
 
@@ -35,13 +37,14 @@ def method_dimension(spark: SparkSession) -> DataFrame:
 def method_risk(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Weighted session score over (keys, method, score [, confidence]) rows.
 
-    Weights are not normalised, so the sum can pass 1 before the clamp.
+    Weights are not normalised, so the sum can pass 1 before the clamp. The sum is one of
+    decimals, so that it meets the bounds of a level the same way for every order of rows.
     """
     dim = F.broadcast(method_dimension(scores.sparkSession))
     rows = scores.join(dim, "method")
     confidence = F.coalesce("confidence", "method_confidence") if "confidence" in scores.columns else F.col("method_confidence")
     out = rows.groupBy(*keys).agg(
-        clamp(F.sum(F.col("score") * F.col("weight"))).alias("overall_risk_score"),
+        clamp(F.sum(F.col("score").cast(SCORE) * F.col("weight").cast(WEIGHT)).cast("double")).alias("overall_risk_score"),
         F.avg(confidence).alias("confidence_score"),
         F.count(F.lit(1)).alias("methods_used"),
     )
@@ -49,8 +52,9 @@ def method_risk(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def composite(rows: DataFrame, keys: Sequence[str], score: str, weight: str) -> DataFrame:
-    """Weighted score; weights are normalised when their sum is off 1 by more than 0.01."""
-    out = rows.groupBy(*keys).agg(F.sum(F.col(score) * F.col(weight)).alias("_s"), F.sum(weight).alias("_w"))
+    """Weighted score over decimals; weights are normalised when their sum is off 1 by more than 0.01."""
+    w = F.col(weight).cast(WEIGHT)
+    out = rows.groupBy(*keys).agg(F.sum(F.col(score).cast(SCORE) * w).cast("double").alias("_s"), F.sum(w).cast("double").alias("_w"))
     value = F.when(F.abs(F.col("_w") - 1) > 0.01, F.col("_s") / F.col("_w")).otherwise(F.col("_s"))
     return out.withColumn("composite_score", clamp(value)).drop("_s", "_w")
 

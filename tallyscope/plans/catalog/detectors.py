@@ -423,7 +423,7 @@ def d4(spark, d):
 @query(
     "d1_configured_thresholds",
     """
-    WITH m AS (SELECT account_id, avg(k / 100.0::DOUBLE) AS s FROM activity GROUP BY 1), p(mode, md, hi, cr) AS (VALUES ('standard', 0.6, 0.8, 0.9), ('conservative', 0.5, 0.75, 0.85), ('aggressive', 0.65, 0.85, 0.95), ('custom', 0.6, 0.8, 0.9))
+    WITH m AS (SELECT account_id, sum(k) / (count(*) * 100.0::DOUBLE) AS s FROM activity GROUP BY 1), p(mode, md, hi, cr) AS (VALUES ('standard', 0.6, 0.8, 0.9), ('conservative', 0.5, 0.75, 0.85), ('aggressive', 0.65, 0.85, 0.95), ('custom', 0.6, 0.8, 0.9))
     SELECT mode, CASE WHEN s >= cr THEN 'critical' WHEN s >= hi THEN 'high' WHEN s >= md THEN 'medium' ELSE 'low' END AS risk_level, count(*) AS n FROM m, p GROUP BY ALL
     """,
     ["activity"],
@@ -431,7 +431,7 @@ def d4(spark, d):
 def d1(spark, d):
     from tallyscope import config
 
-    scores = v.activity(spark, d).groupBy("account_id").agg(F.avg(F.col("k") / F.lit(100.0)).alias("s"))
+    scores = v.activity(spark, d).groupBy("account_id").agg((F.sum("k") / (F.count(F.lit(1)) * F.lit(100.0))).alias("s"))
     rows = scores.crossJoin(F.broadcast(config.mode_dimension(spark)))
     s = F.col("s")
     level = F.when(s >= F.col("critical"), "critical").when(s >= F.col("high"), "high").when(s >= F.col("medium"), "medium").otherwise("low")

@@ -198,21 +198,23 @@ def r16(spark, d):
 
 
 METHODS = ["benford_1", "benford_2", "zipf", "isolation_forest", "pyod_ensemble", "reinforcement_learning"]
-SCORES_SQL = "msc AS (SELECT account_id AS session_id, [" + ", ".join(f"'{m}'" for m in METHODS) + "][k % 6 + 1] AS method, avg(k / 100.0::DOUBLE) + 0.35 * (account_id % 2) AS score FROM activity GROUP BY 1, 2, account_id)"
+SCORES_SQL = "msc AS (SELECT account_id AS session_id, [" + ", ".join(f"'{m}'" for m in METHODS) + "][k % 6 + 1] AS method, round(sum(k) / (count(*) * 100.0::DOUBLE) + 0.35::DOUBLE * (account_id % 2), 9) AS score FROM activity GROUP BY 1, 2, account_id)"
 WEIGHTS_SQL = "wt(method, w, c) AS (VALUES ('benford_1', 0.25, 0.9), ('benford_2', 0.15, 0.9), ('zipf', 0.15, 0.8), ('isolation_forest', 0.20, 0.85), ('pyod_ensemble', 0.25, 1.0), ('reinforcement_learning', 0.30, 0.5))"
 MR_SQL = f"""{SCORES_SQL}, {WEIGHTS_SQL},
-    mr AS (SELECT session_id, least(greatest(sum(score * w), 0), 1) AS overall, avg(c) AS conf, count(*) AS methods_used FROM msc JOIN wt USING (method) GROUP BY 1),
+    mr AS (SELECT session_id, least(greatest(CAST(sum(CAST(score AS DECIMAL(18,9)) * CAST(w AS DECIMAL(9,4))) AS DOUBLE), 0), 1) AS overall, avg(c) AS conf, count(*) AS methods_used FROM msc JOIN wt USING (method) GROUP BY 1),
     ml AS (SELECT *, CASE WHEN overall >= 0.8 THEN 'critical' WHEN overall >= 0.6 THEN 'high' WHEN overall >= 0.3 THEN 'medium' ELSE 'low' END AS risk_level FROM mr)
 """
 
 
 def method_scores(spark, d):
-    """Method scores per account, averaged from the events."""
+    """Method scores per account, averaged from the events: one division of whole sums, so row order cannot move a score."""
     names = F.array(*[F.lit(m) for m in METHODS])
     a = v.activity(spark, d)
-    return a.groupBy(F.col("account_id").alias("session_id"), F.element_at(names, F.col("k") % 6 + 1).alias("method")).agg(F.avg(F.col("k") / F.lit(100.0)).alias("score")).withColumn(
-        "score", F.col("score") + 0.35 * (F.col("session_id") % 2)
+    sums = a.groupBy(F.col("account_id").alias("session_id"), F.element_at(names, F.col("k") % 6 + 1).alias("method")).agg(
+        F.sum("k").alias("s"), F.count(F.lit(1)).alias("n")
     )
+    mean = F.col("s") / (F.col("n") * F.lit(100.0))
+    return sums.select("session_id", "method", F.round(mean + F.lit(0.35) * (F.col("session_id") % 2), 9).alias("score"))
 
 
 @query("r1_method_risk", f"WITH {MR_SQL} SELECT session_id, round(overall, 9) AS overall_risk_score, round(conf, 9) AS confidence_score, methods_used, risk_level FROM ml", ["activity"])
@@ -222,7 +224,7 @@ def r1(spark, d):
 
 @query(
     "r2_composite_score",
-    f"WITH {SCORES_SQL}, {WEIGHTS_SQL} SELECT session_id, round(least(greatest(CASE WHEN abs(sum(w) - 1) > 0.01 THEN sum(score * w) / sum(w) ELSE sum(score * w) END, 0), 1), 9) AS composite_score FROM msc JOIN wt USING (method) GROUP BY 1",
+    f"WITH {SCORES_SQL}, {WEIGHTS_SQL} SELECT session_id, round(least(greatest(CASE WHEN abs(sum(w) - 1) > 0.01 THEN CAST(sum(CAST(score AS DECIMAL(18,9)) * CAST(w AS DECIMAL(9,4))) AS DOUBLE) / CAST(sum(CAST(w AS DECIMAL(9,4))) AS DOUBLE) ELSE CAST(sum(CAST(score AS DECIMAL(18,9)) * CAST(w AS DECIMAL(9,4))) AS DOUBLE) END, 0), 1), 9) AS composite_score FROM msc JOIN wt USING (method) GROUP BY 1",
     ["activity"],
 )
 def r2(spark, d):
@@ -246,7 +248,7 @@ def r3(spark, d):
 @query(
     "r4_overall_risk",
     """
-    WITH s AS (SELECT account_id AS session_id, count(*) AS n, count(*) FILTER (k < 4) AS vi, count(*) FILTER (k > 97) AS an, avg(k / 100.0::DOUBLE) AS p FROM activity GROUP BY 1),
+    WITH s AS (SELECT account_id AS session_id, count(*) AS n, count(*) FILTER (k < 4) AS vi, count(*) FILTER (k > 97) AS an, sum(k) / (count(*) * 100.0::DOUBLE) AS p FROM activity GROUP BY 1),
     x AS (SELECT *, CASE WHEN p <= 0 THEN 1 WHEN p >= 1 THEN 0 ELSE 1 - exp(-5 * (1 - p)) END AS st, CASE WHEN vi / n::DOUBLE >= 0.1 THEN 1 ELSE least(vi / n::DOUBLE * 10, 1) END AS rg,
           CASE WHEN an / n::DOUBLE <= 0.02 THEN an / n::DOUBLE / 0.02 * 0.3 ELSE 0.3 + least(0.7, (an / n::DOUBLE - 0.02) * 20) END AS ar,
           CASE WHEN n < 10 THEN 0.7 WHEN n < 100 THEN 0.3 WHEN n > 10000 THEN 0.4 ELSE 0.1 END AS vo FROM s)
@@ -257,7 +259,7 @@ def r3(spark, d):
 def r4(spark, d):
     k = F.col("k")
     s = v.activity(spark, d).groupBy(F.col("account_id").alias("session_id")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(k < 4).alias("vi"), F.count_if(k > 97).alias("an"), F.avg(k / F.lit(100.0)).alias("p")
+        F.count(F.lit(1)).alias("n"), F.count_if(k < 4).alias("vi"), F.count_if(k > 97).alias("an"), (F.sum(k) / (F.count(F.lit(1)) * F.lit(100.0))).alias("p")
     )
     extra = {"trend_analysis": F.lit(0.2), "other": F.lit(0.5)}
     return s.select("session_id", r(rk.overall_risk(F.col("p"), F.col("vi"), F.col("an"), F.col("n"), extra)).alias("overall_risk"))

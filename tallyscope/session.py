@@ -1,4 +1,4 @@
-"""Session factory, shared-folder lookup and reliable checkpoints."""
+"""Session factory, shared folder and reliable checkpoints."""
 
 from __future__ import annotations
 
@@ -36,20 +36,38 @@ def get_session(app: str = "tallyscope", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    A local folder is used only where the setting is absent (tests, laptops).
+    Without the setting, a session in one process (``local[...]``: tests, laptops) gets a local
+    folder. Elsewhere executors would write to disks of their own, so that is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
     if current is None:
+        if not configured and not one_process(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tallyscope-"))
         current = context.getCheckpointDir()
     return configured or current
 
 
+def one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tallyscope-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """Fresh path below the shared folder for one written table or stream."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """Fresh path in the application's scratch folder for one written table or stream."""
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application; call it when their results have been read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def reliable(df: DataFrame) -> DataFrame:

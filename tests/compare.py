@@ -66,6 +66,7 @@ def compare(df, sql: str, con) -> list[str]:
 def main(argv):
     from __spark_entry__ import oracle_sql, queries
     from tallyscope import get_session
+    from tallyscope.session import clear_scratch
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     wanted = argv[1:]
@@ -93,6 +94,7 @@ def main(argv):
             print("   ", p, flush=True)
         if problems:
             failed.append(name)
+    clear_scratch(spark)
     print(f"{n - len(failed)} of {n} agree; failed: {failed}")
     return 1 if failed else 0
 
