@@ -39,10 +39,11 @@ ANOMALY_SEVERITY_SCORE = {"high": 0.8, "medium": 0.5, "low": 0.3, "very_low": 0.
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1, "unknown": 0}
 SAFETY_WEIGHT = {"low": 0.1, "medium": 0.3, "high": 0.7, "critical": 1.0}
 
-STOPWORDS = (
-    "the and or but in on at to for of with by is are was were be been have has had do does did "
-    "will would could should may might can shall must a an"
-).split()
+STOPWORDS = [
+    "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be",
+    "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can",
+    "shall", "must", "a", "an",
+]
 
 SENSITIVE_KEYWORDS = ["fraud", "steal", "embezzle", "corrupt", "illegal"]
 
@@ -103,17 +104,17 @@ STRESS_SCENARIOS = [
 
 # Security policies: id, name, type, frameworks, enforcement, review date, owner.
 POLICIES = [
-    ("DC-001", "Financial Data Classification", "data_classification", "sarbanes_oxley gaap", "blocking", "2024-12-31", "CISO"),
-    ("DC-002", "Sensitive Data Handling", "data_classification", "sarbanes_oxley gdpr", "blocking", "2024-12-31", "Data Protection Officer"),
-    ("AC-001", "Role-Based Access Control", "access_control", "sarbanes_oxley soc2", "blocking", "2024-06-30", "Security Team"),
-    ("AC-002", "Multi-Factor Authentication", "access_control", "sarbanes_oxley soc2", "blocking", "2024-12-31", "Identity Management Team"),
-    ("AC-003", "Session Management", "access_control", "sarbanes_oxley", "warning", "2024-12-31", "Application Security Team"),
-    ("EN-001", "Data Encryption Standards", "encryption", "sarbanes_oxley gdpr", "blocking", "2024-12-31", "Cryptography Team"),
-    ("EN-002", "Key Management", "encryption", "sarbanes_oxley iso27001", "blocking", "2024-06-30", "Cryptography Team"),
-    ("AL-001", "Comprehensive Audit Logging", "audit_logging", "sarbanes_oxley soc2", "blocking", "2024-12-31", "Security Operations Team"),
-    ("AL-002", "Log Retention and Protection", "audit_logging", "sarbanes_oxley", "blocking", "2024-12-31", "Records Management Team"),
-    ("CP-001", "SOX IT General Controls", "compliance", "sarbanes_oxley", "blocking", "2024-12-31", "Compliance Team"),
-    ("CP-002", "Financial Reporting Controls", "compliance", "sarbanes_oxley gaap", "blocking", "2024-12-31", "Financial Controller"),
+    ("DC-001", "Financial Data Classification", "data_classification", ["sarbanes_oxley", "gaap"], "blocking", "2024-12-31", "CISO"),
+    ("DC-002", "Sensitive Data Handling", "data_classification", ["sarbanes_oxley", "gdpr"], "blocking", "2024-12-31", "Data Protection Officer"),
+    ("AC-001", "Role-Based Access Control", "access_control", ["sarbanes_oxley", "soc2"], "blocking", "2024-06-30", "Security Team"),
+    ("AC-002", "Multi-Factor Authentication", "access_control", ["sarbanes_oxley", "soc2"], "blocking", "2024-12-31", "Identity Management Team"),
+    ("AC-003", "Session Management", "access_control", ["sarbanes_oxley"], "warning", "2024-12-31", "Application Security Team"),
+    ("EN-001", "Data Encryption Standards", "encryption", ["sarbanes_oxley", "gdpr"], "blocking", "2024-12-31", "Cryptography Team"),
+    ("EN-002", "Key Management", "encryption", ["sarbanes_oxley", "iso27001"], "blocking", "2024-06-30", "Cryptography Team"),
+    ("AL-001", "Comprehensive Audit Logging", "audit_logging", ["sarbanes_oxley", "soc2"], "blocking", "2024-12-31", "Security Operations Team"),
+    ("AL-002", "Log Retention and Protection", "audit_logging", ["sarbanes_oxley"], "blocking", "2024-12-31", "Records Management Team"),
+    ("CP-001", "SOX IT General Controls", "compliance", ["sarbanes_oxley"], "blocking", "2024-12-31", "Compliance Team"),
+    ("CP-002", "Financial Reporting Controls", "compliance", ["sarbanes_oxley", "gaap"], "blocking", "2024-12-31", "Financial Controller"),
 ]
 
 # Rule catalogue: framework, section, title. Three entries have no check behind them.

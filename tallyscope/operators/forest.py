@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.operators.quantiles import exact_percentiles
 
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double"
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double, rows int"
 
 
 def _mean_path(n: float) -> float:
@@ -56,7 +56,7 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> list[tuple]:
     while stack:
         idx, depth, parent, side = stack.pop()
         me = len(nodes)
-        nodes.append([tree, me, -1, 0.0, -1, -1, depth + _mean_path(len(idx))])
+        nodes.append([tree, me, -1, 0.0, -1, -1, depth + _mean_path(len(idx)), len(idx)])
         if parent is not None:
             nodes[parent][4 if side == "l" else 5] = me
         if depth >= limit or len(idx) <= 1:
@@ -83,7 +83,7 @@ def fit(df: DataFrame, id: str, features: Sequence[str], trees: int = 100, size:
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _grow(int(pdf["tree"].iloc[0]), np.vstack(pdf["v"].to_numpy()), seed)
-        return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "length"])
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
     return tree_samples(df, id, features, trees, size, seed).groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
@@ -93,16 +93,19 @@ def load_model(model: DataFrame) -> tuple[dict, int]:
     pdf = model.orderBy("tree", "node").toPandas()
     trees = {}
     for tree, part in pdf.groupby("tree"):
-        trees[int(tree)] = {c: part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "length")}
+        trees[int(tree)] = {c: part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "length", "rows")}
     return trees, len(trees)
 
 
-def score(df: DataFrame, model: DataFrame, features: Sequence[str], size: int = 256, out: str = "score") -> DataFrame:
-    """Add the anomaly score 2^(-mean path / c(size)), high for anomalies. Works on streams too."""
+def score(df: DataFrame, model: DataFrame, features: Sequence[str], out: str = "score") -> DataFrame:
+    """Add the anomaly score 2^(-mean path / c(rows)), high for anomalies. Works on streams too.
+
+    c is taken at the number of rows that the trees were fitted on, which their roots keep.
+    """
     trees, _ = load_model(model)
     shared = df.sparkSession.sparkContext.broadcast(trees)
     features = list(features)
-    norm = _mean_path(size)
+    norm = float(np.mean([_mean_path(t["rows"][0]) for t in trees.values()])) or 1.0
 
     @F.pandas_udf("double")
     def evaluate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -125,7 +125,10 @@ def knn_graph(df: DataFrame, id: str, features: Sequence[str], k: int, cell_rows
     spark = df.sparkSession
     pts = reliable(points(df, id, features))
     n = pts.count()
-    sample = pts.orderBy(F.xxhash64(F.lit(seed), F.col("vid")), "vid").select("v").limit(SAMPLE_ROWS).toPandas()  # fixed bound
+    # the hash threshold keeps about twice the sample, so tasks send little more than the bound
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col("vid")), F.lit(1 << 30))
+    few = pts.where(h < int(min(1.0, 2.0 * SAMPLE_ROWS / max(n, 1)) * (1 << 30)))
+    sample = few.orderBy(h, "vid").select("v").limit(SAMPLE_ROWS).toPandas()  # fixed bound
     grid = _matrix(sample["v"]) if len(sample) else np.zeros((0, len(features)))
     tree = spark.sparkContext.broadcast(_cells(grid, max(8.0, cell_rows * len(grid) / max(n, 1))))
 

@@ -16,13 +16,6 @@ from pyspark.sql import functions as F
 
 from tallyscope.session import reliable
 
-MAX_GROUP_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group (one map-side combined count)."""
-    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-
 
 def scan(
     df: DataFrame,
@@ -34,7 +27,6 @@ def scan(
     sums: dict[str, str] | None = None,
     maxes: dict[str, str] | None = None,
     previous: dict[str, str] | None = None,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add ordered columns per group; ``order`` must be total within a group.
 
@@ -43,30 +35,8 @@ def scan(
     sums      {new column: column} running sum up to the row
     maxes     {new column: column} running maximum up to the row
     previous  {new column: column} value of the row before
-
-    Groups that all hold at most ``max_group_rows`` use a plain window. With larger
-    groups, with no group at all, or with ``None``, the range-cut form runs.
     """
-    sums, maxes, previous = sums or {}, maxes or {}, previous or {}
-    if group and max_group_rows is not None and largest_group(df, group) <= max_group_rows:
-        ranked = Window.partitionBy(*group).orderBy(*order)
-        upto = ranked.rowsBetween(Window.unboundedPreceding, 0)
-        out = df
-        for new, col in previous.items():
-            out = out.withColumn(new, F.lag(col).over(ranked))
-        for new, col in sums.items():
-            out = out.withColumn(new, F.sum(col).over(upto))
-        for new, col in maxes.items():
-            out = out.withColumn(new, F.max(col).over(upto))
-        if number:
-            out = out.withColumn(number, F.row_number().over(ranked).cast("bigint"))
-        if total:
-            out = out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*group)))
-        return out
-    return _scan_by_range(df, list(group), order, number, total, sums, maxes, previous)
-
-
-def _scan_by_range(df, group, order, number, total, sums, maxes, previous):
+    group, sums, maxes, previous = list(group), sums or {}, maxes or {}, previous or {}
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = reliable(
         df.repartitionByRange(parts, *[F.col(g) for g in group], *order).withColumn("_bucket", F.spark_partition_id())
@@ -96,15 +66,18 @@ def _scan_by_range(df, group, order, number, total, sums, maxes, previous):
     by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     in_order = by_group.orderBy("_bucket")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = edges.select(
+    # Groups that cross a border have at most two of these rows for each bucket.
+    crossing = edges.withColumn("_parts", F.count(F.lit(1)).over(by_group)).where(F.col("_parts") > 1)
+    offsets = crossing.select(
         *group,
         "_bucket",
-        F.sum("_size").over(before).alias("_off"),
-        F.lit(True).alias("_later"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"),
+        F.sum("_size").over(by_group).alias("_total"),
+        F.lag("_bucket").over(in_order).isNotNull().alias("_later"),
         *[F.sum(f"_s_{new}").over(before).alias(f"_s_{new}") for new in sums],
         *[F.max(f"_m_{new}").over(before).alias(f"_m_{new}") for new in maxes],
         *[F.lag(f"_p_{new}").over(in_order).alias(f"_p_{new}") for new in previous],
-    ).where(F.col("_off").isNotNull())
+    )
     keys = [*group, "_bucket"]
     small = F.broadcast(offsets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *offsets.columns[len(keys):]))
     on = None
@@ -127,11 +100,7 @@ def _scan_by_range(df, group, order, number, total, sums, maxes, previous):
     if number:
         out = out.withColumn(number, F.col("_rn") + F.coalesce("_off", F.lit(0)))
     if total:
-        sizes = edges.groupBy(*group).agg(F.sum("_size").alias(total))
-        if group:
-            out = out.join(sizes, group)
-        else:
-            out = out.crossJoin(F.broadcast(sizes))
+        out = out.withColumn(total, F.coalesce("_total", "_size"))
     extra = [c for c in (number, total) if c]
     return out.select(*df.columns, *sums, *maxes, *previous, *extra)
 

@@ -9,9 +9,8 @@ from tallyscope.constants import POLICIES
 
 
 def policy_dimension(spark: SparkSession) -> DataFrame:
-    rows = [(i, n, t, f.split(), e, r, o) for i, n, t, f, e, r, o in POLICIES]
     return spark.createDataFrame(
-        rows,
+        POLICIES,
         "policy_id string, name string, policy_type string, frameworks array<string>, enforcement_level string, "
         "review_date string, owner string",
     )

@@ -25,17 +25,18 @@ def _hits(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """Start and end of every match: the pieces between matches and the matches add up."""
+    """Start and end of every match: one pass over the pieces between matches and the matches carries the offset along."""
     found, gaps = _hits(text, pattern), F.split(text, pattern, -1)
+    none = F.array().cast("array<struct<start:int,stop:int>>")
 
-    def measured(arr: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(arr, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    def step(acc: Column, piece: Column) -> Column:
+        start = acc["at"] + F.length(piece["gap"])
+        stop = start + F.length(piece["match"])
+        one = F.array(F.struct(start.alias("start"), stop.alias("stop")))
+        return F.struct(stop.alias("at"), F.concat(acc["spans"], one).alias("spans"))
 
-    def span(match: Column, i: Column) -> Column:
-        start = measured(gaps, i + 1) + measured(found, i)
-        return F.struct(start.alias("start"), (start + F.length(match)).alias("stop"))
-
-    return F.transform(found, span)
+    pieces = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
 
 
 def scan_text(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

@@ -90,7 +90,7 @@ def amount_distribution(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     Sessions may hold a third of all rows, so the ranks come from the range-cut scan.
     """
     rows = ledger.where(F.col("amount") > 0)
-    up = scan(rows, keys, [F.col("amount"), F.col("txn_id")], number="_up", total="_n", max_group_rows=None)
+    up = scan(rows, keys, [F.col("amount"), F.col("txn_id")], number="_up", total="_n")
     # rank descending is the mirror of the ascending number under a total order
     return up.withColumn("decile", ntile(F.col("_up"), F.col("_n"), 10)).withColumn(
         "rank", F.col("_n") - F.col("_up") + 1
@@ -114,22 +114,10 @@ def portfolio_counts(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("success_rate", rate)
 
 
-SHALLOW_ROWS = 100_000
-
-
 def page(df: DataFrame, order: Sequence[Column], number: int, per_page: int) -> DataFrame:
-    """One numbered page with the paging columns.
-
-    A shallow page needs only the first rows, which each task cuts down before they meet.
-    A deep page ranks all rows by the range-cut scan.
-    """
+    """One numbered page with the paging columns; a page of any depth is found by the range-cut scan."""
     first, last = (number - 1) * per_page, number * per_page
-    if last <= SHALLOW_ROWS:
-        w = Window.partitionBy(F.lit(0)).orderBy(*order)  # at most SHALLOW_ROWS rows
-        head = df.orderBy(*order).limit(last).withColumn("row", F.row_number().over(w).cast("bigint"))
-        ranked = head.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))
-    else:
-        ranked = scan(df, [], order, number="row", total="total")
+    ranked = scan(df, [], order, number="row", total="total")
     pages = F.ceil(F.col("total") / per_page).cast("bigint")
     return (
         ranked.where((F.col("row") > first) & (F.col("row") <= last))

@@ -359,7 +359,7 @@ def s10(spark, d):
 )
 def s11(spark, d):
     path = scratch_path(spark, "files")
-    docs = v.spread_table(spark, d, "documents").select("lang", "text")
+    docs = v.table(spark, d, "documents").select("lang", "text")
     docs.write.partitionBy("lang").text(f"{path}/a")
     docs.write.partitionBy("lang").parquet(f"{path}/b")
     found = files.discover(spark, path)
@@ -374,10 +374,10 @@ def s12(spark, d):
     return files.read_csv(spark, path, rows.schema).groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s14_feedback_log", "SELECT category AS human_feedback, count(*) AS n FROM activity WHERE k > 90 GROUP BY 1", ["activity"])
+@query("s14_feedback_log", "SELECT category AS human_feedback, count(*) AS n FROM activity GROUP BY 1", ["activity"])
 def s14(spark, d):
     path = scratch_path(spark, "feedback")
-    rows = v.activity(spark, d).where(F.col("k") > 90).select(F.col("id").alias("transaction_id"), (F.col("k") > 95).alias("predicted_anomaly"), (F.col("k") / F.lit(100.0)).alias("confidence"), F.col("category").alias("human_feedback"))
+    rows = v.activity(spark, d).select(F.col("id").alias("transaction_id"), (F.col("k") > 95).alias("predicted_anomaly"), (F.col("k") / F.lit(100.0)).alias("confidence"), F.col("category").alias("human_feedback"))
     files.append_feedback(rows, path)
     back = spark.read.schema("transaction_id long, predicted_anomaly boolean, confidence double, human_feedback string, timestamp timestamp").json(path)
     return back.groupBy("human_feedback").agg(F.count(F.lit(1)).alias("n"))

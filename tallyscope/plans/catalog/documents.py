@@ -20,7 +20,7 @@ def q(text):
 
 
 def _texts(spark, d):
-    return v.spread_table(spark, d, "documents").select("doc_id", "text")
+    return v.table(spark, d, "documents").select("doc_id", "text")
 
 
 # ---- flattening -------------------------------------------------------------------------------
@@ -206,7 +206,7 @@ def f19(spark, d):
 
 @query("f20_token_estimate", "SELECT lang, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents GROUP BY lang")
 def f20(spark, d):
-    return v.spread_table(spark, d, "documents").groupBy("lang").agg(F.sum(sc.token_estimate(F.col("text"))).alias("tokens"))
+    return v.table(spark, d, "documents").groupBy("lang").agg(F.sum(sc.token_estimate(F.col("text"))).alias("tokens"))
 
 
 @query(
@@ -259,7 +259,7 @@ def x2(spark, d):
     f"""WITH s AS (SELECT conv_id, turn, trim(translate(text, '<>"''&;()|`', ''), ' ') AS text FROM conversations) SELECT conv_id, turn, md5({_mask_sql('text')}) AS digest FROM s""",
 )
 def x7(spark, d):
-    out = sf.sanitize_and_mask(v.spread_table(spark, d, "conversations").select("conv_id", "turn", "text"))
+    out = sf.sanitize_and_mask(v.table(spark, d, "conversations").select("conv_id", "turn", "text"))
     return out.select("conv_id", "turn", F.md5("text").alias("digest"))
 
 
@@ -308,7 +308,7 @@ def x6(spark, d):
         bool_or(severity = 'critical') AS has_critical, least(avg({WEIGHT_SQL} * confidence), 1) < 0.3 AND NOT bool_or(severity = 'critical') AS is_safe FROM a GROUP BY lang""",
 )
 def r17(spark, d):
-    return rounded(sf.risk_rollup(sf.hits(v.spread_table(spark, d, "documents"), ["lang"], "text"), ["lang"]), 9)
+    return rounded(sf.risk_rollup(sf.hits(v.table(spark, d, "documents"), ["lang"], "text"), ["lang"]), 9)
 
 
 @query(
@@ -322,7 +322,7 @@ def x9(spark, d):
 
 @query("u5_violation_types", f"WITH {_hits_sql()} SELECT lang, string_agg(DISTINCT violation_type, ',' ORDER BY violation_type) AS types FROM h JOIN documents USING (doc_id) GROUP BY lang")
 def u5(spark, d):
-    h = sf.hits(v.spread_table(spark, d, "documents"), ["lang"], "text")
+    h = sf.hits(v.table(spark, d, "documents"), ["lang"], "text")
     return h.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("violation_type")), ",").alias("types"))  # three types
 
 
@@ -338,7 +338,7 @@ def u5(spark, d):
 def t11(spark, d):
     from tallyscope.operators.risk import advise
 
-    h = sf.hits(v.spread_table(spark, d, "documents"), ["lang"], "text")
+    h = sf.hits(v.table(spark, d, "documents"), ["lang"], "text")
     counts = h.groupBy("lang", F.col("violation_type").alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value")).unionByName(
         h.groupBy("lang").agg(F.count_if(F.col("severity") == "critical").cast("double").alias("value")).withColumn("metric", F.lit("critical"))
     )

@@ -173,12 +173,12 @@ def r9(spark, d):
 
 
 STEPS = ["initialize", "ingest_and_parse", "statistical_analysis", "regulatory_validation", "rl_anomaly_detection", "consolidate_results", "human_review_mcp", "deep_dive_investigation", "generate_report"]
-STEP_SQL = "stp AS (SELECT account_id AS session_id, ts, id, [" + ", ".join(f"'{s}'" for s in STEPS) + "][k % 9 + 1] AS step FROM activity WHERE k < 60)"
+STEP_SQL = "stp AS (SELECT account_id AS session_id, ts, id, [" + ", ".join(f"'{s}'" for s in STEPS) + "][k % 9 + 1] AS step FROM activity)"
 
 
 def steps(spark, d):
     names = F.array(*[F.lit(s) for s in STEPS])
-    return v.activity(spark, d).where(F.col("k") < 60).select(F.col("account_id").alias("session_id"), "ts", "id", F.element_at(names, F.col("k") % 9 + 1).alias("step"))
+    return v.activity(spark, d).select(F.col("account_id").alias("session_id"), "ts", "id", F.element_at(names, F.col("k") % 9 + 1).alias("step"))
 
 
 @query(

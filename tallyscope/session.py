@@ -64,10 +64,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _opened(spark: SparkSession, path: str):
+    """Hadoop path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it exists."""
+    place, system = _opened(spark, path)
+    system.delete(place, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none if it does not exist."""
+    place, system = _opened(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(place)] if system.exists(place) else []
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all scratch tables of this application; call it when their results have been read."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, scratch_dir(spark))
 
 
 def reliable(df: DataFrame) -> DataFrame:

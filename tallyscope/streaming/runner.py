@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tallyscope.constants import RETENTION_DAYS
 from tallyscope.operators.ordered import top_n
 from tallyscope.schemas import UPDATES
-from tallyscope.session import scratch_path
+from tallyscope.session import names_in, remove, scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", glob: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -71,17 +71,18 @@ def newest(stream: DataFrame, keys: list[str], time: str, key: str, n: int, path
     """
     spark = stream.sparkSession
     order = [F.col(time).desc(), F.col(key).desc()]
-    done = []
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = top_n(batch, keys, order, n, "_r").drop("_r")
         if batch_id > 0:
             rows = top_n(rows.unionByName(spark.read.parquet(f"{path}/v{batch_id - 1}")), keys, order, n, "_r").drop("_r")
         rows.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        done.append(batch_id)
+        if batch_id > 1:
+            remove(spark, f"{path}/v{batch_id - 2}")  # a repeated batch reads no older one
 
     run_batches(stream, f"{path}/checkpoint", merge)
-    return spark.read.parquet(f"{path}/v{max(done)}")
+    versions = [int(x[1:]) for x in names_in(spark, path) if x[:1] == "v" and x[1:].isdigit()]
+    return spark.read.parquet(f"{path}/v{max(versions)}") if versions else spark.createDataFrame([], stream.schema)
 
 
 def feedback_join(predictions: DataFrame, feedback: DataFrame, key: str, within: str = "1 hour") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyscope.operators.ordered import ntile, scan, trailing_count
@@ -28,13 +29,25 @@ OPTIONS = dict(number="n", total="all", sums={"s": "x2"}, maxes={"m": "x"}, prev
 def test_range_cut_equals_window(skewed, group):
     df = skewed.withColumn("x2", F.col("x").cast("decimal(20,2)"))
     order = [F.col("t").desc(), F.col("id")]
-    cut = scan(df, group, order, max_group_rows=None, **OPTIONS)
-    plain = scan(df.withColumn("one", F.lit(1)), group or ["one"], order, max_group_rows=10**9, **OPTIONS).drop("one")
+    cut = scan(df, group, order, **OPTIONS)
+    w = Window.partitionBy(*(group or [F.lit(1)])).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.select(
+        "*", F.sum("x2").over(upto).alias("s"), F.max("x").over(upto).alias("m"), F.lag("x").over(w).alias("p"),
+        F.row_number().over(w).cast("bigint").alias("n"), F.count(F.lit(1)).over(Window.partitionBy(*(group or [F.lit(1)]))).alias("all"),
+    )
     a = sorted(cut.collect(), key=lambda r: r["id"])
     b = sorted(plain.select(*cut.columns).collect(), key=lambda r: r["id"])
     assert a == b
 
 
+def test_totals_join_no_rows_on_the_group(skewed):
+    """A hot group's total comes with the broadcast offsets; no row is dealt out by group alone."""
+    out = scan(skewed, ["g"], [F.col("t"), F.col("id")], number="n", total="all")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+
+
 def test_ntile_equals_builtin(spark):
     from pyspark.sql import Window
 
@@ -93,14 +106,24 @@ def test_similar_amounts_brute_force(spark):
         assert got[x / 100] == want
 
 
-def test_pages_shallow_and_deep_agree(skewed, monkeypatch):
+def test_pages(skewed):
     from tallyscope.operators import sessions
 
     order = [F.col("t").desc(), F.col("id")]
-    shallow = sessions.page(skewed.select("id", "t"), order, 3, 50).orderBy("row").collect()
-    monkeypatch.setattr(sessions, "SHALLOW_ROWS", 0)
-    deep = sessions.page(skewed.select("id", "t"), order, 3, 50).orderBy("row").collect()
-    assert shallow == deep and [r["row"] for r in deep] == list(range(101, 151)) and deep[0]["pages"] == 60
+    rows = sorted(((-r["t"], r["id"]) for r in skewed.select("id", "t").collect()))
+    got = sessions.page(skewed.select("id", "t"), order, 3, 50).orderBy("row").collect()
+    assert [(-r["t"], r["id"]) for r in got] == rows[100:150]
+    assert [r["row"] for r in got] == list(range(101, 151)) and got[0]["pages"] == 60 and got[0]["has_next"] and got[0]["has_prev"]
+
+
+def test_percentiles_of_crowded_values(spark):
+    """A million different values within a thousandth of one another: no ranking task gets more than a small share."""
+    from tallyscope.operators import quantiles
+
+    df = spark.range(1_000_000).select((F.lit(1e6) + F.col("id") / 1000).alias("x"))
+    row = quantiles.exact_percentiles(df, [], "x", {"a": 0.25, "b": 0.5}).first()
+    assert row["a"] == pytest.approx(1e6 + 249.99975) and row["b"] == pytest.approx(1e6 + 499.9995)
+    assert quantiles.largest_ranked(df, [], "x", {"a": 0.25, "b": 0.5}) < 5_000
 
 
 def test_top_n_is_cut_before_the_shuffle(skewed):
