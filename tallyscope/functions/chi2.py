@@ -44,6 +44,29 @@ def _odd(dof: int):
     return tail
 
 
+def critical_value(dof: int, confidence: float) -> float:
+    """The value that a chi-square of ``dof`` exceeds with probability ``1 - confidence``, to 9 places, by bisection."""
+    half, tail = dof / 2, 1 - confidence
+
+    def above(x: float) -> float:
+        # series of the lower incomplete gamma function
+        term = total = 1 / half
+        k = 1
+        while term > total * 1e-17:
+            term *= x / 2 / (half + k)
+            total += term
+            k += 1
+        return 1 - total * math.exp(-x / 2 + half * math.log(x / 2) - math.lgamma(half))
+
+    low, high = 1e-9, 1.0
+    while above(high) > tail:
+        high *= 2
+    while high - low > 1e-10:
+        middle = (low + high) / 2
+        low, high = (middle, high) if above(middle) > tail else (low, middle)
+    return round(high, 9)
+
+
 def step_p_value(x: Column) -> Column:
     """The coarse four-step p-value of the engine-style test."""
     return F.when(x > 20, 0.001).when(x > 15, 0.05).when(x > 10, 0.1).otherwise(0.5)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyscope.constants import CHI2_CRITICAL, DIGIT_ADVICE, ENGINE_CRITICAL
-from tallyscope.functions.chi2 import p_value, step_p_value
+from tallyscope.functions.chi2 import critical_value, p_value, step_p_value
 from tallyscope.functions.digits import digit_pair, integer_digit, leading_two, significant_digit
 
 
@@ -83,17 +83,19 @@ def _chi2_term(floor: float = 0.0) -> Column:
 
 
 def engine_test(
-    df: DataFrame, keys: Sequence[str], value: str, position: int = 1, critical: str = "reference", confidence: float = 0.95
+    df: DataFrame, keys: Sequence[str], value: str, position: int = 1, critical: str = "dof", confidence: float = 0.95
 ) -> DataFrame:
     """Digit test with coarse p-value, risk score and anomalous digits, one row per group.
 
-    ``critical="reference"`` uses 15.51 (20.09) at both positions; ``"dof"`` the table value.
+    ``critical="dof"`` uses the value of the position's degrees of freedom, from the table or,
+    for other confidences, computed. ``"reference"`` uses 15.51 (20.09) at both positions.
     """
     keys = list(keys)
     if critical == "reference":
         bound = ENGINE_CRITICAL[confidence]
     else:
-        bound = CHI2_CRITICAL[(8 if position == 1 else 9, confidence)]
+        dof = 8 if position == 1 else 9
+        bound = CHI2_CRITICAL.get((dof, confidence)) or critical_value(dof, confidence)
     spark = df.sparkSession
     counts = digit_counts(df, keys, integer_digit(F.col(value), position))
     table = digit_table(counts, keys, expected_digits(spark, position))

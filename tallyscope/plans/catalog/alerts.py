@@ -92,27 +92,31 @@ def st3(spark, d):
 @query(
     "st4_error_rate",
     """
-    SELECT w AS window_start, count(*) AS n, round(count(*) / 3600.0::DOUBLE, 6) AS rate FROM (
-        SELECT (floor(epoch_us(ts) / 600000000)::BIGINT - unnest(range(0, 6))) * 600 AS w FROM activity WHERE category = 'error') GROUP BY 1 HAVING count(*) / 3600.0::DOUBLE > 0.0015
+    WITH x AS (SELECT w AS s FROM (
+        SELECT (floor(epoch_us(ts) / 600000000)::BIGINT - unnest(range(0, 6))) * 600 AS w FROM activity WHERE category = 'error') GROUP BY 1 HAVING count(*) / 3600.0::DOUBLE > 0.0015),
+    i AS (SELECT s, s - row_number() OVER (ORDER BY s) * 600 AS g FROM x)
+    SELECT min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY g HAVING max(s) - min(s) >= 1200
     """,
     ["activity"],
 )
 def st4(spark, d):
     errors = v.activity(spark, d).where(F.col("category") == "error")
     out = al.error_rate(errors, "ts", 0.0015, size_seconds=3600, slide="10 minutes")
-    return rounded(out.select(secs(), "n", "rate"))
+    return al.held(out, F.lit(True), [], 600, 1200)
 
 
 @query(
     "st5_slow_windows",
     """
-    SELECT floor(epoch_us(ts) / 21600000000)::BIGINT * 21600 AS window_start, category, quantile_disc(amount, 0.95) AS p95, count(*) AS n
-    FROM activity GROUP BY 1, 2 HAVING quantile_disc(amount, 0.95) > 30
+    WITH x AS (SELECT floor(epoch_us(ts) / 21600000000)::BIGINT * 21600 AS s, category FROM activity GROUP BY 1, 2 HAVING quantile_disc(amount, 0.95) > 30),
+    i AS (SELECT category, s, s - row_number() OVER (PARTITION BY category ORDER BY s) * 21600 AS g FROM x)
+    SELECT category, min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY category, g HAVING max(s) - min(s) >= 21600
     """,
     ["activity"],
 )
 def st5(spark, d):
-    return al.slow_windows(v.activity(spark, d), "ts", "amount", 30.0, ["category"], "6 hours").select(secs(), "category", "p95", "n")
+    slow = al.slow_windows(v.activity(spark, d), "ts", "amount", 30.0, ["category"], "6 hours")
+    return al.held(slow, F.lit(True), ["category"], 21600, 21600)
 
 
 @query(
@@ -154,23 +158,25 @@ def st8(spark, d):
 @query(
     "st9_metric_alerts",
     """
-    WITH m AS (SELECT ts, CASE category WHEN 'view' THEN 'cpu_percent' WHEN 'error' THEN 'http_5xx' WHEN 'click' THEN 'model_accuracy' WHEN 'signup' THEN 'compliance_violations' ELSE 'up' END AS metric,
+    WITH m AS (SELECT ts, CASE category WHEN 'view' THEN 'cpu_percent' WHEN 'error' THEN 'http_5xx' WHEN 'click' THEN 'model_accuracy' WHEN 'signup' THEN 'compliance_violations' ELSE CASE WHEN k < 50 THEN 'up' ELSE 'audits_started' END END AS metric, account_id % 4 AS host,
                       CASE category WHEN 'view' THEN CAST(k AS DOUBLE) WHEN 'click' THEN k / 100.0::DOUBLE ELSE CAST(k AS DOUBLE) END AS value FROM activity),
     q("rule", metric, size_s, st, op, b, h, severity) AS (VALUES ('HighCPUUsage', 'cpu_percent', 300, 'avg', '>', 85.0, 300, 'warning'), ('MLModelAccuracyDrop', 'model_accuracy', 60, 'avg', '<', 0.85, 60, 'critical'),
-        ('ComplianceViolationDetected', 'compliance_violations', 60, 'count', '>', 0.0, 0, 'critical'), ('ServiceDown', 'up', 60, 'min', '<=', 0.0, 60, 'critical'), ('HighErrorRate', 'http_5xx', 300, 'rate', '>', 0.1, 120, 'warning')),
-    w AS (SELECT "rule", severity, st, op, b, size_s, h, floor(floor(epoch_us(ts) / 1000000) / size_s)::BIGINT * size_s AS s, count(*) AS n, avg(value) AS a, min(value) AS mn FROM m JOIN q USING (metric) GROUP BY ALL),
+        ('ComplianceViolationDetected', 'compliance_violations', 60, 'count', '>', 0.0, 0, 'critical'), ('ServiceDown', 'up', 60, 'min', '<=', 0.0, 60, 'critical'), ('HighErrorRate', 'http_5xx', 300, 'rate', '>', 0.1, 120, 'warning'), ('AuditProcessingStalled', 'audits_started', 600, 'count', '<=', 0.0, 300, 'warning')),
+    f AS (SELECT host, "rule", severity, st, op, b, size_s, h, floor(floor(epoch_us(ts) / 1000000) / size_s)::BIGINT * size_s AS s, count(*) AS n, avg(value) AS a, min(value) AS mn FROM m JOIN q USING (metric) GROUP BY ALL),
+    e AS (SELECT host, "rule", unnest(range(min(s), max(s), max(size_s))) AS s FROM f WHERE st = 'count' AND op = '<=' GROUP BY host, "rule"),
+    w AS (SELECT * FROM f UNION ALL SELECT e.host, e."rule", q.severity, q.st, q.op, q.b, q.size_s, q.h, e.s, 0, NULL, NULL FROM e JOIN q USING ("rule") ANTI JOIN f ON e.host = f.host AND e."rule" = f."rule" AND e.s = f.s),
     x AS (SELECT *, CASE st WHEN 'avg' THEN a WHEN 'min' THEN mn WHEN 'rate' THEN n / CAST(size_s AS DOUBLE) ELSE n END AS val FROM w),
     k AS (SELECT * FROM x WHERE CASE op WHEN '>' THEN val > b WHEN '<' THEN val < b ELSE val <= b END),
-    i AS (SELECT *, s - row_number() OVER (PARTITION BY "rule" ORDER BY s) * size_s AS g FROM k)
-    SELECT "rule", severity, min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY "rule", severity, h, size_s, g HAVING max(s) + size_s - min(s) >= h
+    i AS (SELECT *, s - row_number() OVER (PARTITION BY host, "rule" ORDER BY s) * size_s AS g FROM k)
+    SELECT host, "rule", severity, min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY host, "rule", severity, h, size_s, g HAVING max(s) + size_s - min(s) >= h
     """,
     ["activity"],
 )
 def st9(spark, d):
     c, k = F.col("category"), F.col("k").cast("double")
-    metric = F.when(c == "view", "cpu_percent").when(c == "error", "http_5xx").when(c == "click", "model_accuracy").when(c == "signup", "compliance_violations").otherwise("up")
-    rows = v.activity(spark, d).select("ts", metric.alias("metric"), F.when(c == "click", k / 100).otherwise(k).alias("value"))
-    return al.metric_alerts(rows, al.alert_rules(spark))
+    metric = F.when(c == "view", "cpu_percent").when(c == "error", "http_5xx").when(c == "click", "model_accuracy").when(c == "signup", "compliance_violations").when(k < 50, "up").otherwise("audits_started")
+    rows = v.activity(spark, d).select("ts", (F.col("account_id") % 4).alias("host"), metric.alias("metric"), F.when(c == "click", k / 100).otherwise(k).alias("value"))
+    return al.metric_alerts(rows, al.alert_rules(spark), ["host"])
 
 
 @query(

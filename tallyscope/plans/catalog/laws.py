@@ -129,7 +129,7 @@ def j7(spark, d):
     return t.select("account_code", "digit", "n", r("observed", 9).alias("observed"), r("deviation", 9).alias("deviation"))
 
 
-def _engine_sql(source, key, digit, dims, position, bound=15.51):
+def _engine_sql(source, key, digit, dims, position, bound=15.507):
     return f"""
     WITH {_digit_table_sql(source, key, digit, dims)},
     x AS (SELECT {key}, sum(pow(n - expected * total, 2) / (expected * total)) AS chi, max(total) AS total,
@@ -155,14 +155,19 @@ def b2(spark, d):
     return _engine(v.activity(spark, d), ["category"])
 
 
-@query("b2_benford_second_digit", _engine_sql(NONZERO, "category", D2, SECOND, 2), ["activity"])
+@query("b2_benford_second_digit", _engine_sql(NONZERO, "category", D2, SECOND, 2, 16.919), ["activity"])
 def b2_second(spark, d):
     return _engine(v.activity(spark, d), ["category"], 2)
 
 
-@query("b2_benford_ledger", _engine_sql("ledger", "session_id", D1, FIRST, 1, 15.507), ["ledger"])
+@query("b2_benford_reference", _engine_sql(NONZERO, "category", D2, SECOND, 2, 15.51), ["activity"])
+def b2_reference(spark, d):
+    return _engine(v.activity(spark, d), ["category"], 2, critical="reference")
+
+
+@query("b2_benford_ledger", _engine_sql("ledger", "session_id", D1, FIRST, 1), ["ledger"])
 def b2_ledger(spark, d):
-    return _engine(v.ledger(spark, d, "session_id", "amount"), ["session_id"], 1, critical="dof")
+    return _engine(v.ledger(spark, d, "session_id", "amount"), ["session_id"])
 
 
 @query(

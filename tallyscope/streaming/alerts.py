@@ -81,21 +81,29 @@ def alert_rules(spark: SparkSession) -> DataFrame:
     )
 
 
-def metric_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every rule over a (ts, metric, value) table: window by rule, compare, keep sustained breaches.
+def metric_alerts(metrics: DataFrame, rules: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every rule over a (ts, metric, value) table: window by rule and ``keys``, compare, keep sustained breaches.
 
-    Rules are a small dimension, so their windows are computed in one grouped pass. A rule
-    that fires on silence (count at most 0) fires from stretches without rows, see
-    ``activity_sessions``.
+    ``keys`` name the instance (host, service), so that one in trouble is not hidden by an
+    average over all. Rules are a small dimension; their windows are computed in one grouped
+    pass. A rule that fires on silence (count at most 0) also gets the windows without rows
+    between an instance's first and last one.
     """
+    keys = list(keys)
     rows = metrics.join(F.broadcast(rules), "metric")
     start = F.floor(F.unix_seconds("ts") / F.col("size_s")) * F.col("size_s")
-    out = rows.groupBy("rule", "severity", "statistic", "comparison", "bound", "size_s", "hold_s", start.alias("_s")).agg(
+    rule = ["rule", "severity", "statistic", "comparison", "bound", "size_s", "hold_s"]
+    out = rows.groupBy(*keys, *rule, start.alias("_s")).agg(
         F.count(F.lit(1)).alias("_count"),
         F.avg("value").alias("_avg"),
         F.min("value").alias("_min"),
         F.percentile_approx("value", 0.95, 10_000).alias("_p95"),
     )
+    silent = out.where((F.col("statistic") == "count") & (F.col("comparison") == "<="))
+    spans = silent.groupBy(*keys, *rule).agg(F.min("_s").alias("_from"), F.max("_s").alias("_to"))
+    every = spans.select(*keys, *rule, F.explode(F.sequence("_from", "_to", F.col("size_s").cast("bigint"))).alias("_s"))
+    gaps = every.join(silent.select(*keys, "rule", "_s"), [*keys, "rule", "_s"], "left_anti").withColumn("_count", F.lit(0).cast("bigint"))
+    out = out.unionByName(gaps, allowMissingColumns=True)
     stat, op = F.col("statistic"), F.col("comparison")
     value = (
         F.when(stat == "avg", F.col("_avg"))
@@ -108,13 +116,13 @@ def metric_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
         F.when(op == ">", value > F.col("bound")).when(op == "<", value < F.col("bound")).when(op == "<=", value <= F.col("bound"))
     )
     hits = out.where(over)
-    w = Window.partitionBy("rule").orderBy("_s")  # one row per window of the rule
+    w = Window.partitionBy(*keys, "rule").orderBy("_s")  # one row per window of the rule
     runs = hits.withColumn("_island", F.col("_s") - F.row_number().over(w) * F.col("size_s"))
-    done = runs.groupBy("rule", "severity", "hold_s", "size_s", "_island").agg(
+    done = runs.groupBy(*keys, "rule", "severity", "hold_s", "size_s", "_island").agg(
         F.min("_s").alias("from_s"), F.max("_s").alias("to_s"), F.count(F.lit(1)).alias("windows")
     )
     return done.where(F.col("to_s") + F.col("size_s") - F.col("from_s") >= F.col("hold_s")).select(
-        "rule", "severity", "from_s", "to_s", "windows"
+        *keys, "rule", "severity", "from_s", "to_s", "windows"
     )
 
 
