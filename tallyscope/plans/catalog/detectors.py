@@ -317,12 +317,13 @@ def s6(spark, d):
     return tables.read(spark, "statistics", path).select("audit_session_id", "analysis_type", "degrees_of_freedom", (F.col("analysis_results") == "{}").alias("has_json"), "sample_size")
 
 
-@query("s7_csv_scan", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
+@query("s7_csv_scan", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT md5(text)) AS texts FROM documents GROUP BY lang")
 def s7(spark, d):
     path = scratch_path(spark, "csv")
-    v.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").write.option("header", "true").csv(path)
-    back = files.read_csv(spark, path, v.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").schema)
-    return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    rows = v.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    rows.write.option("header", "true").option("escape", '"').csv(path)
+    back = files.read_csv(spark, path, rows.schema, multiline=True)
+    return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.count_distinct(F.md5("text")).alias("texts"))
 
 
 @query("s9_text_scan", "SELECT md5(text) AS digest, count(*) AS n FROM conversations GROUP BY 1")

@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 from tallyscope.constants import FILE_EXTENSIONS, MAX_FILE_BYTES
 
 
-def discover(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, extension, reason): ``reason`` is null for accepted files. Content is not read."""
+def discover(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, length, extension, reason): ``reason`` is null for accepted files. Content is not read.
+
+    Files above ``max_bytes`` (50 MB unless given) are rejected with a reason.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     reason = F.when(~ext.isin(FILE_EXTENSIONS), F.concat(F.lit("unsupported file format: "), ext)).when(
-        F.col("length") > MAX_FILE_BYTES, "file too large"
+        F.col("length") > max_bytes, "file too large"
     )
     return files.select("path", "length", ext.alias("extension"), reason.alias("reason"))
 
@@ -37,22 +40,33 @@ def read_text(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     return files.select("path", F.coalesce(utf8, F.decode("content", "ISO-8859-1")).alias("text"))
 
 
-def _not_utf8(spark: SparkSession, path: str, glob: str) -> bool:
-    """Whether any line of the files is not valid UTF-8 (line reader: no file is held whole)."""
+def _not_utf8(spark: SparkSession, path: str, glob: str) -> set[str]:
+    """Names of the files with a line that is not valid UTF-8 (line reader: no file is held whole)."""
     lines = spark.read.option("pathGlobFilter", glob).text(path)
-    return not lines.where(~F.is_valid_utf8("value")).limit(1).isEmpty()
+    bad = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("f")).distinct()
+    return {r["f"] for r in bad.collect()}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, glob: str = "*.csv") -> DataFrame:
-    """CSV with header. Files that are not valid UTF-8 are read as Latin-1, which takes every byte.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, glob: str = "*.csv", multiline: bool = False) -> DataFrame:
+    """CSV with header. A file that is not valid UTF-8 is read as Latin-1, which takes every byte; the others are not.
 
-    The check is per directory: give one encoding per directory. Pass ``schema`` in
-    production; without it the types are inferred from a full pass.
+    ``multiline`` takes line breaks inside quotes, at the price of one task per file. Pass
+    ``schema`` in production; without it the types are inferred from a full pass.
     """
-    encoding = "ISO-8859-1" if _not_utf8(spark, path, glob) else "UTF-8"
-    reader = spark.read.option("header", "true").option("encoding", encoding).option("pathGlobFilter", glob)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", "true")
-    return reader.csv(path)
+
+    def read(paths, encoding: str, kind: T.StructType | None) -> DataFrame:
+        reader = spark.read.option("header", "true").option("encoding", encoding).option("pathGlobFilter", glob)
+        reader = reader.option("multiLine", multiline).option("escape", '"')
+        return (reader.schema(kind) if kind else reader.option("inferSchema", "true")).csv(paths)
+
+    bad = _not_utf8(spark, path, glob)
+    if not bad:
+        return read(path, "UTF-8", schema)
+    kind = schema or read(path, "ISO-8859-1", None).schema
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("_metadata.file_path").collect()
+    good = sorted({r["file_path"] for r in found} - bad)
+    latin = read(sorted(bad), "ISO-8859-1", kind)
+    return read(good, "UTF-8", kind).unionByName(latin) if good else latin
 
 
 @F.pandas_udf(T.StringType())

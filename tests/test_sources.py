@@ -50,11 +50,10 @@ def folder(tmp_path):
     return tmp_path
 
 
-def test_discovery_and_quarantine(spark, folder, monkeypatch):
+def test_discovery_and_quarantine(spark, folder):
     found = files.discover(spark, str(folder))
     assert {os.path.basename(r["path"]) for r in files.quarantined(found).collect()} == {"c.xyz"}
-    monkeypatch.setattr(files, "MAX_FILE_BYTES", 10)
-    reasons = {r["reason"] for r in files.quarantined(files.discover(spark, str(folder))).collect()}
+    reasons = {r["reason"] for r in files.quarantined(files.discover(spark, str(folder), max_bytes=10)).collect()}
     assert "file too large" in reasons and files.accepted(found).count() == 4
 
 
@@ -67,6 +66,14 @@ def test_csv_encodings(spark, folder):
     assert [(r["name"], r["amount"]) for r in rows] == [("Müller", 1.5), ("Groß", 2.5)]
 
 
+def test_csv_encoding_is_chosen_per_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("name,note\né,\"two\nlines, \"\"quoted\"\"\"\n".encode())
+    (tmp_path / "b.csv").write_bytes("name,note\nü,x\n".encode("latin-1"))
+    rows = files.read_csv(spark, str(tmp_path), multiline=True).orderBy("name").collect()
+    assert [tuple(r) for r in rows] == [("é", 'two\nlines, "quoted"'), ("ü", "x")]
+
+
+
 def test_json_is_reserialised(spark, folder):
     text = files.read_json_text(spark, str(folder)).first()["text"]
     assert text == '{\n  "b": 1,\n  "a": [\n    1,\n    2\n  ]\n}'
