@@ -82,10 +82,11 @@ def mix_rates(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     names = [free_name(docs.columns, f"_m_{x}") for x in ("source", "source_size", "target", "rate")]
     found = found.select(*[F.col(a).alias(b) for a, b in zip(("source", "source_size", "target", "rate"), names)])
     src, source_size, target, rate = (F.col(x) for x in names)
-    rows = docs.join(found, F.col(source).eqNullSafe(src))
+    counted = free_name(docs.columns, "_m_size")  # before the join, so that a text nobody asks for stays out of it
+    rows = docs.withColumn(counted, size).join(found, F.col(source).eqNullSafe(src))
     whole = F.floor(rate)
     copies = whole + F.when(chance(F.col(key), seed) < rate - whole, 1).otherwise(0)
-    mix = F.struct(size.alias("size"), source_size.alias("source_size"), target.alias("target"), copies.cast("long").alias("copies"))
+    mix = F.struct(F.col(counted).alias("size"), source_size.alias("source_size"), target.alias("target"), copies.cast("long").alias("copies"))
     return rows.withColumn(name, mix).select(*docs.columns, name)
 
 
