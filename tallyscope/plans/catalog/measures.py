@@ -452,9 +452,22 @@ def o5(spark, d):
     return rounded(stats.jarque_bera(v.activity(spark, d), ["category"], "amount"), jarque_bera=3)
 
 
-@query("o5_ks_normal", None)
+@query(
+    "o5_ks_normal",
+    """
+    WITH b AS (SELECT CAST(amount AS DOUBLE) AS x FROM ledger), m AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd, count(*) AS n FROM b),
+    c AS (SELECT x, count(*) AS c FROM b GROUP BY x), o AS (SELECT x, c, sum(c) OVER (ORDER BY x) AS upto FROM c), z AS (SELECT *, (x - mu) / sd AS z, least(abs((x - mu) / sd), 8) AS a FROM o, m),
+    l AS (SELECT range AS k, sum(ln(2 * range + 1)) OVER (ORDER BY range) AS lf FROM range(0, 151)),
+    h AS (SELECT x, sum(exp((2 * k + 1) * ln(a) - lf)) * any_value(exp(-a * a / 2)) / sqrt(2 * pi()) AS half FROM z, l WHERE a > 0 GROUP BY x),
+    f AS (SELECT z.*, 0.5::DOUBLE + sign(z) * coalesce(half, 0) AS cdf FROM z LEFT JOIN h USING (x)),
+    s AS (SELECT max(n) AS n, max(greatest(upto / CAST(n AS DOUBLE) - cdf, cdf - (upto - c) / CAST(n AS DOUBLE))) AS ks FROM f),
+    p AS (SELECT n, ks, CASE WHEN sqrt(n) * ks < 0.2 THEN 1 ELSE least(greatest(2 * (SELECT sum(CASE WHEN range % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * range * range * n * ks * ks)) FROM range(1, 101)), 0), 1) END::DOUBLE AS p_value FROM s)
+    SELECT CAST(n AS BIGINT) AS n, round(ks, 6) AS ks_statistic, round(p_value, 6) AS p_value, p_value > 0.05 AS is_normal FROM p
+    """,
+    ["ledger"],
+)
 def o5_ks(spark, d):
-    return stats.ks_normal(v.ledger(spark, d, "amount"), "amount")
+    return rounded(stats.ks_normal(v.ledger(spark, d, "amount"), "amount"))
 
 
 @query(
