@@ -67,12 +67,12 @@ def st2(spark, d):
     "st2_trailing_stream",
     """
     WITH t AS (SELECT id, account_id, epoch_us(ts) AS us, count(*) OVER (PARTITION BY account_id ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS recent FROM activity)
-    SELECT account_id AS "user", us, recent FROM t WHERE recent >= 3
+    SELECT account_id AS "user", us, recent FROM t WHERE recent >= 3 AND us <= (SELECT max(us) // 1000 * 1000 FROM t)
     """,
     ["activity"],
 )
 def st2_stream(spark, d):
-    return ru.run_available(ru.trailing_bursts(event_stream(spark, d), "account_id", "ts", least=3, seconds=6 * 3600), "st2")
+    return ru.run_available(ru.trailing_bursts(event_stream(spark, d), "account_id", "ts", least=3, seconds=6 * 3600, delay="0 seconds"), "st2")
 
 
 @query(

@@ -97,28 +97,35 @@ def feedback_join(predictions: DataFrame, feedback: DataFrame, key: str, within:
     return p.join(f, on).select(f"p.{key}", "predicted_at", "is_anomaly", "confidence", "feedback_at", "human_feedback")
 
 
-def trailing_bursts(stream: DataFrame, user: str, ts: str, least: int = 10, seconds: int = 300) -> DataFrame:
+def trailing_bursts(stream: DataFrame, user: str, ts: str, least: int = 10, seconds: int = 300, delay: str = "10 minutes") -> DataFrame:
     """Exact trailing-window failure count on a stream, one output row per event that reaches ``least``.
 
-    State is the user's event times of the last ``seconds`` only; rows inside one batch are
-    put in time order first.
+    An event is judged once the watermark has passed it, so rows that come up to ``delay`` late
+    and out of order are counted; later ones are dropped. State is a user's times that wait and
+    those of the last ``seconds`` before the watermark, and goes when both are empty.
     """
     span = seconds * 1_000_000
-    rows = stream.select(F.col(user).cast("long").alias("user"), F.unix_micros(ts).alias("us"))
+    rows = stream.withWatermark(ts, delay).select(F.col(user).cast("long").alias("user"), F.col(ts).alias("at"), F.unix_micros(ts).alias("us"))
     schema = "user long, us long, recent long"
 
     def update(key, batches, state):
-        kept = list(state.get[0]) if state.exists else []
-        fresh = sorted(int(u) for pdf in batches for u in pdf["us"])
-        times = sorted(kept + fresh)
+        kept, done = (list(state.get[0]), state.get[1]) if state.exists else ([], -(1 << 62))
+        fresh = [] if state.hasTimedOut else [int(u) for pdf in batches for u in pdf["us"]]
+        times, passed = sorted(kept + fresh), state.getCurrentWatermarkMs() * 1000
         out = []
-        for u in fresh:
+        for u in times[bisect_right(times, done) : bisect_right(times, passed)]:
             recent = bisect_right(times, u) - bisect_right(times, u - span)
             if recent >= least:
                 out.append((key[0], u, recent))
+        waiting = times[bisect_right(times, passed) :]
+        times = times[bisect_right(times, passed - span) :]
         if times:
-            times = times[bisect_right(times, times[-1] - span) :]
-        state.update((times,))
+            state.update((times, max(done, passed)))
+            # fires once the watermark reaches the next event to judge, or lets go of the last one kept
+            at = -(-waiting[0] // 1000) - 1 if waiting else (times[-1] + span) // 1000 + 1
+            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["user", "us", "recent"])
 
-    return rows.groupBy("user").applyInPandasWithState(update, schema, "times array<long>", "append", "NoTimeout")
+    return rows.groupBy("user").applyInPandasWithState(update, schema, "times array<long>, done long", "append", "EventTimeTimeout")

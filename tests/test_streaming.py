@@ -68,11 +68,34 @@ def test_stalls_batch_equals_stream(spark, replay):
 
 def test_trailing_bursts_are_exact(spark, replay):
     path, batch = replay
-    out = ru.run_available(ru.trailing_bursts(stream(spark, path), "user", "ts", 10), "bursts")
+    out = ru.run_available(ru.trailing_bursts(stream(spark, path), "user", "ts", 10, delay="0 seconds"), "bursts")
     want = trailing_count(batch.select("user", F.unix_micros("ts").alias("us")), ["user"], "us", 300).where("recent >= 10")
     assert rows(out.select("user", "us", "recent")) == rows(want.select("user", "us", "recent"))
 
 
+def test_trailing_bursts_count_late_rows(spark):
+    """Rows up to ten minutes late, in files of their own, count as if they had come in order; later ones do not."""
+    rng, start = random.Random(7), dt.datetime(2024, 1, 1)
+    late = [(i, start + dt.timedelta(seconds=20 * i), i % 2, 0.0) for i in range(600)]
+    late.sort(key=lambda r: r[1] + dt.timedelta(seconds=rng.randrange(0, 500)))
+    late.append((999, start, 0, 0.0))  # hours late
+    late += [(1000, start + dt.timedelta(days=1), 0, 0.0), (1001, start + dt.timedelta(days=2), 0, 0.0)]
+    path = scratch_path(spark, "late")
+    for n in range(0, 601, 100):
+        spark.createDataFrame(late[n : n + 100], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    out = ru.run_available(ru.trailing_bursts(stream(spark, path), "user", "ts", 5), "late-bursts")
+    kept = spark.createDataFrame([r for r in late if r[0] < 600], SCHEMA)
+    want = trailing_count(kept.select("user", F.unix_micros("ts").alias("us")), ["user"], "us", 300).where("recent >= 5")
+    assert want.count() > 100 and rows(out.select("user", "us", "recent")) == rows(want.select("user", "us", "recent"))
+
+
+def test_newest_survives_a_restart_without_input(spark, replay):
+    path, _ = replay
+    place = scratch_path(spark, "again")
+    first = rows(ru.newest(stream(spark, path), ["user"], "ts", "id", 3, place))
+    assert rows(ru.newest(stream(spark, path), ["user"], "ts", "id", 3, place)) == first
+
+
 def test_newest_over_batches(spark, replay):
     path, batch = replay
     out = ru.newest(stream(spark, path), ["user"], "ts", "id", 10, scratch_path(spark, "newest"))
