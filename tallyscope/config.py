@@ -1,4 +1,9 @@
-"""Analysis modes and presets as plain values and as a dimension table."""
+"""Analysis modes and presets: fixed values, and dimension tables that operators join.
+
+The values of ``BASE``, ``MODES`` and ``PRESETS`` are fixed ones that results depend on. The
+weights here combine the methods of a configured run; ``constants.METHOD_WEIGHTS`` are those of
+the unnormalised session score, and differ (reinforcement learning 0.15 here, 0.30 there).
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ from copy import deepcopy
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyscope.constants import CONTAMINATION
+from tallyscope.functions.chi2 import critical_value
 
 BASE = {
     "benford": {"significance": 0.05, "minimum_sample": 30, "round_number": 0.35, "preference": 0.20},
@@ -69,3 +75,12 @@ def mode_dimension(spark: SparkSession) -> DataFrame:
     """Risk thresholds by mode, four rows."""
     rows = [(m, *[float(for_mode(m)["risk"][k]) for k in ("low", "medium", "high", "critical")]) for m in MODES]
     return spark.createDataFrame(rows, "mode string, low double, medium double, high double, critical double")
+
+
+def digit_dimension(spark: SparkSession, dof: int = 8) -> DataFrame:
+    """What a digit test needs by mode, four rows: critical value at the mode's significance, least sample."""
+    rows = []
+    for m in MODES:
+        settings = for_mode(m)["benford"]
+        rows.append((m, critical_value(dof, 1 - settings["significance"]), settings["minimum_sample"]))
+    return spark.createDataFrame(rows, "mode string, mode_critical double, minimum_sample int")

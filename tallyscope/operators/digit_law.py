@@ -82,6 +82,16 @@ def _chi2_term(floor: float = 0.0) -> Column:
     return F.pow(F.col("n") - want, 2) / want
 
 
+def configured(tests: DataFrame, keys: Sequence[str], modes: DataFrame) -> DataFrame:
+    """Verdict of every mode on the rows of ``engine_test``: significant, not significant, or too few values.
+
+    ``modes`` is ``config.digit_dimension``; a configured run keeps the rows of its mode.
+    """
+    enough = F.col("sample_size") >= F.col("minimum_sample")
+    verdict = F.when(~enough, "insufficient").when(F.col("chi_square") > F.col("mode_critical"), "significant").otherwise("conforming")
+    return tests.crossJoin(F.broadcast(modes)).select(*keys, "mode", "sample_size", "chi_square", "mode_critical", verdict.alias("verdict"))
+
+
 def engine_test(
     df: DataFrame, keys: Sequence[str], value: str, position: int = 1, critical: str = "dof", confidence: float = 0.95
 ) -> DataFrame:

@@ -142,6 +142,25 @@ def st7(spark, d):
     return out.select("category", F.unix_micros("active_from").alias("active_from"), F.unix_micros("stalled_at").alias("stalled_at"), "started")
 
 
+@query(
+    "st7_stalled_while_pending",
+    """
+    WITH g AS (SELECT category, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY category ORDER BY ts) < 600000000 THEN 0 ELSE 1 END AS b FROM activity),
+    s AS (SELECT *, sum(b) OVER (PARTITION BY category ORDER BY us) AS i FROM g), e AS (SELECT category, max(us) + 600000000 AS us FROM s GROUP BY category, i),
+    w AS (SELECT category, epoch_us(ts) AS a, epoch_us(ts) + CAST(k AS BIGINT) * 60000000 AS z FROM activity),
+    d AS (SELECT category, us, 0 AS kind, sum(n) AS n FROM (SELECT category, a AS us, 1 AS n FROM w UNION ALL SELECT category, z, -1 FROM w) GROUP BY ALL UNION ALL SELECT category, us, 1, 0 FROM e),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY category ORDER BY us, kind ROWS UNBOUNDED PRECEDING) AS pending FROM d)
+    SELECT category, us AS stalled_at, CAST(pending AS BIGINT) AS pending FROM r WHERE kind = 1 AND pending > 0
+    """,
+    ["activity"],
+)
+def st7_pending(spark, d):
+    a = v.activity(spark, d)
+    done = F.timestamp_micros(F.unix_micros("ts") + F.col("k").cast("bigint") * 60_000_000)
+    out = al.stalled_while_pending(al.activity_sessions(a, "ts", ["category"]), a.select("category", F.col("ts").alias("created"), done.alias("finished")), ["category"])
+    return out.select("category", F.unix_micros("stalled_at").alias("stalled_at"), "pending")
+
+
 @query(
     "st8_low_accuracy",
     """

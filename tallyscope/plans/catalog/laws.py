@@ -165,6 +165,21 @@ def b2_reference(spark, d):
     return _engine(v.activity(spark, d), ["category"], 2, critical="reference")
 
 
+@query(
+    "d1_configured_digits",
+    f"""WITH {_digit_table_sql('activity', 'account_id', D1, FIRST)},
+    x AS (SELECT account_id, sum(pow(n - expected * total, 2) / (expected * total)) AS chi, CAST(max(total) AS BIGINT) AS total FROM t GROUP BY 1),
+    p(mode, bound, least) AS (VALUES ('standard', 15.507313056, 30), ('custom', 15.507313056, 30), ('conservative', 20.09023503, 50), ('aggressive', 13.361566137, 20))
+    SELECT account_id, mode, CASE WHEN total < least THEN 'insufficient' WHEN chi > bound THEN 'significant' ELSE 'conforming' END AS verdict FROM x, p""",
+    ["activity"],
+)
+def d1_digits(spark, d):
+    from tallyscope import config
+
+    tests = dl.engine_test(v.activity(spark, d), ["account_id"], "amount")
+    return dl.configured(tests, ["account_id"], config.digit_dimension(spark)).select("account_id", "mode", "verdict")
+
+
 @query("b2_benford_ledger", _engine_sql("ledger", "session_id", D1, FIRST, 1), ["ledger"])
 def b2_ledger(spark, d):
     return _engine(v.ledger(spark, d, "session_id", "amount"), ["session_id"])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyscope.constants import ALERT_RULES
+from tallyscope.operators.ordered import scan
 
 
 def watermarked(df: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -61,6 +62,22 @@ def activity_sessions(df: DataFrame, ts: str, keys: Sequence[str], gap: str = "1
     return out.select(*keys, F.col("w.start").alias("active_from"), F.col("w.end").alias("stalled_at"), "started")
 
 
+def stalled_while_pending(stretches: DataFrame, work: DataFrame, keys: Sequence[str], created: str = "created", finished: str = "finished") -> DataFrame:
+    """Ends of the stretches of ``activity_sessions`` at which work is pending: created by then and not finished.
+
+    Creations, finishes and ends meet in one ordered running sum, so no item is paired with an end.
+    """
+    keys = list(keys)
+    rows = (
+        work.select(*keys, F.unix_micros(created).alias("_us"), F.lit(0).alias("_kind"), F.lit(1).alias("_add"))
+        .unionByName(work.where(F.col(finished).isNotNull()).select(*keys, F.unix_micros(finished).alias("_us"), F.lit(0).alias("_kind"), F.lit(-1).alias("_add")))
+        .groupBy(*keys, "_us", "_kind").agg(F.sum("_add").alias("_add"))
+        .unionByName(stretches.select(*keys, F.unix_micros("stalled_at").alias("_us"), F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_add")))
+    )
+    counted = scan(rows, keys, [F.col("_us"), F.col("_kind")], sums={"pending": "_add"})
+    return counted.where((F.col("_kind") == 1) & (F.col("pending") > 0)).select(*keys, F.timestamp_micros("_us").alias("stalled_at"), "pending")
+
+
 def held(windows: DataFrame, breached: Column, keys: Sequence[str], step_seconds: int, hold_seconds: int) -> DataFrame:
     """Runs of consecutive breached windows that last at least ``hold_seconds`` beyond the first.
 
