@@ -26,24 +26,22 @@ def _mean_path(n: float) -> float:
 def tree_samples(df: DataFrame, id: str, features: Sequence[str], trees: int, size: int, seed: int) -> DataFrame:
     """(tree, v): ``size`` rows per tree by smallest hash, the same on every run and layout.
 
-    One hash per row keeps about ``8 * size * trees`` rows; only those are offered to the
-    trees, each with the chance that gives twice the wanted number.
+    Trees are offered about ``2 * size`` rows each, whatever the number of rows: a row goes to
+    as many trees in a row, from a hashed first one, as that takes, or is kept by its hash with
+    the chance that gives as many. ``size`` is the model's own parameter (256 by default).
     """
-    pool = 8.0 * size * trees
     steps = 1 << 30
+    share = 2.0 * size * trees / F.greatest(F.col("_n"), F.lit(1.0))
     n = df.agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    shares = n.select((F.least(F.lit(1.0), share) * steps).alias("_keep"), F.least(F.lit(trees), F.ceil(share)).cast("int").alias("_offers"))
     vector = F.array(*[F.col(c).cast("double") for c in features])
-    keep = F.least(F.lit(1.0), pool / F.col("_n"))
-    offer = F.least(F.lit(1.0), 2.0 * size / F.least(F.col("_n"), F.lit(pool)))
-    shares = n.select((keep * steps).alias("_keep"), (offer * steps).alias("_offer"))
     rows = df.select(F.col(id).alias("_id"), vector.alias("v")).crossJoin(F.broadcast(shares))
     rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(steps)) < F.col("_keep"))
-    # plain rows rather than a lambda over an array: generated code, and the pool is bounded
-    tries = rows.select("_id", "v", "_offer", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    tries = tries.withColumn("h", F.pmod(F.xxhash64(F.lit(seed + 1), "tree", "_id"), F.lit(steps)))
-    candidates = tries.where(F.col("h") < F.col("_offer"))
-    w = Window.partitionBy("tree").orderBy("h", "_id")
-    return candidates.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).select("tree", "v")
+    first = F.pmod(F.xxhash64(F.lit(seed + 2), "_id"), F.lit(trees))
+    tries = rows.select("_id", "v", first.alias("_first"), F.explode(F.sequence(F.lit(0), F.col("_offers") - 1)).alias("_j"))
+    tries = tries.select("_id", "v", F.pmod(F.col("_first") + F.col("_j"), F.lit(trees)).cast("int").alias("tree"))
+    w = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 1), "tree", "_id"), "_id")
+    return tries.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).select("tree", "v")
 
 
 def _grow(tree: int, x: np.ndarray, seed: int) -> list[tuple]:
