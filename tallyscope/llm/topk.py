@@ -88,7 +88,7 @@ class Index:
 
     def __init__(self, rows: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE):
         self.width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-        width = self.width
+        width, self.rings_a_pivot = self.width, rings
         few = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toPandas()["v"]
         taken = np.zeros((len(few), width))
         for i, v in enumerate(few):
@@ -136,7 +136,7 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     width, pivots = index.width, index.pivots
     ring = np.array([r["ring"] for r in index.rings])
     low, high, norm = (np.array([r[c] for r in index.rings]) for c in ("low", "high", "norm"))
-    ring_pivot = ring // RINGS
+    ring_pivot = ring // index.rings_a_pivot
     one = queries.groupBy("id").agg(F.min("v").alias("v"))
     open_queries = stored(one.select(F.col("id").alias("query_id"), "v"), "topk-queries")
     packs = -(-max(open_queries.count(), 1) // PACK_QUERIES)

@@ -109,7 +109,7 @@ def test_packing_words_alone_equal_whole_texts():
     samples = ["Hello, world's don't!! it'S x_y 3.14 ½ ²a ǅ ΣΑΣ ΑΣ. É é. á,b", "A B C​D \x1c x\x85y", "<|endoftext|> a<|endoftext|>b ...", "naïve—text “quoted” …", "İI ẞ ﬁ 한글。"]
     encode = packing.WordEncoder(TOKENIZER)
     for s in samples:
-        got = np.frombuffer(b"".join(encode[w] for w in s.encode().split()), "<u4").tolist()
+        got = np.frombuffer(b"".join(encode.encode(w) for w in s.encode().split()), "<u4").tolist()
         assert got == whole.encode(s, add_special_tokens=False).ids
 
 
@@ -253,6 +253,14 @@ def test_top_k_clustered_ties_and_edges(spark):
     assert len(few) == 3
 
 
+def test_index_of_other_sizes(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    few = topk.usable(rows, "vec_id", "embedding")
+    found = topk.search(topk.Index(few, pivots=3, rings=5), few.where("id % 100 = 0"), 4).collect()
+    plain_rows = [(r.vec_id, r.embedding) for r in rows.collect()]
+    assert {tuple(r) for r in found} == brute_top(plain_rows, [i for i, _ in plain_rows if i % 100 == 0], 4)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(8)
     x, q = rng.integers(-500, 500, (400, 5)).astype(float), rng.integers(-500, 500, (30, 5)).astype(float)
