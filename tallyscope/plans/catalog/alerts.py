@@ -13,7 +13,7 @@ from tallyscope.plans import views as v
 from tallyscope.plans.catalog.documents import SCAN_SQL
 from tallyscope.plans.catalog.ledgers import r
 from tallyscope.plans.catalog.measures import rounded
-from tallyscope.plans.catalog.risks import STEP_SQL, steps
+from tallyscope.plans.catalog.risks import STEP_SQL, steps, steps_of
 from tallyscope.plans.registry import query
 from tallyscope.session import scratch_path
 from tallyscope.streaming import alerts as al
@@ -207,25 +207,45 @@ def st10(spark, d):
     return rounded(se.progress(steps(spark, d), ["session_id"], "step", "ts"))
 
 
+@query(
+    "st10_progress_stream",
+    f"WITH {STEP_SQL} SELECT session_id, arg_max(step, ts) AS current_step, CAST(count(DISTINCT step) AS INTEGER) AS steps_completed, round(count(DISTINCT step) / 9.0::DOUBLE * 100, 6) AS progress_percentage FROM stp GROUP BY session_id",
+    ["activity"],
+)
+def st10_stream(spark, d):
+    moves = steps_of(event_stream(spark, d))
+    return rounded(ru.run_complete(se.progress(moves, ["session_id"], "step", "ts"), "st10"))
+
+
+def trail_flags():
+    """Compliance flags of an audit-trail entry."""
+    return {"failure": F.col("category") == "error", "override": F.col("k") > 97}
+
+
 @query(
     "st11_audit_trail",
-    f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(CAST(ts AS DATE) + {RETENTION_DAYS} AS VARCHAR) AS expires, count(*) AS n FROM activity GROUP BY ALL",
+    f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(CAST(ts AS DATE) + {RETENTION_DAYS} AS VARCHAR) AS expires, count(*) AS n, count(*) FILTER (category = 'error') AS failures, "
+    "count(*) FILTER (k > 97) AS overrides, count(*) FILTER (category = 'error' OR k > 97) AS critical FROM activity GROUP BY ALL",
     ["activity"],
 )
 def st11(spark, d):
     base = scratch_path(spark, "trail")
-    ru.audit_trail(event_stream(spark, d), "ts", f"{base}/rows", f"{base}/checkpoint").awaitTermination()
+    ru.audit_trail(event_stream(spark, d), "ts", f"{base}/rows", f"{base}/checkpoint", trail_flags()).awaitTermination()
     back = spark.read.parquet(f"{base}/rows")
-    return back.groupBy(F.col("day").cast("string").alias("day"), F.col("expires").cast("string").alias("expires")).agg(F.count(F.lit(1)).alias("n"))
+    return back.groupBy(F.col("day").cast("string").alias("day"), F.col("expires").cast("string").alias("expires")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("failure").alias("failures"), F.count_if("override").alias("overrides"), F.count_if("compliance_critical").alias("critical")
+    )
 
 
 @query(
     "st12_retention",
-    "SELECT category, count(*) AS kept FROM activity WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') <= 10 OR category = 'error' GROUP BY category",
+    "SELECT category, count(*) AS kept FROM activity WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') <= 10 OR category = 'error' OR k > 97 GROUP BY category",
     ["activity"],
 )
 def st12(spark, d):
-    kept = al.retained(v.activity(spark, d).withColumn("day", F.to_date("ts")), F.lit("2024-02-01").cast("date"), "day", F.col("category") == "error", 10)
+    base = scratch_path(spark, "trail")
+    ru.audit_trail(event_stream(spark, d), "ts", f"{base}/rows", f"{base}/checkpoint", trail_flags()).awaitTermination()
+    kept = al.retained(spark.read.parquet(f"{base}/rows"), F.lit("2024-02-01").cast("date"), "day", F.col("compliance_critical"), 10)
     return kept.groupBy("category").agg(F.count(F.lit(1)).alias("kept"))
 
 

@@ -176,9 +176,14 @@ STEPS = ["initialize", "ingest_and_parse", "statistical_analysis", "regulatory_v
 STEP_SQL = "stp AS (SELECT account_id AS session_id, ts, id, [" + ", ".join(f"'{s}'" for s in STEPS) + "][k % 9 + 1] AS step FROM activity)"
 
 
-def steps(spark, d):
+def steps_of(activity):
+    """Workflow steps of the sessions, one for each event."""
     names = F.array(*[F.lit(s) for s in STEPS])
-    return v.activity(spark, d).select(F.col("account_id").alias("session_id"), "ts", "id", F.element_at(names, F.col("k") % 9 + 1).alias("step"))
+    return activity.select(F.col("account_id").alias("session_id"), "ts", "id", F.element_at(names, F.col("k") % 9 + 1).alias("step"))
+
+
+def steps(spark, d):
+    return steps_of(v.activity(spark, d))
 
 
 @query(

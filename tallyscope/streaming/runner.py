@@ -6,7 +6,7 @@ from bisect import bisect_right
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,14 +49,36 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", path: str
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def run_complete(stream: DataFrame, label: str) -> DataFrame:
+    """Keep an aggregate of a stream as a table: every batch writes the whole result anew, the last one is read back."""
+    spark = stream.sparkSession
+    base = scratch_path(spark, label)
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
 def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
     query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def audit_trail(stream: DataFrame, ts: str, path: str, checkpoint: str):
-    """Append-only trail partitioned by day, so retention drops whole partitions."""
+def audit_trail(stream: DataFrame, ts: str, path: str, checkpoint: str, flags: dict[str, Column] | None = None):
+    """Append-only trail partitioned by day, so retention drops whole partitions.
+
+    ``flags`` are compliance flags by name; ``compliance_critical`` says whether one is set, which
+    retention reads.
+    """
     rows = stream.withColumn("day", F.to_date(ts)).withColumn("expires", F.date_add(F.to_date(ts), RETENTION_DAYS))
+    any_flag = F.lit(False)
+    for name, condition in (flags or {}).items():
+        rows = rows.withColumn(name, F.coalesce(condition, F.lit(False)))
+        any_flag = any_flag | F.col(name)
+    rows = rows.withColumn("compliance_critical", any_flag)
     return (
         rows.writeStream.outputMode("append").format("parquet").partitionBy("day").option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start(path)
