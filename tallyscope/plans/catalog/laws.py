@@ -357,7 +357,7 @@ def r11_digits(spark, d):
     f"""WITH {_digit_table_sql(NONZERO, 'account_id', D1, FIRST)},
     x AS (SELECT account_id, sum(pow(n - expected * total, 2) / (expected * total)) AS chi, max(observed) FILTER (digit = 1) AS s1, max(observed) FILTER (digit = 2) AS s2,
                  max(observed) FILTER (digit = 3) AS s3, max(observed) FILTER (digit = 5) AS s5 FROM t GROUP BY 1),
-    y AS (SELECT *, s1 > 0.35 OR s5 > 0.12 AS rb, s2 > 0.20 OR s3 > 0.15 AS np, least(chi / 31.02, 1) AS base FROM x),
+    y AS (SELECT *, s1 > 0.35 OR s5 > 0.12 AS rb, s2 > 0.20 OR s3 > 0.15 AS np, least(chi / 31.014, 1) AS base FROM x),
     z AS (SELECT *, CASE WHEN rb THEN least(base + 0.1, 1) ELSE base END AS s FROM y)
     SELECT account_id, rb AS round_number_bias, np AS number_preference, round(CASE WHEN np THEN least(s + 0.05, 1) ELSE s END, 6) AS risk_score FROM z""",
     ["activity"],
