@@ -32,12 +32,12 @@ from tallyscope.llm.storage import stored
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS, CACHED_PARTS = 800_000, 300_000
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe
 
 
-class WordEncoder(dict):
-    """Word to its ids as little-endian 32-bit bytes, kept in memory up to a bound.
+class WordEncoder:
+    """Words' ids, remembered by word hash in sorted arrays up to a bound.
 
     White space always separates tokens here, so words are encoded on their own. A word of
     letters and trailing ASCII punctuation falls into those two parts as well; the vocabulary's
@@ -47,29 +47,49 @@ class WordEncoder(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.encoder = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
         self.parts: dict[str, bytes] = {}
+        self.keys, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
 
     def _part(self, text: str) -> bytes:
-        text = text.lower() if text.isascii() else text
+        text = text.lower() if text.isascii() and "<|" not in text else text
         got = self.parts.get(text)
         if got is None:
             got = np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(self.parts) >= CACHED_WORDS:
+            if len(self.parts) >= CACHED_PARTS:
                 self.parts.clear()
             self.parts[text] = got
         return got
 
-    def __missing__(self, word: bytes) -> bytes:
+    def encode(self, word: bytes) -> bytes:
+        """Ids of one word as little-endian 32-bit bytes."""
         text = word.decode()
         core = text.rstrip(_PUNCTUATION)
-        tail = text[len(core):]
-        got = self._part(core) + self._part(tail) if tail and core.isalpha() else self._part(text)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = got
-        return got
+        if len(core) < len(text) and core.isalpha():
+            return self._part(core) + self._part(text[len(core):])
+        return self._part(text)
+
+    def find(self, keys: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
+        """Begin in ``flat`` and number of ids for sorted different hashes; ``words(indexes)`` gives the words to encode."""
+        if len(self.keys) > CACHED_WORDS:
+            self.forget()
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            ids = [self.encode(w) for w in words(new)]
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            begins = len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+            place = at[new]
+            self.keys, self.begins, self.sizes = (np.insert(a, place, v) for a, v in ((self.keys, keys[new]), (self.begins, begins), (self.sizes, sizes)))
+            at = np.searchsorted(self.keys, keys)
+        return self.begins[at], self.sizes[at]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -82,6 +102,23 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def encoded(texts: pa.Array, encode: WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, each with its end id, and where each text begins. Each different word is encoded once."""
+    s = ts.scan(texts)
+    keys, at, back = np.unique(s.hashes(s.starts, s.ends), return_index=True, return_inverse=True)
+    raw, starts, ends = s.data.tobytes(), s.starts[at], s.ends[at]
+    begins, sizes = encode.find(keys, lambda new: (raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())))
+    length = sizes[back]
+    after = np.append(0, np.cumsum(length))  # ids up to each word, ends of texts left out
+    ids = encode.flat[np.repeat(begins[back] - after[:-1], length) + np.arange(after[-1])]
+    begin = after[s.first] + np.arange(len(texts) + 1)
+    out = np.full(begin[-1], end_id, "<u4")
+    inside = np.ones(len(out), bool)
+    inside[begin[1:] - 1] = False
+    out[inside] = ids
+    return out, begin
+
+
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY,
            end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """A row per piece: key, piece, start, length, ids_crc32, and the ``ids`` unless they are not asked for."""
@@ -89,24 +126,18 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
               StructField("length", LongType()), StructField("ids_crc32", LongType())]
     if with_ids:
         fields.append(StructField("ids", ArrayType(IntegerType())))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).__getitem__
+        encode = encoder(tokenizer)
         for batch in ts.slices(batches, text):
-            rows: list[tuple] = []
-            for i, value in enumerate(batch.column(text)):
-                words = value.as_buffer().to_pybytes().split() if value.is_valid else []
-                ids = b"".join(map(encode, words)) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            index, piece, start, length, crc, parts = zip(*rows)
-            out = [batch.column(key).take(pa.array(index)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                   pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            if with_ids:
-                offsets = np.append(0, np.cumsum(length)).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(parts), "<i4")))
+            ids, begin = encoded(batch.column(text), encode, end_id)
+            cuts = [(i, k, a, min(a + capacity, hi)) for i, (lo, hi) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist()))
+                    for k, a in enumerate(range(lo, hi, capacity))]
+            row, piece, first, last = (np.array(x, np.int64) for x in zip(*cuts))
+            crc = [zlib.crc32(ids[a:b]) for _, _, a, b in cuts]
+            out = [batch.column(key).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(first - begin[row]), pa.array(last - first), pa.array(crc, pa.int64())]
+            if with_ids:  # pieces lie in a row
+                out.append(pa.ListArray.from_arrays(np.append(first, len(ids)).astype(np.int32), ids.view("<i4")))
             yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
 
     return docs.select(key, text).mapInArrow(run, StructType(fields))
