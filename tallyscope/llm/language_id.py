@@ -31,6 +31,8 @@ from tallyscope.llm import textscan as ts
 
 MARK = "▁"  # begins a word in the vocabulary
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of letter runs: ASCII letters, and all bytes of other characters, which ``LETTERS`` then sorts out.
+_LETTER_BYTES = np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)])
 UNKNOWN = 1e-7  # probability of a letter that no piece covers
 CACHED_WORDS = 1_000_000
 UNDETERMINED = "und"
@@ -169,9 +171,9 @@ class _Scorer:
                 np.add.at(out, np.array(owner), np.column_stack([logs, [len(r) - 1 for r in runs]]))
             if len(self.keys) + len(new) > CACHED_WORDS:
                 self.keys, self.rows = np.zeros(0, np.uint64), np.zeros((0, out.shape[1]))
-            order = np.argsort(np.concatenate([self.keys, keys[new]]))
-            self.rows = np.concatenate([self.rows.reshape(-1, out.shape[1]), out[new]])[order]
-            self.keys = np.concatenate([self.keys, keys[new]])[order]
+            place = np.searchsorted(self.keys, keys[new])
+            self.rows = np.insert(self.rows.reshape(-1, out.shape[1]), place, out[new], axis=0)
+            self.keys = np.insert(self.keys, place, keys[new])
         return out
 
 
@@ -195,13 +197,16 @@ def learn(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
           max_labelled: int = 2_000, rounds: int = 3, smooth: float = 0.1) -> Model:
     """Learn from at most ``max_labelled`` labelled texts of each language, those of the least key hashes.
 
-    The bound keeps fitting the same at every size of the corpus.
+    The bound keeps fitting the same at every size of the corpus. Keys are chosen without their
+    texts; the chosen ones, bounded by ``max_labelled`` and the languages, are broadcast. Rows
+    with a null key are not chosen.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("key").cast("string"), F.lit("language")), "key", "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("key").cast("string"), F.lit("language")), "key")
     rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull()
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("key").isNotNull()
     )
-    sample = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_labelled)
+    chosen = rows.select("lang", "key").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_labelled)
+    sample = rows.join(F.broadcast(chosen.select("lang", "key").distinct()), ["lang", "key"])
     counted = _counted_words(sample).cache()
     languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     place = {x: i for i, x in enumerate(languages)}
@@ -251,7 +256,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
             _SCORERS[mark] = _Scorer(Lattice(learned.pieces), _table(learned.logs))
         scorer, n = _SCORERS[mark], len(learned.languages)
         for batch in ts.slices(batches, text):
-            s = ts.scan(batch.column(text))
+            s = ts.scan(batch.column(text), lower=True, within=_LETTER_BYTES)
             keys, at, back = np.unique(s.hashes(s.starts, s.ends), return_index=True, return_inverse=True)
             raw, starts, ends = s.data.tobytes(), s.starts[at], s.ends[at]
             rows = scorer.find(keys, lambda k: raw[starts[k] : ends[k]].decode())

@@ -93,8 +93,8 @@ class Scan:
         return np.diff(total[bounds])
 
 
-def scan(texts: pa.Array, lower: bool = False) -> Scan:
-    """Find the words; null texts are empty, ``lower`` folds A-Z."""
+def scan(texts: pa.Array, lower: bool = False, within: np.ndarray = ~SPACE) -> Scan:
+    """Find the runs of bytes in ``within`` (words); null texts are empty, ``lower`` folds A-Z."""
     texts = pc.fill_null(texts, "" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
     kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
     _, offsets, values = texts.buffers()
@@ -103,7 +103,7 @@ def scan(texts: pa.Array, lower: bool = False) -> Scan:
     bounds = bounds - bounds[0]
     if lower:
         data = LOWER[data]
-    inside = ~SPACE[data]
+    inside = within[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     start, end = inside.copy(), inside.copy()
