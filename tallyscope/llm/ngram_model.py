@@ -174,11 +174,10 @@ def _write(folder: str, name: str, arrays: list[np.ndarray]) -> str:
 _MERGED = _BLOB + ", n long, tokens long, seen array<long>"
 
 
-def _merged(shard: int, rows: list[tuple[str, bytes, int, int, list[int]]]) -> pa.Table:
-    kind, blob, n, total, seen = zip(*rows)
+def _merged(rows: list[tuple[int, str, bytes, int, int, list[int]]]) -> pa.Table:
+    shard, kind, blob, n, total, seen = zip(*rows)
     return pa.table({
-        "shard": pa.array([shard if isinstance(shard, int) else s for s in ([shard] * len(rows) if isinstance(shard, int) else shard)], pa.int32()),
-        "kind": pa.array(kind), "blob": pa.array(blob, pa.binary()), "n": pa.array(n, pa.int64()), "tokens": pa.array(total, pa.int64()),
+        "shard": pa.array(shard, pa.int32()), "kind": pa.array(kind), "blob": pa.array(blob, pa.binary()), "n": pa.array(n, pa.int64()), "tokens": pa.array(total, pa.int64()),
         "seen": pa.array(seen, pa.list_(pa.int64())),
     })
 
@@ -198,8 +197,8 @@ def _merge_words(table: pa.Table, most_hot: int) -> pa.Table:
     parts = [_unpacked(b, 1) for b in _blobs(table, "words")]
     keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
     top = np.argsort(-counts, kind="stable")[:most_hot]
-    return _merged(shard, [("words", _packed(keys, counts), len(keys), int(counts.sum()), []),
-                           ("top", _packed(keys[top], counts[top]), 0, 0, [])])
+    return _merged([(shard, "words", _packed(keys, counts), len(keys), int(counts.sum()), []),
+                    (shard, "top", _packed(keys[top], counts[top]), 0, 0, [])])
 
 
 def _merge_pairs(table: pa.Table, folder: str, bits: int, hot: np.ndarray) -> pa.Table:
@@ -220,7 +219,7 @@ def _merge_pairs(table: pa.Table, folder: str, bits: int, hot: np.ndarray) -> pa
     ):
         word, *values = _summed(word, *[v.astype(np.int64) for v in values])
         rows += [(to, kind, _packed(word[at], *[v[at] for v in values]), 0, 0, []) for to, at in _shards(word, bits)]
-    return _merged([r[0] for r in rows], [r[1:] for r in rows])
+    return _merged(rows)
 
 
 def _write_words(table: pa.Table, folder: str) -> pa.Table:
@@ -236,7 +235,7 @@ def _write_words(table: pa.Table, folder: str) -> pa.Table:
             values.append(full)
     word, *sums = _summed(np.concatenate(keys), *np.concatenate(values, axis=1))
     uri = _write(folder, f"words-{shard}", [word, *[v.astype(np.uint32) for v in sums]])
-    return _merged(shard, [("file", uri.encode(), len(word), 0, _seen(sums[1]))])
+    return _merged([(shard, "file", uri.encode(), len(word), 0, _seen(sums[1]))])
 
 
 @dataclass
