@@ -201,11 +201,16 @@ def learn(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
     texts; the chosen ones, bounded by ``max_labelled`` and the languages, are broadcast. Rows
     with a null key are not chosen.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("key").cast("string"), F.lit("language")), "key")
+    steps = 1 << 30
+    h = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("language")), F.lit(steps))
+    order = Window.partitionBy("lang").orderBy("h", "key")
     rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("key").isNotNull()
     )
-    chosen = rows.select("lang", "key").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_labelled)
+    # by count and hash about twice the wanted keys of a language meet in its task, however common it is
+    counts = rows.groupBy("lang").agg((2.0 * max_labelled / F.count(F.lit(1)) * steps).alias("most"))
+    offered = rows.select("lang", "key", h.alias("h")).join(F.broadcast(counts), "lang").where(F.col("h") < F.col("most"))
+    chosen = offered.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_labelled)
     sample = rows.join(F.broadcast(chosen.select("lang", "key").distinct()), ["lang", "key"])
     counted = _counted_words(sample).cache()
     languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
