@@ -2,10 +2,13 @@
 
 The base patterns label credentials in the corpus. For each kind a prefix tree of labelled
 strings (over character classes) is folded into an automaton by merging states whose
-symbol and end frequencies agree within Hoeffding's bound. A further automaton describes the
-other candidates. Every candidate of every text, a run of credential characters, is scored by
-the log-likelihood ratio of its best format against the rest; those above the kind's
-threshold are added as ``inferred`` spans where they touch no base span.
+symbol and end frequencies agree within Hoeffding's bound. A further automaton, whose states
+are the last ``CONTEXT`` classes, describes the other candidates. A candidate is a run of at
+least as many credential characters as the shortest base credential has, or the part of a
+run that lies beside base spans. Every candidate of every text is scored by the
+log-likelihood ratio of its best format against the rest; those above the kind's threshold
+are added as ``inferred`` spans. The background and the thresholds come from the counts of all
+candidates' shapes; only the labelled strings are bounded.
 
 Offsets are code points, ends exclusive.
 
@@ -19,24 +22,24 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tallyscope.llm import textscan as ts
-from tallyscope.llm.storage import free_name
+from tallyscope.llm.storage import free_name, stored
 
 # Fixed patterns of the base kinds.
-ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
+ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+HEX = re.compile(rb"[0-9a-f]+")
 KINDS = ("assign", "access", "hex")
 INFERRED = "inferred"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
@@ -44,8 +47,13 @@ _ORDER = {k: i for i, k in enumerate((*KINDS, INFERRED))}
 
 #: A text without any of these, in lower case, has no assignment.
 _NAMES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
-#: Shortest run of credential characters that is a candidate; no longer than any base access or hex match.
-LEAST_RUN = 16
+#: Shortest candidate, and shortest run that can hold a base access or hex match.
+LEAST_RUN = min(LEAST.values())
+LEAST_LONG = min(LEAST["access"], LEAST["hex"])
+#: Classes that a state of the background remembers.
+CONTEXT = 4
+#: Scores of candidates are counted in steps of this part of a bit.
+STEPS = 64
 _IN_RUN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"))
 
 Span = tuple[str, int, int]
@@ -59,6 +67,8 @@ def _classes() -> dict[str, str]:
 
 _CLASS = str.maketrans(_classes())
 _SYMBOLS = len(set(_classes().values()))
+_CLASS_OF = np.arange(256, dtype=np.uint8)
+_CLASS_OF[list(map(ord, _classes()))] = list(map(ord, _classes().values()))
 
 
 def shape(value: str) -> str:
@@ -171,107 +181,194 @@ class Formats:
     rest: Automaton | None
     thresholds: dict[str, float]
 
-    def is_secret(self, value: str) -> bool:
-        if self.rest is None:
-            return False
-        symbols = shape(value)
-        rest = self.rest.log2(symbols)
-        return any(a.log2(symbols) - rest >= self.thresholds[k] for k, a in self.kinds.items())
+    def __post_init__(self):
+        self._known: dict[bytes, bool] = {}
 
+    def scores(self, symbols: str) -> dict[str, float]:
+        rest = self.rest.log2(symbols)
+        return {k: a.log2(symbols) - rest for k, a in self.kinds.items()}
 
-def runs(data: np.ndarray, bounds: np.ndarray, least: int = LEAST_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of the runs of credential characters of at least ``least`` bytes."""
-    inside = _IN_RUN[data]
-    edge = np.zeros(len(data) + 1, bool)
+    def is_secret(self, symbols: bytes) -> bool:
+        """Whether a candidate of this shape is a secret."""
+        if self.rest is None:
+            return False
+        known = self._known.get(symbols)
+        if known is None:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            known = any(x >= self.thresholds[k] for k, x in self.scores(symbols.decode()).items())
+            if len(symbols) < 64:
+                self._known[symbols] = known
+        return known
+
+
+def runs(inside: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the runs of bytes that are ``inside``, of at least ``least`` bytes."""
+    edge = np.zeros(len(inside) + 1, bool)
     edge[bounds] = True
-    change = np.ones(len(data) + 1, bool)
+    change = np.ones(len(inside) + 1, bool)
     change[1:-1] = (inside[1:] != inside[:-1]) | edge[1:-1]
     at = np.flatnonzero(change)
     starts, ends = at[:-1], at[1:]
-    keep = (ends - starts >= least) & inside[starts] if len(data) else np.zeros(0, bool)
+    keep = (ends - starts >= least) & inside[starts] if len(inside) else np.zeros(0, bool)
     starts, ends = starts[keep], ends[keep]
     return np.searchsorted(bounds, starts, side="right") - 1, starts, ends
 
 
-def found_in(texts: pa.Array) -> Iterator[tuple[int, str, list[Span], list[Span]]]:
-    """Row, text, base spans and further candidates of each text that has any."""
-    texts = pc.fill_null(texts, "")
+def _cut(texts: pa.Array) -> tuple[ts.Scan, bytes, dict[int, list[Span]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The scan, its bytes, base spans by row, and the row, start and end of all candidates; offsets are bytes of all."""
     s = ts.scan(texts)
-    row, starts, ends = runs(s.data, s.bounds)
-    first = np.searchsorted(row, np.arange(len(texts) + 1))
-    raw = s.data.tobytes()
-    for i in range(len(texts)):
+    raw, inside = s.data.tobytes(), _IN_RUN[s.data]
+    low, bounds = raw.lower(), s.bounds.tolist()
+    base: dict[int, list[Span]] = {}
+    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        if any(low.find(x, lo, hi) >= 0 for x in _NAMES):
+            found = [("assign", *m.span()) for m in ASSIGN.finditer(raw, lo, hi) if len(m[2]) >= LEAST["assign"]]
+            if found:
+                base[i] = found
+    for i, a, b in zip(*(x.tolist() for x in runs(inside, s.bounds, LEAST_LONG))):
+        for kind, pattern in (("access", ACCESS), ("hex", HEX)):
+            found = [(kind, *m.span()) for m in pattern.finditer(raw, a, b) if len(m[0]) >= LEAST[kind]]
+            if found:
+                base.setdefault(i, []).extend(found)
+    for spans in base.values():
+        for _, a, b in spans:
+            inside[a:b] = False
+    return s, raw, base, runs(inside, s.bounds, LEAST_RUN)
+
+
+def found_in(texts: pa.Array, formats: Formats | None = None) -> Iterator[tuple[int, str, list[Span], list[Span]]]:
+    """Row, text, base spans and further candidates of each text that has any; with ``formats``, only candidates that are secrets."""
+    s, raw, base, (row, starts, ends) = _cut(texts)
+    classes = _CLASS_OF[s.data].tobytes()
+    others: dict[int, list[Span]] = {}
+    for i, a, b in zip(row.tolist(), starts.tolist(), ends.tolist()):
+        if formats is None or formats.is_secret(classes[a:b]):
+            others.setdefault(i, []).append((INFERRED, a, b))
+    # characters before each byte
+    chars = np.append(0, np.cumsum((s.data & 0xC0) != 0x80))
+    for i in sorted(base.keys() | others.keys()):
         lo, hi = int(s.bounds[i]), int(s.bounds[i + 1])
-        low = raw[lo:hi].lower()
-        named = any(x in low for x in _NAMES)
-        if not named and first[i] == first[i + 1]:
-            continue
-        text = raw[lo:hi].decode()
-        base: list[Span] = []
-        if named:
-            base += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
-        others: list[Span] = []
-        for k in range(first[i], first[i + 1]):
-            a, b = int(starts[k]), int(ends[k])
-            value = raw[a:b].decode()
-            at = a - lo if len(text) == hi - lo else len(raw[lo:a].decode())
-            for kind, pattern in (("access", ACCESS), ("hex", HEX)):
-                base += [(kind, at + m.start(), at + m.end()) for m in pattern.finditer(value) if len(m[0]) >= LEAST[kind]]
-            others.append((INFERRED, at, at + len(value)))
-        others = [o for o in others if not any(o[1] < e and b < o[2] for _, b, e in base)]
-        yield i, text, sorted(base, key=lambda x: (x[1], _ORDER[x[0]])), others
-
-
-def _examples(docs: DataFrame, each: int) -> list[tuple[str, str]]:
-    """Up to ``each`` different strings of every kind, those of the least hashes over all texts."""
+        spans = [[(k, int(chars[a] - chars[lo]), int(chars[b] - chars[lo])) for k, a, b in x.get(i, [])] for x in (base, others)]
+        yield i, raw[lo:hi].decode(), sorted(spans[0], key=lambda x: (x[1], _ORDER[x[0]])), spans[1]
+
+
+def _examples(docs: DataFrame, each: int) -> DataFrame:
+    """``(kind, value, h, n)``: labelled strings of the least hashes, and all other candidates' shapes with counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[str, int]] = {}
+        shapes: Counter[bytes] = Counter()
 
         def cut(kind: str) -> None:
             least = sorted(held[kind].items(), key=lambda x: (x[1], x[0]))[:each]
             held[kind] = dict(least)
 
+        def counted() -> pa.RecordBatch:
+            n = len(shapes)
+            arrays = [pa.array([INFERRED] * n, pa.string()), pa.array([x.decode() for x in shapes], pa.string()), pa.array([0] * n, pa.int64()), pa.array(list(shapes.values()), pa.int64())]
+            shapes.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["kind", "value", "h", "n"])
+
         for batch in ts.slices(batches):
-            for _, text, base, others in found_in(batch.column(0)):
-                for kind, a, b in [*base, *others]:
-                    value = ASSIGN.match(text, a, b)[2] if kind == "assign" else text[a:b]
+            s, raw, base, (_, starts, ends) = _cut(batch.column(0))
+            for spans in base.values():
+                for kind, a, b in spans:
+                    value = (ASSIGN.match(raw, a, b)[2] if kind == "assign" else raw[a:b]).decode()
                     held.setdefault(kind, {})[value] = xxhash.xxh64_intdigest(value.encode()) >> 1
                     if len(held[kind]) > 4 * each:
                         cut(kind)
+            classes = _CLASS_OF[s.data].tobytes()
+            shapes.update([classes[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+            if len(shapes) > 200_000:
+                yield counted()
+        yield counted()
         for kind in held:
             cut(kind)
-        rows = [(kind, value, h) for kind, values in held.items() for value, h in values.items()]
+        rows = [(kind, value, h, 1) for kind, values in held.items() for value, h in values.items()]
         if rows:
-            kind, value, h = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(value), pa.array(h, pa.int64())], ["kind", "value", "h"])
+            kind, value, h, n = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(value), pa.array(h, pa.int64()), pa.array(n, pa.int64())], ["kind", "value", "h", "n"])
 
-    found = docs.select("text").mapInArrow(run, "kind string, value string, h long").distinct()
-    order = Window.partitionBy("kind").orderBy("h", "value")
-    rows = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).orderBy("kind", "n").collect()
-    return [(r["kind"], r["value"]) for r in rows]
+    return stored(docs.select("text").mapInArrow(run, "kind string, value string, h long, n long"), "secret-examples")
+
+
+def background(shapes: DataFrame, smooth: float = 0.5) -> Automaton | None:
+    """Automaton of all ``(value, n)`` shapes; a state is the last ``CONTEXT`` classes, an end the empty symbol."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps: Counter[tuple[str, str]] = Counter()
+        for batch in batches:
+            for value, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = ""
+                for x in value:
+                    steps[at, x] += n
+                    at = (at + x)[-CONTEXT:]
+                steps[at, ""] += n
+        rows = list(steps.items())
+        yield pa.RecordBatch.from_arrays([pa.array([c for (c, _), _ in rows], pa.string()), pa.array([x for (_, x), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["at", "x", "n"])
+
+    counts: dict[str, dict[str, int]] = {}
+    for at, x, n in shapes.mapInArrow(run, "at string, x string, n long").groupBy("at", "x").agg(F.sum("n")).orderBy("at", "x").collect():
+        counts.setdefault(at, {})[x] = n
+    if not counts:
+        return None
+    number = {at: i for i, at in enumerate(counts)}  # the start, "", sorts first
+    edges, ends, other = [], [], []
+    for at, steps in counts.items():
+        total = sum(steps.values()) + smooth * (_SYMBOLS + 1)
+        edges.append({x: (number[(at + x)[-CONTEXT:]], math.log2((n + smooth) / total)) for x, n in steps.items() if x})
+        ends.append(math.log2((steps.get("", 0) + smooth) / total))
+        other.append(math.log2(smooth / total))
+    return Automaton(edges, ends, other)
+
+
+def _quantiles(shapes: DataFrame, formats: Formats, spare: float) -> dict[str, float]:
+    """Of each kind, the score that the share ``spare`` of all candidates does not exceed, to a step; at least 0."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[str, int]] = Counter()
+        for batch in batches:
+            for value, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for kind, score in formats.scores(value).items():
+                    seen[kind, max(math.ceil(score * STEPS), 0)] += n
+        rows = list(seen.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.string()), pa.array([x for (_, x), _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["kind", "x", "n"])
+
+    found: dict[str, list[tuple[int, int]]] = {}
+    for kind, x, n in shapes.mapInArrow(run, "kind string, x long, n long").groupBy("kind", "x").agg(F.sum("n")).orderBy("kind", "x").collect():
+        found.setdefault(kind, []).append((x, n))
+    out = {}
+    for kind, rows in found.items():
+        x, n = np.array(rows).T
+        reached = np.cumsum(n)
+        out[kind] = float(x[np.searchsorted(reached, spare * reached[-1])]) / STEPS
+    return out
 
 
 def learn(docs: DataFrame, text: str = "text", each: int = 1500, margin: float = 12.0, spare: float = 0.999) -> Formats:
-    """Infer the automata from at most ``each`` labelled strings of a kind.
+    """Infer the automata from at most ``each`` labelled strings of a kind, and the background from all other candidates.
 
-    A kind's threshold lies ``margin`` bits above what the share ``spare`` of the other
+    A kind's threshold lies ``margin`` bits above what the share ``spare`` of all other
     candidates reach.
     """
-    rows = _examples(docs.select(F.col(text).alias("text")), each)
-    of = {k: [shape(v) for kind, v in rows if kind == k] for k in (*KINDS, INFERRED)}
-    if not of[INFERRED]:
+    found = _examples(docs.select(F.col(text).alias("text")), each)
+    order = Window.partitionBy("kind").orderBy("h", "value")
+    labelled = found.where(F.col("kind") != INFERRED).select("kind", "value", "h").distinct()
+    rows = labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).orderBy("kind", "n").collect()
+    shapes = stored(found.where(F.col("kind") == INFERRED).groupBy("value").agg(F.sum("n").alias("n")), "secret-shapes")
+    rest = background(shapes)
+    if rest is None:
         return Formats({}, None, {})
-    rest = infer(of[INFERRED])
-    kinds = {k: infer(of[k]) for k in KINDS if of[k]}
-    base = [rest.log2(x) for x in of[INFERRED]]
-    thresholds = {k: float(np.quantile([a.log2(x) - r for x, r in zip(of[INFERRED], base)], spare)) + margin for k, a in kinds.items()}
-    return Formats(kinds, rest, {k: max(v, margin) for k, v in thresholds.items()})
+    of = {k: [shape(r["value"]) for r in rows if r["kind"] == k] for k in KINDS}
+    formats = Formats({k: infer(of[k]) for k in KINDS if of[k]}, rest, {})
+    formats.thresholds = {k: v + margin for k, v in _quantiles(shapes, formats, spare).items()}
+    return formats
 
 
-def spans_of(base: list[Span], others: list[Span], text: str, formats: Formats) -> list[Span]:
-    """Base spans and the candidates that look like a credential, by start and kind."""
-    return sorted([*base, *(o for o in others if formats.is_secret(text[o[1] : o[2]]))], key=lambda x: (x[1], _ORDER[x[0]]))
+def _ordered(base: list[Span], others: list[Span]) -> list[Span]:
+    """All spans by start and kind."""
+    return sorted([*base, *others], key=lambda x: (x[1], _ORDER[x[0]]))
 
 
 def joined(spans: Iterable[Span]) -> str:
@@ -289,8 +386,8 @@ def with_spans(docs: DataFrame, formats: Formats, text: str = "text", into: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ts.slices(batches, text):
             all_spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for i, whole, base, others in found_in(batch.column(text)):
-                all_spans[i] = [{"kind": k, "start": a, "end": b} for k, a, b in spans_of(base, others, whole, formats)]
+            for i, _, base, others in found_in(batch.column(text), formats):
+                all_spans[i] = [{"kind": k, "start": a, "end": b} for k, a, b in _ordered(base, others)]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(all_spans, kind)], [*kept, into])
 
@@ -310,9 +407,9 @@ def redacted(docs: DataFrame, formats: Formats | None = None, mark: str = "[SECR
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ts.slices(batches):
             texts: dict[int, str] = {}
-            for i, whole, base, others in found_in(batch.column("text")):
+            for i, whole, base, others in found_in(batch.column("text"), formats):
                 parts, at = [], 0
-                for _, a, b in spans_of(base, others, whole, formats):
+                for _, a, b in _ordered(base, others):
                     if b > at:
                         parts += [whole[at : max(a, at)], mark if a >= at else ""]
                         at = b

@@ -221,6 +221,42 @@ def test_secrets_inferred_and_redacted(spark, odd_docs):
     assert secret_scan.redacted(odd_docs.limit(0)).count() == 0
 
 
+def test_short_secrets_and_parts_beside_base_spans(spark):
+    rng = np.random.default_rng(5)
+    pick = lambda signs, n: "".join(rng.choice(list(signs), n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(x + y + z for x, y, z in zip(pick(mixed[:26], n), pick(mixed[26:52], n), pick("0123456789", n)))
+    words = lambda: " ".join(pick("aeinorst", rng.integers(3, 12)) for _ in range(30))
+    rows = [(i, f"{words()} token = {key(4)} {words()}") for i in range(200)] + [(400 + i, f"{words()} token = {key(13)} {words()}") for i in range(200)]
+    short, access, long = key(4), "AKIA" + pick("ABCDEFGHIJ0123456789", 16), key(13)
+    rows += [(900, f"pwd: {short} {words()}"), (901, f"{access}/{long} {words()}"), (902, words())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    formats = secret_scan.learn(df)
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secret_scan.with_spans(df, formats).collect()}
+    assert got[900] == [("inferred", 5, 5 + len(short))]
+    assert got[901] == [("access", 0, 20), ("inferred", 20, 21 + len(long))]
+    assert got[902] == []
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(df, formats).collect()}
+    assert short not in clean[900] and long not in clean[901]
+
+
+def test_thresholds_cover_all_candidates(spark):
+    """One candidate in 200 has a key's format, as few in a sample may: the threshold lies above them."""
+    rng = np.random.default_rng(6)
+    key = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    word = lambda: "".join(rng.choice(list("ghijklm"), rng.integers(16, 20)))
+    rows = [(i, f"{' '.join(word() for _ in range(20))} {key(20) if i % 10 == 0 else word()} token = {key(40)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    formats = secret_scan.learn(df, each=20)
+    assert all(s.kind != "inferred" for r in secret_scan.with_spans(df, formats).collect() for s in r.secrets)
+    shapes = spark.createDataFrame([("g" * 9, 600), ("0a" * 10, 1)], "value string, n long")
+    worst = max(formats.scores("0a" * 10).values())
+    low, high = (secret_scan._quantiles(shapes, formats, x) for x in (0.9, 0.9999))
+    assert max(low.values()) == 0 and max(high.values()) == pytest.approx(worst, abs=1 / secret_scan.STEPS)
+    one = secret_scan.background(shapes).log2("0a" * 10)
+    assert one == pytest.approx(secret_scan.background(shapes.repartition(2)).log2("0a" * 10)) and one < secret_scan.background(shapes).log2("g" * 9)
+
+
 def brute_top(rows, queries, k):
     width = max((len(v) for _, v in rows), default=0)
     ids = np.array([i for i, _ in rows])
