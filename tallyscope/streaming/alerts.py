@@ -98,13 +98,14 @@ def alert_rules(spark: SparkSession) -> DataFrame:
     )
 
 
-def metric_alerts(metrics: DataFrame, rules: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def metric_alerts(metrics: DataFrame, rules: DataFrame, keys: Sequence[str] = (), until: Column | None = None) -> DataFrame:
     """Every rule over a (ts, metric, value) table: window by rule and ``keys``, compare, keep sustained breaches.
 
     ``keys`` name the instance (host, service), so that one in trouble is not hidden by an
     average over all. Rules are a small dimension; their windows are computed in one grouped
-    pass. A rule that fires on silence (count at most 0) also gets the windows without rows
-    between an instance's first and last one.
+    pass. A rule that fires on silence (count at most 0) also gets the windows without rows from
+    an instance's first one to the last window that has ended at ``until``, the time of
+    judgement, so an instance that stops for good fires; without ``until`` to its own last one.
     """
     keys = list(keys)
     rows = metrics.join(F.broadcast(rules), "metric")
@@ -118,6 +119,10 @@ def metric_alerts(metrics: DataFrame, rules: DataFrame, keys: Sequence[str] = ()
     )
     silent = out.where((F.col("statistic") == "count") & (F.col("comparison") == "<="))
     spans = silent.groupBy(*keys, *rule).agg(F.min("_s").alias("_from"), F.max("_s").alias("_to"))
+    if until is not None:
+        judged = F.broadcast(metrics.sparkSession.range(1).select(F.unix_seconds(until).alias("_until")))
+        ended = (F.floor(F.col("_until") / F.col("size_s")) - 1) * F.col("size_s")
+        spans = spans.crossJoin(judged).withColumn("_to", F.greatest("_to", ended))
     every = spans.select(*keys, *rule, F.explode(F.sequence("_from", "_to", F.col("size_s").cast("bigint"))).alias("_s"))
     gaps = every.join(silent.select(*keys, "rule", "_s"), [*keys, "rule", "_s"], "left_anti").withColumn("_count", F.lit(0).cast("bigint"))
     out = out.unionByName(gaps, allowMissingColumns=True)

@@ -129,3 +129,20 @@ def test_held_needs_consecutive_windows(spark):
     df = spark.createDataFrame(rows_, "k string, s long, n int").withColumn("window_start", F.timestamp_seconds("s"))
     got = al.held(df, F.col("n") > 10, ["k"], 60, 60).collect()
     assert [(r["from_s"], r["to_s"], r["windows"]) for r in got] == [(0, 120, 3)]
+
+
+def test_instance_that_stops_for_good_fires(spark):
+    at = lambda s: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    rows = [(at(600 * k), "audits_started", 1.0, "a") for k in range(10)] + [(at(600 * k), "audits_started", 1.0, "b") for k in range(3)]
+    df = spark.createDataFrame(rows, "ts timestamp, metric string, value double, host string")
+    zero = int(at(0).timestamp())
+
+    def fired(**more):
+        out = al.metric_alerts(df, al.alert_rules(spark), ["host"], **more)
+        return {(r.host, r.rule, r.from_s - zero, r.to_s - zero, r.windows) for r in out.collect()}
+
+    assert fired() == set()
+    assert fired(until=F.timestamp_seconds(F.lit(zero + 6000))) == {("b", "AuditProcessingStalled", 1800, 5400, 7)}
+    # judged in the middle of the window from 7200 on: that one is still open
+    later = fired(until=F.timestamp_seconds(F.lit(zero + 7500)))
+    assert later == {("b", "AuditProcessingStalled", 1800, 6600, 9), ("a", "AuditProcessingStalled", 6000, 6600, 2)}
