@@ -38,8 +38,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequence and offset."""
-    return packing.pack(docs, TOKENIZER, with_ids=False)
+    """Token pieces of all documents with their ids, sequence and offset."""
+    return packing.pack(docs, TOKENIZER)
 
 
 STAGES = [

@@ -124,6 +124,12 @@ def test_packing_edges(spark, odd_docs):
     assert packing.pack(odd_docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_packing_stage_writes_the_ids(spark, sf_dir):
+    df = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    for r in corpus_pipeline.packing_stage(spark, df, sf_dir).collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+
+
 def test_archives(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     first = {}
