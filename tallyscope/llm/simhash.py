@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyscope.llm import textscan as ts
 from tallyscope.llm.storage import stored
@@ -33,8 +33,8 @@ from tallyscope.llm.storage import stored
 PARTS = 4
 PART_BITS = 64 // PARTS
 BLOCK = 4096
-#: Parts of the hash space that a sketch of a set counts.
-BUCKETS = 128
+#: Blocks of a tile that meet in one key.
+SHARE = 4
 
 
 def shingles_of(texts: pa.Array, words: int = 3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +131,11 @@ def _links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
 def fingerprint_links(items: DataFrame, radius: int = 3, value: str = "fingerprint") -> DataFrame:
     """Links ``(a, b)`` that connect every two of the different fingerprints within ``radius``.
 
-    Blocks of at most ``BLOCK`` fingerprints of a tile travel as one binary each. Every block
+    Blocks of about ``BLOCK`` fingerprints of a tile travel as one array each. Every block
     visits the tiles at its tile's side of each allowed difference, so each pair of tiles
-    meets once, and the pairs of blocks spread over the tasks by tile and block.
+    meets once. A tile of many blocks is visited in a square of shares: its own blocks by
+    number, its visitors by hash, so that a key holds about ``SHARE`` of either side's blocks
+    for each neighbouring tile, however full the tile is.
     """
     spark = items.sparkSession
     steps = _steps(radius)
@@ -168,9 +170,18 @@ def fingerprint_links(items: DataFrame, radius: int = 3, value: str = "fingerpri
                     ["there", "from_tile", "from_block", "near"],
                 )
 
-    known = sizes.select(F.col("tile").alias("there"))
-    visiting = packed.mapInArrow(visits, "there long, from_tile long, from_block long, near array<long>").join(known, "there", "left_semi")
-    pairs = visiting.join(packed.withColumnRenamed("tile", "there"), "there").where(
+    # at most 17**4 tiles, so their shares fit a broadcast
+    shares = F.broadcast(sizes.select(F.col("tile").alias("there"), F.ceil(F.col("blocks") / SHARE).cast("int").alias("shares")))
+    every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    visiting = (
+        packed.mapInArrow(visits, "there long, from_tile long, from_block long, near array<long>").join(shares, "there")
+        .withColumn("row", F.pmod(F.xxhash64("from_tile", "from_block"), F.col("shares")).cast("int")).withColumn("share", every)
+    )
+    visited = (
+        packed.withColumnRenamed("tile", "there").join(shares, "there")
+        .withColumn("share", F.pmod("block", F.col("shares")).cast("int")).withColumn("row", every)
+    )
+    pairs = visiting.join(visited.drop("shares"), ["there", "share", "row"]).where(
         (F.col("there") != F.col("from_tile")) | (F.col("block") >= F.col("from_block"))
     )
 
@@ -235,162 +246,7 @@ def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
     Repeated rows of that id give one row. Rows with a null id cannot be told apart by id and
     all stay.
     """
-    return _one_of(docs, near_duplicates(docs.select("doc_id", "text"), radius))
-
-
-def _one_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    classes = near_duplicates(docs.select("doc_id", "text"), radius)
     keep = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
-
-
-def _sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Key and sorted different shingle hashes of each text."""
-    hashes, n = shingles_of(texts, words)
-    for part in np.split(hashes, np.cumsum(n)[:-1]):
-        held = np.unique(part)
-        yield xxhash.xxh64_intdigest(held.tobytes()), held
-
-
-def _common(docs: DataFrame, words: int, texts: int = 4000, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in ``least`` or more of about ``texts`` sampled texts, sorted, and their counts.
-
-    They only make the order of shingles cheap; links are the same with any.
-    """
-    share = max(docs.count() // texts, 1)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.slices(batches):
-            for _, held in _sets(batch.column(0), words):
-                yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64))], ["h"])
-
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
-    found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
-    rows = found.orderBy(F.desc("count"), "h").limit(200_000).toArrow()
-    h, n = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def _prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The first shingles in the common order; sets of similarity ``least`` share one of both's."""
-    h, n = common
-    count = np.zeros(len(held), np.int64)
-    if len(h):
-        at = np.minimum(np.searchsorted(h, held), len(h) - 1)
-        count = np.where(h[at] == held, n[at], 0)
-    size = len(held)
-    return held[np.lexsort((held, count))][: size - int(np.ceil(least * size - 1e-9)) + 1]
-
-
-def _sketch(held: np.ndarray) -> bytes:
-    """Numbers of shingles in ``BUCKETS`` parts of the hash space, up to 255 each."""
-    return np.minimum(np.bincount((held >> np.uint64(40)) % np.uint64(BUCKETS), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
-
-
-def _candidates(rows: DataFrame, labels: DataFrame, least: float, star: bool = False) -> DataFrame:
-    """Pairs ``(a, b)`` of items with other labels that share a prefix shingle and can be similar.
-
-    Places in the prefixes and the sketches bound what two sets have in common from above.
-    ``star``: of each shingle, only the pairs of its item of the least hash.
-    """
-    named = rows.join(labels.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
-    one = F.struct(F.xxhash64("item").alias("o"), "item", "n", "pos", "root", "sketch")
-    groups = named.groupBy("h").agg(F.sort_array(F.collect_list(one)).alias("g")).select("g")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g in batch.column(0):
-                item, n, pos, root = (g.values.field(k).to_numpy() for k in ("item", "n", "pos", "root"))
-                sketch = np.frombuffer(b"".join(g.values.field("sketch").to_pylist()), np.uint8).reshape(-1, BUCKETS)
-                over = n - sketch.sum(axis=1, dtype=np.int64)  # shingles beyond full buckets
-                for i in range(min(1, len(item)) if star else len(item) - 1):
-                    m, q = n[i + 1 :], pos[i + 1 :]
-                    most = np.minimum(pos[i], q) + 1 + np.minimum(n[i] - pos[i], m - q) - 1
-                    far = np.flatnonzero((root[i + 1 :] != root[i]) & (most >= least * (n[i] + m - most) - 1e-9)) + i + 1
-                    most = np.minimum(sketch[i], sketch[far]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[far])
-                    far = far[most >= least * (n[i] + n[far] - most) - 1e-9]
-                    if len(far):
-                        a, b = np.minimum(item[i], item[far]), np.maximum(item[i], item[far])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return groups.mapInArrow(run, "a long, b long").distinct()
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets have a Jaccard similarity of ``least`` or more."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def similar_documents(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """``(doc_id, component_id)`` of every row; texts of Jaccard similarity ``least`` or more over shingles are linked.
-
-    Exact: SimHash links within the tiles' radius come first, so that crowds of close copies
-    are one component early. What fingerprints miss comes from a prefix join: two sets of that
-    similarity share one of the first shingles of both in any common order. Every link, of
-    either way, is checked on the whole sets.
-    """
-    docs = docs.select("doc_id", "text")
-    common = _common(docs, words)
-
-    def scanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.slices(batches):
-            hashes, n = shingles_of(batch.column(1), words)
-            sets = [(xxhash.xxh64_intdigest(x.tobytes()), x) for x in map(np.unique, np.split(hashes, np.cumsum(n)[:-1]))]
-            keys = np.array([k for k, _ in sets], np.uint64).view(np.int64)
-            first = [_prefix(x, common, least).view(np.int64) for _, x in sets]
-            prints = _majority(hashes, n).view(np.int64)
-            arrays = [batch.column(0), pa.array(keys), pa.array(prints), pa.array([len(x) for _, x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([_sketch(x) for _, x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "item", "fingerprint", "n", "first", "sketch"])
-
-    schema = StructType([StructField("id", docs.schema["doc_id"].dataType), *[StructField(c, LongType()) for c in ("item", "fingerprint", "n")], StructField("first", ArrayType(LongType())), StructField("sketch", BinaryType())])
-    rows = stored(docs.mapInArrow(scanned, schema), "similar-rows")
-    items = rows.groupBy("item").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("fingerprint", "n", "first", "sketch")])
-    items = stored(items, "similar-items")
-    spread = items.select("item", "n", F.posexplode("first").alias("pos", "h"))
-    shared = spread.join(spread.groupBy("h").count().where("count > 1").select("h"), "h")
-    shared = stored(shared.join(items.select("item", "sketch"), "item"), "similar-shared")
-
-    # items of one fingerprint in a star, and one item for each end of the fingerprints' links
-    heads = items.groupBy("fingerprint").agg(F.min("item").alias("head"))
-    close = fingerprint_links(heads.select("fingerprint"))
-    ends = close.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select("x", "y")
-    stars = items.join(heads, "fingerprint").select("head", "item").where(F.col("head") != F.col("item"))
-    prints = stored(ends.union(stars).toDF("a", "b"), "similar-prints")
-
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.slices(batches):
-            keys, held = zip(*_sets(batch.column(0), words))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], ["item", "held"])
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The links among the pairs; only texts in a pair are read for their sets."""
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "item")
-        ids = items.join(wanted, "item", "left_semi").select(F.col("least").alias("doc_id")).where(F.col("doc_id").isNotNull())
-        source = docs.join(ids.distinct(), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
-        sets = stored(source.select("text").mapInArrow(whole, "item long, held array<long>").dropDuplicates(["item"]), "similar-sets")
-        return stored(_similar(pairs, sets, least), "similar-links")
-
-    links = checked(prints)
-    for star in (True, False):
-        links = links.union(checked(stored(_candidates(shared, components(links), least, star), "similar-pairs")))
-    named = items.select("item", "least").join(components(links), F.col("item") == F.col("node"), "left").withColumn("root", F.coalesce("root", "item"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.select("item", "root").join(names, "root").select("item", "component_id")
-    return rows.join(classes, "item").select(F.col("id").alias("doc_id"), "component_id")
-
-
-def one_of_similar(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """As ``one_of_each``, with groups of ``similar_documents``."""
-    return _one_of(docs, similar_documents(docs, least, words))
