@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: 0.8 or more of their five-word shingles in common."""
-    return simhash.one_of_similar(docs)
+    """Keep one document of each group of near copies: fingerprints of three-word shingles within three bits."""
+    return simhash.one_of_each(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
