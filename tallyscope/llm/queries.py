@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyscope.llm import language_id, line_quality, mixing, ngram_model, packing, quality_rules, secret_scan, simhash, topk, warc
+from tallyscope.llm import language_id, license_scan, line_quality, mixing, ngram_model, packing, quality_rules, secret_scan, simhash, topk, warc
 from tallyscope.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -91,3 +91,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = language_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     model = language_id.learn(docs.where(~out), pieces)
     return language_id.predict(docs.select("doc_id", out.alias("held_out"), "text"), model)
+
+
+@query("op13_license_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["first"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        license_scan.labels_of(base).alias("base_labels"), license_scan.labels_of(F.col("spans")).alias("labels"), "score",
+    )
