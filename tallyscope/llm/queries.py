@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tallyscope.llm import language_id, license_scan, line_quality, mixing, ngram_model, packing, quality_rules, repair, secret_scan, simhash, topk, warc
+from tallyscope.llm import language_id, license_scan, line_quality, mixing, ngram_model, packing, prefix_trie, quality_rules, repair, secret_scan, simhash, topk, warc
 from tallyscope.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -93,6 +93,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", out.alias("held_out"), "text"), model)
 
 
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = prefix_trie.turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.nodes(*prefix_trie.rebuilt(turned))
+
+
 @query("op12_conversation_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
