@@ -237,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """
     order = F.xxhash64(F.col("_k").cast("string"), F.lit("lines"))
     sample = (
-        labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isNotNull())
+        labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isNotNull())
         .orderBy(order, "_k", "_y").limit(max_labelled)
     )
     texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(F.broadcast(sample), "_k")

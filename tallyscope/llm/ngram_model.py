@@ -36,6 +36,7 @@ from tallyscope.llm.storage import opened, shared_folder, stored, write_once
 END, START = ts.mix(np.array([1, 2], np.uint64))
 BUFFER = 1_500_000  # items that a map task holds before it sends them
 WORD_FIELDS = ("count", "before", "after1", "after2", "after3")  # before: different words before; afterK: followers seen K (3: or more) times
+FULL = np.uint32(0xFFFFFFFF)  # stands for a count that is kept in the file's table of large counts
 _BLOB = "shard int, kind string, blob binary"
 
 
@@ -163,10 +164,13 @@ def _counted_pairs(docs: DataFrame, bits: int, hot: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, _BLOB)
 
 
-def _write(folder: str, name: str, arrays: list[np.ndarray]) -> str:
+def _write(folder: str, name: str, keys: np.ndarray, fields: list[np.ndarray]) -> str:
+    """Sorted keys, 32-bit fields, and apart the places and values of counts beyond them; their number comes last."""
+    flat = np.concatenate(fields).astype(np.int64)
+    large = np.flatnonzero(flat >= int(FULL))
     stream, uri = write_once(folder, name)
     with stream:
-        for a in arrays:
+        for a in (keys, np.minimum(flat, int(FULL)).astype(np.uint32), large.astype(np.int64), flat[large], np.array([len(large)], np.int64)):
             stream.write(np.ascontiguousarray(a).tobytes())
     return uri
 
@@ -211,7 +215,7 @@ def _merge_pairs(table: pa.Table, folder: str, bits: int, hot: np.ndarray) -> pa
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     counts = np.add.reduceat(counts[order], first)
     keys, before, now = keys[first], before[order][first], now[order][first]
-    uri = _write(folder, f"pairs-{shard}", [keys, counts.astype(np.uint32)])
+    uri = _write(folder, f"pairs-{shard}", keys, [counts])
     rows = [(shard, "file", uri.encode(), len(keys), 0, _seen(counts))]
     for kind, word, values in (
         ("after", before, [counts == 1, counts == 2, counts >= 3]),
@@ -234,28 +238,31 @@ def _write_words(table: pa.Table, folder: str) -> pa.Table:
             keys.append(word)
             values.append(full)
     word, *sums = _summed(np.concatenate(keys), *np.concatenate(values, axis=1))
-    uri = _write(folder, f"words-{shard}", [word, *[v.astype(np.uint32) for v in sums]])
+    uri = _write(folder, f"words-{shard}", word, sums)
     return _merged([(shard, "file", uri.encode(), len(word), 0, _seen(sums[1]))])
 
 
 @dataclass
 class HashFiles:
-    """Sorted keys and 32-bit fields of all shards, memory-mapped where a task first asks for a shard."""
+    """Sorted keys and fields of all shards, memory-mapped where a task first asks for a shard."""
 
     bits: int
     fields: int
     files: dict[int, tuple[str, int]]
     shipped: bool
-    maps: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    maps: dict[int, tuple[np.ndarray, ...]] = field(default_factory=dict)
 
     def __getstate__(self):
         return self.__dict__ | {"maps": {}}
 
-    def _map(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    def _map(self, shard: int) -> tuple[np.ndarray, ...]:
         if shard not in self.maps:
             uri, n = self.files[shard]
             path = SparkFiles.get(uri.rsplit("/", 1)[1]) if self.shipped else opened(uri)[1]
-            self.maps[shard] = (np.memmap(path, np.uint64, "r", 0, (n,)), np.memmap(path, np.uint32, "r", 8 * n, (self.fields, n)))
+            data = np.memmap(path, np.uint8, "r")
+            many, at = int(data[-8:].view(np.int64)[0]), n * (8 + 4 * self.fields)
+            large = np.frombuffer(data[at : at + 16 * many].tobytes(), np.int64).reshape(2, many)
+            self.maps[shard] = (np.memmap(path, np.uint64, "r", 0, (n,)), np.memmap(path, np.uint32, "r", 8 * n, (self.fields, n)), *large)
         return self.maps[shard]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -264,10 +271,14 @@ class HashFiles:
         out = np.zeros((self.fields, len(unique)), np.int64)
         for shard, at in _shards(unique, self.bits):
             if shard in self.files:
-                stored_keys, values = self._map(shard)
+                stored_keys, values, places, large = self._map(shard)
                 wanted = unique[at]
                 i = np.minimum(np.searchsorted(stored_keys, wanted), len(stored_keys) - 1)
-                out[:, at] = np.where(stored_keys[i] == wanted, values[:, i], 0)
+                found = values[:, i].astype(np.int64)
+                if len(large):
+                    row, column = np.nonzero(found == int(FULL))
+                    found[row, column] = large[np.searchsorted(places, row * len(stored_keys) + i[column])]
+                out[:, at] = np.where(stored_keys[i] == wanted, found, 0)
         return out[:, back]
 
 

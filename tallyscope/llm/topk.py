@@ -14,8 +14,9 @@ numbers. Vectors travel in blocks, queries in packs; a pair of both is one matri
 Edge cases: null vectors and those with null or non-finite components take no part. Shorter
 vectors count as padded with zeros. Null ids take no part. Rows that share the query's id are
 not its candidates. Rows repeated under one id are candidates each; as a query the id counts once,
-with its least vector. Ties go to the smaller id. An empty table, or one without queries, gives
-an empty result. Scores must stay below 2**53.
+with its least vector. Ties go to the smaller id. Empty vectors have score 0 with all. An empty
+table, or one without queries, gives an empty result. Ids are integers. Scores are exact at any
+size of the components; one of 2**63 or more has no place in the result and is an error.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ BLOCK_ROWS = 2048
 PACK_QUERIES = 256
 FIRST_RINGS = 8
 _SLACK = 1e-6  # relative room for rounding in the bounds
+_ROUND = 1e-12  # and of a score as a float
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -49,12 +51,38 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact; below -2**63 they stop there.
+
+    Floats are exact while the norms' product is below 2**53, since every partial sum is; beyond it,
+    64-bit integers are exact modulo 2**64, and larger components are multiplied as Python integers.
+    """
+    if not len(q) or not len(x):
+        return np.zeros((len(q), len(x)), np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = np.nan_to_num(q @ x.T, nan=np.inf)
+        if np.linalg.norm(q, axis=1).max() * np.linalg.norm(x, axis=1).max() < 2.0**53:
+            return near.astype(np.int64)
+    if max(np.abs(q).max(), np.abs(x).max()) < 2.0**63 and np.abs(near).max() < 2.0**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = [[[int(c) for c in row] for row in m.tolist()] for m in (q, x)]
+    exact = [[max(sum(a * b for a, b in zip(r, c)), -(1 << 63)) for c in whole[1]] for r in whole[0]]
+    if max(map(max, exact)) >= 1 << 63:
+        raise OverflowError("an inner product of two vectors does not fit 64 bits")
+    return np.array(exact, np.int64)
+
+
+def _whole(x: Column) -> Column:
+    """floor(x) as a double; what is 2**52 or more has no fraction, and the built-in floor stops at 64 bits."""
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+
+
 def usable(vectors: DataFrame, key: str, vector: str, scale: int = 1024) -> DataFrame:
     """``(id, v)`` with integer components floor(scale * x) as doubles, of the vectors that take part."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     good = F.col(vector).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return vectors.where(F.col(key).isNotNull() & F.coalesce(good, F.lit(False))).select(
-        F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("v")
+        F.col(key).cast("long").alias("id"), F.transform(x, lambda c: _whole(c * scale)).alias("v")
     )
 
 
@@ -80,16 +108,19 @@ def bounds(q: np.ndarray, pivots: np.ndarray, ring_pivot: np.ndarray, low: np.nd
     gap = np.maximum(np.maximum(low - away, away - high), 0) * (1 - _SLACK)
     own = (q**2).sum(axis=1)[:, None]
     bound = np.minimum((own + norm**2 - gap**2) / 2, np.sqrt(own) * norm)
-    return bound + _SLACK * (own + norm**2)
+    return np.nan_to_num(bound + _SLACK * (own + norm**2), nan=np.inf)
 
 
 class Index:
     """The written blocks of all vectors, and the bounded tables of pivots and annuli."""
 
     def __init__(self, rows: DataFrame, pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE):
-        self.width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+        size = rows.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+        self.width = max(size[0] or 0, 1)
         width, self.rings_a_pivot = self.width, rings
-        few = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toPandas()["v"]
+        # the hash threshold keeps about twice the sample, so tasks send little more than the bound
+        h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+        few = rows.where(h < int(min(1.0, 2.0 * sample / max(size[1], 1)) * (1 << 30))).orderBy(h, "id", "v").limit(sample).select("v").toPandas()["v"]
         taken = np.zeros((len(few), width))
         for i, v in enumerate(few):
             taken[i, : len(v)] = v
@@ -150,7 +181,7 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
                 least = batch.column("least").to_numpy(zero_copy_only=False).astype(float)  # NaN: fewer than k so far
                 bound = bounds(q, pivots, ring_pivot, low, high, norm)
                 order = np.argsort(-bound, axis=1, kind="stable")[:, seen:upto]
-                wanted = ~(np.take_along_axis(bound, order, axis=1) < least[:, None])
+                wanted = ~(np.take_along_axis(bound, order, axis=1) < (least - np.abs(least) * _ROUND)[:, None])
                 row, at = np.nonzero(wanted)
                 packed = pa.array([x.tobytes() for x in q], pa.binary()).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
@@ -168,17 +199,17 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
                 least = pack.field("least").to_numpy()
                 ids = batch.column("ids")[i].values.to_numpy()
                 x = np.frombuffer(b"".join(batch.column("xs")[i].values.to_pylist())).reshape(-1, width)
-                found = q @ x.T
+                found = products(q, x)
                 rows, columns = [], []
                 for j in range(len(q)):
                     s = found[j]
-                    ok = np.flatnonzero((ids != own[j]) & ~(s < least[j]))
+                    ok = np.flatnonzero((ids != own[j]) & ~(s < least[j] - np.abs(least[j]) * _ROUND))
                     ok = ok[np.lexsort((ids[ok], -s[ok]))[:k]]
                     rows.append(np.full(len(ok), j))
                     columns.append(ok)
                 row, column = np.concatenate(rows), np.concatenate(columns)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[row]), pa.array(ids[column]), pa.array(found[row, column].astype(np.int64))], ["query_id", "id", "score"]
+                    [pa.array(own[row]), pa.array(ids[column]), pa.array(found[row, column])], ["query_id", "id", "score"]
                 )
 
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")

@@ -38,7 +38,8 @@ GZIP = b"\x1f\x8b\x08\x00"
 BLANK = b"\r\n\r\n"
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
-MOST_HEADER = 64 << 10  # longest record header that is read
+HEADER_BYTES = 64 << 10  # read at first for a record's header; more as long as it goes on
+_HEADER_LINE = re.compile(rb"[\x21-\x39\x3b-\x7e]+:|[\x20\t]")
 _LENGTH = re.compile(rb"\r\nContent-Length:\x20*([0-9]+)\r\n", re.IGNORECASE)
 
 
@@ -122,6 +123,19 @@ class Window:
         return self.data[offset - self.at : end - self.at]
 
 
+def _head(window: Window, offset: int) -> bytes:
+    """Bytes from ``offset`` to the blank line behind a header of any length, or less if no header goes on there."""
+    n = HEADER_BYTES
+    while True:
+        head = window.get(offset, n)
+        if BLANK in head or len(head) < n or not head.startswith(b"WARC/1."):
+            return head
+        # the last line may be cut
+        if not all(_HEADER_LINE.match(line) for line in head.split(b"\r\n")[1:-1]):
+            return head
+        n *= 2
+
+
 def successor(window: Window, offset: int) -> int | None:
     """Offset after the record or member that begins at ``offset``; None if none does."""
     if window.get(offset, len(GZIP) - 1) == GZIP[:3]:
@@ -138,7 +152,7 @@ def successor(window: Window, offset: int) -> int | None:
         except zlib.error:
             return None
         return at - len(member.unused_data) if head.startswith(b"WARC/1.") else None
-    head = window.get(offset, MOST_HEADER)
+    head = _head(window, offset)
     end = head.find(BLANK)
     length = _LENGTH.search(head, 0, end + 2) if end >= 0 and head.startswith(b"WARC/1.") else None
     if length is None:

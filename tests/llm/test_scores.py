@@ -126,6 +126,26 @@ def test_hot_words_spread_over_shards():
     assert len({int(k) >> 60 for k in ngram_model.pair_keys(before, now, 4, hot[:0])}) == 1
 
 
+def test_counts_beyond_32_bits(tmp_path):
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 50, np.uint64, endpoint=False))
+    fields = [np.arange(50) * (10**9 if k else 7) for k in range(3)]
+    fields[1][13] = 2**32 - 1
+    uri = ngram_model._write(str(tmp_path), "words-0", keys, fields)
+    files = ngram_model.HashFiles(0, 3, {0: (uri, 50)}, False)
+    asked = np.concatenate([keys[::-1], keys[:5], np.array([12345], np.uint64)])
+    want = np.stack([np.concatenate([f[::-1], f[:5], [0]]) for f in fields])
+    assert (files.find(asked) == want).all()
+
+
+def test_labels_of_any_number_type(spark):
+    rows = [(i, ("A clean line of text, and one more.\n" if i % 2 else "x $$ ## 0 0\n") * 5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for kind in ("long", "double", "boolean"):
+        labels = docs.selectExpr("doc_id", f"CAST(doc_id % 2 AS {kind}) AS quality")
+        scores = {r.doc_id: r.score for r in line_quality.scored(docs, line_quality.learn(docs, labels)).collect()}
+        assert min(v for k, v in scores.items() if k % 2) > max(v for k, v in scores.items() if not k % 2)
+
+
 def test_line_quality_held_out(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = QUERIES["op8_line_crf_quality"](spark, sf_dir)

@@ -170,6 +170,16 @@ def test_archives_reject_magic_in_payloads(spark, monkeypatch, compress, level):
         assert (hits[0].record_type == "response") == (hits[0].refers_to is None)
 
 
+@pytest.mark.parametrize("compress", [False, True])
+def test_headers_of_any_length(spark, compress):
+    """A url beyond the bytes read at first loses no record; text that only looks like a header ends the search."""
+    urls = ["http://a", "http://b/" + "x" * 70_000, "http://c", "http://d/" + "y" * 400_000, "http://e"]
+    pages = [(i, u, "WARC/1.1\r\n" + "no header " * 9000 if i == 2 else f"body {i}") for i, u in enumerate(urls)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.url, bytes(r.payload).decode()) for r in warc.read(warc.write(df, compress=compress)).collect()}
+    assert got == {i: (u, b) for i, u, b in pages}
+
+
 def test_archives_cut_short_and_empty(spark, tmp_path):
     rec = warc.record("response", 1, "u", b"payload", warc.base32_sha1(b"payload"), None)
     (tmp_path / "a.warc").write_bytes(rec + rec[:-9])
@@ -295,6 +305,51 @@ def test_top_k_clustered_ties_and_edges(spark):
     assert len(few) == 3
 
 
+def test_top_k_of_large_components(spark):
+    """Beyond 2**53 scores stay exact; beyond 2**63 they are an error, not a number."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-(2**20), 2**20, 4)]) for i in range(200)]
+    rows += [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(200, 260)]
+    rows += [(260, [1e12, 0.0, 0.0, 0.0]), (261, [-1e30, 0.0, 0.0, 0.0])]
+    want = {}
+    whole = {i: [math.floor(1024 * c) for c in v] for i, v in rows}
+    for q in (0, 100, 200):
+        scores = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in whole.items() if i != q}
+        order = sorted(scores, key=lambda i: (-scores[i], i))[:10]
+        want[q] = [(i, scores[i]) for i in order]
+    fits = all(s < 2**63 for v in want.values() for _, s in v)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert not fits
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(df, F.col("vec_id") == 260).collect()
+    small = df.where("vec_id < 260")
+    got = topk.top_k(small, F.col("vec_id") % 100 == 0).collect()
+    want = set()
+    for q in (0, 100, 200):
+        scores = {i: sum(a * b for a, b in zip(whole[q], whole[i])) for i in whole if i != q and i < 260}
+        order = sorted(scores, key=lambda i: (-scores[i], i))[:10]
+        want |= {(q, r + 1, i, scores[i]) for r, i in enumerate(order)}
+    assert max(s for *_, s in want) > 2**53
+    assert {tuple(r) for r in got} == want
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(4)
+    for power in (10, 30, 40, 70):
+        q, x = (np.floor(rng.normal(size=(n, 3)) * 2.0**power) for n in (5, 7))
+        exact = [[sum(int(a) * int(b) for a, b in zip(r, c)) for c in x.tolist()] for r in q.tolist()]
+        if max(map(max, exact)) >= 2**63:
+            with pytest.raises(OverflowError):
+                topk.products(q, x)
+        else:
+            assert topk.products(q, x).tolist() == [[max(v, -(2**63)) for v in r] for r in exact]
+
+
+def test_top_k_of_empty_vectors(spark):
+    df = spark.createDataFrame([(i, []) for i in range(5)], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, 2).orderBy("rank").collect()] == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
 def test_index_of_other_sizes(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     few = topk.usable(rows, "vec_id", "embedding")
