@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from tallyscope.constants import RETENTION_DAYS
@@ -18,6 +20,7 @@ from tallyscope.plans.registry import query
 from tallyscope.session import scratch_path
 from tallyscope.streaming import alerts as al
 from tallyscope.streaming import runner as ru
+from tallyscope.streaming import state as st
 
 
 def secs(col="window_start"):
@@ -67,58 +70,104 @@ def st2(spark, d):
     "st2_trailing_stream",
     """
     WITH t AS (SELECT id, account_id, epoch_us(ts) AS us, count(*) OVER (PARTITION BY account_id ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS recent FROM activity)
-    SELECT account_id AS "user", us, recent FROM t WHERE recent >= 3 AND us <= (SELECT max(us) // 1000 * 1000 FROM t)
+    SELECT account_id AS "user", us, recent FROM t WHERE recent >= 3
     """,
     ["activity"],
 )
 def st2_stream(spark, d):
-    return ru.run_available(ru.trailing_bursts(event_stream(spark, d), "account_id", "ts", least=3, seconds=6 * 3600, delay="0 seconds"), "st2")
+    return ru.run_to_end(
+        lambda: event_stream(spark, d), "ts", lambda e: ru.trailing_bursts(e, "account_id", "ts", least=3, seconds=6 * 3600, delay="10 minutes"), "st2"
+    )
 
 
-@query(
-    "st3_denials_held",
-    """
+HELD_DENIALS = """
     WITH w AS (SELECT category, floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 AS s, count(*) AS n FROM activity GROUP BY 1, 2 HAVING count(*) > 3),
     i AS (SELECT *, s - row_number() OVER (PARTITION BY category ORDER BY s) * 3600 AS g FROM w)
     SELECT category, min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY category, g HAVING max(s) - min(s) >= 3600
-    """,
-    ["activity"],
-)
+    """
+
+
+@query("st3_denials_held", HELD_DENIALS, ["activity"])
 def st3(spark, d):
     windows = al.count_above(v.activity(spark, d), "ts", "1 hour", 3, ["category"])
     return al.held(windows, F.col("n") > 3, ["category"], 3600, 3600)
 
 
+def resolved(events):
+    """Whole runs of a stream that has ended."""
+    return events.where(F.col("event") == st.RESOLVED).drop("event")
+
+
+@query("st3_denials_stream", HELD_DENIALS, ["activity"])
+def st3_stream(spark, d):
+    def build(e):
+        return st.held_events(al.count_above(e, "ts", "1 hour", 3, ["category"], keep=True), F.col("n") > 3, ["category"], 3600, 3600)
+
+    return resolved(ru.run_to_end(lambda: event_stream(spark, d), "ts", build, "st3"))
+
+
 @query(
-    "st4_error_rate",
+    "st3_denials_firing",
     """
+    WITH w AS (SELECT category, floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 AS s, count(*) AS n FROM activity GROUP BY 1, 2 HAVING count(*) > 3),
+    i AS (SELECT *, s - row_number() OVER (PARTITION BY category ORDER BY s) * 3600 AS g FROM w)
+    SELECT category, min(s) AS from_s, min(s) + 3600 AS to_s, 2 AS windows FROM i GROUP BY category, g HAVING max(s) - min(s) >= 3600
+    """,
+    ["activity"],
+)
+def st3_firing(spark, d):
+    def build(e):
+        return st.held_events(al.count_above(e, "ts", "1 hour", 3, ["category"], keep=True), F.col("n") > 3, ["category"], 3600, 3600)
+
+    events = ru.run_to_end(lambda: event_stream(spark, d), "ts", build, "st3f")
+    return events.where(F.col("event") == st.FIRING).drop("event").withColumn("windows", F.col("windows").cast("int"))
+
+
+HELD_ERRORS = """
     WITH x AS (SELECT w AS s FROM (
         SELECT (floor(epoch_us(ts) / 600000000)::BIGINT - unnest(range(0, 6))) * 600 AS w FROM activity WHERE category = 'error') GROUP BY 1 HAVING count(*) / 3600.0::DOUBLE > 0.0015),
     i AS (SELECT s, s - row_number() OVER (ORDER BY s) * 600 AS g FROM x)
     SELECT min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY g HAVING max(s) - min(s) >= 1200
-    """,
-    ["activity"],
-)
+    """
+
+
+@query("st4_error_rate", HELD_ERRORS, ["activity"])
 def st4(spark, d):
     errors = v.activity(spark, d).where(F.col("category") == "error")
     out = al.error_rate(errors, "ts", 0.0015, size_seconds=3600, slide="10 minutes")
     return al.held(out, F.lit(True), [], 600, 1200)
 
 
-@query(
-    "st5_slow_windows",
-    """
+@query("st4_error_rate_stream", HELD_ERRORS, ["activity"])
+def st4_stream(spark, d):
+    def build(e):
+        windows = al.error_rate(e, "ts", 0.0015, size_seconds=3600, slide="10 minutes", error=F.col("category") == "error", keep=True)
+        return st.held_events(windows, F.lit(True), [], 600, 1200, size_seconds=3600)
+
+    return resolved(ru.run_to_end(lambda: event_stream(spark, d), "ts", build, "st4"))
+
+
+HELD_SLOW = """
     WITH x AS (SELECT floor(epoch_us(ts) / 21600000000)::BIGINT * 21600 AS s, category FROM activity GROUP BY 1, 2 HAVING quantile_disc(amount, 0.95) > 30),
     i AS (SELECT category, s, s - row_number() OVER (PARTITION BY category ORDER BY s) * 21600 AS g FROM x)
     SELECT category, min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY category, g HAVING max(s) - min(s) >= 21600
-    """,
-    ["activity"],
-)
+    """
+
+
+@query("st5_slow_windows", HELD_SLOW, ["activity"])
 def st5(spark, d):
     slow = al.slow_windows(v.activity(spark, d), "ts", "amount", 30.0, ["category"], "6 hours")
     return al.held(slow, F.lit(True), ["category"], 21600, 21600)
 
 
+@query("st5_slow_windows_stream", HELD_SLOW, ["activity"])
+def st5_stream(spark, d):
+    def build(e):
+        return st.held_events(al.slow_windows(e, "ts", "amount", 30.0, ["category"], "6 hours", keep=True), F.lit(True), ["category"], 21600, 21600)
+
+    return resolved(ru.run_to_end(lambda: event_stream(spark, d), "ts", build, "st5"))
+
+
 @query(
     "st6_violation_windows",
     "SELECT floor(epoch_us(ts) / 60000000)::BIGINT * 60 AS window_start, count(*) AS n FROM activity WHERE k < 4 GROUP BY 1 HAVING count(*) > 0",
@@ -174,28 +223,70 @@ def st8(spark, d):
     return rounded(al.low_accuracy(rows, "ts", "p", "y", 0.5).select(secs(), "accuracy", "n"))
 
 
-@query(
-    "st9_metric_alerts",
-    """
-    WITH m AS (SELECT ts, CASE category WHEN 'view' THEN 'cpu_percent' WHEN 'error' THEN 'http_5xx' WHEN 'click' THEN 'model_accuracy' WHEN 'signup' THEN 'compliance_violations' ELSE CASE WHEN k < 50 THEN 'up' ELSE 'audits_started' END END AS metric, account_id % 4 AS host,
-                      CASE category WHEN 'view' THEN CAST(k AS DOUBLE) WHEN 'click' THEN k / 100.0::DOUBLE ELSE CAST(k AS DOUBLE) END AS value FROM activity),
+# hosts 0 to 3 report; host 4 is expected and never does; host 3 stops starting audits for good after the tenth day
+METRICS_SQL = """
+    m AS (SELECT ts, CASE category WHEN 'view' THEN 'cpu_percent' WHEN 'error' THEN 'http_5xx' WHEN 'click' THEN 'model_accuracy' WHEN 'signup' THEN 'compliance_violations' ELSE CASE WHEN k < 50 THEN 'up' ELSE 'audits_started' END END AS metric, account_id % 4 AS host,
+                      CASE category WHEN 'view' THEN CAST(k AS DOUBLE) WHEN 'click' THEN k / 100.0::DOUBLE ELSE CAST(k AS DOUBLE) END AS value FROM activity
+          WHERE NOT (account_id % 4 = 3 AND category NOT IN ('view', 'error', 'click', 'signup') AND k >= 50 AND ts >= TIMESTAMP '2024-01-11')),
+    u AS (SELECT (max(epoch_us(ts)) // 3600000000 + 2) * 3600 AS stop, (min(epoch_us(ts)) // 3600000000) * 3600 AS start FROM activity),
     q("rule", metric, size_s, st, op, b, h, severity) AS (VALUES ('HighCPUUsage', 'cpu_percent', 300, 'avg', '>', 85.0, 300, 'warning'), ('MLModelAccuracyDrop', 'model_accuracy', 60, 'avg', '<', 0.85, 60, 'critical'),
         ('ComplianceViolationDetected', 'compliance_violations', 60, 'count', '>', 0.0, 0, 'critical'), ('ServiceDown', 'up', 60, 'min', '<=', 0.0, 60, 'critical'), ('HighErrorRate', 'http_5xx', 300, 'rate', '>', 0.1, 120, 'warning'), ('AuditProcessingStalled', 'audits_started', 600, 'count', '<=', 0.0, 300, 'warning')),
     f AS (SELECT host, "rule", severity, st, op, b, size_s, h, floor(floor(epoch_us(ts) / 1000000) / size_s)::BIGINT * size_s AS s, count(*) AS n, avg(value) AS a, min(value) AS mn FROM m JOIN q USING (metric) GROUP BY ALL),
-    e AS (SELECT host, "rule", unnest(range(min(s), max(s), max(size_s))) AS s FROM f WHERE st = 'count' AND op = '<=' GROUP BY host, "rule"),
+    e0 AS (SELECT host, s FROM f WHERE st = 'count' AND op = '<=' UNION ALL SELECT unnest(range(0, 5)), u.start FROM u),
+    e AS (SELECT host, 'AuditProcessingStalled' AS "rule", unnest(range(min(s), max(u.stop) // 600 * 600, 600)) AS s FROM e0, u GROUP BY host),
     w AS (SELECT * FROM f UNION ALL SELECT e.host, e."rule", q.severity, q.st, q.op, q.b, q.size_s, q.h, e.s, 0, NULL, NULL FROM e JOIN q USING ("rule") ANTI JOIN f ON e.host = f.host AND e."rule" = f."rule" AND e.s = f.s),
     x AS (SELECT *, CASE st WHEN 'avg' THEN a WHEN 'min' THEN mn WHEN 'rate' THEN n / CAST(size_s AS DOUBLE) ELSE n END AS val FROM w),
     k AS (SELECT * FROM x WHERE CASE op WHEN '>' THEN val > b WHEN '<' THEN val < b ELSE val <= b END),
-    i AS (SELECT *, s - row_number() OVER (PARTITION BY host, "rule" ORDER BY s) * size_s AS g FROM k)
-    SELECT host, "rule", severity, min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY host, "rule", severity, h, size_s, g HAVING max(s) + size_s - min(s) >= h
-    """,
-    ["activity"],
-)
-def st9(spark, d):
+    i AS (SELECT *, s - row_number() OVER (PARTITION BY host, "rule" ORDER BY s) * size_s AS g FROM k),
+    r AS (SELECT host, "rule", severity, size_s, h, min(s) AS from_s, max(s) AS to_s, count(*) AS windows FROM i GROUP BY host, "rule", severity, h, size_s, g HAVING max(s) + size_s - min(s) >= h)
+    """
+STALLED = "AuditProcessingStalled"
+#: No audits start on host 3 from then on.
+OUTAGE = "2024-01-11"
+
+
+def metrics_of(activity):
     c, k = F.col("category"), F.col("k").cast("double")
     metric = F.when(c == "view", "cpu_percent").when(c == "error", "http_5xx").when(c == "click", "model_accuracy").when(c == "signup", "compliance_violations").when(k < 50, "up").otherwise("audits_started")
-    rows = v.activity(spark, d).select("ts", (F.col("account_id") % 4).alias("host"), metric.alias("metric"), F.when(c == "click", k / 100).otherwise(k).alias("value"))
-    return al.metric_alerts(rows, al.alert_rules(spark), ["host"])
+    rows = activity.select("ts", (F.col("account_id") % 4).alias("host"), metric.alias("metric"), F.when(c == "click", k / 100).otherwise(k).alias("value"))
+    return rows.where(~((F.col("host") == 3) & (F.col("metric") == "audits_started") & (F.col("ts") >= F.lit(OUTAGE).cast("timestamp"))))
+
+
+def judged_at(spark, d):
+    """Seconds at which the hosts come to be expected, and until which they are judged."""
+    hours = v.activity(spark, d).agg(F.floor(F.unix_seconds(F.min("ts")) / 3600), F.floor(F.unix_seconds(F.max("ts")) / 3600)).first()
+    return (hours[0] or 0) * 3600, (hours[1] or 0) * 3600 + 7200
+
+
+def expected_hosts(spark, since):
+    return spark.range(5).select(F.timestamp_seconds(F.lit(since)).alias("ts"), F.lit(STALLED).alias("rule"), F.col("id").alias("host"))
+
+
+@query("st9_metric_alerts", f"WITH {METRICS_SQL} SELECT host, \"rule\", severity, from_s, to_s, windows FROM r", ["activity"])
+def st9(spark, d):
+    since, until = judged_at(spark, d)
+    return al.metric_alerts(metrics_of(v.activity(spark, d)), al.alert_rules(spark), ["host"], F.timestamp_seconds(F.lit(until)), expected_hosts(spark, since))
+
+
+@query(
+    "st9_metric_events",
+    f"""WITH {METRICS_SQL},
+    need AS (SELECT *, greatest((h - size_s + size_s - 1) // size_s, 0) AS more FROM r)
+    SELECT host, "rule", severity, from_s, from_s + more * size_s AS to_s, CAST(more + 1 AS BIGINT) AS windows, 'firing' AS event FROM need
+    UNION ALL SELECT host, "rule", severity, from_s, to_s, windows, 'resolved' FROM need, u WHERE to_s + 2 * size_s <= u.stop""",
+    ["activity"],
+)
+def st9_events(spark, d):
+    since, until = judged_at(spark, d)
+    path = scratch_path(spark, "expected")
+    expected_hosts(spark, since).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+
+    def read():
+        e = event_stream(spark, d)
+        return st.announced(metrics_of(e), ru.read_stream(spark, path, schema), ["host"])
+
+    return ru.run_to_end(read, "ts", lambda m: st.metric_events(m, ["host"]), "st9", until=datetime.fromtimestamp(until, timezone.utc))
 
 
 @query(

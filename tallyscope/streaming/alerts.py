@@ -1,7 +1,7 @@
 """Windowed alerts as DataFrame -> DataFrame functions that run on batches and on streams.
 
 The window functions below have no batch-only step. ``held`` (a breach sustained over
-several windows) needs the order of closed windows and runs on the windowed result.
+several windows) and ``metric_alerts`` are the batch forms; ``state`` has their streams.
 """
 
 from __future__ import annotations
@@ -16,15 +16,29 @@ from tallyscope.operators.ordered import scan
 
 
 def watermarked(df: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
-    """Watermark for streams; a batch ignores it."""
-    return df.withWatermark(ts, delay) if df.isStreaming else df
+    """Watermark for streams that have none yet; a batch ignores it."""
+    return df.withWatermark(ts, delay) if df.isStreaming and "spark.watermarkDelayMs" not in df.schema[ts].metadata else df
 
 
-def windowed(df: DataFrame, ts: str, size: str, keys: Sequence[str], *aggs: Column, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Tumbling or sliding windows with ``window_start`` in front."""
+def windowed(df: DataFrame, ts: str, size: str, keys: Sequence[str], *aggs: Column, slide: str | None = None, delay: str = "10 minutes", keep: bool = False) -> DataFrame:
+    """Tumbling or sliding windows with ``window_start`` in front; ``keep``: the ``window`` in its place, for further state."""
     win = F.window(ts, size, slide) if slide else F.window(ts, size)
     out = watermarked(df, ts, delay).groupBy(win.alias("window"), *keys).agg(*aggs)
-    return out.select(F.col("window.start").alias("window_start"), *keys, *[c for c in out.columns if c not in ("window", *keys)])
+    first = F.col("window") if keep else F.col("window.start").alias("window_start")
+    return out.select(first, *keys, *[c for c in out.columns if c not in ("window", *keys)])
+
+
+def above_share(value: Column, bound: Column | float, percent: int = 95) -> tuple[Column, Column]:
+    """Two counts that tell exactly, for a window of any size, whether a percentile exceeds a bound.
+
+    The percentile is the value at rank ceil(percent * n / 100). It exceeds the bound if fewer values than
+    that rank do not: counts add up over tasks and batches, and no value is kept.
+    """
+    return F.count(value).alias("n"), F.count_if(value > bound).alias("above")
+
+
+def exceeds(n: Column, above: Column, percent: int = 95) -> Column:
+    return n - above < F.floor((n * percent + 99) / 100)
 
 
 def failure_bursts(df: DataFrame, ts: str, user: str, least: int = 10, slide: str = "1 minute") -> DataFrame:
@@ -32,22 +46,24 @@ def failure_bursts(df: DataFrame, ts: str, user: str, least: int = 10, slide: st
     return windowed(df, ts, "5 minutes", [user], F.count(F.lit(1)).alias("attempts"), slide=slide).where(F.col("attempts") >= least)
 
 
-def count_above(df: DataFrame, ts: str, size: str, bound: int, keys: Sequence[str] = ()) -> DataFrame:
+def count_above(df: DataFrame, ts: str, size: str, bound: int, keys: Sequence[str] = (), keep: bool = False) -> DataFrame:
     """Tumbling windows with more than ``bound`` rows."""
-    return windowed(df, ts, size, keys, F.count(F.lit(1)).alias("n")).where(F.col("n") > bound)
+    return windowed(df, ts, size, keys, F.count(F.lit(1)).alias("n"), keep=keep).where(F.col("n") > bound)
 
 
-def error_rate(df: DataFrame, ts: str, bound: float = 0.1, keys: Sequence[str] = (), size_seconds: int = 300, slide: str = "1 minute") -> DataFrame:
-    """Sliding windows whose rows per second exceed ``bound``."""
-    out = windowed(df, ts, f"{size_seconds} seconds", keys, F.count(F.lit(1)).alias("n"), slide=slide)
-    return out.withColumn("rate", F.col("n") / float(size_seconds)).where(F.col("rate") > bound)
+def error_rate(
+    df: DataFrame, ts: str, bound: float = 0.1, keys: Sequence[str] = (), size_seconds: int = 300, slide: str = "1 minute",
+    error: Column | None = None, keep: bool = False,
+) -> DataFrame:
+    """Sliding windows with more than ``bound`` rows a second; of those where ``error`` holds, if given."""
+    many = F.count(F.lit(1)) if error is None else F.count_if(error)
+    out = windowed(df, ts, f"{size_seconds} seconds", keys, many.alias("n"), slide=slide, keep=keep)
+    return out.withColumn("rate", F.col("n") / size_seconds).where(F.col("rate") > bound)
 
 
-def slow_windows(df: DataFrame, ts: str, value: str, bound: float, keys: Sequence[str] = (), size: str = "5 minutes") -> DataFrame:
-    """Windows whose 95th percentile exceeds ``bound`` (bounded sketch per window)."""
-    return windowed(df, ts, size, keys, F.percentile_approx(value, 0.95, 10_000).alias("p95"), F.count(F.lit(1)).alias("n")).where(
-        F.col("p95") > bound
-    )
+def slow_windows(df: DataFrame, ts: str, value: str, bound: float, keys: Sequence[str] = (), size: str = "5 minutes", keep: bool = False) -> DataFrame:
+    """Windows whose 95th percentile exceeds ``bound``, judged exactly from the numbers of values in all and ``above``."""
+    return windowed(df, ts, size, keys, *above_share(F.col(value), bound), keep=keep).where(exceeds(F.col("n"), F.col("above")))
 
 
 def low_accuracy(df: DataFrame, ts: str, predicted: str, label: str, bound: float = 0.85, keys: Sequence[str] = (), size: str = "1 hour") -> DataFrame:
@@ -91,14 +107,49 @@ def held(windows: DataFrame, breached: Column, keys: Sequence[str], step_seconds
     return out.where(F.col("to_s") - F.col("from_s") >= hold_seconds).drop("_island")
 
 
-def alert_rules(spark: SparkSession) -> DataFrame:
+def alert_rules(spark: SparkSession, rules: Sequence[tuple] = ALERT_RULES) -> DataFrame:
     return spark.createDataFrame(
-        ALERT_RULES,
+        list(rules),
         "rule string, metric string, size_s int, statistic string, comparison string, bound double, hold_s int, severity string",
     )
 
 
-def metric_alerts(metrics: DataFrame, rules: DataFrame, keys: Sequence[str] = (), until: Column | None = None) -> DataFrame:
+def is_silence_rule(rule: tuple) -> bool:
+    """Whether a rule fires on windows without rows."""
+    return rule[3] == "count" and rule[4] == "<="
+
+
+def fires_on_silence() -> Column:
+    return (F.col("statistic") == "count") & (F.col("comparison") == "<=")
+
+
+def rule_aggregates(counted: Column | None = None) -> list[Column]:
+    """What any rule needs of a window; a percentile as the values beyond the rule's own bound."""
+    value = F.col("value")
+    return [
+        (F.count(F.lit(1)) if counted is None else F.count_if(counted)).alias("_count"), F.avg("value").alias("_avg"), F.min("value").alias("_min"),
+        F.count("value").alias("_values"), F.count_if(value > F.col("bound")).alias("_above"), F.count_if(value < F.col("bound")).alias("_under"),
+    ]
+
+
+def rule_breached() -> Column:
+    """Whether a window's aggregates are on the wrong side of its rule's bound."""
+    stat, op, bound = F.col("statistic"), F.col("comparison"), F.col("bound")
+    value = (
+        F.when(stat == "avg", F.col("_avg")).when(stat == "min", F.col("_min")).when(stat == "rate", F.col("_count") / F.col("size_s"))
+        .otherwise(F.col("_count").cast("double"))
+    )
+    plain = F.when(op == ">", value > bound).when(op == "<", value < bound).when(op == "<=", value <= bound)
+    # p95 < bound: the values below the bound reach the rank
+    over = exceeds(F.col("_values"), F.col("_above"))
+    under = F.col("_under") >= F.floor((F.col("_values") * 95 + 99) / 100)
+    percentile = F.when(op == ">", over).when(op == "<", under).when(op == "<=", ~over)
+    return F.when(stat == "p95", percentile & (F.col("_values") > 0)).otherwise(plain)
+
+
+def metric_alerts(
+    metrics: DataFrame, rules: DataFrame, keys: Sequence[str] = (), until: Column | None = None, expected: DataFrame | None = None,
+) -> DataFrame:
     """Every rule over a (ts, metric, value) table: window by rule and ``keys``, compare, keep sustained breaches.
 
     ``keys`` name the instance (host, service), so that one in trouble is not hidden by an
@@ -106,46 +157,34 @@ def metric_alerts(metrics: DataFrame, rules: DataFrame, keys: Sequence[str] = ()
     pass. A rule that fires on silence (count at most 0) also gets the windows without rows from
     an instance's first one to the last window that has ended at ``until``, the time of
     judgement, so an instance that stops for good fires; without ``until`` to its own last one.
+    ``expected`` lists ``(ts, rule, keys)``: the instance must be heard of from then on, so one
+    that never starts fires, too.
     """
     keys = list(keys)
     rows = metrics.join(F.broadcast(rules), "metric")
-    start = F.floor(F.unix_seconds("ts") / F.col("size_s")) * F.col("size_s")
+    size = F.col("size_s")
     rule = ["rule", "severity", "statistic", "comparison", "bound", "size_s", "hold_s"]
-    out = rows.groupBy(*keys, *rule, start.alias("_s")).agg(
-        F.count(F.lit(1)).alias("_count"),
-        F.avg("value").alias("_avg"),
-        F.min("value").alias("_min"),
-        F.percentile_approx("value", 0.95, 10_000).alias("_p95"),
-    )
-    silent = out.where((F.col("statistic") == "count") & (F.col("comparison") == "<="))
-    spans = silent.groupBy(*keys, *rule).agg(F.min("_s").alias("_from"), F.max("_s").alias("_to"))
+    out = rows.groupBy(*keys, *rule, (F.floor(F.unix_seconds("ts") / size) * size).alias("_s")).agg(*rule_aggregates())
+    silent = out.where(fires_on_silence())
+    known = silent.select(*keys, *rule, "_s")
+    if expected is not None:
+        due = expected.join(F.broadcast(rules), "rule").where(fires_on_silence())
+        known = known.unionByName(due.select(*keys, *rule, (F.floor(F.unix_seconds("ts") / size) * size).alias("_s")))
+    spans = known.groupBy(*keys, *rule).agg(F.min("_s").alias("_from"), F.max("_s").alias("_to"))
     if until is not None:
         judged = F.broadcast(metrics.sparkSession.range(1).select(F.unix_seconds(until).alias("_until")))
-        ended = (F.floor(F.col("_until") / F.col("size_s")) - 1) * F.col("size_s")
+        ended = (F.floor(F.col("_until") / size) - 1) * size
         spans = spans.crossJoin(judged).withColumn("_to", F.greatest("_to", ended))
-    every = spans.select(*keys, *rule, F.explode(F.sequence("_from", "_to", F.col("size_s").cast("bigint"))).alias("_s"))
+    every = spans.select(*keys, *rule, F.explode(F.sequence("_from", "_to", size.cast("bigint"))).alias("_s"))
     gaps = every.join(silent.select(*keys, "rule", "_s"), [*keys, "rule", "_s"], "left_anti").withColumn("_count", F.lit(0).cast("bigint"))
     out = out.unionByName(gaps, allowMissingColumns=True)
-    stat, op = F.col("statistic"), F.col("comparison")
-    value = (
-        F.when(stat == "avg", F.col("_avg"))
-        .when(stat == "min", F.col("_min"))
-        .when(stat == "p95", F.col("_p95"))
-        .when(stat == "rate", F.col("_count") / F.col("size_s"))
-        .otherwise(F.col("_count").cast("double"))
-    )
-    over = (
-        F.when(op == ">", value > F.col("bound")).when(op == "<", value < F.col("bound")).when(op == "<=", value <= F.col("bound"))
-    )
-    hits = out.where(over)
+    hits = out.where(rule_breached())
     w = Window.partitionBy(*keys, "rule").orderBy("_s")  # one row per window of the rule
-    runs = hits.withColumn("_island", F.col("_s") - F.row_number().over(w) * F.col("size_s"))
+    runs = hits.withColumn("_island", F.col("_s") - F.row_number().over(w) * size)
     done = runs.groupBy(*keys, "rule", "severity", "hold_s", "size_s", "_island").agg(
         F.min("_s").alias("from_s"), F.max("_s").alias("to_s"), F.count(F.lit(1)).alias("windows")
     )
-    return done.where(F.col("to_s") + F.col("size_s") - F.col("from_s") >= F.col("hold_s")).select(
-        *keys, "rule", "severity", "from_s", "to_s", "windows"
-    )
+    return done.where(F.col("to_s") + size - F.col("from_s") >= F.col("hold_s")).select(*keys, "rule", "severity", "from_s", "to_s", "windows")
 
 
 def retained(entries: DataFrame, as_of: Column, date: str, critical: Column, days: int) -> DataFrame:

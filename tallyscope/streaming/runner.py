@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable
+from contextlib import contextmanager
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,11 @@ from tallyscope.constants import RETENTION_DAYS
 from tallyscope.operators.ordered import top_n
 from tallyscope.schemas import UPDATES
 from tallyscope.session import names_in, remove, scratch_path
+from tallyscope.streaming.alerts import watermarked
+
+
+#: No event is later; pandas has no times after 2262.
+END = datetime(2200, 1, 1, tzinfo=timezone.utc)
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", glob: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -31,6 +38,18 @@ def update_stream(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("payload", F.from_json("payload", "map<string,string>"))
 
 
+@contextmanager
+def kept_in_rocksdb(spark: SparkSession):
+    """State machines with timers need Spark's RocksDB state store; a query takes the setting when it starts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def run_available(stream: DataFrame, label: str, mode: str = "append", path: str | None = None) -> DataFrame:
     """Process all available input into a parquet table in the shared folder and read it back.
 
@@ -38,17 +57,54 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", path: str
     """
     spark = stream.sparkSession
     base = path or scratch_path(spark, label)
-    query = (
-        stream.writeStream.outputMode(mode)
-        .format("parquet")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{base}/rows")
-    )
-    query.awaitTermination()
+    with kept_in_rocksdb(spark):
+        query = (
+            stream.writeStream.outputMode(mode)
+            .format("parquet")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{base}/rows")
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def run_so_far(read: Callable[[], DataFrame], ts: str, build: Callable[[DataFrame], DataFrame], label: str, path: str, delay: str = "10 minutes") -> DataFrame:
+    """Process what has come, beside a source that only ``run_to_end`` writes to; goes on where the last run stopped."""
+    source = read()
+    spark, schema = source.sparkSession, source.schema
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/end")
+    both = source.unionByName(read_stream(spark, f"{path}/end", schema))
+    return run_available(build(both.withWatermark(ts, delay)), label, path=f"{path}/out")
+
+
+def run_to_end(read: Callable[[], DataFrame], ts: str, build: Callable[[DataFrame], DataFrame], label: str, delay: str = "10 minutes",
+               until: datetime = END, path: str | None = None) -> DataFrame:
+    """Run a finished stream to its very end: what waits for a later watermark comes out, too.
+
+    Only newer rows move a watermark, so a stream that has ended keeps its last ``delay`` to itself. Here
+    a second source stands beside ``read()``. It is empty until all input is done; then it gets one row of
+    nulls whose time puts the watermark to ``until``, and the same query goes on from its checkpoint.
+    ``build`` must let that row pass up to its windows (count with a condition, or filter with ``or_end``);
+    the row's own window never closes.
+    """
+    spark, schema = read().sparkSession, read().schema
+    path = path or scratch_path(spark, label)
+    run_so_far(read, ts, build, label, path, delay)
+    at = F.lit(until).cast("timestamp") + F.expr(f"INTERVAL {delay}")
+    last = spark.range(1).select(*[(at if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+    last.write.mode("append").parquet(f"{path}/end")
+    return run_so_far(read, ts, build, label, path, delay)
+
+
+def or_end(condition: Column, ts: str) -> Column:
+    """A filter for ``run_to_end``: what meets the condition, and the row of nulls that ends the stream.
+
+    It names the event time, so Spark leaves it above the watermark.
+    """
+    return F.coalesce(condition, F.lit(True)) & F.col(ts).isNotNull()
+
+
 def run_complete(stream: DataFrame, label: str) -> DataFrame:
     """Keep an aggregate of a stream as a table: every batch writes the whole result anew, the last one is read back."""
     spark = stream.sparkSession
@@ -127,7 +183,7 @@ def trailing_bursts(stream: DataFrame, user: str, ts: str, least: int = 10, seco
     those of the last ``seconds`` before the watermark, and goes when both are empty.
     """
     span = seconds * 1_000_000
-    rows = stream.withWatermark(ts, delay).select(F.col(user).cast("long").alias("user"), F.col(ts).alias("at"), F.unix_micros(ts).alias("us"))
+    rows = watermarked(stream, ts, delay).select(F.col(user).cast("long").alias("user"), F.col(ts).alias("at"), F.unix_micros(ts).alias("us"))
     schema = "user long, us long, recent long"
 
     def update(key, batches, state):
