@@ -61,6 +61,8 @@ def turns(rows: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), "turn", F.xxhash64(role, text).alias("x"),
         F.xxhash64(F.lit(1), text, role).alias("y"), word_count(text).alias("words"),
     )
+    # texts are read once, however often the scan looks at its rows
+    narrow = stored(narrow, "trie-turns")
     return stored(scan(narrow, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("x"), F.col("y")], number="pos", total="n").drop("turn"), "trie-turns")
 
 
