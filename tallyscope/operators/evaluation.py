@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.constants import REWARD
-from tallyscope.operators.ordered import scan
+from tallyscope.operators.ordered import down, scan
 from tallyscope.session import reliable
 
 
@@ -56,7 +56,7 @@ def auc(df: DataFrame, keys: Sequence[str], score: str, label: str, high_is_posi
     keys = list(keys)
     y = F.col(label) == 1
     counts = reliable(df.groupBy(*keys, score).agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n")))
-    order = F.col(score) if high_is_positive else F.col(score).desc()
+    order = F.col(score) if high_is_positive else down(F.col(score))
     rows = scan(counts, keys, [order], sums={"_below": "_n"})
     won = F.col("_p") * (F.col("_below") - F.col("_n") + 0.5 * F.col("_n"))
     out = rows.groupBy(*keys).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum(won).alias("_won"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.constants import WORKFLOW_STEPS
 from tallyscope.functions.digits import text_digit
-from tallyscope.operators.ordered import ntile, scan, top_n
+from tallyscope.operators.ordered import Down, ntile, ranked_between, scan, top_n
 
 
 def transactions(ledger: DataFrame, session: str | None = None, minimum: float | None = None) -> DataFrame:
@@ -114,14 +114,12 @@ def portfolio_counts(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("success_rate", rate)
 
 
-def page(df: DataFrame, order: Sequence[Column], number: int, per_page: int) -> DataFrame:
-    """One numbered page with the paging columns; a page of any depth is found by the range-cut scan."""
-    first, last = (number - 1) * per_page, number * per_page
-    ranked = scan(df, [], order, number="row", total="total")
+def page(df: DataFrame, order: Sequence[Column | Down], number: int, per_page: int) -> DataFrame:
+    """One numbered page with the paging columns; a page of any depth sorts only the buckets that hold its ranks."""
+    ranked = ranked_between(df, order, (number - 1) * per_page, number * per_page)
     pages = F.ceil(F.col("total") / per_page).cast("bigint")
     return (
-        ranked.where((F.col("row") > first) & (F.col("row") <= last))
-        .withColumn("page", F.lit(number))
+        ranked.withColumn("page", F.lit(number))
         .withColumn("pages", pages)
         .withColumn("has_next", F.col("page") < F.col("pages"))
         .withColumn("has_prev", F.lit(number > 1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.scores import correlation
 from tallyscope.functions.text import words
-from tallyscope.operators.ordered import scan
+from tallyscope.operators.ordered import down, scan
 from tallyscope.session import reliable
 
 
@@ -23,19 +23,32 @@ def ranked(counts: DataFrame, keys: Sequence[str], item: str, weight: str) -> Da
     """Rank by weight; equal weights in name order. Adds rank, items and frequency."""
     keys = list(keys)
     counts = reliable(counts)  # far smaller than the texts, and read by three steps
-    out = scan(counts, keys, [F.col(weight).desc(), F.col(item)], number="rank", total="items")
+    out = scan(counts, keys, [down(F.col(weight)), F.col(item)], number="rank", total="items")
     totals = counts.groupBy(*keys).agg(F.sum(weight).alias("_all"))
     out = out.join(totals, keys) if keys else out.crossJoin(F.broadcast(totals))
     return out.withColumn("frequency", F.col(weight).cast("double") / F.col("_all").cast("double")).drop("_all")
 
 
+def harmonic(n: Column, alpha: float = 1.0, exact: int = 64) -> Column:
+    """1 + 1/2^alpha + ... + 1/n^alpha to double precision, from ``n`` alone (Euler-Maclaurin beyond ``exact`` terms)."""
+    sums, total = [], 0.0
+    for r in range(1, exact + 1):
+        total += r**-alpha
+        sums.append(total)
+    x, m = n.cast("double"), float(exact)
+    area = F.ln(x / m) if alpha == 1 else (F.pow(x, F.lit(1 - alpha)) - m ** (1 - alpha)) / (1 - alpha)
+
+    def term(power: float, scale: float) -> Column:
+        return (F.lit(m**-power) - F.pow(x, F.lit(-power))) * scale
+
+    tail = area + (F.pow(x, F.lit(-alpha)) - m**-alpha) / 2 + term(alpha + 1, alpha / 12) - term(alpha + 3, alpha * (alpha + 1) * (alpha + 2) / 720)
+    return F.when(n <= exact, F.element_at(F.array(*map(F.lit, sums)), F.least(n, F.lit(exact)).cast("int"))).otherwise(sums[-1] + tail)
+
+
 def with_expected(ranks: DataFrame, keys: Sequence[str], alpha: float = 1.0) -> DataFrame:
-    """Expected share C / rank^alpha, with C from the harmonic sum over the group's items."""
-    keys = list(keys)
+    """Expected share C / rank^alpha, with C from the harmonic sum over the group's ``items``."""
     raw = 1 / F.pow(F.col("rank").cast("double"), F.lit(alpha))
-    norm = ranks.groupBy(*keys).agg(F.sum(raw).alias("_norm"))
-    out = ranks.join(norm, keys) if keys else ranks.crossJoin(F.broadcast(norm))
-    return out.withColumn("expected", raw / F.col("_norm")).drop("_norm")
+    return ranks.withColumn("expected", raw / harmonic(F.col("items"), alpha))
 
 
 def _log_corr(head: Column, freq: str) -> Column:

@@ -436,7 +436,7 @@ def t1(spark, d):
 )
 def t9(spark, d):
     rows = v.sessions(spark, d).select("created_by", "session_id", "last_accessed")
-    out = ordered.scan(rows, ["created_by"], [F.col("last_accessed").desc(), F.col("session_id")], number="rank")
+    out = ordered.scan(rows, ["created_by"], [ordered.down(F.col("last_accessed")), F.col("session_id")], number="rank")
     return out.select("created_by", "session_id", day("last_accessed"), "rank")
 
 
@@ -451,7 +451,7 @@ def t9(spark, d):
     ["ledger"],
 )
 def t12(spark, d):
-    out = ops.page(v.ledger(spark, d, "txn_id", "amount"), [F.col("amount").desc(), F.col("txn_id")], 3, 50)
+    out = ops.page(v.ledger(spark, d, "txn_id", "amount"), [ordered.down(F.col("amount")), F.col("txn_id")], 3, 50)
     return out.withColumn("amount", F.col("amount").cast("double"))
 
 

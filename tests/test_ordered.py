@@ -1,5 +1,7 @@
 """Range-cut scans equal plain windows, also with a group of a third of all rows."""
 
+import datetime as dt
+import decimal
 import random
 
 import numpy as np
@@ -7,7 +9,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyscope.operators.ordered import ntile, scan, trailing_count
+from tallyscope.operators import ordered
+from tallyscope.operators.ordered import down, ntile, scan, trailing_count
 from tallyscope.operators.quantiles import exact_percentiles, with_median_gap
 from tallyscope.operators.features import similar_amounts
 
@@ -22,30 +25,87 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id long, g string, t int, x double").repartition(5)
 
 
-OPTIONS = dict(number="n", total="all", sums={"s": "x2"}, maxes={"m": "x"}, previous={"p": "x"})
+OPTIONS = dict(number="n", total="all", sums={"s": "x2"}, maxes={"m": "x"})
 
 
-@pytest.mark.parametrize("group", [["g"], []])
-def test_range_cut_equals_window(skewed, group):
-    df = skewed.withColumn("x2", F.col("x").cast("decimal(20,2)"))
-    order = [F.col("t").desc(), F.col("id")]
-    cut = scan(df, group, order, **OPTIONS)
-    w = Window.partitionBy(*(group or [F.lit(1)])).orderBy(*order)
+@pytest.fixture(autouse=True)
+def small_buckets(monkeypatch):
+    """Buckets of a few rows, so that small tables are cut."""
+    monkeypatch.setattr(ordered, "LEAST_ROWS", 20)
+
+
+def against_window(df, group, order, sort, **options):
+    cut = scan(df, group, order, **options)
+    w = Window.partitionBy(*(group or [F.lit(1)])).orderBy(*sort)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    plain = df.select(
-        "*", F.sum("x2").over(upto).alias("s"), F.max("x").over(upto).alias("m"), F.lag("x").over(w).alias("p"),
-        F.row_number().over(w).cast("bigint").alias("n"), F.count(F.lit(1)).over(Window.partitionBy(*(group or [F.lit(1)]))).alias("all"),
-    )
-    a = sorted(cut.collect(), key=lambda r: r["id"])
-    b = sorted(plain.select(*cut.columns).collect(), key=lambda r: r["id"])
-    assert a == b
+    added = {
+        "number": lambda new: [F.row_number().over(w).cast("bigint").alias(new)],
+        "total": lambda new: [F.count(F.lit(1)).over(Window.partitionBy(*(group or [F.lit(1)]))).alias(new)],
+        "sums": lambda d: [F.sum(c).over(upto).alias(new) for new, c in d.items()],
+        "maxes": lambda d: [F.max(c).over(upto).alias(new) for new, c in d.items()],
+        "previous": lambda d: [F.lag(c).over(w).alias(new) for new, c in d.items()],
+    }
+    plain = df.select("*", *[c for k, v in options.items() for c in added[k](v)])
+    key = lambda r: r["id"]
+    a, b = (sorted(x.collect(), key=key) for x in (cut, plain.select(*cut.columns)))
+    assert list(map(repr, a)) == list(map(repr, b))  # NaN is NaN here
 
 
-def test_totals_join_no_rows_on_the_group(skewed):
-    """A hot group's total comes with the broadcast offsets; no row is dealt out by group alone."""
+@pytest.mark.parametrize("group", [["g"], []])
+def test_range_cut_equals_window(skewed, group):
+    df = skewed.withColumn("x2", F.col("x").cast("decimal(20,2)"))
+    against_window(df, group, [down(F.col("t")), F.col("id")], [F.col("t").desc(), F.col("id")], **OPTIONS)
+    against_window(df, group, [F.col("t"), F.col("id")], [F.col("t"), F.col("id")], previous={"p": "x"}, **OPTIONS)
+    against_window(df, group, [F.col("x"), down(F.col("id"))], [F.col("x"), F.col("id").desc()], **OPTIONS)
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "timestamp", "date", "boolean", "decimal(20,3)"])
+def test_order_keys_of_every_type(spark, kind):
+    """Nulls, NaN, one outlier, values that crowd, and a value that a third of the rows have."""
+    rng = random.Random(9)
+    values = {
+        "double": lambda i: rng.choice([None, float("nan"), 1e300, -1e300, float("inf"), 5.0, 5.0, 5.0, 1e9 + i / 1e4, rng.gauss(0, 1)]),
+        "string": lambda i: rng.choice([None, "", "same", "same", f"é{i}", f"prefix-{rng.randrange(900)}", "\U0001F600", chr(rng.randrange(1, 0xD000))]),
+        "timestamp": lambda i: rng.choice([None, dt.datetime(1900, 1, 1), dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=rng.randrange(10**6))]),
+        "date": lambda i: rng.choice([None, dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(40))]),
+        "boolean": lambda i: rng.choice([None, True, False, False]),
+        "decimal(20,3)": lambda i: rng.choice([None, decimal.Decimal("12345678901234567.891"), decimal.Decimal(rng.randrange(10**6)) / 1000]),
+    }[kind]
+    df = spark.createDataFrame([(i, values(i)) for i in range(1500)], f"id long, v {kind}").repartition(3)
+    if kind == "double":
+        df = df.withColumn("v", F.when(F.col("id") % 97 == 0, F.lit(float("-inf"))).otherwise(F.col("v")))
+    options = dict(number="n", total="all", sums={"s": "id"})
+    against_window(df, [], [F.col("v"), F.col("id")], [F.col("v"), F.col("id")], previous={"p": "id"}, **options)
+    against_window(df, [], [down(F.col("v")), F.col("id")], [F.col("v").desc(), F.col("id")], **options)
+
+
+@pytest.mark.parametrize("values", [
+    "id", "id * id * id", "exp(id / 50.0)", "CASE WHEN id < 3 THEN 1e15 ELSE id END", "CASE WHEN id % 3 = 0 THEN 7 ELSE -1 / (id + 1.0) END", "1",
+])
+def test_buckets_stay_small(spark, values):
+    """However values crowd, no bucket gets more than a few times the wanted rows; ties are cut by the next key."""
+    df = spark.range(20_000).selectExpr("id", f"CAST({values} AS DOUBLE) AS v")
+    cut = ordered.Buckets(df, [], [F.col("v"), F.col("id")])
+    sizes = [r["count"] for r in cut.rows.groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 3 * cut.target and len(sizes) <= 60_000 / cut.target
+    known = {r["_bucket"]: r["_n"] for r in cut.table.collect()}
+    assert known == {r["_bucket"]: r["count"] for r in cut.rows.groupBy("_bucket").count().collect()}
+
+
+def test_rows_are_shuffled_once(skewed):
+    """One exchange of the rows, no join by group, nothing written but counts."""
     out = scan(skewed, ["g"], [F.col("t"), F.col("id")], number="n", total="all")
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    assert "SortMergeJoin" not in plan and "rangepartitioning" not in plan
+    exchanges, broadcast = 0, None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if broadcast is not None and depth <= broadcast:
+            broadcast = None
+        if broadcast is None:
+            broadcast = depth if "BroadcastExchange" in line else None
+            exchanges += "Exchange hashpartitioning" in line
+    assert exchanges == 1  # others are below the broadcast table of buckets
 
 
 def test_ntile_equals_builtin(spark):
@@ -109,11 +169,16 @@ def test_similar_amounts_brute_force(spark):
 def test_pages(skewed):
     from tallyscope.operators import sessions
 
-    order = [F.col("t").desc(), F.col("id")]
+    order = [down(F.col("t")), F.col("id")]
     rows = sorted(((-r["t"], r["id"]) for r in skewed.select("id", "t").collect()))
     got = sessions.page(skewed.select("id", "t"), order, 3, 50).orderBy("row").collect()
     assert [(-r["t"], r["id"]) for r in got] == rows[100:150]
     assert [r["row"] for r in got] == list(range(101, 151)) and got[0]["pages"] == 60 and got[0]["has_next"] and got[0]["has_prev"]
+    for number in (1, 7, 60, 61):
+        page = sessions.page(skewed.select("id", "t"), order, number, 50).orderBy("row").collect()
+        assert [(-r["t"], r["id"]) for r in page] == rows[(number - 1) * 50 : number * 50]
+    plan = sessions.page(skewed.select("id", "t"), order, 3, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan  # only the rows of the buckets that hold the page go on
 
 
 def test_percentiles_of_crowded_values(spark):
