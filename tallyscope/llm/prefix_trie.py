@@ -63,7 +63,7 @@ def turns(rows: DataFrame) -> DataFrame:
     )
     # texts are read once, however often the scan looks at its rows
     narrow = stored(narrow, "trie-turns")
-    return stored(scan(narrow, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("x"), F.col("y")], number="pos", total="n").drop("turn"), "trie-turns")
+    return stored(scan(narrow, ["conv_id"], [F.col("turn"), F.col("x"), F.col("y")], number="pos", total="n").drop("turn"), "trie-turns")
 
 
 def rebuilt(turned: DataFrame, group: int = 20, most: int = 4) -> tuple[DataFrame, DataFrame]:

@@ -146,7 +146,7 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 
 def _order() -> list[Column]:
-    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    return [F.col("turn"), F.col("role"), F.col("text")]
 
 
 def _fault(text: str) -> int:
