@@ -29,9 +29,11 @@ DETECTORS: dict[str, tuple[Detector, str]] = {
 def detect(df: DataFrame, id: str, features: Sequence[str], methods: Sequence[str] = ("iforest", "lof", "ocsvm", "knn")) -> DataFrame:
     """Scores of the named detectors on standardised features, then the ensemble.
 
-    The two neighbour detectors share one graph when both are asked for.
+    Features keep nine decimals, so that points equally far from another stay so however means were
+    summed. The two neighbour detectors share one graph when both are asked for.
     """
-    rows = reliable(stats.scaled(df.select(id, *features), features, "standard"))
+    rows = stats.scaled(df.select(id, *features), features, "standard")
+    rows = reliable(rows.select(id, *[F.round(c, 9).alias(c) for c in features]))
     graph = neighbours.knn_graph(rows, id, features, 20) if {"lof", "knn"} <= set(methods) else None
     columns = []
     for name in methods:

@@ -1,17 +1,22 @@
-"""Isolation forest: trees fit on bounded samples in parallel, one scoring pass over all rows."""
+"""Isolation forest: trees fit on bounded samples in parallel, one scoring pass over all rows.
+
+Samples, split features and cuts are drawn from MD5 digests of seed, tree and node, so a forest is a
+function of its rows, and SQL can grow the same one.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.operators.quantiles import exact_percentiles
 
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double, rows int"
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length long, rows int"
 
 
 def _mean_path(n: float) -> float:
@@ -23,57 +28,62 @@ def _mean_path(n: float) -> float:
     return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+#: Path lengths are kept in billionths, so that sums over trees do not depend on their order.
+UNIT = 1_000_000_000
+
+
+def _draw(*parts) -> float:
+    """A number in [0, 1) from the MD5 of the parts, joined by colons."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2.0**32
+
+
+def _drawn(*parts: Column) -> Column:
+    """``_draw`` as a column."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+
+
 def tree_samples(df: DataFrame, id: str, features: Sequence[str], trees: int, size: int, seed: int) -> DataFrame:
-    """(tree, v): ``size`` rows per tree by smallest hash, the same on every run and layout.
+    """(tree, v): ``size`` rows per tree by smallest digest, the same on every run and layout.
 
     Trees are offered about ``2 * size`` rows each, whatever the number of rows: a row goes to
-    as many trees in a row, from a hashed first one, as that takes, or is kept by its hash with
-    the chance that gives as many. ``size`` is the model's own parameter (256 by default).
+    as many trees in a row, from a drawn first one, as that takes, or is kept with the chance
+    that gives as many. ``size`` is the model's own parameter (256 by default).
     """
-    steps = 1 << 30
     share = 2.0 * size * trees / F.greatest(F.col("_n"), F.lit(1.0))
     n = df.agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    shares = n.select((F.least(F.lit(1.0), share) * steps).alias("_keep"), F.least(F.lit(trees), F.ceil(share)).cast("int").alias("_offers"))
+    shares = n.select(share.alias("_keep"), F.least(F.lit(trees), F.ceil(share)).cast("int").alias("_offers"))
     vector = F.array(*[F.col(c).cast("double") for c in features])
     rows = df.select(F.col(id).alias("_id"), vector.alias("v")).crossJoin(F.broadcast(shares))
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(steps)) < F.col("_keep"))
-    first = F.pmod(F.xxhash64(F.lit(seed + 2), "_id"), F.lit(trees))
+    rows = rows.where(_drawn(F.lit(seed), F.lit("keep"), F.col("_id")) < F.col("_keep"))
+    first = F.floor(_drawn(F.lit(seed), F.lit("first"), F.col("_id")) * trees)
     tries = rows.select("_id", "v", first.alias("_first"), F.explode(F.sequence(F.lit(0), F.col("_offers") - 1)).alias("_j"))
     tries = tries.select("_id", "v", F.pmod(F.col("_first") + F.col("_j"), F.lit(trees)).cast("int").alias("tree"))
-    w = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 1), "tree", "_id"), "_id")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col("_id").cast("string")))
+    w = Window.partitionBy("tree").orderBy(order, "_id")
     return tries.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).select("tree", "v")
 
 
 def _grow(tree: int, x: np.ndarray, seed: int) -> list[tuple]:
-    """Random splits down to depth ceil(log2 n); rows are put in value order first."""
-    x = x[np.lexsort(x.T[::-1])]
-    rng = np.random.default_rng([seed, tree])
+    """Drawn splits down to depth ceil(log2 n). Nodes are numbered as in a heap: the root is 1, below n are 2n and 2n + 1."""
     limit = int(np.ceil(np.log2(max(len(x), 2))))
-    nodes: list[list] = []
-    stack = [(np.arange(len(x)), 0, None, None)]
+    nodes, stack = [], [(1, np.arange(len(x)), 0)]
     while stack:
-        idx, depth, parent, side = stack.pop()
-        me = len(nodes)
-        nodes.append([tree, me, -1, 0.0, -1, -1, depth + _mean_path(len(idx)), len(idx)])
-        if parent is not None:
-            nodes[parent][4 if side == "l" else 5] = me
-        if depth >= limit or len(idx) <= 1:
-            continue
+        node, idx, depth = stack.pop()
         part = x[idx]
         low, high = part.min(axis=0), part.max(axis=0)
         open_features = np.flatnonzero(high > low)
-        if len(open_features) == 0:
-            continue
-        f = int(rng.choice(open_features))
-        cut = float(rng.uniform(low[f], high[f]))
-        left = part[:, f] < cut
-        if left.all() or not left.any():
-            cut = float(high[f])
-            left = part[:, f] < cut
-        nodes[me][2], nodes[me][3] = f, cut
-        stack.append((idx[left], depth + 1, me, "l"))
-        stack.append((idx[~left], depth + 1, me, "r"))
-    return [tuple(n) for n in nodes]
+        feature, cut = -1, 0.0
+        if depth < limit and len(open_features):
+            feature = int(open_features[int(_draw(seed, tree, node, "feature") * len(open_features))])
+            cut = float(low[feature] + _draw(seed, tree, node, "cut") * (high[feature] - low[feature]))
+            if cut <= low[feature]:
+                cut = float(high[feature])
+            left = part[:, feature] < cut
+            stack += [(2 * node, idx[left], depth + 1), (2 * node + 1, idx[~left], depth + 1)]
+        length = round((depth + _mean_path(len(idx))) * UNIT)
+        nodes.append((tree, node, feature, cut, 2 * node if feature >= 0 else -1, 2 * node + 1 if feature >= 0 else -1, length, len(idx)))
+    return nodes
 
 
 def fit(df: DataFrame, id: str, features: Sequence[str], trees: int = 100, size: int = 256, seed: int = 42) -> DataFrame:
@@ -91,7 +101,9 @@ def load_model(model: DataFrame) -> tuple[dict, int]:
     pdf = model.orderBy("tree", "node").toPandas()
     trees = {}
     for tree, part in pdf.groupby("tree"):
-        trees[int(tree)] = {c: part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "length", "rows")}
+        place = {n: i for i, n in enumerate(part["node"].tolist())}
+        found = {c: part[c].to_numpy() for c in ("feature", "threshold", "length", "rows")}
+        trees[int(tree)] = found | {c: np.array([place.get(n, -1) for n in part[c].tolist()]) for c in ("left", "right")}
     return trees, len(trees)
 
 
@@ -103,7 +115,7 @@ def score(df: DataFrame, model: DataFrame, features: Sequence[str], out: str = "
     trees, _ = load_model(model)
     shared = df.sparkSession.sparkContext.broadcast(trees)
     features = list(features)
-    norm = float(np.mean([_mean_path(t["rows"][0]) for t in trees.values()])) or 1.0
+    norm = sum(round(_mean_path(t["rows"][0]) * UNIT) for t in trees.values()) / UNIT / max(len(trees), 1) or 1.0
 
     @F.pandas_udf("double")
     def evaluate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -114,7 +126,7 @@ def score(df: DataFrame, model: DataFrame, features: Sequence[str], out: str = "
                 continue
             x = np.vstack(batch.to_numpy())
             rows = np.arange(len(x))
-            total = np.zeros(len(x))
+            total = np.zeros(len(x), np.int64)
             for t in grown:
                 at = np.zeros(len(x), dtype=np.int64)
                 while True:
@@ -125,7 +137,7 @@ def score(df: DataFrame, model: DataFrame, features: Sequence[str], out: str = "
                     go_left = x[rows, np.where(inner, f, 0)] < t["threshold"][at]
                     at = np.where(inner, np.where(go_left, t["left"][at], t["right"][at]), at)
                 total += t["length"][at]
-            yield pd.Series(np.power(2.0, -(total / len(grown)) / norm))
+            yield pd.Series(np.power(2.0, -(total / UNIT / max(len(grown), 1)) / norm))
 
     vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
     return df.withColumn(out, evaluate(vector))

@@ -24,19 +24,47 @@ def _hits(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """Start and end of every match: one pass over the pieces between matches and the matches carries the offset along."""
-    found, gaps = _hits(text, pattern), F.split(text, pattern, -1)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(pieces: Column) -> Column:
+    """Start and end of the matches among ``(gap, match)`` lengths.
+
+    Adding to an array copies it, so the pieces are taken in blocks of their number's root: lengths run
+    within each block, blocks' totals run over the blocks, and n matches cost n times the root of n at most.
+    """
     none = F.array().cast("array<struct<start:int,stop:int>>")
+    size = F.ceil(F.sqrt(F.size(pieces))).cast("int")
 
     def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.length(piece["gap"])
-        stop = start + F.length(piece["match"])
-        one = F.array(F.struct(start.alias("start"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], one).alias("spans"))
+        start = acc["at"] + piece["gap"]
+        one = F.array(F.struct(start.alias("start"), (start + piece["match"]).alias("stop")))
+        return F.struct((start + piece["match"]).alias("at"), F.concat(acc["spans"], one).alias("spans"))
+
+    def of_block(b: Column) -> Column:
+        return F.aggregate(F.slice(pieces, b * size + 1, size), F.struct(F.lit(0).alias("at"), none.alias("spans")), step)
+
+    def shifted(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        offsets = F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))
+        move = lambda b, at: F.transform(b["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["stop"] + at).alias("stop")))
+        return F.flatten(F.zip_with(blocks, offsets["all"], move))
+
+    return _let(F.transform(F.sequence(F.lit(0), F.ceil(F.size(pieces) / size).cast("int") - 1), of_block), shifted)
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """Start and end of every match; texts without a match are read once for the pattern, others twice."""
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def located(found: Column) -> Column:
+        lengths = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+        pieces = F.zip_with(F.slice(lengths, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("match")))
+        return F.when(F.size(found) > 0, _let(pieces, _running)).otherwise(none)
 
-    pieces = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    return _let(_hits(text, pattern), located)
 
 
 def scan_text(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

@@ -13,6 +13,7 @@ from tallyscope.operators import sessions as se
 from tallyscope.operators.compliance import input_violations
 from tallyscope.plans import views as v
 from tallyscope.plans.catalog.documents import SCAN_SQL
+from tallyscope.plans.catalog.forest_sql import forest_sql
 from tallyscope.plans.catalog.ledgers import r
 from tallyscope.plans.catalog.measures import rounded
 from tallyscope.plans.catalog.risks import STEP_SQL, steps, steps_of
@@ -340,7 +341,12 @@ def st12(spark, d):
     return kept.groupBy("category").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("st13_stream_scoring")
+@query(
+    "st13_stream_scoring",
+    f"""WITH pts AS (SELECT id, [amount, CAST(hour(ts) AS DOUBLE), CAST(k AS DOUBLE)] AS xs FROM activity), {forest_sql(3)}
+    SELECT id, amount, CAST(hour(ts) AS DOUBLE) AS "hour", CAST(k AS DOUBLE) AS k, round(score, 6) AS score FROM iso JOIN activity USING (id)""",
+    ["activity"],
+)
 def st13(spark, d):
     names = ["amount", "hour", "k"]
 
@@ -349,7 +355,7 @@ def st13(spark, d):
 
     path = scratch_path(spark, "nodes")
     fo.fit(shaped(v.activity(spark, d)), "id", names).write.parquet(path)
-    return ru.run_available(fo.score(shaped(event_stream(spark, d)), spark.read.parquet(path), names), "st13")
+    return rounded(ru.run_available(fo.score(shaped(event_stream(spark, d)), spark.read.parquet(path), names), "st13"))
 
 
 @query("st14_stream_scan", f"WITH {SCAN_SQL} SELECT doc_id, data_type, severity, CAST(start AS BIGINT) AS start, CAST(start + width AS BIGINT) AS stop FROM sc")

@@ -11,6 +11,7 @@ from tallyscope.operators import forest as fo
 from tallyscope.operators import neighbours as ne
 from tallyscope.operators.quantiles import exact_percentiles
 from tallyscope.plans import views as v
+from tallyscope.plans.catalog.forest_sql import FLAG_SQL, forest_sql
 from tallyscope.plans.catalog.laws import NONZERO, THREE, _significant_sql
 from tallyscope.plans.catalog.ledgers import r
 from tallyscope.plans.catalog.measures import rounded
@@ -92,17 +93,35 @@ def o10(spark, d):
     return rounded(fe.fraud_features(v.activity(spark, d), "id", "amount", "ts", ["category"]))
 
 
-@query("o11_isolation_forest")
+# three features of an event, as they are and standardised
+RAW_POINTS = "pts AS (SELECT id, [amount, CAST(hour(ts) AS DOUBLE), CAST(k AS DOUBLE)] AS xs FROM activity)"
+SCALED_POINTS = """
+    sst AS (SELECT avg(amount) AS am, stddev_pop(amount) AS asd, avg(hour(ts)) AS hm, stddev_pop(hour(ts)) AS hsd, avg(k) AS km, stddev_pop(k) AS ksd FROM activity),
+    spt AS (SELECT id, (amount - am) / asd AS x, (hour(ts) - hm) / hsd AS y, (k - km) / ksd AS z, min(id) OVER (PARTITION BY amount, hour(ts), k) AS vid FROM activity, sst),
+    pts AS (SELECT id, [x, y, z] AS xs FROM spt)
+"""
+KEPT_POINTS = SCALED_POINTS.replace("(amount - am) / asd", "round((amount - am) / asd, 9)").replace("(hour(ts) - hm) / hsd", "round((hour(ts) - hm) / hsd, 9)").replace("(k - km) / ksd", "round((k - km) / ksd, 9)")
+ALL_POINTS = f"{FEATURE_SQL}, pts AS (SELECT id, [{', '.join(f'round({c}, 6)' for c in (chr(34) + f + chr(34) for f in fe.TRANSACTION_FEATURES))}] AS xs FROM f)"
+
+
+@query(
+    "o11_isolation_forest",
+    f"WITH {ALL_POINTS}, {forest_sql(len(fe.TRANSACTION_FEATURES))}, {FLAG_SQL} SELECT id, round(score, 6) AS score, is_anomaly, round(decision, 6) AS decision, round(risk_score, 6) AS risk_score FROM flg",
+    ["activity"],
+)
 def o11(spark, d):
-    rows = reliable(_features(spark, d))
+    rows = reliable(rounded(_features(spark, d)))
     scored = reliable(fo.score(rows, fo.fit(rows, "id", fe.TRANSACTION_FEATURES), fe.TRANSACTION_FEATURES))
-    return fo.flag(scored, 0.1).select("id", "score", "is_anomaly", "decision", "risk_score")
+    return rounded(fo.flag(scored, 0.1).select("id", "score", "is_anomaly", "decision", "risk_score"))
 
 
 # distinct vectors named by their smallest id; every row's k nearest other rows by (distance, vector)
-def _near_sql(k):
+RAW_NEAR = "p AS (SELECT id, amount AS x, CAST(hour(ts) AS DOUBLE) AS y, CAST(k AS DOUBLE) AS z, min(id) OVER (PARTITION BY amount, hour(ts), k) AS vid FROM activity)"
+
+
+def _near_sql(k, points=RAW_NEAR):
     return f"""
-    p AS (SELECT id, amount AS x, CAST(hour(ts) AS DOUBLE) AS y, CAST(k AS DOUBLE) AS z, min(id) OVER (PARTITION BY amount, hour(ts), k) AS vid FROM activity),
+    {points},
     nn AS (SELECT a.id, a.vid, min({{'own': (a.vid <> b.vid)::INT, 'd': sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 'v': b.vid}}, {k}) AS l
            FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id, a.vid)
     """
@@ -142,9 +161,38 @@ def o14(spark, d):
     return rounded(ne.one_class_score(scaled(simple_features(spark, d), SIMPLE), SIMPLE).select("id", "svm_score"))
 
 
-@query("o15_detector_ensemble")
+def _ensemble_sql(scores):
+    """``ensemble.ensemble`` on a CTE ``det (id, scores)``."""
+    unit = " + ".join(f"CASE WHEN hi_{c} > lo_{c} THEN ({c} - lo_{c}) / (hi_{c} - lo_{c}) ELSE 0 END" for c in scores)
+    ends = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}, quantile_cont({c}, 0.9) AS cut_{c}" for c in scores)
+    votes = " + ".join(f"({c} > cut_{c})::INT" for c in scores)
+    shown = ", ".join(f"round({c}, 5) AS {c}" for c in scores)
+    return f"""eds AS (SELECT {ends} FROM det), ens AS (SELECT det.*, ({unit}) / {len(scores)} AS e, ({votes}) / {len(scores)}.0::DOUBLE AS agreement FROM det, eds)
+    SELECT id, {shown}, round(e, 5) AS ensemble_score, (e > (SELECT quantile_cont(e, 0.9) FROM ens))::INT AS is_anomaly, round(agreement, 5) AS agreement FROM ens"""
+
+
+def _svm_sql():
+    """``svm (id, svm_score)`` from ``spt``."""
+    weights, phases, scale = ne.fourier_features(3)
+    phi = [f"cos({p!r} + x * {w[0]!r} + y * {w[1]!r} + z * {w[2]!r}) * {scale!r}" for w, p in zip(weights.tolist(), phases.tolist())]
+    dot = " + ".join(f"f{i} * m{i}" for i in range(len(phi)))
+    return f"""svf AS (SELECT id, {', '.join(f'{e} AS f{i}' for i, e in enumerate(phi))} FROM spt), svm0 AS (SELECT {', '.join(f'avg(f{i}) AS m{i}' for i in range(len(phi)))} FROM svf),
+    svm AS (SELECT id, 1 - ({dot}) AS svm_score FROM svf, svm0)"""
+
+
+@query(
+    "o15_detector_ensemble",
+    f"""WITH {KEPT_POINTS}, {forest_sql(3)}, {_svm_sql()}, {_near_sql(20, "p AS (SELECT id, x, y, z, vid FROM spt)")},
+    far AS (SELECT vid, any_value(l[20].d) AS f FROM nn GROUP BY 1), e AS (SELECT id, vid, unnest(l) AS o FROM nn),
+    dens AS (SELECT id, e.vid, 1 / (avg(greatest(o.d, f)) + 1e-10) AS lrd FROM e JOIN far ON far.vid = o.v GROUP BY 1, 2), dv AS (SELECT vid, any_value(lrd) AS lrd FROM dens GROUP BY 1),
+    lof AS (SELECT e.id, avg(dv.lrd) / any_value(dens.lrd) AS lof_score FROM e JOIN dv ON dv.vid = e.o.v JOIN dens ON dens.id = e.id GROUP BY e.id),
+    det AS (SELECT iso.id, score AS iforest_score, lof_score, svm_score, nn.l[5].d AS knn_score FROM iso JOIN lof USING (id) JOIN svm USING (id) JOIN nn USING (id)),
+    {_ensemble_sql(["iforest_score", "lof_score", "svm_score", "knn_score"])}""",
+    ["activity"],
+)
 def o15(spark, d):
-    return en.detect(simple_features(spark, d), "id", SIMPLE)
+    out = en.detect(simple_features(spark, d), "id", SIMPLE)
+    return rounded(out.drop(*SIMPLE), 5)
 
 
 UNIT_SQL = """
@@ -264,7 +312,11 @@ def o22(spark, d):
     return rounded(by_rate.join(F.broadcast(config), "rate").select("mode", "sensitivity", "rate", "threshold", "flagged"))
 
 
-@query("s13_model_round_trip")
+@query(
+    "s13_model_round_trip",
+    f"WITH {SCALED_POINTS}, {forest_sql(3)}, {FLAG_SQL} SELECT id, round(score, 6) AS score, is_anomaly FROM flg",
+    ["activity"],
+)
 def s13(spark, d):
     rows = simple_features(spark, d)
     path = scratch_path(spark, "model")
@@ -273,15 +325,20 @@ def s13(spark, d):
     nodes, scaler, meta = models.load_model(spark, path)
     names = meta["features"].split(",")
     scored = reliable(fo.score(models.apply_scaler(rows, scaler, names), nodes, names))
-    return fo.flag(scored, float(meta["contamination"])).select("id", "score", "is_anomaly")
+    return rounded(fo.flag(scored, float(meta["contamination"])).select("id", "score", "is_anomaly"))
 
 
-@query("j10_predictions_by_key")
+@query(
+    "j10_predictions_by_key",
+    f"""WITH {RAW_POINTS}, {forest_sql(3)}, {FLAG_SQL}, cf AS (SELECT id, 1 - greatest(0, least(1, 0.5 + decision)) AS c FROM flg WHERE is_anomaly = 1)
+    SELECT id, account_id, amount, round(c, 6) AS confidence, CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.6 THEN 'medium' WHEN c >= 0.4 THEN 'low' ELSE 'very_low' END AS severity FROM cf JOIN activity USING (id)""",
+    ["activity"],
+)
 def j10(spark, d):
     rows = simple_features(spark, d)
     scored = fo.flag(reliable(fo.score(rows, fo.fit(rows, "id", SIMPLE), SIMPLE)))
     conf, severity = fo.confidence(F.col("decision"))
-    found = scored.where(F.col("is_anomaly") == 1).select("id", conf.alias("confidence"), severity.alias("severity"))
+    found = scored.where(F.col("is_anomaly") == 1).select("id", r(conf).alias("confidence"), severity.alias("severity"))
     return v.activity(spark, d).select("id", "account_id", "amount").join(found, "id")
 
 
@@ -392,9 +449,13 @@ def s15(spark, d):
     return spark.read.schema(rows.schema).json(path).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d2_detector_registry")
+@query(
+    "d2_detector_registry",
+    f"WITH {KEPT_POINTS}, {forest_sql(3)}, {_svm_sql()}, det AS (SELECT iso.id, score AS iforest_score, svm_score FROM iso JOIN svm USING (id)), {_ensemble_sql(['iforest_score', 'svm_score'])}",
+    ["activity"],
+)
 def d2(spark, d):
-    return en.detect(simple_features(spark, d), "id", SIMPLE, ["iforest", "ocsvm"])
+    return rounded(en.detect(simple_features(spark, d), "id", SIMPLE, ["iforest", "ocsvm"]).drop(*SIMPLE), 5)
 
 
 def _bundle_sql():

@@ -70,6 +70,24 @@ def test_scan_positions(sensitive):
     assert not any(i == 7 for i, _ in found)
 
 
+def test_scan_of_many_matches(spark):
+    """A hundred thousand matches in one text, at the places that plain search finds; the work grows with their number."""
+    import re
+    import time
+
+    def text(n):
+        return "".join(f"{'x' * (i % 7)} 123-45-{6000 + i % 1000} é " for i in range(n))
+
+    seconds = {}
+    for n in (100, 10_000, 100_000):
+        df = spark.createDataFrame([(1, text(n)), (2, ""), (3, None)], "id long, text string")
+        start = time.monotonic()
+        got = safety.scan_text(df, ["id"], "text").where("data_type = 'ssn'").select("start", "stop").collect()
+        seconds[n] = time.monotonic() - start
+        assert sorted(map(tuple, got)) == [m.span() for m in re.finditer(r"\b[0-9]{3}-?[0-9]{2}-?[0-9]{4}\b", text(n))]
+    assert seconds[100_000] < 40 * max(seconds[10_000], 0.5)
+
+
 def test_masking_order(sensitive):
     got = {r["id"]: r["m"] for r in sensitive.select("id", safety.masked(F.col("text")).alias("m")).collect()}
     assert got[1] == "SSN: ***MASKED***" and got[2] == "Card ***MASKED***" and got[3] == "Account ***MASKED***"
