@@ -1,14 +1,20 @@
 """Secret scan: fixed patterns, and probabilistic automata inferred from the credentials that they find.
 
 The base patterns label credentials in the corpus. For each kind a prefix tree of labelled
-strings (over character classes) is folded into an automaton by merging states whose
-symbol and end frequencies agree within Hoeffding's bound. A further automaton, whose states
-are the last ``CONTEXT`` classes, describes the other candidates. A candidate is a run of at
+strings (over character classes) is folded into an automaton by merging states of one depth
+whose symbol and end frequencies agree within Hoeffding's bound, so a format keeps its lengths.
+A further automaton, whose states are the last ``CONTEXT`` classes, describes the other
+candidates; what it has rarely seen backs off to shorter contexts. A candidate is a run of at
 least as many credential characters as the shortest base credential has, or the part of a
-run that lies beside base spans. Every candidate of every text is scored by the
-log-likelihood ratio of its best format against the rest; those above the kind's threshold
-are added as ``inferred`` spans. The background and the thresholds come from the counts of all
-candidates' shapes; only the labelled strings are bounded.
+run that lies beside base spans, as it stands and without the signs at its ends. Every candidate
+of every text is scored. It is added as an ``inferred`` span if a format explains it, which is
+when the format's own log probability per character is within what labelled strings that it was
+not learned from reach, and if the log-likelihood ratio against the rest is above the kind's
+threshold, so that being rare is not enough. The rest are all candidates but those that such a
+format explains; a format that explains more than the share ``common`` of all candidates is no
+mark of a secret, so these stay in the rest, and its threshold lies above nearly all of them.
+Background, shares and thresholds come from the counts of all candidates' shapes; only the
+labelled strings are bounded.
 
 Offsets are code points, ends exclusive.
 
@@ -54,6 +60,11 @@ LEAST_LONG = min(LEAST["access"], LEAST["hex"])
 CONTEXT = 4
 #: Scores of candidates are counted in steps of this part of a bit.
 STEPS = 64
+SIGNS = b"+/_.=-"
+#: Bits a character by which a candidate may fall short of all labelled strings kept apart.
+SLACK = 0.1
+#: Weight of the shorter context where the background backs off, in counts.
+BACK_OFF = 4.0
 _IN_RUN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"))
 
 Span = tuple[str, int, int]
@@ -79,11 +90,17 @@ def shape(value: str) -> str:
 class Automaton:
     """Deterministic probabilistic automaton; state 0 is the start."""
 
-    def __init__(self, edges: list[dict[str, tuple[int, float]]], ends: list[float], other: list[float]):
+    def __init__(self, edges: list[dict[str, tuple[int, float]]], ends: list[float], other: list[float], final: list[bool] | None = None):
         self.edges, self.ends, self.other = edges, ends, other
+        #: states where a string has ended
+        self.final = final or [True] * len(ends)
 
     def log2(self, symbols: str) -> float:
         """log2 probability of the string and its end."""
+        return self.read(symbols)[0]
+
+    def read(self, symbols: str) -> tuple[float, bool]:
+        """The probability, and whether a string has ended in the last state before."""
         state, total = 0, 0.0
         for s in symbols:
             found = self.edges[state].get(s)
@@ -92,13 +109,17 @@ class Automaton:
             else:
                 state, p = found
                 total += p
-        return total + self.ends[state]
+        return total + self.ends[state], self.final[state]
 
 
 def infer(samples: Sequence[str], alpha: float = 0.05, smooth: float = 0.5) -> Automaton:
-    """Fold the prefix tree of ``samples`` by merging compatible states, most visited first."""
+    """Fold the prefix tree of ``samples`` by merging compatible states of one depth, most visited first.
+
+    Deep states of the tree have a visit or two each; merged, they know together how often strings
+    of their length end.
+    """
     children: list[dict[str, list[int]]] = [{}]  # symbol -> [state, times]
-    visits, ends = [0], [0]
+    visits, ends, depth = [0], [0], [0]
     for sample in samples:
         at = 0
         visits[0] += 1
@@ -109,6 +130,7 @@ def infer(samples: Sequence[str], alpha: float = 0.05, smooth: float = 0.5) -> A
                 children.append({})
                 visits.append(0)
                 ends.append(0)
+                depth.append(depth[at] + 1)
             edge[1] += 1
             at = edge[0]
             visits[at] += 1
@@ -149,19 +171,20 @@ def infer(samples: Sequence[str], alpha: float = 0.05, smooth: float = 0.5) -> A
                     mine[1] += times
                     stack.append((mine[0], to))
 
-    kept = [0]
-    while True:
-        known = set(kept)
-        front = [(edge, to) for a in kept for edge in children[a].values() if (to := edge[0]) not in known]
-        if not front:
-            break
-        edge, b = max(front, key=lambda x: (visits[x[1]], -x[1]))
-        same = next((a for a in kept if compatible(a, b)), None)
-        if same is None:
-            kept.append(b)
-        else:
-            edge[0] = same
-            fold(same, b)
+    # folding below a state only joins states of one depth, so depth by depth every state is met once
+    kept, layer = [0], [0]
+    while layer:
+        front = [(edge, edge[0]) for a in layer for edge in children[a].values()]
+        front.sort(key=lambda x: (-visits[x[1]], x[1]))
+        layer = []
+        for edge, b in front:
+            same = next((a for a in layer if compatible(a, b)), None)
+            if same is None:
+                layer.append(b)
+            else:
+                edge[0] = same
+                fold(same, b)
+        kept += layer
 
     number = {s: i for i, s in enumerate(kept)}
     out_edges, out_ends, other = [], [], []
@@ -170,16 +193,17 @@ def infer(samples: Sequence[str], alpha: float = 0.05, smooth: float = 0.5) -> A
         out_edges.append({s: (number[to], math.log2((times + smooth) / total)) for s, (to, times) in children[a].items()})
         out_ends.append(math.log2((ends[a] + smooth) / total))
         other.append(math.log2(smooth / total))
-    return Automaton(out_edges, out_ends, other)
+    return Automaton(out_edges, out_ends, other, [ends[a] > 0 for a in kept])
 
 
 @dataclass
 class Formats:
-    """Automata of the kinds, that of other candidates, and each kind's threshold in bits."""
+    """Automata of the kinds, that of other candidates, and each kind's threshold in bits and least bits a character."""
 
     kinds: dict[str, Automaton]
     rest: Automaton | None
     thresholds: dict[str, float]
+    floors: dict[str, float]
 
     def __post_init__(self):
         self._known: dict[bytes, bool] = {}
@@ -188,6 +212,18 @@ class Formats:
         rest = self.rest.log2(symbols)
         return {k: a.log2(symbols) - rest for k, a in self.kinds.items()}
 
+    def explained(self, symbols: str, kinds: Iterable[str] | None = None) -> list[str]:
+        """The kinds whose strings the shape could be: of a length that was seen, and as probable a character as they are."""
+        found = {k: self.kinds[k].read(symbols) for k in (self.kinds if kinds is None else kinds)}
+        return [k for k, (p, final) in found.items() if final and p >= self.floors[k] * (len(symbols) + 1)]
+
+    def bits(self, symbols: bytes) -> float:
+        """Bits a character of the format that explains a secret best; of no secret, minus infinity."""
+        value = symbols.decode()
+        if not self.is_secret(symbols):
+            return -math.inf
+        return max(self.kinds[k].log2(value) / (len(value) + 1) for k in self.explained(value))
+
     def is_secret(self, symbols: bytes) -> bool:
         """Whether a candidate of this shape is a secret."""
         if self.rest is None:
@@ -196,7 +232,8 @@ class Formats:
         if known is None:
             if len(self._known) > 200_000:
                 self._known.clear()
-            known = any(x >= self.thresholds[k] for k, x in self.scores(symbols.decode()).items())
+            value = symbols.decode()
+            known = any(self.kinds[k].log2(value) - self.rest.log2(value) >= self.thresholds[k] for k in self.explained(value))
             if len(symbols) < 64:
                 self._known[symbols] = known
         return known
@@ -243,7 +280,15 @@ def found_in(texts: pa.Array, formats: Formats | None = None) -> Iterator[tuple[
     classes = _CLASS_OF[s.data].tobytes()
     others: dict[int, list[Span]] = {}
     for i, a, b in zip(row.tolist(), starts.tolist(), ends.tolist()):
-        if formats is None or formats.is_secret(classes[a:b]):
+        if formats is None:
+            others.setdefault(i, []).append((INFERRED, a, b))
+            continue
+        # a full stop or a slash beside a key is none of its characters, unless the format says so
+        whole, inner = classes[a:b], classes[a:b].strip(SIGNS)
+        if LEAST_RUN <= len(inner) < b - a and formats.bits(inner) > formats.bits(whole):
+            a = classes.index(inner, a, b)
+            others.setdefault(i, []).append((INFERRED, a, a + len(inner)))
+        elif formats.is_secret(whole):
             others.setdefault(i, []).append((INFERRED, a, b))
     # characters before each byte
     chars = np.append(0, np.cumsum((s.data & 0xC0) != 0x80))
@@ -293,14 +338,36 @@ def _examples(docs: DataFrame, each: int) -> DataFrame:
     return stored(docs.select("text").mapInArrow(run, "kind string, value string, h long, n long"), "secret-examples")
 
 
-def background(shapes: DataFrame, smooth: float = 0.5) -> Automaton | None:
-    """Automaton of all ``(value, n)`` shapes; a state is the last ``CONTEXT`` classes, an end the empty symbol."""
+def _shares(shapes: DataFrame, formats: Formats) -> dict[str, float]:
+    """Share of all candidates that each kind explains, in their shapes or without the signs at their ends."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for value, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen[""] += n
+                for kind in {*formats.explained(value), *formats.explained(_inner(value))}:
+                    seen[kind] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["kind", "n"])
+
+    found = {r["kind"]: r["n"] for r in shapes.mapInArrow(run, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    return {k: found.get(k, 0) / max(found.get("", 0), 1) for k in formats.kinds}
+
+
+def _inner(value: str) -> str:
+    return value.strip(SIGNS.decode())
+
+
+def background(shapes: DataFrame, formats: Formats | None = None, kinds: Sequence[str] = ()) -> Automaton | None:
+    """Automaton of all ``(value, n)`` shapes that no format of ``kinds`` explains; a state is the last ``CONTEXT`` classes (``^`` is the start), an end the empty symbol."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps: Counter[tuple[str, str]] = Counter()
         for batch in batches:
             for value, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = ""
+                if kinds and (formats.explained(value, kinds) or formats.explained(_inner(value), kinds)):
+                    continue
+                at = "^"
                 for x in value:
                     steps[at, x] += n
                     at = (at + x)[-CONTEXT:]
@@ -308,19 +375,29 @@ def background(shapes: DataFrame, smooth: float = 0.5) -> Automaton | None:
         rows = list(steps.items())
         yield pa.RecordBatch.from_arrays([pa.array([c for (c, _), _ in rows], pa.string()), pa.array([x for (_, x), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["at", "x", "n"])
 
-    counts: dict[str, dict[str, int]] = {}
+    # contexts of at most CONTEXT classes: their number is bounded
+    counts: dict[str, Counter[str]] = {}
     for at, x, n in shapes.mapInArrow(run, "at string, x string, n long").groupBy("at", "x").agg(F.sum("n")).orderBy("at", "x").collect():
-        counts.setdefault(at, {})[x] = n
+        for k in range(len(at) + 1):
+            counts.setdefault(at[k:], Counter())[x] += n
     if not counts:
         return None
-    number = {at: i for i, at in enumerate(counts)}  # the start, "", sorts first
-    edges, ends, other = [], [], []
-    for at, steps in counts.items():
-        total = sum(steps.values()) + smooth * (_SYMBOLS + 1)
-        edges.append({x: (number[(at + x)[-CONTEXT:]], math.log2((n + smooth) / total)) for x, n in steps.items() if x})
-        ends.append(math.log2((steps.get("", 0) + smooth) / total))
-        other.append(math.log2(smooth / total))
-    return Automaton(edges, ends, other)
+    symbols = [*sorted(set(_classes().values())), ""]
+    known: dict[str, dict[str, float]] = {}
+    for at in sorted(counts, key=len):  # each context backs off to itself without its first class
+        total, shorter = sum(counts[at].values()), known.get(at[1:]) if at else None
+        known[at] = {x: (counts[at][x] + BACK_OFF * (shorter[x] if shorter else 1 / len(symbols))) / (total + BACK_OFF) for x in symbols}
+    states = ["^", *sorted(c for c in counts if c != "^")]
+    number = {at: i for i, at in enumerate(states)}
+
+    def after(at: str, x: str) -> int:
+        at = (at + x)[-CONTEXT:]
+        while at not in number:
+            at = at[1:]
+        return number[at]
+
+    edges = [{x: (after(at, x), math.log2(known[at][x])) for x in symbols if x} for at in states]
+    return Automaton(edges, [math.log2(known[at][""]) for at in states], [0.0] * len(states))
 
 
 def _quantiles(shapes: DataFrame, formats: Formats, spare: float) -> dict[str, float]:
@@ -346,23 +423,33 @@ def _quantiles(shapes: DataFrame, formats: Formats, spare: float) -> dict[str, f
     return out
 
 
-def learn(docs: DataFrame, text: str = "text", each: int = 1500, margin: float = 12.0, spare: float = 0.999) -> Formats:
+def learn(docs: DataFrame, text: str = "text", each: int = 1500, margin: float = 12.0, spare: float = 0.999, common: float = 0.02) -> Formats:
     """Infer the automata from at most ``each`` labelled strings of a kind, and the background from all other candidates.
 
-    A kind's threshold lies ``margin`` bits above what the share ``spare`` of all other
-    candidates reach.
+    A kind's threshold is ``margin`` bits; of one that explains more than ``common`` of all other
+    candidates, ``margin`` bits above what the share ``spare`` of them reach.
     """
     found = _examples(docs.select(F.col(text).alias("text")), each)
     order = Window.partitionBy("kind").orderBy("h", "value")
     labelled = found.where(F.col("kind") != INFERRED).select("kind", "value", "h").distinct()
     rows = labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).orderBy("kind", "n").collect()
     shapes = stored(found.where(F.col("kind") == INFERRED).groupBy("value").agg(F.sum("n").alias("n")), "secret-shapes")
-    rest = background(shapes)
-    if rest is None:
-        return Formats({}, None, {})
-    of = {k: [shape(r["value"]) for r in rows if r["kind"] == k] for k in KINDS}
-    formats = Formats({k: infer(of[k]) for k in KINDS if of[k]}, rest, {})
-    formats.thresholds = {k: v + margin for k, v in _quantiles(shapes, formats, spare).items()}
+    formats = Formats({}, None, {}, {})
+    for kind in KINDS:
+        values = [shape(r["value"]) for r in rows if r["kind"] == kind]
+        if values:
+            # every fifth string is kept to see what a string of the format reaches; a few stand for themselves
+            enough = len(values) >= 25
+            formats.kinds[kind] = infer([v for i, v in enumerate(values) if i % 5 or not enough])
+            apart = values[::5] if enough else values
+            formats.floors[kind] = min(formats.kinds[kind].log2(v) / (len(v) + 1) for v in apart) - SLACK
+    shares = _shares(shapes, formats)
+    rare = [k for k, x in shares.items() if x <= common]
+    formats.rest = background(shapes, formats, rare) or background(shapes)
+    if formats.rest is None:
+        return Formats({}, None, {}, {})
+    crowded = _quantiles(shapes, formats, spare) if len(rare) < len(shares) else {}
+    formats.thresholds = {k: margin if k in rare else crowded[k] + margin for k in shares}
     return formats
 
 

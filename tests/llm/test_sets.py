@@ -212,7 +212,8 @@ def test_automata_tell_formats_apart():
     keys = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(300)]
     words = ["".join(rng.choice(["th", "er", "on", "an", "re"], rng.integers(8, 12))) for _ in range(600)]
     key, rest = secret_scan.infer([secret_scan.shape(k) for k in keys[:200]]), secret_scan.infer([secret_scan.shape(w) for w in words[:400]])
-    assert len(key.edges) < 200
+    assert len(key.edges) == 41 and [k for k, e in enumerate(key.ends) if e > -1] == [40]  # one state for each length, the last ends
+    assert key.log2(secret_scan.shape(keys[250])) > key.log2(secret_scan.shape(keys[250][:39])) + 6
     gain = lambda s: key.log2(secret_scan.shape(s)) - rest.log2(secret_scan.shape(s))
     assert min(map(gain, keys[200:])) > 20 > 0 > max(map(gain, words[400:]))
 
@@ -221,12 +222,14 @@ def test_secrets_inferred_and_redacted(spark, odd_docs):
     rng = np.random.default_rng(4)
     key = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
     words = lambda: " ".join("".join(rng.choice(["th", "er", "on", "an"], 9)) for _ in range(8))
-    hidden = key()[:22]  # shorter than the base pattern
-    rows = [(i, f"{words()} token = {key()} {words()}") for i in range(150)] + [(900, f"here is {hidden} only"), (901, None), (902, words())]
+    short = lambda: key()[:22]  # shorter than the base pattern of hexadecimal runs
+    hidden = short()
+    rows = [(i, f"{words()} token = {short()} {words()}") for i in range(150)] + [(900, f"here is {hidden} only"), (901, None), (902, words())]
+    rows += [(903, f"not {key()[:9]} nor {key()[:17]} here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     formats = secret_scan.learn(df)
     got = {r.doc_id: r.secrets for r in secret_scan.with_spans(df, formats).collect()}
-    assert [tuple(s) for s in got[900]] == [("inferred", 8, 30)] and got[901] == [] and got[902] == []
+    assert [tuple(s) for s in got[900]] == [("inferred", 8, 30)] and got[901] == [] and got[902] == [] and got[903] == []
     clean = {r.doc_id: r.text for r in secret_scan.redacted(df, formats).collect()}
     assert clean[900] == "here is [SECRET] only" and clean[901] is None and "token" not in clean[0]
 
@@ -250,12 +253,55 @@ def test_short_secrets_and_parts_beside_base_spans(spark):
     formats = secret_scan.learn(df)
     got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secret_scan.with_spans(df, formats).collect()}
     assert got[900] == [("inferred", 5, 5 + len(short))]
-    assert got[901] == [("access", 0, 20), ("inferred", 20, 21 + len(long))]
+    assert got[901] == [("access", 0, 20), ("inferred", 21, 21 + len(long))]
     assert got[902] == []
     clean = {r.doc_id: r.text for r in secret_scan.redacted(df, formats).collect()}
     assert short not in clean[900] and long not in clean[901]
 
 
+PLAIN = (
+    "v1.2.3-rc4 utf-8 3.14159265358979 550e8400-e29b-41d4-a716-446655440000 2024-01-31 10.0.0.255 x86_64-linux-gnu foo_bar_baz "
+    "index.html ISO-8859-1 1,234.56 a+b=c and/or well-known-problem README.md 4111111111111111 +49-170-1234567 C3PO E=mc2 snake_case_name"
+)
+
+
+@pytest.mark.parametrize("name, make", [
+    ("fixed", lambda pick: pick(40)),
+    ("prefixed", lambda pick: "ghp_" + pick(36)),
+    ("lengths", lambda pick: pick(20 + sum(map(ord, pick(3))) % 13)),
+    ("dashed", lambda pick: "-".join(pick(8) for _ in range(4))),
+])
+def test_recall_and_false_alarms(spark, name, make):
+    """Keys of the labelled format are found without a name; versions, numbers, ids and words are left alone."""
+    rng = np.random.default_rng(11)
+    pick = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    words = lambda: " ".join("".join(rng.choice(["th", "er", "on", "an", "re"], rng.integers(1, 5))) for _ in range(20))
+    rows = [(i, f"{words()} password: {make(pick)} {words()}.") for i in range(300)]
+    planted = {1000 + i: make(pick) for i in range(200)}
+    rows += [(k, f"{words()} see {v}{'.' if k % 2 else ''} {words()}") for k, v in planted.items()]
+    rows += [(2000 + i, f"{words()}. {t} {words()}") for i, t in enumerate(PLAIN.split() * 3)]
+    rows += [(3000 + i, words()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    formats = secret_scan.learn(df)
+    found = {r.doc_id: [tuple(s) for s in r.secrets if s.kind == "inferred"] for r in secret_scan.with_spans(df, formats).collect()}
+    text = dict(rows)
+    hits = sum([text[k][a:b] for _, a, b in found[k]] == [v] for k, v in planted.items())
+    assert hits >= 0.9 * len(planted), hits
+    assert [text[k] for k in found if k >= 2000 and found[k]] == []
+    assert not any(found[k] for k in range(300))
+
+
+def test_no_false_alarms_with_formats_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    formats = secret_scan.learn(docs)
+    shapes = [secret_scan.shape(x).encode() for x in PLAIN.replace(",", " ").split()]
+    assert not any(formats.is_secret(x) for x in shapes if len(x) >= secret_scan.LEAST_RUN)
+    rng = np.random.default_rng(12)
+    keys = [secret_scan.shape("".join(rng.choice(list("0123456789abcdef"), 40))).encode() for _ in range(200)]
+    assert sum(map(formats.is_secret, keys)) >= 180  # what the tables' credentials look like
+    assert not any(formats.is_secret(k[:n]) for k in keys for n in (8, 12, 20, 39))
+
+
 def test_thresholds_cover_all_candidates(spark):
     """One candidate in 200 has a key's format, as few in a sample may: the threshold lies above them."""
     rng = np.random.default_rng(6)
