@@ -423,6 +423,17 @@ def _quantiles(shapes: DataFrame, formats: Formats, spare: float) -> dict[str, f
     return out
 
 
+def least_reached(values: Sequence[str], folds: int = 5) -> float:
+    """Fewest bits a character that a string reaches under the automaton of the other folds' strings; of very few, under their own."""
+    found = []
+    for fold in range(min(folds, len(values))):
+        apart = values[fold::folds]
+        others = [v for i, v in enumerate(values) if i % folds != fold] if len(values) >= folds else values
+        automaton = infer(others)
+        found += [automaton.log2(v) / (len(v) + 1) for v in apart]
+    return min(found)
+
+
 def learn(docs: DataFrame, text: str = "text", each: int = 1500, margin: float = 12.0, spare: float = 0.999, common: float = 0.02) -> Formats:
     """Infer the automata from at most ``each`` labelled strings of a kind, and the background from all other candidates.
 
@@ -438,11 +449,8 @@ def learn(docs: DataFrame, text: str = "text", each: int = 1500, margin: float =
     for kind in KINDS:
         values = [shape(r["value"]) for r in rows if r["kind"] == kind]
         if values:
-            # every fifth string is kept to see what a string of the format reaches; a few stand for themselves
-            enough = len(values) >= 25
-            formats.kinds[kind] = infer([v for i, v in enumerate(values) if i % 5 or not enough])
-            apart = values[::5] if enough else values
-            formats.floors[kind] = min(formats.kinds[kind].log2(v) / (len(v) + 1) for v in apart) - SLACK
+            formats.kinds[kind] = infer(values)
+            formats.floors[kind] = least_reached(values) - SLACK
     shares = _shares(shapes, formats)
     rare = [k for k, x in shares.items() if x <= common]
     formats.rest = background(shapes, formats, rare) or background(shapes)

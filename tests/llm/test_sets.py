@@ -298,7 +298,8 @@ def test_no_false_alarms_with_formats_of_the_tables(spark):
     assert not any(formats.is_secret(x) for x in shapes if len(x) >= secret_scan.LEAST_RUN)
     rng = np.random.default_rng(12)
     keys = [secret_scan.shape("".join(rng.choice(list("0123456789abcdef"), 40))).encode() for _ in range(200)]
-    assert sum(map(formats.is_secret, keys)) >= 180  # what the tables' credentials look like
+    found = sum(map(formats.is_secret, keys))
+    assert found >= 180, found  # what the tables' credentials look like
     assert not any(formats.is_secret(k[:n]) for k in keys for n in (8, 12, 20, 39))
 
 
