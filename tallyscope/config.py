@@ -84,3 +84,21 @@ def digit_dimension(spark: SparkSession, dof: int = 8) -> DataFrame:
         settings = for_mode(m)["benford"]
         rows.append((m, critical_value(dof, 1 - settings["significance"]), settings["minimum_sample"]))
     return spark.createDataFrame(rows, "mode string, mode_critical double, minimum_sample int")
+
+
+def preset_dimension(spark: SparkSession, section: str) -> DataFrame:
+    """``(preset, mode, values of the section)``, one row for each preset."""
+    rows = [{"preset": name, "mode": preset(name)["mode"]} | preset(name)[section] for name in PRESETS]
+    return spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
+
+
+def preset_weights(spark: SparkSession) -> DataFrame:
+    """``(preset, method, weight)``."""
+    return spark.createDataFrame([(name, m, float(w)) for name in PRESETS for m, w in preset(name)["weights"].items()], "preset string, method string, weight double")
+
+
+def preset_digits(spark: SparkSession, dof: int = 8) -> DataFrame:
+    """What a digit test needs by preset: critical value at its significance, least sample."""
+    found = [(name, preset(name)["benford"]) for name in PRESETS]
+    rows = [(name, critical_value(dof, 1 - x["significance"]), x["minimum_sample"]) for name, x in found]
+    return spark.createDataFrame(rows, "preset string, mode_critical double, minimum_sample int")

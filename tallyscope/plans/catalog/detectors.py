@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyscope import config
 from tallyscope.constants import CONTAMINATION
+from tallyscope.operators import digit_law as dl
 from tallyscope.operators import ensemble as en
 from tallyscope.operators import features as fe
 from tallyscope.operators import forest as fo
 from tallyscope.operators import neighbours as ne
+from tallyscope.operators import presets as pr
+from tallyscope.operators import stats
+from tallyscope.operators import word_law as wl
 from tallyscope.operators.quantiles import exact_percentiles
 from tallyscope.plans import views as v
 from tallyscope.plans.catalog.forest_sql import FLAG_SQL, forest_sql
-from tallyscope.plans.catalog.laws import NONZERO, THREE, _significant_sql
+from tallyscope.plans.catalog.laws import D1, FIRST, NONZERO, STOP, THREE, TOKENS, _digit_table_sql, _significant_sql
 from tallyscope.plans.catalog.ledgers import r
 from tallyscope.plans.catalog.measures import rounded
 from tallyscope.plans.catalog.risks import SCORES_SQL, method_scores
@@ -328,6 +333,33 @@ def s13(spark, d):
     return rounded(fo.flag(scored, float(meta["contamination"])).select("id", "score", "is_anomaly"))
 
 
+# fitted on the even ids; the others have categories that the fit never saw
+ENCODED = """
+    enc AS (SELECT category, row_number() OVER (ORDER BY encode(category)) - 1 AS code FROM (SELECT DISTINCT category FROM activity WHERE id % 2 = 0 AND category <> 'view')),
+    src AS (SELECT id, amount, CAST(hour(ts) AS DOUBLE) AS h, CASE WHEN k % 7 = 0 THEN 'unseen' WHEN k % 11 = 0 THEN NULL ELSE category END AS category FROM activity WHERE id % 2 = 1),
+    pts AS (SELECT id, [amount, CAST(hour(ts) AS DOUBLE), CAST(code AS DOUBLE)] AS xs FROM activity JOIN enc USING (category) WHERE id % 2 = 0),
+    oth AS (SELECT id, category, coalesce(code, -1) AS code, [amount, h, CAST(coalesce(code, -1) AS DOUBLE)] AS xs FROM src LEFT JOIN enc USING (category))
+"""
+
+
+@query(
+    "s13_stored_encoders",
+    f"WITH {ENCODED}, {forest_sql(3, read='oth')} SELECT id, category, CAST(code AS INTEGER) AS category_code, round(score, 6) AS score FROM iso JOIN oth USING (id)",
+    ["activity"],
+)
+def s13_encoders(spark, d):
+    a = v.activity(spark, d).select("id", "amount", F.hour("ts").cast("double").alias("hour"), "category", "k")
+    fitted = a.where((F.col("id") % 2 == 0) & (F.col("category") != "view"))
+    names, path = ["amount", "hour", "category_code"], scratch_path(spark, "encoded-model")
+    encoders = models.encoder_table(fitted, ["category"])
+    rows = models.apply_encoders(fitted, encoders, ["category"])
+    models.save_model(path, fo.fit(rows, "id", names), models.scaler_table(rows, names), names, encoders)
+    nodes, _, meta = models.load_model(spark, path)
+    other = a.where(F.col("id") % 2 == 1).withColumn("category", F.when(F.col("k") % 7 == 0, "unseen").when(F.col("k") % 11 != 0, F.col("category")))
+    other = models.apply_encoders(other, models.load_encoders(spark, path), ["category"])
+    return rounded(fo.score(other, nodes, meta["features"].split(",")).select("id", "category", "category_code", "score"))
+
+
 @query(
     "j10_predictions_by_key",
     f"""WITH {RAW_POINTS}, {forest_sql(3)}, {FLAG_SQL}, cf AS (SELECT id, 1 - greatest(0, least(1, 0.5 + decision)) AS c FROM flg WHERE is_anomaly = 1)
@@ -498,3 +530,95 @@ def d1(spark, d):
     s = F.col("s")
     level = F.when(s >= F.col("critical"), "critical").when(s >= F.col("high"), "high").when(s >= F.col("medium"), "medium").otherwise("low")
     return rows.groupBy("mode", level.alias("risk_level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _preset_values(*parts):
+    """VALUES of every preset: its name and the wanted ``(section, key)`` values."""
+    def shown(x):
+        return ("true" if x else "false") if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
+
+    return "(VALUES " + ", ".join("(" + ", ".join([f"'{name}'", *[shown(config.preset(name)[s][k]) for s, k in parts]]) + ")" for name in config.PRESETS) + ")"
+
+
+PRESET_WEIGHTS = ", ".join(f"('{name}', '{m}', {w!r})" for name in config.PRESETS for m, w in config.preset(name)["weights"].items())
+
+
+@query(
+    "d1_preset_weights",
+    f"""WITH {SCORES_SQL}, pw(preset, family, w) AS (VALUES {PRESET_WEIGHTS}),
+    x AS (SELECT preset, session_id, CAST(sum(CAST(score AS DECIMAL(18,9)) * CAST(w AS DECIMAL(9,4))) AS DOUBLE) AS s, CAST(sum(CAST(w AS DECIMAL(9,4))) AS DOUBLE) AS w
+          FROM msc JOIN pw ON family = regexp_replace(method, '_[12]$', '') GROUP BY ALL)
+    SELECT preset, session_id, round(least(greatest(CASE WHEN abs(w - 1) > 0.01 THEN s / w ELSE s END, 0), 1), 9) AS composite_score FROM x""",
+    ["activity"],
+)
+def d1_weights(spark, d):
+    return rounded(pr.weighted_risk(method_scores(spark, d), ["session_id"], config.preset_weights(spark)), 9)
+
+
+@query(
+    "d1_preset_words",
+    f"""WITH w AS ({TOKENS}), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL), c2 AS (SELECT false AS rs, * FROM c UNION ALL SELECT true, * FROM c WHERE word NOT IN {STOP}),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY rs, lang ORDER BY n DESC, word) AS rank, n / CAST(sum(n) OVER (PARTITION BY rs, lang) AS DOUBLE) AS f FROM c2),
+    p(preset, rs, top) AS {_preset_values(("zipf", "remove_stopwords"), ("zipf", "top_words"))}
+    SELECT preset, lang, count(*) AS items_used, round(coalesce(corr(ln(f), ln(1.0::DOUBLE / rank)), 0), 6) AS correlation FROM rk JOIN p USING (rs) WHERE rank <= top GROUP BY preset, lang""",
+)
+def d1_words(spark, d):
+    counts = wl.word_counts(v.table(spark, d, "documents"), ["lang"], "text")
+    return rounded(pr.word_correlation(counts, ["lang"], config.preset_dimension(spark, "zipf")))
+
+
+@query(
+    "d1_preset_digits",
+    f"""WITH {_digit_table_sql('activity', 'account_id', D1, FIRST)},
+    x AS (SELECT account_id, sum(pow(n - expected * total, 2) / (expected * total)) AS chi, CAST(max(total) AS BIGINT) AS total FROM t GROUP BY 1),
+    b(significance, bound) AS (VALUES (0.05, 15.507313056), (0.01, 20.09023503), (0.1, 13.361566137)), p(preset, sig, least) AS {_preset_values(("benford", "significance"), ("benford", "minimum_sample"))}
+    SELECT account_id, preset, CASE WHEN total < least THEN 'insufficient' WHEN chi > bound THEN 'significant' ELSE 'conforming' END AS verdict FROM x, p JOIN b ON abs(sig - significance) < 1e-9""",
+    ["activity"],
+)
+def d1_digits_by_preset(spark, d):
+    tests = dl.engine_test(v.activity(spark, d), ["account_id"], "amount")
+    return pr.digit_verdicts(tests, ["account_id"], config.preset_digits(spark)).select("account_id", "preset", "verdict")
+
+
+# the amount is missing in a twelfth of the rows, the code in a sixteenth
+@query(
+    "d1_preset_quality",
+    f"""WITH q AS (SELECT CASE WHEN k % 12 <> 0 THEN amount END AS amount, CASE WHEN id % 16 <> 0 THEN CAST(k AS DOUBLE) END AS k, CAST(id AS DOUBLE) AS id FROM activity),
+    l AS (UNPIVOT (SELECT * FROM q) ON COLUMNS(*) INTO NAME c VALUE x), n AS (SELECT count(*) AS rows FROM q),
+    f AS (SELECT c, count(*) AS present, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM l GROUP BY c),
+    o AS (SELECT c, count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outliers FROM l JOIN f USING (c) GROUP BY c),
+    p(preset, least, miss, outl) AS {_preset_values(("quality", "minimum_sample"), ("quality", "maximum_missing"), ("quality", "maximum_outliers"))}
+    SELECT preset, c AS "column", CASE WHEN rows < least THEN 'too_small' WHEN (rows - present) * 100.0::DOUBLE / rows > miss THEN 'missing' WHEN outliers * 100.0::DOUBLE / rows > outl THEN 'outliers' ELSE 'good' END AS verdict
+    FROM f JOIN o USING (c), n, p""",
+    ["activity"],
+)
+def d1_quality(spark, d):
+    a = v.activity(spark, d)
+    rows = a.select(F.when(F.col("k") % 12 != 0, F.col("amount")).alias("amount"), F.when(F.col("id") % 16 != 0, F.col("k").cast("double")).alias("k"), F.col("id").cast("double").alias("id"))
+    return pr.column_verdicts(stats.column_quality(rows), config.preset_dimension(spark, "quality"))
+
+
+@query(
+    "d1_preset_risk",
+    f"""WITH p(preset, least, md, hi, cr) AS {_preset_values(("risk", "minimum_confidence"), ("risk", "medium"), ("risk", "high"), ("risk", "critical"))}, x AS (SELECT category, k / 100.0::DOUBLE AS c FROM activity)
+    SELECT preset, category, CASE WHEN c >= cr THEN 'critical' WHEN c >= hi THEN 'high' WHEN c >= md THEN 'medium' ELSE 'low' END AS risk_level, count(*) AS n FROM x JOIN p ON c >= least GROUP BY ALL""",
+    ["activity"],
+)
+def d1_risk(spark, d):
+    rows = v.activity(spark, d).select("category", (F.col("k") / F.lit(100.0)).alias("confidence"))
+    return pr.confident(rows, ["category"], "confidence", config.preset_dimension(spark, "risk"))
+
+
+def _forest_flags_sql():
+    found = sorted({config.preset(name)["detectors"]["trees"] for name in config.PRESETS})
+    parts = []
+    for trees in found:
+        names = ", ".join(f"'{n}'" for n in config.PRESETS if config.preset(n)["detectors"]["trees"] == trees)
+        parts.append(f"SELECT id, round(score, 6) AS score, unnest([{names}]) AS preset FROM (WITH {RAW_POINTS}, {forest_sql(3, trees=trees)}, {FLAG_SQL} SELECT id, score FROM flg WHERE is_anomaly = 1)")
+    return " UNION ALL ".join(parts)
+
+
+@query("d1_preset_forest", _forest_flags_sql(), ["activity"])
+def d1_forest(spark, d):
+    settings = {name: config.preset(name)["detectors"] for name in config.PRESETS}
+    return rounded(pr.forest_flags(simple_features(spark, d), "id", SIMPLE, settings))

@@ -14,13 +14,13 @@ def _mean_path(n: str) -> str:
     return f"CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({n} - 1.0::DOUBLE) / {n} END"
 
 
-def forest_sql(width: int, fitted: str = "pts", read: str = "pts") -> str:
+def forest_sql(width: int, fitted: str = "pts", read: str = "pts", trees: int = TREES) -> str:
     """CTEs up to ``iso (id, score)``; ``fitted`` and ``read`` are CTEs of ``(id, xs)`` with a list of ``width`` doubles."""
     lists = lambda f: "[" + ", ".join(f"{f}(xs[{i + 1}])" for i in range(width)) + "]"
     out = [
-        f"fsh AS (SELECT {2.0 * SIZE * TREES}::DOUBLE / greatest(count(*), 1) AS keep, least({TREES}, ceil({2.0 * SIZE * TREES}::DOUBLE / greatest(count(*), 1)))::BIGINT AS offers FROM {fitted})",
-        f"fof AS (SELECT id, xs, floor({_draw(f"'{SEED}:first:' || id")} * {TREES})::BIGINT AS f0, unnest(range(0, offers)) AS j FROM {fitted}, fsh WHERE {_draw(f"'{SEED}:keep:' || id")} < keep)",
-        f"fot AS (SELECT id, xs, (f0 + j) % {TREES} AS tree FROM fof)",
+        f"fsh AS (SELECT {2.0 * SIZE * trees}::DOUBLE / greatest(count(*), 1) AS keep, least({trees}, ceil({2.0 * SIZE * trees}::DOUBLE / greatest(count(*), 1)))::BIGINT AS offers FROM {fitted})",
+        f"fof AS (SELECT id, xs, floor({_draw(f"'{SEED}:first:' || id")} * {trees})::BIGINT AS f0, unnest(range(0, offers)) AS j FROM {fitted}, fsh WHERE {_draw(f"'{SEED}:keep:' || id")} < keep)",
+        f"fot AS (SELECT id, xs, (f0 + j) % {trees} AS tree FROM fof)",
         f"frk AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY md5('{SEED}:' || tree || ':' || id), id) AS r FROM fot)",
         f"fl0 AS (SELECT id, xs, tree, 1::BIGINT AS node, ceil(log2(greatest(count(*) OVER (PARTITION BY tree), 2))) AS most FROM frk WHERE r <= {SIZE})",
     ]
@@ -36,14 +36,14 @@ def forest_sql(width: int, fitted: str = "pts", read: str = "pts") -> str:
             out.append(f"fl{i + 1} AS (SELECT l.id, l.xs, l.tree, 2 * l.node + CASE WHEN l.xs[t.feature] < t.cut THEN 0 ELSE 1 END AS node, l.most FROM fl{i} l JOIN fn{i} t USING (tree, node) WHERE t.feature > 0)")
     out += [
         "fnd AS (" + " UNION ALL ".join(f"SELECT * FROM fn{i}" for i in range(LEVELS + 1)) + ")",
-        f"fg0 AS (SELECT id, xs, tree, 1::BIGINT AS node FROM {read}, (SELECT unnest(range(0, {TREES})) AS tree))",
+        f"fg0 AS (SELECT id, xs, tree, 1::BIGINT AS node FROM {read}, (SELECT unnest(range(0, {trees})) AS tree))",
     ]
     for i in range(LEVELS):
         out.append(
             f"fg{i + 1} AS (SELECT g.id, g.xs, g.tree, CASE WHEN t.feature = 0 THEN g.node ELSE 2 * g.node + CASE WHEN g.xs[t.feature] < t.cut THEN 0 ELSE 1 END END AS node FROM fg{i} g JOIN fnd t USING (tree, node))"
         )
     root = f"(SELECT sum(round({_mean_path('n')} * 1e9)::BIGINT)::DOUBLE / 1e9 / count(*) FROM fn0)"
-    out.append(f"iso AS (SELECT g.id, pow(2.0::DOUBLE, -(sum(t.length)::DOUBLE / 1e9 / {TREES} / {root})) AS score FROM fg{LEVELS} g JOIN fnd t USING (tree, node) GROUP BY g.id)")
+    out.append(f"iso AS (SELECT g.id, pow(2.0::DOUBLE, -(sum(t.length)::DOUBLE / 1e9 / {trees} / {root})) AS score FROM fg{LEVELS} g JOIN fnd t USING (tree, node) GROUP BY g.id)")
     return ",\n".join(out)
 
 
