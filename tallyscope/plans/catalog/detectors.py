@@ -221,11 +221,46 @@ def o16(spark, d):
 @query("o17_principal_components")
 def o17(spark, d):
     e = v.table(spark, d, "embeddings")
-    width = len(e.select("embedding").first()[0])
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     rows = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
     return en.principal_components(rows, "vec_id", [f"e{i}" for i in range(width)])
 
 
+# the eigenvalues of a symmetric 3 x 3 matrix in closed form; a component is a cross product of rows of C - value * I
+COMPONENTS = """
+    p0 AS (SELECT id, amount / 10 AS x, hour(ts) / 10.0::DOUBLE AS y, k / 50.0::DOUBLE + amount / 40 AS z FROM activity),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p0), p AS (SELECT id, x - mx AS x, y - my AS y, z - mz AS z FROM p0, m),
+    c AS (SELECT avg(x * x) AS a, avg(y * y) AS b, avg(z * z) AS g, avg(x * y) AS d, avg(x * z) AS e, avg(y * z) AS f FROM p),
+    q AS (SELECT *, (a + b + g) / 3 AS q FROM c),
+    r AS (SELECT *, sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (g - q) * (g - q) + 2 * (d * d + e * e + f * f)) / 6) AS s FROM q),
+    t AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (g - q) - f * f) - d * (d * (g - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * s * s * s)))) / 3 AS phi FROM r),
+    l AS (SELECT *, q + 2 * s * cos(phi) AS l1, q + 2 * s * cos(phi + 2 * pi() / 3) AS l3 FROM t),
+    w AS (SELECT *, unnest([{'i': 1, 'v': l1}, {'i': 2, 'v': 3 * q - l1 - l3}, {'i': 3, 'v': l3}]) AS o FROM l),
+    u AS (SELECT o.i AS i, o.v AS v, [d * f - e * (b - o.v), e * d - (a - o.v) * f, (a - o.v) * (b - o.v) - d * d] AS n1,
+                 [d * (g - o.v) - e * f, e * e - (a - o.v) * (g - o.v), (a - o.v) * f - d * e] AS n2, [(b - o.v) * (g - o.v) - f * f, f * e - d * (g - o.v), d * f - (b - o.v) * e] AS n3 FROM w),
+    n AS (SELECT *, n1[1] * n1[1] + n1[2] * n1[2] + n1[3] * n1[3] AS s1, n2[1] * n2[1] + n2[2] * n2[2] + n2[3] * n2[3] AS s2, n3[1] * n3[1] + n3[2] * n3[2] + n3[3] * n3[3] AS s3 FROM u),
+    k AS (SELECT i, v, CASE WHEN s1 >= s2 AND s1 >= s3 THEN n1 WHEN s2 >= s3 THEN n2 ELSE n3 END AS n, greatest(s1, s2, s3) AS s FROM n),
+    j AS (SELECT id, i, v, pow(x * n[1] + y * n[2] + z * n[3], 2) / s AS sq FROM p, k)
+"""
+
+
+@query(
+    "o17_component_squares",
+    f"""WITH {COMPONENTS} SELECT id, round(max(sq) FILTER (i = 1), 5) AS square1, round(max(sq) FILTER (i = 2), 5) AS square2, round(max(sq) FILTER (i = 3), 5) AS square3,
+    round(max(v) FILTER (i = 1), 6) AS variance1, round(max(v) FILTER (i = 2), 6) AS variance2, round(max(v) FILTER (i = 3), 6) AS variance3 FROM j GROUP BY id""",
+    ["activity"],
+)
+def o17_squares(spark, d):
+    """Signs of components are free, so their squares and mean squares are compared."""
+    a = v.activity(spark, d)
+    rows = a.select("id", (F.col("amount") / 10).alias("x"), (F.hour("ts") / 10.0).alias("y"), (F.col("k") / 50.0 + F.col("amount") / 40).alias("z"))
+    found = reliable(en.principal_components(rows, "id", ["x", "y", "z"], 3))
+    squares = [F.col(f"pc{i}") * F.col(f"pc{i}") for i in (1, 2, 3)]
+    means = found.agg(*[F.avg(s).alias(f"variance{i}") for i, s in enumerate(squares, 1)])
+    out = found.select("id", *[r(s, 5).alias(f"square{i}") for i, s in enumerate(squares, 1)]).crossJoin(F.broadcast(means))
+    return out.select("id", "square1", "square2", "square3", *[r(f"variance{i}", 6).alias(f"variance{i}") for i in (1, 2, 3)])
+
+
 @query(
     "o18_dbscan_noise",
     """

@@ -107,3 +107,34 @@ def test_principal_components_keep_variance(spark, planted):
     b = pcs.agg(*[F.var_pop(f"pc{i}") for i in (1, 2, 3)]).first()
     assert sum(a) == pytest.approx(sum(b))
     assert b[0] >= b[1] >= b[2]
+
+
+def test_dictionaries_keep_their_codes(spark):
+    from tallyscope.session import scratch_path
+    from tallyscope.sources import models
+
+    fitted = spark.createDataFrame([(i, c) for i, c in enumerate(["b", "a", None, "b", "Z"])], "id long, kind string")
+    encoders = models.encoder_table(fitted, ["kind"])
+    assert {(r.value, r.code) for r in encoders.collect()} == {("Z", 0), ("a", 1), ("b", 2)}
+    path = scratch_path(spark, "encoders")
+    rows = models.apply_encoders(fitted, encoders, ["kind"])
+    models.save_model(path, forest.fit(rows, "id", ["kind_code"], trees=3), models.scaler_table(rows, ["kind_code"]), ["kind_code"], encoders)
+    other = spark.createDataFrame([(1, "0 sorts first"), (2, "b"), (3, None), (4, "a")], "id long, kind string")
+    got = {r.id: r.kind_code for r in models.apply_encoders(other, models.load_encoders(spark, path), ["kind"]).collect()}
+    assert got == {1: -1, 2: 2, 3: -1, 4: 1}
+    models.encoder_table(other, ["kind"]).write.mode("overwrite").parquet(f"{path}/encoders")
+    with pytest.raises(ValueError, match="fitted with dictionary"):
+        models.load_encoders(spark, path)
+
+
+@pytest.mark.parametrize("name", ["weights", "words", "digits", "quality", "risk", "forest"])
+def test_presets_act(spark, name):
+    """Each section's query has at least two presets whose rows differ."""
+    import tallyscope.plans.catalog  # noqa: F401
+    from tallyscope.plans.registry import QUERIES
+
+    rows = {}
+    for r in QUERIES[f"d1_preset_{name}"](spark, "/root/testdata/sf0.01").collect():
+        row = r.asDict()
+        rows.setdefault(row.pop("preset"), []).append(str(sorted(row.items())))
+    assert len(rows) == 5 and len({str(sorted(v)) for v in rows.values()}) >= 2
