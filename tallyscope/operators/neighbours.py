@@ -1,8 +1,9 @@
 """Distance detectors: kNN distance, local outlier factor, one-class boundary, grid DBSCAN noise.
 
 Neighbours are exact. Equal vectors are counted into one point, so a crowd of copies costs
-one point. A kd-tree over a bounded hash sample of the points cuts space into cells of a
-bounded number of rows. Each point finds its k nearest in its own cell; their distance
+one point. A kd-tree over a bounded hash sample of the points cuts space into cells; a cell that
+has got more than its number of points is cut again from a sample of its own, until none has.
+Each point finds its k nearest in its own cell; their distance
 bounds how far the rest can be, and the point visits just the other cells its ball meets.
 """
 
@@ -22,6 +23,8 @@ from tallyscope.session import reliable
 
 CELL_ROWS = 2048
 SAMPLE_ROWS = 1 << 18
+#: Points of a crowded cell that cut it again, at least about so many.
+LEAST_SAMPLE = 32
 _LISTS = "vid long, nn array<long>, dist array<double>"
 
 
@@ -55,6 +58,70 @@ def _cells(sample: np.ndarray, cell_rows: float) -> dict[str, np.ndarray]:
     return {n: cols[:, i] if n == "cut" else cols[:, i].astype(np.int64) for i, n in enumerate(("dim", "cut", "left", "right", "cell"))}
 
 
+def _grafted(t: dict[str, np.ndarray], subs: dict[int, dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The tree with further trees in place of some of its cells; the other cells keep their numbers."""
+    cols = {n: list(a) for n, a in t.items()}
+    leaf = {int(c): i for i, c in enumerate(t["cell"]) if c >= 0}
+    free = max(leaf) + 1
+    for cell, sub in subs.items():
+        at, shift = leaf[cell], len(cols["dim"])
+        # the root goes where the cell was, the rest behind all nodes
+        place = lambda i, at=at, shift=shift: np.where(i < 0, -1, np.where(i == 0, at, i + shift - 1))
+        number = np.where(sub["cell"] < 0, -1, np.where(sub["cell"] == 0, cell, sub["cell"] + free - 1))
+        free += int(sub["cell"].max())
+        new = {"dim": sub["dim"], "cut": sub["cut"], "left": place(sub["left"]), "right": place(sub["right"]), "cell": number}
+        for n, a in new.items():
+            cols[n][at] = a[0]
+            cols[n] += a[1:].tolist()
+    return {n: np.array(a, dtype=t[n].dtype) for n, a in cols.items()}
+
+
+def _tree(pts: DataFrame, n: int, width: int, cell_rows: int, seed: int) -> dict[str, np.ndarray]:
+    """Cells of at most about ``2 * cell_rows`` of the ``n`` different points.
+
+    Each round reads the points once and takes at most about ``2 * SAMPLE_ROWS`` of them to the driver;
+    a round cuts a cell by the ratio of its sample to ``cell_rows``, so few rounds are needed. The tree
+    itself has two nodes for each cell.
+    """
+    spark = pts.sparkSession
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col("vid")), F.lit(1 << 30))
+    # the hash threshold keeps about twice the sample, so tasks send little more than the bound
+    few = pts.where(h < int(min(1.0, 2.0 * SAMPLE_ROWS / max(n, 1)) * (1 << 30)))
+    sample = few.orderBy(h, "vid").select("v").limit(SAMPLE_ROWS).toPandas()  # fixed bound
+    grid = _matrix(sample["v"]) if len(sample) else np.zeros((0, width))
+    tree = _cells(grid, max(8.0, cell_rows * len(grid) / max(n, 1)))
+    while len(grid) < n:
+        placed = pts.withColumn("cell", _cell_column(spark.sparkContext.broadcast(tree))("v"))
+        crowded = placed.groupBy("cell").count().where(F.col("count") > 2 * cell_rows).toPandas()  # fewer than there are cells
+        if crowded.empty:
+            break
+        each = max(SAMPLE_ROWS // len(crowded), LEAST_SAMPLE)
+        sizes = spark.createDataFrame(crowded.rename(columns={"count": "size"}))
+        # another hash than that of the first sample, which chose these cells
+        again = F.pmod(F.xxhash64(F.lit(seed), F.col("cell"), F.col("vid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        taken = placed.join(F.broadcast(sizes), "cell").where(again < 2.0 * each / F.col("size")).select("cell", "v").toPandas()
+        size = dict(zip(crowded["cell"], crowded["count"]))
+        subs = {}
+        for cell, part in taken.groupby("cell"):
+            x = _matrix(part["v"])
+            x = x[np.lexsort(x.T[::-1])]
+            found = _cells(x, max(8.0, cell_rows * len(x) / size[cell]))
+            if found["cell"].max() > 0:
+                subs[int(cell)] = found
+        if not subs:
+            break
+        tree = _grafted(tree, subs)
+    return tree
+
+
+def _cell_column(tree):
+    @F.pandas_udf("long")
+    def cell_of(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_cell_of(_matrix(vectors), tree.value)) if len(vectors) else pd.Series([], dtype="int64")
+
+    return cell_of
+
+
 def _cell_of(x: np.ndarray, t: dict) -> np.ndarray:
     at, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
     while True:
@@ -99,10 +166,9 @@ def _nearest(vids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray,
         row, col = row[order], col[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         row, col = row[rank < k], col[rank < k]
-        found = np.sqrt(d[row, col])
-        for i, a, b in zip(row, others[col], found):
-            nn[start + i].append(int(a))
-            dist[start + i].append(float(b))
+        ends = np.cumsum(np.bincount(row, minlength=len(part)))[:-1]
+        nn[start : start + len(part)] = np.split(others[col], ends)
+        dist[start : start + len(part)] = np.split(np.sqrt(d[row, col]), ends)
     return pd.DataFrame({"vid": vids, "nn": nn, "dist": dist})
 
 
@@ -125,16 +191,8 @@ def knn_graph(df: DataFrame, id: str, features: Sequence[str], k: int, cell_rows
     spark = df.sparkSession
     pts = reliable(points(df, id, features))
     n = pts.count()
-    # the hash threshold keeps about twice the sample, so tasks send little more than the bound
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("vid")), F.lit(1 << 30))
-    few = pts.where(h < int(min(1.0, 2.0 * SAMPLE_ROWS / max(n, 1)) * (1 << 30)))
-    sample = few.orderBy(h, "vid").select("v").limit(SAMPLE_ROWS).toPandas()  # fixed bound
-    grid = _matrix(sample["v"]) if len(sample) else np.zeros((0, len(features)))
-    tree = spark.sparkContext.broadcast(_cells(grid, max(8.0, cell_rows * len(grid) / max(n, 1))))
-
-    @F.pandas_udf("long")
-    def cell_of(vectors: pd.Series) -> pd.Series:
-        return pd.Series(_cell_of(_matrix(vectors), tree.value)) if len(vectors) else pd.Series([], dtype="int64")
+    tree = spark.sparkContext.broadcast(_tree(pts, n, len(features), cell_rows, seed))
+    cell_of = _cell_column(tree)
 
     @F.pandas_udf("array<long>")
     def cells_met(vectors: pd.Series, radius: pd.Series) -> pd.Series:

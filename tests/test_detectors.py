@@ -44,6 +44,28 @@ def test_knn_and_lof_equal_brute_force(spark, crowd, cell_rows):
         assert lof[i] == pytest.approx(np.mean([lrd[v] for _, _, v in near[i]]) / lrd[vid[i]], rel=1e-6)
 
 
+def test_cells_are_cut_again_until_small(spark, monkeypatch):
+    """A first sample of forty points: cells are cut in two more rounds, and neighbours stay exact."""
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 40)
+    rng = np.random.default_rng(8)
+    x = np.round(np.vstack([rng.normal(0, 1, (1500, 2)), rng.normal(9, 0.2, (1000, 2)), rng.uniform(-20, 20, (300, 2))]), 4)
+    df, cell_rows, k, rounds = _df(spark, x), 20, 4, []
+    grafted = neighbours._grafted
+    monkeypatch.setattr(neighbours, "_grafted", lambda *a: rounds.append(len(a[1])) or grafted(*a))
+    pts = neighbours.points(df, "id", ["x0", "x1"])
+    tree = neighbours._tree(pts, pts.count(), 2, cell_rows, 42)
+    assert len(rounds) >= 2
+    cells = neighbours._cell_of(np.unique(x, axis=0), tree)
+    assert np.bincount(cells).max() <= 2 * cell_rows and sorted(c for c in tree["cell"].tolist() if c >= 0) == list(range(max(tree["cell"]) + 1))
+    met = neighbours._cells_met(x[:200], np.full(200, 0.5), tree)
+    for i in range(200):
+        box = (np.abs(x - x[i]) <= 0.5).all(axis=1)
+        assert set(neighbours._cell_of(x[box], tree).tolist()) <= set(met[i])
+    got = {r["id"]: r["knn_score"] for r in neighbours.knn_score(df, "id", ["x0", "x1"], k, cell_rows=cell_rows).collect()}
+    far = np.sort(np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2)), axis=1)[:, k]
+    assert all(got[i] == pytest.approx(far[i], abs=1e-9) for i in range(len(x)))
+
+
 @pytest.mark.parametrize("dims,eps", [(1, 0.3), (2, 0.5), (3, 0.8)])
 def test_dbscan_equals_brute_force(spark, crowd, dims, eps):
     rng = np.random.default_rng(7)
