@@ -422,10 +422,8 @@ def a27(spark, d):
 
 @query(
     "s6_statistical_results",
-    """
-    SELECT category AS audit_session_id, 'benford' AS analysis_type, CAST(8 AS INTEGER) AS degrees_of_freedom, false AS has_json, CAST(count(*) AS INTEGER) AS sample_size
-    FROM activity WHERE amount <> 0 GROUP BY category
-    """,
+    f"""SELECT category AS audit_session_id, 'benford' AS analysis_type, CAST(8 AS INTEGER) AS degrees_of_freedom, false AS has_json, CAST(total_values AS INTEGER) AS sample_size,
+    chi_square AS chi_square_statistic, p_value, significant AS anomaly_detected FROM ({_significant_sql(NONZERO, 'category', THREE)})""",
     ["activity"],
 )
 def s6(spark, d):
@@ -438,7 +436,11 @@ def s6(spark, d):
     )
     path = scratch_path(spark, "statistics")
     tables.append(res, "statistics", path)
-    return tables.read(spark, "statistics", path).select("audit_session_id", "analysis_type", "degrees_of_freedom", (F.col("analysis_results") == "{}").alias("has_json"), "sample_size")
+    back = tables.read(spark, "statistics", path)
+    return back.select(
+        "audit_session_id", "analysis_type", "degrees_of_freedom", (F.col("analysis_results") == "{}").alias("has_json"), "sample_size",
+        r("chi_square_statistic", 4).alias("chi_square_statistic"), r("p_value").alias("p_value"), "anomaly_detected",
+    )
 
 
 @query("s7_csv_scan", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT md5(text)) AS texts FROM documents GROUP BY lang")

@@ -145,6 +145,19 @@ def f14(spark, d):
     return _texts(spark, d).select("doc_id", F.explode(tx.amounts(F.col("text"))).alias("amount")).withColumn("amount", F.col("amount").cast("double"))
 
 
+# every form of an amount, made of the event's value
+FORMS_SQL = "frm AS (SELECT id, 'Paid $' || format('{:,.2f}', amount * 1000) || ' at once, EUR ' || format('{:.2f}', amount) || ' later and ' || format('{:,.2f}', amount * 100) || ' USD on ' || CAST(k AS VARCHAR) || ' days' AS text FROM activity)"
+
+
+@query("f14_amount_forms", f"WITH {FORMS_SQL} {_amounts_sql('frm', 'id')}", ["activity"])
+def f14_forms(spark, d):
+    money = lambda c: F.format_number(c, 2)
+    plain = F.replace(F.format_number("amount", 2), F.lit(","), F.lit(""))
+    text = F.concat(F.lit("Paid $"), money(F.col("amount") * 1000), F.lit(" at once, EUR "), plain, F.lit(" later and "), money(F.col("amount") * 100), F.lit(" USD on "), F.col("k").cast("string"), F.lit(" days"))
+    rows = v.activity(spark, d).select("id", text.alias("text"))
+    return rows.select("id", F.explode(tx.amounts(F.col("text"))).alias("amount")).withColumn("amount", F.col("amount").cast("double"))
+
+
 @query("f14_invoice_amounts", f"WITH {INVOICE_TEXT_SQL} {_amounts_sql('inv', 'document_id')}")
 def f14_invoices(spark, d):
     return invoice_texts(spark, d).select("document_id", F.explode(tx.amounts(F.col("text"))).alias("amount")).withColumn("amount", F.col("amount").cast("double"))

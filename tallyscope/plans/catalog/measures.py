@@ -487,22 +487,19 @@ def o6(spark, d):
 @query(
     "o7_amount_sanity",
     """
-    WITH t AS (SELECT id, amount, round(amount * 1e5) AS x FROM activity),
-         f AS (SELECT id, concat_ws(',', CASE WHEN amount = 0.01 THEN 'penny_amount' END, CASE WHEN x > 100 AND x % 1000 = 0 THEN 'round_number' END,
-                      CASE WHEN x > 10000000 THEN 'extremely_large' END) AS flags,
-                      (CASE WHEN amount = 0.01 THEN 1 ELSE 0 END + CASE WHEN x > 100 AND x % 1000 = 0 THEN 1 ELSE 0 END + CASE WHEN x > 10000000 THEN 1 ELSE 0 END) AS n FROM t)
-    SELECT id, flags, round(least(n * 0.3::DOUBLE, 1), 6) AS risk_score, n * 0.3::DOUBLE < 0.5 AS is_safe FROM f
+    WITH t AS (SELECT id, 'as_is' AS unit, amount AS x FROM activity UNION ALL SELECT id, 'hundred_thousandths', round(amount * 1e5) FROM activity),
+         f AS (SELECT id, unit, concat_ws(',', CASE WHEN x = 0.01 THEN 'penny_amount' END, CASE WHEN x > 100 AND x % 1000 = 0 THEN 'round_number' END, CASE WHEN x > 10000000 THEN 'extremely_large' END) AS flags,
+                      (CASE WHEN x = 0.01 THEN 1 ELSE 0 END + CASE WHEN x > 100 AND x % 1000 = 0 THEN 1 ELSE 0 END + CASE WHEN x > 10000000 THEN 1 ELSE 0 END) AS n FROM t)
+    SELECT id, unit, flags, round(least(n * 0.3::DOUBLE, 1), 6) AS risk_score, n * 0.3::DOUBLE < 0.5 AS is_safe FROM f
     """,
     ["activity"],
 )
 def o7(spark, d):
-    # the penny test reads the event value; the size tests read it in units of 1e-5
-    rows = v.activity(spark, d).select("id", "amount", F.round(F.col("amount") * 1e5).alias("x"))
-    amount = F.when(F.col("amount") == 0.01, F.col("amount")).otherwise(F.col("x"))
-    out = outliers.amount_sanity(amount)
-    both = F.when(F.col("amount") == 0.01, F.concat(F.array(F.lit("penny_amount")), F.filter(outliers.amount_sanity(F.col("x"))["flags"], lambda f: f != "penny_amount"))).otherwise(out["flags"])
-    risk = F.size(both) * 0.3
-    return rows.select("id", F.array_join(both, ",").alias("flags"), r(F.least(risk, F.lit(1.0))).alias("risk_score"), (risk < 0.5).alias("is_safe"))
+    # event values are small: as they are they show pennies, in units of 1e-5 round and very large amounts
+    a = v.activity(spark, d)
+    rows = a.select("id", F.lit("as_is").alias("unit"), F.col("amount").alias("x")).unionByName(a.select("id", F.lit("hundred_thousandths").alias("unit"), F.round(F.col("amount") * 1e5).alias("x")))
+    out = outliers.amount_sanity(F.col("x"))
+    return rows.select("id", "unit", F.array_join(out["flags"], ",").alias("flags"), r(out["risk_score"]).alias("risk_score"), out["is_safe"].alias("is_safe"))
 
 
 @query(
