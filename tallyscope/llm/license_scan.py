@@ -212,3 +212,33 @@ def scanned(docs: DataFrame, templates: Sequence[Template] = (*PHRASES, *NOTICES
 def labels_of(spans: Column) -> Column:
     """Distinct labels in order, joined by commas."""
     return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+
+def _sql(templates: Sequence[Template] = (*PHRASES, *NOTICES)) -> str:
+    """The scan in SQL, for tables without repeated ids."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    grams = ", ".join(f"({i}, {t.k}, {n}, {quoted(' '.join(t.words[n : n + t.k]))})" for i, t in enumerate(templates) for n in range(len(t.words) - t.k + 1))
+    known = ", ".join(f"({i}, {quoted(t.label)}, {t.k}, {len(t.words)}, {float(t.share)}::DOUBLE, {str(t.base).lower()})" for i, t in enumerate(templates))
+    every = " UNION ALL ".join(
+        f"SELECT doc_id, p, {k} AS k, {" || ' ' || ".join(f'lead(w, {j}) OVER o' if j else 'w' for j in range(k))} AS gram FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY p)"
+        for k in sorted({t.k for t in templates})
+    )
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+    WITH x AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM x), g AS ({every}),
+    tg(tpl, k, t, gram) AS (VALUES {grams}), tk(tpl, label, k, n, share, base) AS (VALUES {known}),
+    h AS (SELECT DISTINCT doc_id, tpl, t, p - t AS diagonal FROM g JOIN tg USING (k, gram)),
+    v AS (SELECT doc_id, tpl, diagonal, list(t) AS ts, diagonal + min(t) AS lo, diagonal + max(t) AS hi FROM h GROUP BY doc_id, tpl, diagonal),
+    m AS (SELECT a.doc_id, a.tpl, a.diagonal, min(b.lo) AS first, max(b.hi) + any_value(tk.k) AS last, flatten(list(b.ts)) AS ts
+          FROM v a JOIN tk USING (tpl) JOIN v b ON b.doc_id = a.doc_id AND b.tpl = a.tpl AND b.diagonal BETWEEN a.diagonal AND a.diagonal + CASE WHEN tk.share < 1 THEN {SHIFT} ELSE 0 END GROUP BY a.doc_id, a.tpl, a.diagonal),
+    c AS (SELECT m.*, label, base, share, n, len(list_distinct(flatten(list_transform(ts, lambda t: range(t, t + k))))) / CAST(n AS DOUBLE) AS covered FROM m JOIN tk USING (tpl)),
+    s AS (SELECT *, covered >= share AND last - first <= 2 * n AS ok FROM c),
+    f AS (SELECT doc_id, count(*) FILTER (ok AND base) AS n_base, min(first) FILTER (ok AND base) AS first_word, max(first) FILTER (ok AND base) AS last_word,
+                 list_sort(list_distinct(list(label) FILTER (ok AND base))) AS bl, list_sort(list_distinct(list(label) FILTER (ok))) AS al, max(covered) AS score FROM s GROUP BY doc_id)
+    SELECT x.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+           coalesce(array_to_string(bl, ','), '') AS base_labels, coalesce(array_to_string(al, ','), '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM x LEFT JOIN f USING (doc_id)
+    """
+
+
+SQL = _sql()

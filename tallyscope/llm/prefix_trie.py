@@ -39,6 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tallyscope.llm.mixing import word_count
+from tallyscope.llm.registry import crc32_sql
 from tallyscope.llm.storage import stored
 from tallyscope.operators.ordered import scan
 
@@ -449,3 +450,23 @@ def nodes(rows: DataFrame, empty: DataFrame, width: int = WIDTH) -> DataFrame:
 
     ddl = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
     return _mapped(shards.join(told, "shard", "left"), ddl, final)
+
+
+#: The query's rows in SQL, for tables without two rows of one turn.
+SQL = rf"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS txt, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+b AS (SELECT h.conv_id, 0 AS src, pos, role, txt FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 WHERE pos <= h
+      UNION ALL SELECT conv_id, 1, pos, role, txt FROM o JOIN h USING (conv_id) WHERE pos > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY src, pos) AS d, md5(length(role) || ':' || role || txt) AS m, CAST(len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) AS BIGINT) AS w FROM b),
+k AS (SELECT conv_id, d, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d) AS path, w FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM h),
+n AS (SELECT d, path, min(conv_id) AS c, count(*) AS n, any_value(w) AS w FROM k GROUP BY d, path),
+p AS (SELECT n.*, q.c AS parent, k.path AS up FROM n LEFT JOIN k ON k.conv_id = n.c AND k.d = n.d - 1 LEFT JOIN n q ON q.d = k.d AND q.path = k.path),
+ch AS (SELECT d - 1 AS d, up AS path, count(*) AS children FROM p WHERE d > 0 GROUP BY ALL),
+f AS (SELECT p.*, coalesce(children, 0) AS children FROM p LEFT JOIN ch USING (d, path)),
+s AS (SELECT k.d, k.path, sum((f.n - 1) * f.w) AS saved, count(*) FILTER (f.children = 0) AS leaves FROM f JOIN k ON k.conv_id = f.c AND k.d <= f.d GROUP BY ALL),
+z AS (SELECT conv_id, max(d) AS d, max_by(path, d) AS path FROM k GROUP BY conv_id),
+e AS (SELECT d, path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM z GROUP BY ALL)
+SELECT f.c AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n AS n_convs, f.children AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM f JOIN s USING (d, path) LEFT JOIN e USING (d, path)
+"""

@@ -93,18 +93,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", out.alias("held_out"), "text"), model)
 
 
-@query("op11_prefix_trie")
+@query("op11_prefix_trie", prefix_trie.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = prefix_trie.turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return prefix_trie.nodes(*prefix_trie.rebuilt(turned))
 
 
-@query("op12_conversation_repair")
+@query("op12_conversation_repair", repair.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
-@query("op13_license_scan")
+@query("op13_license_scan", license_scan.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])

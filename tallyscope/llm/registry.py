@@ -27,3 +27,10 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text as DuckDB SQL: byte by byte, eight shifts each."""
+    shifted = "list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))"
+    symbols = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {symbols}), lambda a, b: {shifted}), 4294967295::BIGINT)"

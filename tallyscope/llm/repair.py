@@ -35,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from tallyscope.llm.audits import Audits
+from tallyscope.llm.registry import crc32_sql
 from tallyscope.llm.storage import stored
 from tallyscope.operators.ordered import scan
 
@@ -382,3 +383,57 @@ def repair(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
         return _short(rows)
     same = F.col("conv_id").eqNullSafe(F.col("_large"))
     return _short(rows.join(large, same, "left_anti")).unionByName(_long(rows.join(large, same, "left_semi"), chunk))
+
+
+def _least_sql(*ways: str) -> str:
+    """The best of several ``{c, a, t}``: cost, audit and the lines that come with it."""
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _way_sql(state: str, cost: str, edit: str, line: str = "''", when: str = "true") -> str:
+    return f"{{'c': {state}.c + CASE WHEN {when} THEN {cost} ELSE 1000000000 END, 'a': {state}.a || '{edit}', 't': {state}.t || {line}}}"
+
+
+def _put_in_sql(columns: str, source: str) -> str:
+    """User rows put in after any state but that of a user, then assistant rows after users."""
+    user = _least_sql("q2", *[_way_sql(f"q{k}", "5", "I", "'user:' || chr(10)") for k in (0, 1, 3)])
+    return (
+        f"SELECT {columns}, q0, q1, u2, {_least_sql('q3', _way_sql('u2', '5', 'I', "'assistant:' || chr(10)"))} AS u3 "
+        f"FROM (SELECT *, {user} AS u2 FROM ({source}))"
+    )
+
+
+def _step_sql() -> str:
+    """The states after row ``i`` from ``s0`` to ``s3`` before it."""
+    stay, lines = "(CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END)", {"K": "role || ':' || txt || chr(10)", "u": "'user:' || txt || chr(10)", "a": "'assistant:' || txt || chr(10)"}
+    may = "fault NOT IN ('blank', 'duplicate')"
+    ways = {k: [_way_sql(f"s{k}", "2", "D")] for k in range(4)}
+    for (state, initial), to in KEPT.items():
+        ways[to].append(_way_sql(f"s{state}", stay, "K", lines["K"], f"{may} AND left(role, 1) = '{initial}'"))
+    for state, to in CHOSEN.items():
+        ways[to].append(_way_sql(f"s{state}", f"{stay} + 1", "R", lines["u" if to == USER else "a"], may))
+    return ", ".join(f"{_least_sql(*ways[k])} AS q{k}" for k in range(4))
+
+
+_NONE = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+_BEGIN = "{'c': 0::BIGINT, 'a': '', 't': ''}"
+#: The query's rows in SQL, for tables without null ids and two different rows of one turn.
+SQL = rf"""
+WITH RECURSIVE g AS (SELECT conv_id, turn, coalesce(role, ' ') AS r0, coalesce(text, ' ') AS t0, {crc32_sql("(conv_id || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE r0 END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(t0, '[.!?]', '', 'g') ELSE t0 END AS txt,
+             unnest(range(0, CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM g),
+y AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt, copy) AS i, rtrim(txt, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM y),
+d AS (SELECT conv_id, turn, role, txt, i, before, CASE WHEN ended = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(ended, 1) IN ('.', '!', '?') THEN 'sound' ELSE 'truncated' END AS fault FROM z),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM d GROUP BY conv_id),
+a AS (SELECT DISTINCT conv_id FROM conversations),
+v(conv_id, i, s0, s1, s2, s3) AS (
+    {_put_in_sql("conv_id, i", f"SELECT conv_id, 0::BIGINT AS i, {_BEGIN} AS q0, {_NONE} AS q1, {_NONE} AS q2, {_NONE} AS q3 FROM a")}
+    UNION ALL
+    {_put_in_sql("conv_id, i", f"SELECT v.conv_id, d.i, {_step_sql()} FROM v JOIN d ON d.conv_id = v.conv_id AND d.i = v.i + 1")}
+),
+w AS (SELECT a.conv_id, c.*, {_least_sql("s0", "s3")} AS o FROM a LEFT JOIN c ON c.conv_id = a.conv_id JOIN v ON v.conv_id = a.conv_id AND v.i = coalesce(c.n, 0))
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       o.c AS cost, o.a AS audit, sha256(CASE WHEN o.t = '' THEN '' ELSE left(o.t, length(o.t) - 1) END) AS repaired_sha256 FROM w
+"""

@@ -20,9 +20,9 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
-def test_mixing_equals_sql(spark, sf):
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sf, name):
     sf_dir = f"/root/testdata/{sf}"
-    name = "op2_mix_sources"
     assert compare(QUERIES[name](spark, sf_dir), ORACLES[name], oracle_connection(sf_dir)) == []
 
 
