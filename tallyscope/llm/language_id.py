@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tallyscope.llm import textscan as ts
+from tallyscope.llm.storage import stored
 
 MARK = "▁"  # begins a word in the vocabulary
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -212,7 +213,7 @@ def learn(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
     offered = rows.select("lang", "key", h.alias("h")).join(F.broadcast(counts), "lang").where(F.col("h") < F.col("most"))
     chosen = offered.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_labelled)
     sample = rows.join(F.broadcast(chosen.select("lang", "key").distinct()), ["lang", "key"])
-    counted = _counted_words(sample).cache()
+    counted = stored(_counted_words(sample), "language-words")
     languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     place = {x: i for i, x in enumerate(languages)}
     n = len(pieces)
@@ -240,7 +241,6 @@ def learn(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
         sums = np.full(logs.shape, smooth)
         np.add.at(sums, (found["piece"].to_numpy(), found["language"].to_numpy()), found["n"].to_numpy())
         logs = np.log(sums) - np.log(sums.sum(axis=0))
-    counted.unpersist()
     return Model(languages, pieces, logs)
 
 
