@@ -14,7 +14,6 @@ from tallyscope.operators.compliance import input_violations
 from tallyscope.plans import views as v
 from tallyscope.plans.catalog.documents import SCAN_SQL
 from tallyscope.plans.catalog.forest_sql import forest_sql
-from tallyscope.plans.catalog.ledgers import r
 from tallyscope.plans.catalog.measures import rounded
 from tallyscope.plans.catalog.risks import STEP_SQL, steps, steps_of
 from tallyscope.plans.registry import query

@@ -9,7 +9,6 @@ from tallyscope.functions import scores as sc
 from tallyscope.functions import text as tx
 from tallyscope.operators import safety as sf
 from tallyscope.plans import views as v
-from tallyscope.plans.catalog.ledgers import r
 from tallyscope.plans.catalog.measures import rounded
 from tallyscope.plans.registry import query
 
