@@ -9,7 +9,8 @@ its k-th score.
 
 Pivots and annulus borders come from a bounded sample; every vector is indexed, and the ranges
 used for bounds are those of all vectors. The tables of pivots and annuli are bounded by their
-numbers. Vectors travel in blocks, queries in packs; a pair of both is one matrix product.
+numbers. Vectors travel in blocks, queries in packs; a pair of both is one matrix product. Only the
+numbers of the blocks are broadcast; packs and blocks meet by a shuffle.
 
 Edge cases: null vectors and those with null or non-finite components take no part. Shorter
 vectors count as padded with zeros. Null ids take no part. Rows that share the query's id are
@@ -223,7 +224,8 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
         packed = asked.groupBy("ring", F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("p")).agg(
             F.collect_list(F.struct("query_id", "q", "least")).alias("pack")
         )
-        met = packed.join(parts, "ring").join(index.blocks, ["ring", "part"])
+        # Spark sees neither how many annuli a query asks for nor what blocks weigh unpacked: packs and blocks are never broadcast
+        met = packed.join(F.broadcast(parts), "ring").hint("merge").join(index.blocks.hint("merge"), ["ring", "part"])
         found = met.select("pack", "ids", "xs").mapInArrow(scores, "query_id long, id long, score long")
         every = found if best is None else found.unionByName(best)
         best = stored(every.withColumn("_r", F.row_number().over(by_query)).where(F.col("_r") <= k).drop("_r"), "topk-best")

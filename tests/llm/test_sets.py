@@ -1,6 +1,7 @@
 """Mixing, packing, archives, secrets, top-k, near-duplicates, and the pipeline of them."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -338,6 +339,30 @@ def test_top_k(spark, sf_dir):
     assert {tuple(r) for r in got} == brute_top(rows, [i for i, _ in rows if i % 100 == 0], 10)
 
 
+def _below(plan, name):
+    """The parts of a plan's text below each node of a name."""
+    lines = plan.splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if name in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_top_k_broadcasts_neither_packs_nor_blocks(spark, sf_dir, monkeypatch):
+    plans, stored = [], topk.stored
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(topk, "stored", seen)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    assert topk.top_k(vectors, F.col("vec_id") % 100 == 0).count()
+    sent = [x for p in plans for x in _below(p, "BroadcastExchange")]
+    assert sent and not any("collect_list" in x or re.search(r"\bids#|\bxs#|\bq#", x) for x in sent)
+
+
 def test_top_k_clustered_ties_and_edges(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 8)) * 3
