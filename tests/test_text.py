@@ -115,3 +115,11 @@ def test_access_rules(spark):
             ("user_3", "reports", "read", True), ("user_3", "ledger", "read", False), ("user_3", "reports", "write", False)]
     df = spark.createDataFrame(rows, "u string, r string, a string, want boolean")
     assert df.where(safety.allowed(F.col("u"), F.col("r"), F.col("a")) != F.col("want")).count() == 0
+
+
+def test_advice_scans_the_texts_once(spark, sf_dir):
+    import tallyscope.plans.catalog  # noqa: F401
+    from tallyscope.plans.registry import QUERIES
+
+    plan = QUERIES["t11_security_advice"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
