@@ -14,8 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyscope.session import reliable
+
 BINS_PER_E = 256
 STEPS = 4096  # equal steps that a hit bin is cut into
+FEW_GROUPS = 1 << 16  # statistics of no more groups go to every task
 
 
 def _bin(col):
@@ -110,8 +113,14 @@ def largest_ranked(df: DataFrame, keys: Sequence[str], value: str, probs: dict[s
 
 
 def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Put one-row-per-group statistics back on the rows (one row in all when no key)."""
-    return df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
+    """Put one-row-per-group statistics back on the rows (one row in all when no key).
+
+    Statistics of few groups are counted and broadcast, so that no task gets all rows of a group.
+    """
+    if not keys:
+        return df.crossJoin(F.broadcast(stats))
+    stats = reliable(stats)
+    return df.join(F.broadcast(stats) if stats.count() <= FEW_GROUPS else stats, list(keys))
 
 
 def with_median_gap(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
