@@ -166,6 +166,39 @@ def test_similar_amounts_brute_force(spark):
         assert got[x / 100] == want
 
 
+def test_amounts_are_placed_as_whole_numbers_where_they_fit(spark, monkeypatch):
+    from decimal import Decimal
+
+    from tallyscope.operators import features
+
+    kinds, scan = [], features.scan
+    monkeypatch.setattr(features, "scan", lambda df, *a, **b: kinds.append(dict(df.dtypes)["x"]) or scan(df, *a, **b))
+    small = [Decimal(x) for x in ("100.00", "101.00", "101.01", "99.01", "99.00", "-5.00", "0.00", "0.01")]
+    for factor in (1, 10**13):
+        rows = [("a", x * factor) for x in small] + [("a", None), (None, Decimal("1.00"))]
+        got = {r["amount"]: r["similar"] for r in similar_amounts(spark.createDataFrame(rows, "g string, amount decimal(20,2)").where("g is not null and amount is not null"), ["g"], "amount").collect()}
+        assert got == {x * factor: sum(abs(y - x) * 100 <= x for y in small) if x >= 0 else 0 for x in small}
+        df = spark.createDataFrame(rows, "g string, amount decimal(20,2)")
+        assert features.amount_frequency(df, ["g"], "amount").count() == len(small)
+    assert kinds[0] == kinds[1] == "bigint" and kinds[2] == kinds[3] == "decimal(26,6)"
+
+
+def test_statistics_of_few_groups_are_broadcast(spark, monkeypatch):
+    from tallyscope.operators import quantiles, stats
+
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), ("b", 2.0, 3), (None, 1.0, 4)], "g string, x double, id long")
+    monkeypatch.setattr(quantiles, "FEW_GROUPS", quantiles.FEW_GROUPS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (quantiles.FEW_GROUPS, 1):
+            monkeypatch.setattr(quantiles, "FEW_GROUPS", few)
+            out = stats.z_scores(df, ["g"], "x")
+            assert ("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()) == (few == 1)
+            assert {r["id"]: r["z"] for r in out.collect()} == {1: pytest.approx(-(0.5**0.5)), 2: pytest.approx(0.5**0.5), 3: 0.0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pages(skewed):
     from tallyscope.operators import sessions
 
